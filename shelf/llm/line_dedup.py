@@ -144,7 +144,8 @@ def apply_bitmap(text: bytes, bitmap: bytes | None) -> tuple[int, int, bytes]:
 def with_bitmaps(docs: DataFrame, maps: DataFrame) -> DataFrame:
     """docs with its own columns in a struct named row, and drop_bitmap. The two sides share no column name."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"))
-    other = maps.select(F.col("doc_id").alias("_with"), "drop_bitmap")
+    # Never broadcast: bitmaps grow with the input, and so does what this join shuffles, alike at every size.
+    other = maps.select(F.col("doc_id").alias("_with"), "drop_bitmap").hint("merge")
     return rows.join(other, F.col("_doc").eqNullSafe(F.col("_with")), "left").select("row", "drop_bitmap")
 
 
