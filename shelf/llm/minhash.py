@@ -7,11 +7,16 @@ coordinates were independent, and a sketch takes about t ln t + |set| steps.
 
 Links. Texts with the same shingle set are one node, the smallest doc_id. Nodes meet in the buckets of BANDS bands of ROWS
 coordinates. In a bucket every node is first linked to the smallest only; of each node's candidates the best is verified
-first, then those that still connect different components. In a bucket that then still holds several components, pairs of
-nodes from different components are candidates too; buckets of more than LARGE such nodes are first split by pairs of
-bands. Never are all pairs of a bucket emitted: nodes of one component aren't paired again. A candidate whose 8-bit
-sketches agree in too few coordinates (5 standard deviations under the threshold) is dropped; all others are verified on
-whole shingle sets. A pair at the threshold goes unseen with a chance of about 2e-5.
+first, then those that still connect different components. Such a candidate is dropped if its 8-bit sketches agree in too
+few coordinates (5 standard deviations under the threshold).
+
+In a bucket that then still holds several components, nodes of different components are candidates too, under two bounds
+that lose no link. No more of a set can be shared with another component than the shingles that occur in one; that is
+counted for each node, in proportion to the texts, and leaves only nodes that share three quarters of their shingles: a
+passage that many texts hold ends here. Of two nodes, the shingles that only one has are at least as many as the bits in
+which their parity bitmaps differ, and links have at most a seventh of both sizes' sum of them; the join compares bitmaps
+and emits only what passes. Nodes of one component are never paired again. All that is left is verified on whole shingle
+sets. A pair at the threshold goes unseen with a chance of about 2e-5.
 
 Cases: null text counts as empty; a text with fewer than five words is one shingle, one without words has an empty set and
 no links; rows repeated under one doc_id are one node, linked by what any of them holds; rows without doc_id are linked
@@ -32,12 +37,12 @@ from .shingles import WordHashes, mixed, shingles, words
 
 ROWS, BANDS = 5, 40
 SIZE = ROWS * BANDS
-#: Linked are sets with 100 * intersection >= PERCENT * union.
+#: Linked are sets with 100 * intersection >= PERCENT * union. Bounds below are derived from 75.
 PERCENT = 75
 #: Least share of coordinates in which the 8-bit sketches of a candidate agree.
 LEAST = 0.75 - 5 * (0.75 * 0.25 / SIZE) ** 0.5
-#: Nodes of a bucket above which it is split by further bands.
-LARGE = 200
+#: Words of 64 bits in a parity bitmap.
+PARITY = 32
 
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -189,34 +194,56 @@ def _component(table: DataFrame, node: str, labels: DataFrame, to: str) -> DataF
     return table.join(own, node, "left").withColumn(to, F.coalesce(to, node))
 
 
-def _open_pairs(bands: DataFrame, shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components in one bucket; large buckets are split by further bands they share."""
+def _several(table: DataFrame) -> DataFrame:
+    """Rows (key, node, component, ...) of the keys that hold several components, with the number n of their rows."""
+    sizes = table.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    return common.written(table.join(common.written(sizes.select("key", "n")).hint("merge"), "key"))
+
+
+def _open_buckets(bands: DataFrame, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, component, hub, n of buckets with several components; of two nodes all pairs are known already."""
     members = bands.join(shared.where("n > 2").select("key", "hub").hint("merge"), "key")
-    members = common.written(_component(members, "node", labels, "component"))
+    return _several(common.written(_component(members, "node", labels, "component")))
+
+
+def _spell(it):
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("component", pa.int64())])
+    for b in common.each(it):
+        sets = [np.frombuffer(x, np.int64) for x in b.column("set").to_pylist()]
+        sizes = [len(x) for x in sets]
+        yield common.batch(schema, np.concatenate(sets), np.repeat(b.column("node").to_numpy(), sizes), np.repeat(b.column("component").to_numpy(), sizes))
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap with a bit for each place to which an odd number of hashes fall."""
+    counts = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def _parities(it):
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64()))])
+    for b in common.each(it):
+        sets = [np.frombuffer(x, np.uint64) for x in b.column("set").to_pylist()]
+        yield common.batch(schema, b.column("node"), [len(x) for x in sets], [parity(x) for x in sets])
 
-    def several(table: DataFrame) -> DataFrame:
-        sizes = table.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-        return common.written(table.join(common.written(sizes.select("key", "n")).hint("merge"), "key"))
 
-    found = several(members)
-    out = found.where(f"n <= {LARGE}")
-    for _ in range(2):
-        large = found.where(f"n > {LARGE}").select("key", "node", "component")
-        if large.isEmpty():
-            return _crossing(out)
-        # A pair that shares a large bucket shares others too (but for a chance of 1e-4): split by each of them.
-        further = large.join(large.select(F.col("key").alias("key2"), F.col("node").alias("node2")).hint("merge"), (F.col("node") == F.col("node2")) & (F.col("key") < F.col("key2")))
-        found = several(common.written(further.select(F.xxhash64("key", "key2").alias("key"), "node", "component", F.lit(None).cast("long").alias("hub"))))
-        out = out.unionByName(found.where(f"n <= {LARGE}"))
-    return _crossing(out.unionByName(found.where(f"n > {LARGE}")))
+def _shareable(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, size, bits, common: how many of a node's shingles some other component in an open bucket holds."""
+    nodes = open_.groupBy("node").agg(F.min("component").alias("component"))
+    spelt = common.map_arrow(sets.join(nodes.hint("merge"), "node"), _spell, "shingle long, node long, component long")
+    between = spelt.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    counted = spelt.join(common.written(between).hint("merge"), "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    return common.written(common.map_arrow(sets, _parities, "node long, size long, bits array<long>").join(counted.hint("merge"), "node"))
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a key, but for those with the bucket's hub, which are known."""
-    rows = members.where("hub is null or node <> hub").select("key", "node", "component")
-    a = rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb")).hint("merge")
-    return a.join(b, (a.key == b.key) & (F.col("ca") < F.col("cb"))).select("a", "b").distinct()
+def _open_pairs(open_: DataFrame, share: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components in one bucket that both bounds let pass, but for those with the bucket's hub."""
+    few = share.where("100 * common >= 75 * size")
+    found = _several(common.written(open_.drop("n").where("node <> hub").join(few.hint("merge"), "node")))
+    a, b = (found.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "size", "common", "bits"))) for end in "ab")
+    differing = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(PARITY))
+    can = F.expr(f"component_a < component_b and 7 * least(common_a, common_b) >= 3 * (size_a + size_b) and 7 * ({differing}) <= size_a + size_b")
+    return common.written(a.join(b.hint("merge"), (a.key == b.key) & can).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -247,9 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not more.isEmpty():
         links = common.written(links.union(more))
         labels = components(links)
-    open_pairs = near(_open_pairs(bands, shared, labels), nodes)
-    if not open_pairs.isEmpty():
-        more = linked(open_pairs, whole_sets(docs, open_pairs), percent)
+    open_ = _open_buckets(bands, shared, labels)
+    if not open_.isEmpty():
+        sets = whole_sets(docs, open_.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        more = linked(_open_pairs(open_, _shareable(open_, sets)), sets, percent)
         if not more.isEmpty():
             labels = components(links.union(more))
     of_node = _component(nodes.select("digest", "node"), "node", labels, "component_id").select("digest", "component_id")

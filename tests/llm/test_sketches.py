@@ -78,9 +78,18 @@ def test_components_match_brute_force_with_copies_chains_and_a_common_passage(cl
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
-def test_large_buckets_with_several_components_are_split_and_lose_no_link(frame, monkeypatch):
+def test_parity_bitmaps_bound_the_symmetric_difference():
+    rng = np.random.default_rng(3)
+    for n in (5, 300, 5_000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[n // 5 :], rng.integers(0, 2**63, n // 7, dtype=np.uint64))))
+        differing = sum(int(x).bit_count() for x in (minhash.parity(a) ^ minhash.parity(b)).view(np.uint64))
+        assert differing <= len(np.setxor1d(a, b))
+    assert differing > 500
+
+
+def test_buckets_with_many_components_lose_no_link(frame):
     rng = random.Random(6)
-    monkeypatch.setattr(minhash, "LARGE", 3)
     base = prose(7, 100)
     rows = [(k, edited(base, rng, rng.choice([1, 4, 5, 6]))) for k in range(60)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(rows)).collect()}
