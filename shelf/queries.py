@@ -1,6 +1,386 @@
-"""Queries over the engine's operators and their SQL, by name."""
+"""Queries over the engine's operators and their SQL, by name.
+
+Documents stand for articles: lang is the collection, one chunk table is made of their texts, vector k belongs to the first
+chunk of document k. Every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import urls
+from .functions.chunking import LEAST, TARGET, build_chunks, chunk_text
+from .functions.text import normalize_whitespace, score_tag, snippet, to_fts_query_col, tokens
+from .operators import catalog, fulltext, fusion, upsert, vector
+from .operators.models import Hashing
+from .plans.crawl import crawl
+from .sources.html import read_articles, sections_of
+
+QUERY = "attion thing nicht ertion"
+PHRASE = "the-on attion"
+COLLECTION = "en"
+LIMIT = 6
+PLACES = 1 << 32
+VECTOR = Hashing(64).embed([QUERY])[0]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the catalog has them."""
+    rows = _table(spark, sf_dir, "documents")
+    return rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc://"), "doc_id").alias("url"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("lang").alias("collection"), "text")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select(F.col("id").alias("doc_id"), "collection", F.posexplode(chunk_text("text")).alias("idx", "text"))
+    return rows.withColumn("chunk_id", F.col("doc_id") * PLACES + F.col("idx"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select((F.col("vec_id") * PLACES).alias("chunk_id"), "embedding", "label")
+
+
+# -- SQL of what several queries share
+
+_WHITE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _WHITE) + "]"
+_TRIM = lambda x: f"trim({x}, '{_WHITE}')"
+_CLOSED = lambda s: f"CASE WHEN {_TRIM(f'{s}.open')} = '' THEN {s}.done ELSE list_append({s}.done, {_TRIM(f'{s}.open')}) END"
+
+
+def _greedy(s: str, x: str, joint: str, width: int) -> str:
+    return (
+        f"CASE WHEN length({s}.open) + length({x}) + {width} > {TARGET} AND length({s}.open) >= {LEAST} THEN {{'done': {_CLOSED(s)}, 'open': {x}}} "
+        f"ELSE {{'done': {s}.done, 'open': CASE WHEN {s}.open = '' THEN {x} ELSE {s}.open || {joint} || {x} END}} END"
+    )
+
+
+_EMPTY = "{'done': CAST([] AS VARCHAR[]), 'open': ''}"
+_LONG = lambda x: f"list_reduce(list_transform(string_split(regexp_replace({x}, '([.!?]){_CLASS}+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda y: {{'done': CAST([] AS VARCHAR[]), 'open': y}}), lambda s2, y2: {_greedy('s2', 'y2.open', chr(39) + ' ' + chr(39), 1)}, {_EMPTY})"
+
+
+def _chunk_sql(text: str) -> str:
+    """Array of chunks of a text, in DuckDB."""
+    paragraphs = f"list_transform(list_filter(list_transform(regexp_split_to_array({text}, '\\n{{2,}}'), lambda p: {_TRIM('p')}), lambda p: p <> ''), lambda p: {{'done': CAST([] AS VARCHAR[]), 'open': p}})"
+    long = f"list_transform([{_LONG('x.open')}], lambda r: list_concat({_CLOSED('s')}, {_CLOSED('r')}))[1]"
+    step = f"CASE WHEN length(x.open) > {TARGET} THEN {{'done': {long}, 'open': ''}} ELSE {_greedy('s', 'x.open', 'chr(10) || chr(10)', 2)} END"
+    return f"list_transform([list_reduce({paragraphs}, lambda s, x: {step}, {_EMPTY})], lambda z: {_CLOSED('z')})[1]"
+
+
+_CHUNKS = f"""c0 AS (SELECT doc_id, lang AS collection, {_chunk_sql('text')} AS cs FROM documents),
+chunks AS (SELECT doc_id, collection, CAST(i - 1 AS INTEGER) AS idx, cs[i] AS text, doc_id * {PLACES} + i - 1 AS chunk_id
+           FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM c0))"""
+_TOKENS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    """CTEs up to scored (chunk_id, doc_id, idx, collection, text, fts_score)."""
+    n = range(len(terms))
+    counts = ", ".join(f"len(list_filter(toks, lambda t: starts_with(t, '{t}'))) AS f{k}" for k, t in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS d{k}" for k in n)
+    idf = lambda k: f"CASE WHEN ln((n - d{k} + 0.5) / (d{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{k} + 0.5) / (d{k} + 0.5)) END"
+    score = " + ".join(f"({idf(k)}) * f{k} * 2.2e0 / (f{k} + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))" for k in n)
+    return f"""{_CHUNKS},
+toks AS (SELECT *, {_TOKENS} AS toks FROM chunks),
+f AS (SELECT * EXCLUDE (toks), len(toks) AS dl, {counts} FROM toks),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl, {df} FROM f),
+scored AS (SELECT chunk_id, doc_id, idx, collection, text, -({score}) AS fts_score FROM f, st WHERE {' OR '.join(f'f{k} > 0' for k in n)})"""
+
+
+_ARRAY = "[" + ", ".join(f"{x!r}" for x in VECTOR) + "]"
+_NEAR = f"near AS (SELECT vec_id * {PLACES} AS chunk_id, label, sqrt(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST({_ARRAY} AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS vec_distance FROM embeddings)"
+
+# -- text
+
+
+@_query(f"WITH {_CHUNKS} SELECT doc_id, idx, text FROM chunks")
+def chunk_texts(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "idx", "text")
+
+
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@_query(f"SELECT doc_id, {_TRIM(_NORMAL)} AS text FROM documents")
+def normalized_texts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", normalize_whitespace("text").alias("text"))
+
+
+@_query(f"WITH {_CHUNKS} SELECT doc_id, idx, 'Document ' || doc_id || chr(10) || chr(10) || text AS text, 'Document ' || doc_id AS section_path FROM chunks")
+def built_chunks(spark, sf_dir):
+    sections = F.array(F.struct(F.array("title", F.lit(None).cast("string"), F.lit("")).alias("path"), F.col("text").alias("text")))
+    return _documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(build_chunks(sections)).alias("idx", "c")).select("doc_id", "idx", "c.text", "c.section_path")
+
+
+@_query(f"WITH {_CHUNKS} SELECT doc_id, idx, regexp_replace(substring(text, 1, 260), '{_CLASS}+', ' ', 'g') || '…' AS snippet FROM chunks")
+def snippets(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "idx", snippet("text").alias("snippet"))
+
+
+@_query(f"""SELECT item_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array({_TRIM('text')}, '{_CLASS}+'), lambda w: trim(w, '"' || chr(39) || '`“”‘’')), lambda w: length(w) > 3), lambda w: '"' || w || '"*'), ' OR ') AS match FROM benchmark""")
+def fts_queries(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", to_fts_query_col("text").alias("match"))
+
+
+@_query(f"SELECT tok, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM (SELECT doc_id, unnest({_TOKENS}) AS tok FROM documents) GROUP BY tok")
+def fts_tokens(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens("text")).alias("tok"))
+    per_doc = rows.groupBy("tok", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("tok").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
+# -- search
+
+
+def _fts(spark, sf_dir, query=QUERY, limit=LIMIT, collection=None) -> tuple[DataFrame, DataFrame]:
+    chunks = _chunks(spark, sf_dir)
+    within = None if collection is None else chunks.where(F.col("collection") == collection)
+    return fulltext.fts_search(fulltext.postings(chunks), fulltext.corpus_stats(chunks), query, limit, within), chunks
+
+
+def _hits(hits: DataFrame, chunks: DataFrame, *values: str) -> DataFrame:
+    found = chunks.join(F.broadcast(hits), "chunk_id")
+    return found.select("chunk_id", "doc_id", "idx", "collection", *(F.round(v, 6).alias(v) for v in values))
+
+
+@_query(f"WITH {_bm25_sql(QUERY.split())} SELECT chunk_id, doc_id, idx, collection, round(fts_score, 6) AS fts_score FROM scored ORDER BY scored.fts_score, chunk_id LIMIT {LIMIT}")
+def fts_search(spark, sf_dir):
+    return _hits(*_fts(spark, sf_dir), "fts_score")
+
+
+@_query(f"WITH {_bm25_sql(QUERY.split())} SELECT chunk_id, doc_id, idx, collection, round(fts_score, 6) AS fts_score FROM scored WHERE collection = '{COLLECTION}' ORDER BY scored.fts_score, chunk_id LIMIT {LIMIT}")
+def fts_search_collection(spark, sf_dir):
+    return _hits(*_fts(spark, sf_dir, collection=COLLECTION), "fts_score")
+
+
+@_query(f"WITH {_bm25_sql(QUERY.split())} SELECT chunk_id, round(fts_score, 6) AS fts_score FROM scored")
+def bm25_scores(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return fulltext.bm25(fulltext.postings(chunks), fulltext.corpus_stats(chunks), QUERY).select("chunk_id", F.round("fts_score", 6).alias("fts_score"))
+
+
+@_query(
+    f"""WITH {_CHUNKS}, toks AS (SELECT *, {_TOKENS} AS toks FROM chunks),
+f AS (SELECT chunk_id, len(toks) AS dl, len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'the' AND starts_with(toks[i + 1], 'on'))) AS f0, len(list_filter(toks, lambda t: starts_with(t, 'attion'))) AS f1 FROM toks),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE f0 > 0) AS d0, count(*) FILTER (WHERE f1 > 0) AS d1 FROM f)
+SELECT chunk_id, round(-(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2e0 / (f0 + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2e0 / (f1 + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS fts_score
+FROM f, st WHERE f0 > 0 OR f1 > 0"""
+)
+def bm25_phrase_scores(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return fulltext.bm25(fulltext.postings(chunks), fulltext.corpus_stats(chunks), PHRASE).select("chunk_id", F.round("fts_score", 6).alias("fts_score"))
+
+
+@_query(f"WITH {_NEAR} SELECT chunk_id, round(vec_distance, 6) AS vec_distance FROM near ORDER BY near.vec_distance, chunk_id LIMIT {LIMIT}")
+def vector_search(spark, sf_dir):
+    return vector.vector_search(_vectors(spark, sf_dir), VECTOR, LIMIT).select("chunk_id", F.round("vec_distance", 6).alias("vec_distance"))
+
+
+@_query(f"WITH {_NEAR} SELECT chunk_id, round(vec_distance, 6) AS vec_distance FROM near WHERE label = 1 ORDER BY near.vec_distance, chunk_id LIMIT {LIMIT}")
+def vector_search_collection(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return vector.vector_search(rows, VECTOR, LIMIT, within=rows.where("label = 1")).select("chunk_id", F.round("vec_distance", 6).alias("vec_distance"))
+
+
+@_query(f"SELECT vec_id * {PLACES} AS chunk_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_ARRAY} AS DOUBLE[])), 6) AS vec_distance FROM embeddings")
+def cosine_distances(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("chunk_id", F.round(vector.distance(F.col("embedding"), VECTOR, "cosine"), 6).alias("vec_distance"))
+
+
+_POOL = 20
+_FUSED = f"""{_bm25_sql(QUERY.split())}, {_NEAR},
+a AS (SELECT chunk_id, fts_score, row_number() OVER (ORDER BY fts_score, chunk_id) AS r FROM scored ORDER BY r LIMIT {_POOL}),
+b AS (SELECT chunk_id, vec_distance, row_number() OVER (ORDER BY vec_distance, chunk_id) AS r FROM near ORDER BY r LIMIT {_POOL}),
+fused AS (SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, fts_score, vec_distance,
+  coalesce(1e0 / (60 + a.r), 0) + coalesce(1e0 / (60 + b.r), 0) AS fused_score,
+  CASE WHEN b.r IS NULL THEN 'fts' WHEN a.r IS NULL THEN 'vector' ELSE 'hybrid' END AS source
+  FROM a FULL JOIN b ON a.chunk_id = b.chunk_id)"""
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.select("chunk_id", *(F.round(c, 6).alias(c) for c in ("fts_score", "vec_distance", "fused_score")), "source")
+
+
+@_query(f"WITH {_FUSED} SELECT chunk_id, round(fts_score, 6) AS fts_score, round(vec_distance, 6) AS vec_distance, round(fused_score, 6) AS fused_score, source FROM fused")
+def rrf_fuse(spark, sf_dir):
+    fts, _ = _fts(spark, sf_dir, limit=_POOL)
+    return _rounded(fusion.rrf_fuse(fts, vector.vector_search(_vectors(spark, sf_dir), VECTOR, _POOL), 2 * _POOL))
+
+
+_TAG = "CASE source WHEN 'fts' THEN printf('bm25=%.2f', fts_score) WHEN 'vector' THEN printf('dist=%.3f', vec_distance) ELSE printf('rrf=%.4f', fused_score) END"
+
+
+@_query(f"WITH {_FUSED} SELECT fused.chunk_id, doc_id, idx, collection, round(fused_score, 6) AS fused_score, source, {_TAG} AS tag FROM fused JOIN chunks ON fused.chunk_id = chunks.chunk_id ORDER BY fused.fused_score DESC, fused.chunk_id LIMIT {_POOL}")
+def hybrid_search(spark, sf_dir):
+    fts, chunks = _fts(spark, sf_dir, limit=_POOL)
+    near = vector.vector_search(_vectors(spark, sf_dir).join(chunks.select("chunk_id"), "chunk_id", "left_semi"), VECTOR, _POOL)
+    hits = fusion.rrf_fuse(fts, near, _POOL)
+    found = chunks.join(F.broadcast(hits), "chunk_id")
+    return found.select("chunk_id", "doc_id", "idx", "collection", F.round("fused_score", 6).alias("fused_score"), "source", score_tag(found).alias("tag"))
+
+
+@_query(
+    f"""WITH {_bm25_sql(QUERY.split())},
+top AS (SELECT *, row_number() OVER (ORDER BY fts_score, chunk_id) AS prev_rank FROM scored ORDER BY prev_rank LIMIT {4 * LIMIT}),
+re AS (SELECT *, len(list_intersect(list_distinct({_TOKENS}), {QUERY.split()!r})) / 4e0 AS rerank_score FROM top)
+SELECT chunk_id, prev_rank, rerank_score FROM re ORDER BY rerank_score DESC, prev_rank LIMIT {LIMIT}"""
+)
+def rerank_topk(spark, sf_dir):
+    from pyspark.sql import Window
+
+    fts, chunks = _fts(spark, sf_dir, limit=fusion.overfetch(LIMIT, True))
+    hits = chunks.join(F.broadcast(fts), "chunk_id").withColumn("prev_rank", F.row_number().over(Window.orderBy("fts_score", "chunk_id")).cast("long"))
+    return fusion.rerank(hits, fusion.lexical_score("text", QUERY), LIMIT).select("chunk_id", "prev_rank", "rerank_score")
+
+
+# -- catalog and store
+
+
+@_query("SELECT lang AS collection, CAST(count(*) AS BIGINT) AS doc_count FROM documents GROUP BY lang")
+def list_collections(spark, sf_dir):
+    return catalog.list_collections(_documents(spark, sf_dir))
+
+
+@_query(f"WITH {_CHUNKS} SELECT d.doc_id AS id, 'doc://' || d.doc_id AS url, 'Document ' || d.doc_id AS title, lang AS collection, CAST(count(c.chunk_id) AS BIGINT) AS chunk_count FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id, lang")
+def list_docs(spark, sf_dir):
+    return catalog.list_docs(_documents(spark, sf_dir).drop("text"), _chunks(spark, sf_dir))
+
+
+@_query("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
+def get_docs(spark, sf_dir):
+    return catalog.bodies(_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text"))
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, idx FROM chunks WHERE chunk_id NOT IN (SELECT vec_id * {PLACES} FROM embeddings)")
+def pending_embeddings(spark, sf_dir):
+    return catalog.pending(_chunks(spark, sf_dir), _vectors(spark, sf_dir)).select("chunk_id", "doc_id", "idx")
+
+
+@_query(
+    """WITH s AS (SELECT doc_id, 'doc://' || doc_id AS url, lang AS collection, sha256('' || chr(31) || text) AS h FROM documents),
+i AS (SELECT 'doc://' || doc_id AS url, lang AS collection, sha256('' || chr(31) || CASE WHEN lang = 'de' THEN text || ' (revised)' ELSE text END) AS h FROM documents
+      UNION ALL SELECT 'bench://' || item_id, 'benchmark', sha256('' || chr(31) || text) FROM benchmark)
+SELECT i.collection, i.url, s.doc_id AS id, CASE WHEN s.url IS NULL THEN 'inserted' WHEN s.h = i.h THEN 'unchanged' ELSE 'replaced' END AS status
+FROM i LEFT JOIN s ON s.url = i.url AND s.collection = i.collection"""
+)
+def upsert_classify(spark, sf_dir):
+    one = lambda text: upsert.content_hash(F.array(F.struct(text.alias("text"), F.lit(None).cast("string").alias("section_path"))))
+    docs = _documents(spark, sf_dir)
+    stored = docs.select("id", "url", "collection", one(F.col("text")).alias("content_hash"), F.lit(1).cast("long").alias("version"))
+    revised = F.when(F.col("collection") == "de", F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
+    new = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench://"), "item_id").alias("url"), F.lit("benchmark").alias("collection"), one(F.col("text")).alias("content_hash"))
+    incoming = docs.select("url", "collection", one(revised).alias("content_hash")).unionByName(new)
+    return upsert.classify(stored, incoming).select("collection", "url", F.col("old_id").alias("id"), "status")
+
+
+@_query(f"WITH {_CHUNKS} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT lang) FROM documents) AS collections, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT max(len(embedding)) FROM embeddings) AS embedding_dim")
+def doctor(spark, sf_dir):
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    docs, vectors = _documents(spark, sf_dir), _vectors(spark, sf_dir)
+    one = docs.agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("collection").alias("collections")).crossJoin(count(_chunks(spark, sf_dir), "chunks"))
+    return one.crossJoin(vectors.agg(F.count(F.lit(1)).alias("embeddings"), F.max(F.size("embedding")).cast("long").alias("embedding_dim")))
+
+
+# -- pages and crawls
+
+_EXT = "(" + ", ".join(f"'{x}'" for x in urls.SKIPPED_EXTENSIONS) + ")"
+
+
+def _url_sql(href: str, base: str) -> str:
+    origin = f"regexp_extract({base}, '^(https?://[^/?#]*)', 1)"
+    absolute = f"CASE WHEN regexp_matches({href}, '^https?://') THEN {href} WHEN starts_with({href}, '//') THEN regexp_extract({base}, '^(https?:)', 1) || {href} WHEN starts_with({href}, '/') THEN {origin} || {href} END"
+    bare = f"regexp_replace({absolute}, '#.*$', '')"
+    head, rest = f"lower(regexp_extract({bare}, '^(https?://[^/?#]*)', 1))", f"regexp_replace({bare}, '^https?://[^/?#]*', '')"
+    path = f"regexp_replace({rest}, '\\?.*$', '')"
+    slash = f"CASE WHEN starts_with({rest}, '/') THEN {rest} ELSE '/' || {rest} END"
+    return f"CASE WHEN lower(regexp_extract({path}, '(\\.[^.]*)$', 1)) IN {_EXT} THEN NULL ELSE {head} || {slash} END"
+
+
+@_query(f"SELECT page_id, {_url_sql('url', 'url')} AS url FROM pages")
+def normalized_urls(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.normalize_url("url", "url").alias("url"))
+
+
+@_query(f"SELECT page_id, {_url_sql('url', 'url')} AS url FROM pages")
+def resolved_urls(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.resolve_url("url", "url").alias("url"))
+
+
+@_query(
+    f"""WITH a AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a [^>]*href="([^"]*)"', 1) AS hs FROM pages),
+l AS (SELECT page_id, url, replace(hs[i], '&amp;', '&') AS href, i FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a)),
+u AS (SELECT page_id, {_url_sql('href', 'url')} AS link, min(i) AS i FROM l GROUP BY 1, 2)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, link FROM u WHERE link IS NOT NULL"""
+)
+def extract_links(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(urls.extract_links("html", "url")).alias("pos", "link"))
+
+
+_TITLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@_query(f"SELECT page_id, nullif({_TITLE}, '') AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.page_title("html").alias("title"))
+
+
+@_query()
+def walk_sections(spark, sf_dir):
+    read = read_articles(_table(spark, sf_dir, "pages"))
+    return read.select("url", F.posexplode(sections_of("content_html", "title", "text_content")).alias("pos", "s")).select("url", "pos", F.array_join(F.col("s.path"), " > ", "").alias("path"), "s.text")
+
+
+@_query()
+def article_chunks(spark, sf_dir):
+    read = read_articles(_table(spark, sf_dir, "pages")).where("error is null")
+    chunks = build_chunks(sections_of("content_html", "title", "text_content"))
+    return read.select("url", F.posexplode(chunks).alias("idx", "c")).select("url", "idx", "c.text", "c.section_path")
+
+
+ROOT, DEPTH, PAGES, EXCLUDE = "https://pages.example.org/p/0", 5, 40, "p/[0-9]*7$"
+_REACHED = f"""RECURSIVE p AS (SELECT page_id AS i, page_id % 13 = 6 AS bad, regexp_matches('p/' || page_id, '{EXCLUDE}') AS out FROM pages),
+r(i, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL
+  SELECT 2 * r.i + k.k, r.depth + 1 FROM r JOIN p ON p.i = r.i AND NOT p.bad AND NOT p.out, (VALUES (1), (2)) k(k) WHERE r.depth < {DEPTH}),
+o AS (SELECT r.i, r.depth, p.i IS NULL OR p.bad AS bad, regexp_matches('p/' || r.i, '{EXCLUDE}') AS out,
+  p.i IS NULL AS missing, coalesce(sum(CASE WHEN regexp_matches('p/' || r.i, '{EXCLUDE}') THEN 0 ELSE 1 END) OVER (ORDER BY r.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM r LEFT JOIN p ON p.i = r.i),
+e AS (SELECT CASE WHEN out THEN 'skipped' WHEN bad THEN 'failed' ELSE 'indexed' END AS kind, 'https://pages.example.org/p/' || i AS url, CAST(depth AS INTEGER) AS depth,
+  CASE WHEN out THEN NULL WHEN missing THEN 'Fetch failed: not found' WHEN bad THEN 'Fetch failed: 500' END AS error, CASE WHEN out THEN 'exclude filter' END AS reason
+  FROM o WHERE before < {PAGES})"""
+
+
+def _crawl(spark, sf_dir):
+    """Pages as a tree (page i links to 2i + 1 and 2i + 2, back to the root and to another host); some fail, some are skipped."""
+    at = lambda i: F.concat(F.lit("https://pages.example.org/p/"), i.cast("string"))
+    i = F.col("page_id")
+    links = F.array(at(2 * i + 1), at(F.lit(0)), F.lit("https://elsewhere.example.org/"), at(2 * i + 2))
+    pages = _table(spark, sf_dir, "pages").select(at(i).alias("url"), at(i).alias("final_url"), links.alias("links"), F.when(i % 13 == 6, "Fetch failed: 500").alias("error"))
+    return crawl(spark, pages, ROOT, DEPTH, PAGES, exclude=EXCLUDE)
+
+
+@_query(f"WITH {_REACHED} SELECT kind, url, depth, error, reason FROM e")
+def crawl_events(spark, sf_dir):
+    return _crawl(spark, sf_dir).events.select("kind", "url", "depth", "error", "reason")
+
+
+@_query(f"WITH {_REACHED} SELECT CAST(count(*) FILTER (WHERE kind <> 'skipped') AS BIGINT) AS visited, CAST(count(*) FILTER (WHERE kind = 'indexed') AS BIGINT) AS indexed, CAST(0 AS BIGINT) AS unchanged, CAST(count(*) FILTER (WHERE kind = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE kind = 'skipped') AS BIGINT) AS skipped FROM e")
+def crawl_summary(spark, sf_dir):
+    return _crawl(spark, sf_dir).summary()
