@@ -228,7 +228,10 @@ def rrf_fuse(spark, sf_dir):
 _TAG = "CASE source WHEN 'fts' THEN printf('bm25=%.2f', fts_score) WHEN 'vector' THEN printf('dist=%.3f', vec_distance) ELSE printf('rrf=%.4f', fused_score) END"
 
 
-@_query(f"WITH {_FUSED} SELECT fused.chunk_id, doc_id, idx, collection, round(fused_score, 6) AS fused_score, source, {_TAG} AS tag FROM fused JOIN chunks ON fused.chunk_id = chunks.chunk_id ORDER BY fused.fused_score DESC, fused.chunk_id LIMIT {_POOL}")
+_FUSED_HELD = _FUSED.replace("FROM near ORDER BY r", "FROM near WHERE chunk_id IN (SELECT chunk_id FROM chunks) ORDER BY r")
+
+
+@_query(f"WITH {_FUSED_HELD} SELECT fused.chunk_id, doc_id, idx, collection, round(fused_score, 6) AS fused_score, source, {_TAG} AS tag FROM fused JOIN chunks ON fused.chunk_id = chunks.chunk_id ORDER BY fused.fused_score DESC, fused.chunk_id LIMIT {_POOL}")
 def hybrid_search(spark, sf_dir):
     fts, chunks = _fts(spark, sf_dir, limit=_POOL)
     near = vector.vector_search(_vectors(spark, sf_dir).join(chunks.select("chunk_id"), "chunk_id", "left_semi"), VECTOR, _POOL)
