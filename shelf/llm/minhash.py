@@ -14,8 +14,8 @@ In a bucket that then still holds several components, nodes of different compone
 that lose no link. No more of a set can be shared with another component than the shingles that occur in one; that is
 counted for each node, in proportion to the texts, and leaves only nodes that share three quarters of their shingles: a
 passage that many texts hold ends here. Of two nodes, the shingles that only one has are at least as many as the bits in
-which their parity bitmaps differ, and links have at most a seventh of both sizes' sum of them; the join compares bitmaps
-and emits only what passes. Nodes of one component are never paired again. All that is left is verified on whole shingle
+which their parity bitmaps differ, and links have at most a seventh of both sizes' sum of them; buckets are dealt out in
+blocks of bounded size whose bitmaps are compared, and only pairs that pass are emitted. Nodes of one component are never paired again. All that is left is verified on whole shingle
 sets. A pair at the threshold goes unseen with a chance of about 2e-5.
 
 Cases: null text counts as empty; a text with fewer than five words is one shingle, one without words has an empty set and
@@ -41,8 +41,10 @@ SIZE = ROWS * BANDS
 PERCENT = 75
 #: Least share of coordinates in which the 8-bit sketches of a candidate agree.
 LEAST = 0.75 - 5 * (0.75 * 0.25 / SIZE) ** 0.5
-#: Words of 64 bits in a parity bitmap.
-PARITY = 32
+#: Words of 64 bits in a parity bitmap, and in its fold, which is looked at first.
+PARITY, FOLD = 32, 8
+#: Nodes of a block of a bucket, about.
+BLOCK = 2_000
 
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -179,9 +181,9 @@ def components(links: DataFrame) -> DataFrame:
     both = common.written(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "other"))
     labels = common.written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("other"), "component").hint("merge"), "other").groupBy("node").agg(F.min("component").alias("heard"))
-        taken = common.written(labels.join(heard.hint("merge"), "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component")))
-        jump = taken.select(F.col("node").alias("component"), F.col("component").alias("further")).hint("merge")
+        heard = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("heard"))
+        taken = common.written(labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component")))
+        jump = taken.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = common.written(taken.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")))
         if new.where("old <> component").isEmpty():
             return new.select("node", "component")
@@ -190,14 +192,25 @@ def components(links: DataFrame) -> DataFrame:
 
 def _component(table: DataFrame, node: str, labels: DataFrame, to: str) -> DataFrame:
     """table with the component of a node, itself where it has no label."""
-    own = labels.select(F.col("node").alias(node), F.col("component").alias(to)).hint("merge")
+    own = labels.select(F.col("node").alias(node), F.col("component").alias(to))
     return table.join(own, node, "left").withColumn(to, F.coalesce(to, node))
 
 
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after further links: only the components that these tie together are looked at again."""
+    if more.isEmpty():
+        return labels
+    between = _component(_component(more, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    fresh = components(between)
+    new = fresh.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return common.written(old.unionByName(fresh.join(labels.select("node"), "node", "left_anti")))
+
+
 def _several(table: DataFrame) -> DataFrame:
     """Rows (key, node, component, ...) of the keys that hold several components, with the number n of their rows."""
     sizes = table.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    return common.written(table.join(common.written(sizes.select("key", "n")).hint("merge"), "key"))
+    return common.written(table.join(common.written(sizes.select("key", "n")), "key"))
 
 
 def _open_buckets(bands: DataFrame, shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,29 +234,79 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def _parities(it):
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
     for b in common.each(it):
         sets = [np.frombuffer(x, np.uint64) for x in b.column("set").to_pylist()]
-        yield common.batch(schema, b.column("node"), [len(x) for x in sets], [parity(x) for x in sets])
+        yield common.batch(schema, b.column("node"), [len(x) for x in sets], [parity(x).tobytes() for x in sets])
 
 
 def _shareable(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """node, size, bits, common: how many of a node's shingles some other component in an open bucket holds."""
     nodes = open_.groupBy("node").agg(F.min("component").alias("component"))
-    spelt = common.map_arrow(sets.join(nodes.hint("merge"), "node"), _spell, "shingle long, node long, component long")
+    spelt = common.map_arrow(sets.join(nodes, "node"), _spell, "shingle long, node long, component long")
     between = spelt.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
     counted = spelt.join(common.written(between).hint("merge"), "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    return common.written(common.map_arrow(sets, _parities, "node long, size long, bits array<long>").join(counted.hint("merge"), "node"))
+    return common.written(common.map_arrow(sets, _parities, "node long, size long, bits binary").join(counted.hint("merge"), "node"))
+
+
+def passing(nodes, components_, sizes, shared, bits, left: np.ndarray, right: np.ndarray):
+    """Pairs (a, b) of rows of left and of right that are of different components and that both bounds let pass."""
+    folded = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, FOLD), axis=1)
+    for k in range(0, len(left), 64):
+        i = left[k : k + 64]
+        sums = sizes[i, None] + sizes[None, right]
+        can = (components_[i, None] != components_[None, right]) & (7 * np.minimum(shared[i, None], shared[None, right]) >= 3 * sums)
+        x, y = np.nonzero(can)
+        for words in (folded, bits):
+            differing = np.bitwise_count(words[i[x]] ^ words[right[y]]).sum(1, dtype=np.int64)
+            near_ = 7 * differing <= sums[x, y]
+            x, y = x[near_], y[near_]
+        yield np.minimum(nodes[i[x]], nodes[right[y]]), np.maximum(nodes[i[x]], nodes[right[y]])
+
+
+def _pair_up(it):
+    """Rows sorted by (key, i, j), a block of a bucket against another or itself, to the pairs that pass."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held: list = []
+
+    def pairs():
+        table = pa.Table.from_batches(held)
+        own = table.column("own").to_numpy()
+        columns = [table.column(c).to_numpy() for c in ("node", "component", "size", "common")]
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = list(passing(*columns, bits, left, right))
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        both = np.unique(np.stack((a, b), 1), axis=0)
+        return common.batch(schema, both[:, 0], both[:, 1])
+
+    for b in common.each(it):
+        group = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")])
+        starts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for k, (lo, hi) in enumerate(zip(starts, starts[1:], strict=False)):
+            part = b.slice(lo, hi - lo)
+            if held and (k or any(held[-1].column(c)[0] != part.column(c)[0] for c in ("key", "i", "j"))):
+                yield pairs()
+                held = []
+            held.append(part)
+    if held:
+        yield pairs()
 
 
 def _open_pairs(open_: DataFrame, share: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components in one bucket that both bounds let pass, but for those with the bucket's hub."""
+    """Pairs of nodes of different components in one bucket that both bounds let pass, but for those with the bucket's hub.
+
+    A bucket is dealt out in blocks of about BLOCK nodes, every two blocks as a group of their own, so no group grows.
+    """
     few = share.where("100 * common >= 75 * size")
-    found = _several(common.written(open_.drop("n").where("node <> hub").join(few.hint("merge"), "node")))
-    a, b = (found.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "size", "common", "bits"))) for end in "ab")
-    differing = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(PARITY))
-    can = F.expr(f"component_a < component_b and 7 * least(common_a, common_b) >= 3 * (size_a + size_b) and 7 * ({differing}) <= size_a + size_b")
-    return common.written(a.join(b.hint("merge"), (a.key == b.key) & can).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    found = _several(open_.drop("n").where("node <> hub").join(few, "node"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    rows = found.select("key", "node", "component", "size", "common", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "node", "component", "size", "common", "bits", "own")
+    dealt = rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    return common.written(common.map_arrow(dealt, _pair_up, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -259,27 +322,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = common.written(stars)
     candidates = near(stars.select("a", "b"), nodes)
     sets = whole_sets(docs, candidates)
-    weighed = common.written(candidates.join(stars.hint("merge"), ["a", "b"]))
+    weighed = common.written(candidates.join(stars, ["a", "b"]))
     best = common.written(weighed.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b")))
     links = linked(best, sets, percent)
     # Rows repeated under one doc_id with different texts tie their sets together.
     named = nodes.select("digest", F.col("node").alias("of"))
-    repeated = full.groupBy("doc_id").agg(F.countDistinct("digest").alias("k")).where("k > 1").select("doc_id")
-    ties = full.join(repeated.hint("merge"), "doc_id").join(named.hint("merge"), "digest").select(F.col("doc_id").alias("a"), F.col("of").alias("b")).where("a <> b")
-    links = common.written(links.union(ties))
-    labels = components(links)
-    rest = weighed.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
+    repeated = common.written(full.groupBy("doc_id").agg(F.countDistinct("digest").alias("k")).where("k > 1").select("doc_id"))
+    ties = full.join(repeated, "doc_id").join(named, "digest").select(F.col("doc_id").alias("a"), F.col("of").alias("b")).where("a <> b")
+    labels = components(links.union(ties))
+    rest = weighed.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = _component(_component(rest, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb").select("a", "b")
-    more = linked(rest, sets, percent)
-    if not more.isEmpty():
-        links = common.written(links.union(more))
-        labels = components(links)
+    labels = _merged(labels, linked(rest, sets, percent))
     open_ = _open_buckets(bands, shared, labels)
     if not open_.isEmpty():
         sets = whole_sets(docs, open_.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        more = linked(_open_pairs(open_, _shareable(open_, sets)), sets, percent)
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        labels = _merged(labels, linked(_open_pairs(open_, _shareable(open_, sets)), sets, percent))
     of_node = _component(nodes.select("digest", "node"), "node", labels, "component_id").select("digest", "component_id")
     out = signed.select("doc_id", "n_shingles", "digest").join(common.written(of_node).hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from shelf.llm import fingerprint, minhash
 from shelf.llm.shingles import WordHashes, shingles, words
@@ -88,7 +89,9 @@ def test_parity_bitmaps_bound_the_symmetric_difference():
     assert differing > 500
 
 
-def test_buckets_with_many_components_lose_no_link(frame):
+@pytest.mark.parametrize("block", [2_000, 7])
+def test_buckets_with_many_components_lose_no_link(frame, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(6)
     base = prose(7, 100)
     rows = [(k, edited(base, rng, rng.choice([1, 4, 5, 6]))) for k in range(60)]
