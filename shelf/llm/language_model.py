@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ STATES, ITERATIONS = 8, 2
 #: Texts (of SAMPLE_TOKENS at most) and iterations that give the first iteration its start.
 SAMPLE, SAMPLE_TOKENS, SAMPLE_ITERATIONS = 1_500, 2_000, 8
 #: Words that a task counts before it hands them on; tokens of a group of texts that run side by side; count blocks.
-HELD, GROUP, BLOCKS = 300_000, 250_000, 64
+HELD, GROUP, BLOCKS = 300_000, 120_000, 64
+#: Steps between two scalings of a recursion.
+RESCALE = 3
 #: Weight of the class distribution in each state's emissions, as so many tokens.
 PRIOR = 200.0
 
@@ -116,14 +119,15 @@ def _code(shared):
             rows = []
             for doc, held_out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b.column("text")), strict=True):
                 some = words(text)
-                classes = np.fromiter((place.get(w, -1) for w in some), np.int64, len(some))
+                classes = np.fromiter(map(place.get, some, repeat(-1)), np.int64, len(some))
                 known = classes[classes >= 0]
-                unplaced = np.flatnonzero(classes < 0).tolist()
-                tails = [tail_of(some[k]) for k in unplaced]
-                classes[unplaced] = [TOP + x for x in tails]
-                rare = Counter((some[k], x) for k, x in zip(unplaced, tails, strict=True))
+                unplaced = np.flatnonzero(classes < 0)
+                found = [some[k] for k in unplaced.tolist()]
+                rare = Counter(found)
+                tails = {w: tail_of(w) for w in rare}
+                classes[unplaced] = np.fromiter(map(tails.__getitem__, found), np.int64, len(found)) + TOP
                 coded = np.append(classes, v.end).astype(np.uint16).tobytes()
-                rows.append((uid, doc, held_out, len(some) + 1, len(known) + (v.n_texts > 0), float(log_base[known].sum()) + v.log_end, coded, [{"word": w, "tail": x, "tf": n} for (w, x), n in rare.items()]))
+                rows.append((uid, doc, held_out, len(some) + 1, len(known) + (v.n_texts > 0), float(log_base[known].sum()) + v.log_end, coded, [(w, tails[w], n) for w, n in rare.items()]))
                 uid += 1
             yield common.batch(_CODED, *zip(*rows, strict=True))
 
@@ -139,6 +143,10 @@ class Model:
     def __init__(self, start: np.ndarray, moves: np.ndarray, emissions: np.ndarray):
         self.start, self.moves, self.emissions = start, moves, emissions
 
+    def relative(self, prior: np.ndarray) -> Model:
+        """With emissions divided by the class distribution."""
+        return Model(self.start, self.moves, (self.emissions / prior[:, None]).astype(np.float32))
+
     @staticmethod
     def first(prior: np.ndarray, states: int, seed: int = 7) -> Model:
         """States that hold on, with emissions strewn about the class distribution."""
@@ -170,61 +178,78 @@ def grouped(texts: list[np.ndarray]):
 
 
 class Lattice:
-    """Texts side by side, longest first: at step t the first n[t] of them have a token, so nothing is padded."""
+    """Texts side by side, longest first: at step t the first n[t] of them have a token, so nothing is padded.
+
+    Emissions are taken relative to the class distribution, which keeps them near 1; so it is enough to scale every RESCALE
+    steps, and the log of what was taken out is added to each text's likelihood.
+    """
 
-    def __init__(self, texts: list[np.ndarray], model: Model, dtype):
+    def __init__(self, texts: list[np.ndarray], model: Model, prior: np.ndarray, dtype):
         lengths = np.array([len(t) for t in texts])
-        steps = int(lengths[0])
-        n = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
-        self.n, self.off = n.tolist(), np.concatenate(([0], np.cumsum(n))).tolist()
-        own = np.concatenate([np.array(self.off)[:k] + i for i, k in enumerate(lengths)])
-        self.classes = np.empty(self.off[-1], np.int64)
-        self.classes[own] = np.concatenate(texts)
-        self.text = np.empty(self.off[-1], np.int64)
-        self.text[own] = np.repeat(np.arange(len(texts)), lengths)
-        self.count = len(texts)
+        n = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
+        off = np.concatenate(([0], np.cumsum(n)))
+        self.n, self.off, self.lengths = n.tolist(), off.tolist(), lengths
+        own = np.concatenate([off[:k] + i for i, k in enumerate(lengths.tolist())])
+        tokens = np.concatenate(texts)
+        self.classes = np.empty(len(tokens), np.int64)
+        self.classes[own] = tokens
+        #: Flat places of each text's last token, and of each token after another and that other.
+        self.last = off[lengths - 1] + np.arange(len(texts))
+        self.later = np.arange(n[0], off[-1])
+        self.log_prior = np.add.reduceat(np.log10(prior)[tokens], np.concatenate(([0], np.cumsum(lengths)[:-1])))
         self.moves = model.moves.astype(dtype)
-        self.e = model.emissions.astype(dtype, copy=False)[self.classes]
+        self.e = model.emissions.take(self.classes, axis=0).astype(dtype, copy=False)
         self.start = model.start.astype(dtype)
+        self.ones = np.ones(len(model.start), dtype)
 
     def forward(self) -> np.ndarray:
         """Log10 likelihood of each text, by the scaled recursion."""
-        e, n, off, moves = self.e, self.n, self.off, self.moves
-        alpha, scale = np.empty_like(e), np.empty(len(e), e.dtype)
-        np.multiply(e[: n[0]], self.start, out=alpha[: n[0]])
-        for t in range(len(n)):
-            a = alpha[off[t] : off[t] + n[t]]
-            if t:
-                np.matmul(alpha[off[t - 1] : off[t - 1] + n[t]], moves, out=a)
-                a *= e[off[t] : off[t] + n[t]]
-            c = a.sum(1, out=scale[off[t] : off[t] + n[t]])
-            a /= c[:, None]
-        self.alpha, self.scale = alpha, scale
-        return np.bincount(self.text, np.log10(scale.astype(np.float64)), self.count)
+        e, n, off, moves, ones = self.e, self.n, self.off, self.moves, self.ones
+        alpha = np.empty_like(e)
+        logs = self.log_prior.copy()
+        a = np.multiply(e[: n[0]], self.start, out=alpha[: n[0]])
+        for t in range(1, len(n)):
+            k, m = off[t], n[t]
+            a = np.matmul(a[:m], moves, out=alpha[k : k + m])
+            a *= e[k : k + m]
+            if t % RESCALE == 0:
+                c = a @ ones
+                logs[:m] += np.log10(c, dtype=np.float64)
+                a *= (1 / c)[:, None]
+        self.alpha = alpha
+        return logs + np.log10(alpha[self.last] @ ones, dtype=np.float64)
 
     def expected(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Adds expected emissions to counts (K, classes); expected starts and moves."""
-        e, n, off = self.e, self.n, self.off
-        e /= self.scale[:, None]
+        """Adds expected emissions to counts (classes, K); expected starts and moves."""
+        e, n, off, alpha, ones = self.e, self.n, self.off, self.alpha, self.ones
         beta = np.ones_like(e)
         back = np.ascontiguousarray(self.moves.T)
         for t in range(len(n) - 2, -1, -1):
-            k = off[t + 1]
-            e[k : k + n[t + 1]] *= beta[k : k + n[t + 1]]
-            np.matmul(e[k : k + n[t + 1]], back, out=beta[off[t] : off[t] + n[t + 1]])
-        later = np.arange(n[0], off[-1])
-        earlier = np.concatenate([np.arange(off[t], off[t] + n[t + 1]) for t in range(len(n) - 1)]) if len(n) > 1 else later
-        moves = (self.alpha[earlier].T @ e[later]).astype(np.float64) * self.moves
-        gamma = self.alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        for k in range(gamma.shape[1]):
-            counts[k] += np.bincount(self.classes, gamma[:, k], counts.shape[1])
-        return gamma[: n[0]].sum(0).astype(np.float64), moves
-
-
-def e_step(texts: list[np.ndarray], model: Model, counts: np.ndarray, start: np.ndarray, moves: np.ndarray) -> None:
+            k, m = off[t + 1], n[t + 1]
+            v = e[k : k + m]
+            v *= beta[k : k + m]
+            b = np.matmul(v, back, out=beta[off[t] : off[t] + m])
+            if t % RESCALE == 0:
+                b *= (1 / (b @ ones))[:, None]
+        moves = np.zeros_like(self.moves, dtype=np.float64)
+        if len(self.later):
+            # The token before flat place off[t] + i is off[t - 1] + i.
+            before = alpha[self.later - np.repeat(self.n[:-1], self.n[1:])]
+            v = e[self.later]
+            v *= (1 / (np.multiply(before @ self.moves, v) @ ones))[:, None]
+            moves = (before.T @ v).astype(np.float64) * self.moves
+        np.multiply(alpha, beta, out=beta)
+        beta *= (1 / (beta @ ones))[:, None]
+        k = beta.shape[1]
+        places = (self.classes[:, None] * k + np.arange(k)).ravel()
+        counts += np.bincount(places, beta.ravel(), counts.size).reshape(counts.shape)
+        return beta[: n[0]].sum(0).astype(np.float64), moves
+
+
+def e_step(texts: list[np.ndarray], model: Model, prior: np.ndarray, counts: np.ndarray, start: np.ndarray, moves: np.ndarray) -> None:
+    """Adds a batch's expected emissions (classes, K), starts and moves; model has relative emissions."""
     for _, group in grouped(texts):
-        lattice = Lattice(group, model, np.float32)
+        lattice = Lattice(group, model, prior, np.float32)
         lattice.forward()
         s, m = lattice.expected(counts)
         start += s
@@ -237,28 +262,28 @@ def _coded(column) -> list[np.ndarray]:
 
 def _emit(counts: np.ndarray, start: np.ndarray, moves: np.ndarray):
     """Expected counts by blocks of classes, only of classes that have any; block -1 holds starts and moves."""
-    seen = np.flatnonzero(counts.any(0))
+    seen = np.flatnonzero(counts.any(1))
     rows = [(-1, b"", np.concatenate((start, moves.ravel())).tobytes())]
     for k in range(BLOCKS):
         if len(at := seen[seen % BLOCKS == k]):
-            rows.append((k, at.astype(np.int32).tobytes(), np.ascontiguousarray(counts[:, at].T, dtype=np.float32).tobytes()))
+            rows.append((k, at.astype(np.int32).tobytes(), counts[at].astype(np.float32).tobytes()))
     yield common.batch(_SUMS, *zip(*rows, strict=True))
 
 
 def _expect(shared, states: int, size: int):
     def run(it):
-        model: Model = shared.value
-        counts, start, moves = np.zeros((states, size)), np.zeros(states), np.zeros((states, states))
+        model, prior = shared.value
+        counts, start, moves = np.zeros((size, states)), np.zeros(states), np.zeros((states, states))
         held, tokens = [], 0
         for b in common.each(it):
             some = _coded(b.column("classes"))
             held += some
             tokens += sum(map(len, some))
             if tokens >= GROUP:
-                e_step(held, model, counts, start, moves)
+                e_step(held, model, prior, counts, start, moves)
                 held, tokens = [], 0
         if held:
-            e_step(held, model, counts, start, moves)
+            e_step(held, model, prior, counts, start, moves)
         if start.any():
             yield from _emit(counts, start, moves)
 
@@ -296,7 +321,7 @@ def _sum(states: int, size: int):
 def baum_welch(training: DataFrame, model: Model, prior: np.ndarray) -> Model:
     """One iteration over all training texts; BLOCKS + 1 rows, of the model's size in all, come to the driver."""
     states, size = len(model.start), len(prior)
-    shared = training.sparkSession.sparkContext.broadcast(Model(model.start, model.moves, model.emissions.astype(np.float32)))
+    shared = training.sparkSession.sparkContext.broadcast((model.relative(prior), prior))
     parts = common.map_arrow(training.select("classes"), _expect(shared, states, size), "block int, at binary, counts binary")
     sums = common.map_arrow(parts.repartition("block").sortWithinPartitions("block"), _sum(states, size), "block int, at binary, counts binary").collect()
     emissions, start, moves = np.zeros((size, states)), np.zeros(states), np.zeros((states, states))
@@ -317,9 +342,9 @@ def _start(prior_of, states: int, iterations: int):
         texts = [t for b in common.each(it) for t in _coded(b.column("classes"))]
         model = Model.first(prior, states)
         for _ in range(iterations if texts else 0):
-            counts, start, moves = np.zeros((states, len(prior))), np.zeros(states), np.zeros((states, states))
-            e_step(texts, model, counts, start, moves)
-            model = Model.from_counts(start, moves, counts.T, prior)
+            counts, start, moves = np.zeros((len(prior), states)), np.zeros(states), np.zeros((states, states))
+            e_step(texts, model.relative(prior), prior, counts, start, moves)
+            model = Model.from_counts(start, moves, counts, prior)
         yield common.batch(schema, [model.start.tobytes()], [model.moves.tobytes()], [model.emissions.astype(np.float32).tobytes()])
 
     return run
@@ -327,13 +352,12 @@ def _start(prior_of, states: int, iterations: int):
 
 def _score(shared):
     def run(it):
-        model: Model = shared.value
-        model.emissions = model.emissions.astype(np.float64)
+        model, prior = shared.value
 
         def scores():
             out = np.empty(len(held))
             for numbers, group in grouped(held):
-                out[numbers] = Lattice(group, model, np.float64).forward()
+                out[numbers] = Lattice(group, model, prior, np.float64).forward()
             return common.batch(_FORWARD, uids, out)
 
         uids, held, tokens = [], [], 0
@@ -372,7 +396,7 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
         model = Model.first(v.prior, states)
     for _ in range(iterations):
         model = baum_welch(training, model, v.prior)
-    forward = common.map_arrow(coded.select("uid", "classes"), _score(sc.broadcast(Model(model.start, model.moves, model.emissions.astype(np.float32)))), "uid long, forward double")
+    forward = common.map_arrow(coded.select("uid", "classes"), _score(sc.broadcast((model.relative(v.prior), v.prior))), "uid long, forward double")
     # Words outside the top meet their counts in a join on the word; none of them is frequent in training.
     shares = spark.createDataFrame([(k, float(c), (once + 1.0) / (c + 2.0)) for k, (c, once) in tails.items()], "tail int, in_tail double, unseen double")  # TAILS rows at most
     rare = coded.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.tail", "r.tf")

@@ -136,10 +136,12 @@ def test_scaled_forward_and_baum_welch_match_enumeration():
     normal = lambda x, axis: x / x.sum(axis, keepdims=True)
     model = language_model.Model(normal(rng.random(k), 0), normal(rng.random((k, k)), 1), normal(rng.random((size, k)), 0))
     texts = [rng.integers(0, size, n) for n in (5, 1, 4, 4, 2)]
-    lattice = language_model.Lattice(sorted(texts, key=len, reverse=True), model, np.float64)
+    prior = np.array([0.3, 0.1, 0.2, 0.15, 0.05, 0.2])
+    lattice = language_model.Lattice(sorted(texts, key=len, reverse=True), language_model.Model(model.start, model.moves, model.emissions / prior[:, None]), prior, np.float64)
     logs = lattice.forward()
-    counts = np.zeros((k, size))
+    counts = np.zeros((size, k))
     start, moves = lattice.expected(counts)
+    counts = counts.T
     true_counts, true_start, true_moves, true_logs = np.zeros((k, size)), np.zeros(k), np.zeros((k, k)), []
     for t in sorted(texts, key=len, reverse=True):
         paths = np.stack(np.meshgrid(*[range(k)] * len(t), indexing="ij"), -1).reshape(-1, len(t))
