@@ -35,7 +35,7 @@ from .shingles import words
 FOLDS = 10
 TOP, TAILS = 40_000, 8_192
 STATES, ITERATIONS = 8, 2
-#: Texts (of SAMPLE_TOKENS at most) and iterations that give the first iteration its start.
+#: Texts (about; of SAMPLE_TOKENS at most) and iterations that give the first iteration its start.
 SAMPLE, SAMPLE_TOKENS, SAMPLE_ITERATIONS = 1_500, 2_000, 8
 #: Words that a task counts before it hands them on; tokens of a group of texts that run side by side; count blocks.
 HELD, GROUP, BLOCKS = 300_000, 120_000, 64
@@ -100,12 +100,21 @@ class Vocabulary:
         self.log_end = math.log10((n_texts + 0.1) / self.divisor)
 
 
-def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
-    """TOP words and at most TAILS sums come to the driver; the counts themselves stay a table."""
+def vocabulary(counts: DataFrame, n_texts: int) -> tuple[Vocabulary, dict[int, tuple[int, int]]]:
+    """The vocabulary and sums (count, words seen once) by tail.
+
+    The top are all words above the least count that leaves TOP of them at most. To the driver come the largest distinct
+    counts, of which there are few (about the root of the number of tokens at most), TOP words and TAILS sums.
+    """
     totals = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    top = [(bytes(w), c) for w, c in counts.orderBy(F.desc("c"), "word").select("word", "c").limit(TOP).collect()]
-    least = (top[-1][1], top[-1][0]) if len(top) == TOP else None
-    rest = counts.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(least[1])))) if least else counts.limit(0)
+    cut, above = 0, 0
+    for c, n in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(TOP + 1).collect():
+        above += n
+        if above > TOP:
+            cut = c
+            break
+    top = sorted(((bytes(w), c) for w, c in counts.where(F.col("c") > cut).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+    rest = counts.where(F.col("c") <= cut)
     tails = {k: (c, once) for k, c, once in rest.groupBy("tail").agg(F.sum("c"), F.sum((F.col("c") == 1).cast("long"))).collect()}
     return Vocabulary(top, totals[0] or 0, totals[1], n_texts, tails), tails
 
@@ -387,8 +396,11 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     shared = sc.broadcast(v)
     coded = common.written(common.map_arrow(rows, _code(shared), CODED))
     training = coded.where(~F.col("held_out"))
+    # About SAMPLE texts, by the hash of their ids: what comes together is that few rows, however many partitions there are.
     short = training.where(F.col("n_tokens") <= SAMPLE_TOKENS)
-    first = common.map_arrow(short.orderBy(F.xxhash64("doc_id"), "uid").limit(SAMPLE).select("classes"), _start(shared, states, SAMPLE_ITERATIONS), "start binary, moves binary, emissions binary").collect()
+    share = min(1.0, SAMPLE / max(1, short.count()))
+    chosen = short.where(F.pmod(F.xxhash64("doc_id", "uid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("uid", "classes").repartition(1).sortWithinPartitions("uid")
+    first = common.map_arrow(chosen.select("classes"), _start(shared, states, SAMPLE_ITERATIONS), "start binary, moves binary, emissions binary").collect()
     if first:
         start, moves, emissions = map(bytes, first[0])
         model = Model(np.frombuffer(start), np.frombuffer(moves).reshape(states, states), np.frombuffer(emissions, np.float32).reshape(-1, states))
