@@ -7,8 +7,8 @@ seen. So the model is a proper distribution over words and "some unknown word",
 words stay a distributed table.
 
 Training is Baum-Welch: each partition runs scaled forward-backward recursions over its training texts and emits expected
-counts, which are summed over partitions by blocks of classes; every iteration covers all training texts. Only the start of
-the first iteration comes from a bounded sample. A text's score is the exact scaled forward likelihood of its classes plus
+counts, which are summed over partitions by blocks of classes; every iteration, the first among them, covers all training
+texts, however long. A text's score is the exact scaled forward likelihood of its classes plus
 the log share of each tail word in its class.
 
 Cases: null and empty texts are the end token alone; without training texts N and V are 0 and all words are unknown; null
@@ -34,9 +34,7 @@ from .shingles import words
 
 FOLDS = 10
 TOP, TAILS = 40_000, 8_192
-STATES, ITERATIONS = 8, 2
-#: Texts (about; of SAMPLE_TOKENS at most) and iterations that give the first iteration its start.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ITERATIONS = 1_500, 2_000, 8
+STATES, ITERATIONS = 8, 10
 #: Words that a task counts before it hands them on; tokens of a group of texts that run side by side; count blocks.
 HELD, GROUP, BLOCKS = 300_000, 120_000, 64
 #: Steps between two scalings of a recursion.
@@ -343,22 +341,6 @@ def baum_welch(training: DataFrame, model: Model, prior: np.ndarray) -> Model:
     return Model.from_counts(start, moves, emissions, prior)
 
 
-def _start(prior_of, states: int, iterations: int):
-    schema = pa.schema([("start", pa.binary()), ("moves", pa.binary()), ("emissions", pa.binary())])
-
-    def run(it):
-        prior = prior_of.value.prior
-        texts = [t for b in common.each(it) for t in _coded(b.column("classes"))]
-        model = Model.first(prior, states)
-        for _ in range(iterations if texts else 0):
-            counts, start, moves = np.zeros((len(prior), states)), np.zeros(states), np.zeros((states, states))
-            e_step(texts, model.relative(prior), prior, counts, start, moves)
-            model = Model.from_counts(start, moves, counts, prior)
-        yield common.batch(schema, [model.start.tobytes()], [model.moves.tobytes()], [model.emissions.astype(np.float32).tobytes()])
-
-    return run
-
-
 def _score(shared):
     def run(it):
         model, prior = shared.value
@@ -396,16 +378,7 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     shared = sc.broadcast(v)
     coded = common.written(common.map_arrow(rows, _code(shared), CODED))
     training = coded.where(~F.col("held_out"))
-    # About SAMPLE texts, by the hash of their ids: what comes together is that few rows, however many partitions there are.
-    short = training.where(F.col("n_tokens") <= SAMPLE_TOKENS)
-    share = min(1.0, SAMPLE / max(1, short.count()))
-    chosen = short.where(F.pmod(F.xxhash64("doc_id", "uid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("uid", "classes").repartition(1).sortWithinPartitions("uid")
-    first = common.map_arrow(chosen.select("classes"), _start(shared, states, SAMPLE_ITERATIONS), "start binary, moves binary, emissions binary").collect()
-    if first:
-        start, moves, emissions = map(bytes, first[0])
-        model = Model(np.frombuffer(start), np.frombuffer(moves).reshape(states, states), np.frombuffer(emissions, np.float32).reshape(-1, states))
-    else:
-        model = Model.first(v.prior, states)
+    model = Model.first(v.prior, states)
     for _ in range(iterations):
         model = baum_welch(training, model, v.prior)
     forward = common.map_arrow(coded.select("uid", "classes"), _score(sc.broadcast((model.relative(v.prior), v.prior))), "uid long, forward double")

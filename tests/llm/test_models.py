@@ -179,6 +179,16 @@ def test_base_scores_match_brute_force_and_the_model_is_better(clash, monkeypatc
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_iteration_covers_all_training_texts_long_ones_too(frame, monkeypatch):
+    """From the noise of Model.first() on; a text of over 2,000 words takes part from the first iteration."""
+    rows = [(d, prose(d, 2_500 if d % 5 == 0 else 20)) for d in range(40)]
+    calls, plain = [], language_model.baum_welch
+    monkeypatch.setattr(language_model, "baum_welch", lambda training, model, prior, *more: calls.append((training.count(), model, prior)) or plain(training, model, prior, *more))
+    language_model.scored(frame(rows), states=2).count()
+    assert [n for n, _, _ in calls] == [sum(fold(d, 10) != 0 for d, _ in rows)] * language_model.ITERATIONS
+    assert np.allclose(calls[0][1].emissions, language_model.Model.first(calls[0][2], 2).emissions, rtol=1e-6)
+
+
 def test_language_model_of_nothing_and_without_training_texts(frame):
     docs = frame([(d, t) for d, t in ODD])
     assert language_model.scored(docs.limit(0)).collect() == []
