@@ -2,14 +2,15 @@
 
 Words are emitted by latent states as classes: the most frequent TOP words have a class each, every other word belongs to
 one of TAILS classes by its last three bytes, and the end of a text has its own. Within a tail class a word's probability
-is its share of the class' training count, and one share, estimated from the words seen once, is that of all words never
-seen. So the model is a proper distribution over words and "some unknown word", of bounded size, while the counts of all
-words stay a distributed table.
+is its share of the class' training count, times a factor of its own for each state; one share, estimated from the words
+seen once, is that of all words never seen. So the model is a proper distribution over words and "some unknown word". What
+is broadcast is of bounded size; counts and factors of all words are a distributed table keyed by word, that grows with the
+words and is joined to the lexicons of chunks of texts.
 
 Training is Baum-Welch: each partition runs scaled forward-backward recursions over its training texts and emits expected
 counts, which are summed over partitions by blocks of classes; every iteration, the first among them, covers all training
-texts, however long. A text's score is the exact scaled forward likelihood of its classes plus
-the log share of each tail word in its class.
+texts, however long. In ITERATIONS all words of a tail class have the same factors; in OWN_ITERATIONS after them each word
+has those that its own expected counts give. A text's score is the exact scaled forward likelihood of its words.
 
 Cases: null and empty texts are the end token alone; without training texts N and V are 0 and all words are unknown; null
 doc_id hashes as the empty text; rows repeated under one doc_id are scored each; an empty table gives no rows; other
@@ -18,6 +19,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections import Counter
@@ -25,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,20 +37,25 @@ from .shingles import words
 
 FOLDS = 10
 TOP, TAILS = 40_000, 8_192
-STATES, ITERATIONS = 8, 10
+STATES, ITERATIONS, OWN_ITERATIONS = 8, 10, 2
 #: Words that a task counts before it hands them on; tokens of a group of texts that run side by side; count blocks.
 HELD, GROUP, BLOCKS = 300_000, 120_000, 64
+#: Tokens of a chunk, about: texts that share a lexicon of their tail words; rows in an Arrow batch of chunks.
+CHUNK, CHUNK_ROWS = 1_000_000, 2_048
 #: Steps between two scalings of a recursion.
 RESCALE = 3
 #: Weight of the class distribution in each state's emissions, as so many tokens.
 PRIOR = 200.0
+#: Weight of its class' states in those of a tail word, as so many tokens.
+OWN = 5.0
 
 _WORDS = pa.schema([("word", pa.binary()), ("tail", pa.int32()), ("c", pa.int64())])
-_RARE = pa.list_(pa.struct([("word", pa.binary()), ("tail", pa.int32()), ("tf", pa.int32())]))
-_CODED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known_top", pa.int64()), ("base_top", pa.float64()), ("classes", pa.binary()), ("rare", _RARE)])
-CODED = "uid long, doc_id long, held_out boolean, n_tokens long, known_top long, base_top double, classes binary, rare array<struct<word: binary, tail: int, tf: int>>"
+_LEXICON = pa.list_(pa.struct([("word", pa.binary()), ("tail", pa.int32())]))
+_CODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known_top", pa.int64()), ("base_top", pa.float64()), ("classes", pa.binary()), ("found", pa.binary()), ("lexicon", _LEXICON)])
+CODED = "chunk long, doc_id long, held_out boolean, n_tokens long, known_top long, base_top double, classes binary, found binary, lexicon array<struct<word: binary, tail: int>>"
 _SUMS = pa.schema([("block", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())])
-_FORWARD = pa.schema([("uid", pa.int64()), ("forward", pa.float64())])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def tail_of(word: bytes) -> int:
@@ -118,25 +126,39 @@ def vocabulary(counts: DataFrame, n_texts: int) -> tuple[Vocabulary, dict[int, t
 
 
 def _code(shared):
+    """Texts as classes, in chunks; of a chunk's tail words the first row has the lexicon, each row its tokens' places in it."""
+
     def run(it):
         v: Vocabulary = shared.value
-        uid = TaskContext.get().partitionId() << 33
-        place, log_base = v.place, v.log_base
+        chunk = TaskContext.get().partitionId() << 33
+        place, log_base, top = v.place, v.log_base, v.end - TAILS
+        rows, tokens, lexicon, tails = [], 0, {}, []
+
+        def coded():
+            words_of = [list(zip(lexicon, tails, strict=True))] + [None] * (len(rows) - 1)
+            return common.batch(_CODED, [chunk] * len(rows), *zip(*rows, strict=True), words_of)
+
         for b in common.each(it):
-            rows = []
             for doc, held_out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b.column("text")), strict=True):
                 some = words(text)
                 classes = np.fromiter(map(place.get, some, repeat(-1)), np.int64, len(some))
                 known = classes[classes >= 0]
                 unplaced = np.flatnonzero(classes < 0)
                 found = [some[k] for k in unplaced.tolist()]
-                rare = Counter(found)
-                tails = {w: tail_of(w) for w in rare}
-                classes[unplaced] = np.fromiter(map(tails.__getitem__, found), np.int64, len(found)) + TOP
-                coded = np.append(classes, v.end).astype(np.uint16).tobytes()
-                rows.append((uid, doc, held_out, len(some) + 1, len(known) + (v.n_texts > 0), float(log_base[known].sum()) + v.log_end, coded, [(w, tails[w], n) for w, n in rare.items()]))
-                uid += 1
-            yield common.batch(_CODED, *zip(*rows, strict=True))
+                for w in found:
+                    if w not in lexicon:
+                        lexicon[w] = len(lexicon)
+                        tails.append(tail_of(w))
+                at = np.fromiter(map(lexicon.__getitem__, found), np.int32, len(found))
+                classes[unplaced] = [tails[k] + top for k in at.tolist()]
+                rows.append((doc, held_out, len(some) + 1, len(known) + (v.n_texts > 0), float(log_base[known].sum()) + v.log_end, np.append(classes, v.end).astype(np.uint16).tobytes(), at.tobytes()))
+                tokens += len(some) + 1
+                if tokens >= CHUNK:
+                    yield coded()
+                    chunk += 1
+                    rows, tokens, lexicon, tails = [], 0, {}, []
+        if rows:
+            yield coded()
 
     return run
 
@@ -188,10 +210,11 @@ class Lattice:
     """Texts side by side, longest first: at step t the first n[t] of them have a token, so nothing is padded.
 
     Emissions are taken relative to the class distribution, which keeps them near 1; so it is enough to scale every RESCALE
-    steps, and the log of what was taken out is added to each text's likelihood.
+    steps, and the log of what was taken out is added to each text's likelihood. Tokens with a slot other than 0 have the
+    factors in that row of factors on top.
     """
 
-    def __init__(self, texts: list[np.ndarray], model: Model, prior: np.ndarray, dtype):
+    def __init__(self, texts: list[np.ndarray], model: Model, prior: np.ndarray, dtype, slots: list[np.ndarray] | None = None, factors: np.ndarray | None = None):
         lengths = np.array([len(t) for t in texts])
         n = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
         off = np.concatenate(([0], np.cumsum(n)))
@@ -206,6 +229,12 @@ class Lattice:
         self.log_prior = np.add.reduceat(np.log10(prior)[tokens], np.concatenate(([0], np.cumsum(lengths)[:-1])))
         self.moves = model.moves.astype(dtype)
         self.e = model.emissions.take(self.classes, axis=0).astype(dtype, copy=False)
+        if slots is not None:
+            of_tokens = np.empty(len(tokens), np.int64)
+            of_tokens[own] = np.concatenate(slots)
+            self.slotted = np.flatnonzero(of_tokens)
+            self.slots = of_tokens[self.slotted]
+            self.e[self.slotted] *= factors[self.slots]
         self.start = model.start.astype(dtype)
         self.ones = np.ones(len(model.start), dtype)
 
@@ -226,8 +255,8 @@ class Lattice:
         self.alpha = alpha
         return logs + np.log10(alpha[self.last] @ ones, dtype=np.float64)
 
-    def expected(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Adds expected emissions to counts (classes, K); expected starts and moves."""
+    def expected(self, counts: np.ndarray, by_slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Adds expected emissions to counts (classes, K) and by_slot (slots, K); expected starts and moves."""
         e, n, off, alpha, ones = self.e, self.n, self.off, self.alpha, self.ones
         beta = np.ones_like(e)
         back = np.ascontiguousarray(self.moves.T)
@@ -250,6 +279,9 @@ class Lattice:
         k = beta.shape[1]
         places = (self.classes[:, None] * k + np.arange(k)).ravel()
         counts += np.bincount(places, beta.ravel(), counts.size).reshape(counts.shape)
+        if by_slot is not None:
+            places = (self.slots[:, None] * k + np.arange(k)).ravel()
+            by_slot += np.bincount(places, beta[self.slotted].ravel(), by_slot.size).reshape(by_slot.shape)
         return beta[: n[0]].sum(0).astype(np.float64), moves
 
 
@@ -341,27 +373,156 @@ def baum_welch(training: DataFrame, model: Model, prior: np.ndarray) -> Model:
     return Model.from_counts(start, moves, emissions, prior)
 
 
-def _score(shared):
+# -- words outside the top
+
+
+def _chunks(it):
+    """Of each chunk its lexicon's rows and its texts' rows; rows come sorted by chunk, lexicon first, then place in it."""
+    held, chunk = [], None
+
+    def both():
+        rows = pa.Table.from_batches(held).combine_chunks()
+        n = rows.num_rows - pc.sum(rows["is_text"]).as_py()
+        return rows.slice(0, n), rows.slice(n)
+
+    for b in common.each(it):
+        ids = b.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for k, to in zip(cuts, cuts[1:]):
+            if held and ids[k] != chunk:
+                yield both()
+                held = []
+            chunk = ids[k]
+            held.append(b.slice(k, to - k))
+    if held:
+        yield both()
+
+
+def _factors(lexicon: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the lexicon's rows, and the factors of all slots; those of slot 0 and of unknown words are 1."""
+    slots = lexicon["at"].to_numpy() + 1
+    factors = np.ones((int(slots[-1]) + 1 if len(slots) else 1, states), np.float32)
+    own = lexicon["own"].combine_chunks()
+    if has := slots[own.is_valid().to_numpy(zero_copy_only=False)].tolist():
+        factors[has] = own.flatten().to_numpy().reshape(-1, states)
+    return slots, factors
+
+
+def _slots(texts: list[np.ndarray], found: pa.ChunkedArray, tails: tuple[int, int]) -> list[np.ndarray]:
+    out = []
+    for t, at in zip(texts, found.to_pylist(), strict=True):
+        slots = np.zeros(len(t), np.int64)
+        slots[(t >= tails[0]) & (t < tails[1])] = np.frombuffer(at, np.int32) + 1
+        out.append(slots)
+    return out
+
+
+def _expect_own(shared, states: int, size: int):
+    """Expected counts by class and, of tail words, by word; class -1 has the starts, classes under it the moves."""
+    schema = pa.schema([("class", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), *((f"s{k}", pa.float32()) for k in range(states))])
+    tails = (size - 1 - TAILS, size - 1)
+
     def run(it):
         model, prior = shared.value
+        counts, start, moves = np.zeros((size, states)), np.zeros(states), np.zeros((states, states))
+        for lexicon, rows in _chunks(it):
+            if not rows.num_rows:
+                continue
+            slots, factors = _factors(lexicon, states)
+            by_slot = np.zeros(factors.shape)
+            texts = _coded(rows["classes"])
+            of_texts = _slots(texts, rows["found"], tails)
+            for numbers, group in grouped(texts):
+                lattice = Lattice(group, model, prior, np.float32, [of_texts[k] for k in numbers], factors)
+                lattice.forward()
+                s, m = lattice.expected(counts, by_slot)
+                start += s
+                moves += m
+            if len(slots):
+                yield common.batch(schema, *(lexicon[c].combine_chunks() for c in ("tail", "word", "c")), *by_slot[slots].T.astype(np.float32))
+        seen = np.flatnonzero(counts.any(1))
+        of_classes = np.concatenate((start[None], moves, counts[seen]))
+        classes = np.concatenate((-1 - np.arange(states + 1), seen))
+        yield common.batch(schema, classes, [None] * len(classes), [None] * len(classes), *of_classes.T.astype(np.float32))
 
-        def scores():
-            out = np.empty(len(held))
-            for numbers, group in grouped(held):
-                out[numbers] = Lattice(group, model, prior, np.float64).forward()
-            return common.batch(_FORWARD, uids, out)
+    return run
 
-        uids, held, tokens = [], [], 0
-        for b in common.each(it):
-            some = _coded(b.column("classes"))
-            uids += b.column("uid").to_pylist()
-            held += some
-            tokens += sum(map(len, some))
-            if tokens >= GROUP:
-                yield scores()
-                uids, held, tokens = [], [], 0
-        if held:
-            yield scores()
+
+def _written(df: DataFrame) -> DataFrame:
+    """common.written() in batches for rows of chunks."""
+    common.short_batches(df.sparkSession, CHUNK_ROWS)
+    df = common.written(df)
+    common.short_batches(df.sparkSession)
+    return df
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is written and no longer held, so that disk holds one iteration's."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def streamed(coded: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Texts and their lexicons' rows by chunk, as _chunks() takes them."""
+    both = lexicon.withColumn("is_text", F.lit(False)).unionByName(coded.drop("lexicon").withColumn("is_text", F.lit(True)), allowMissingColumns=True)
+    return both.repartition("chunk").sortWithinPartitions("chunk", "is_text", "at")
+
+
+def baum_welch_own(training: DataFrame, lexicon: DataFrame, known: DataFrame, model: Model, prior: np.ndarray, tails: list[int]) -> tuple[Model, DataFrame]:
+    """One iteration over all training texts with factors of words' own.
+
+    known and what is returned with the model: word, c, own (K factors, or null) of each training word outside the top. To
+    the driver come sums by class.
+    """
+    spark, states, size = training.sparkSession, len(model.start), len(prior)
+    shared = spark.sparkContext.broadcast((model.relative(prior), prior))
+    rows = streamed(training.select("chunk", "classes", "found"), lexicon.join(known.hint("merge"), "word"))
+    each = [f"s{k}" for k in range(states)]
+    expected = common.map_arrow(rows, _expect_own(shared, states, size), "class int, word binary, c long, " + ", ".join(f"{s} float" for s in each))
+    sums = expected.groupBy("class", "word").agg(F.max("c").alias("c"), *(F.sum(s).cast("float").alias(s) for s in each))
+    sums = _written(sums)
+    del rows, expected
+    released(spark)
+    emissions, start, moves = np.zeros((size, states)), np.zeros(states), np.zeros((states, states))
+    for k, *values in sums.where("word is null").select("class", *each).collect():
+        if k >= 0:
+            emissions[k] = values
+        elif k == -1:
+            start += values
+        else:
+            moves[-2 - k] += values
+    # States of a tail class; a word's are drawn to them.
+    top = size - 1 - TAILS
+    of_class = {k: (emissions[top + k] + 1) / (emissions[top + k].sum() + states) for k in tails}
+    usual = spark.createDataFrame([(k, *map(float, q)) for k, q in of_class.items()], "class int, " + ", ".join(f"q{k} double" for k in range(states)))  # TAILS rows at most
+    words_of = sums.where("word is not null").join(F.broadcast(usual), "class")
+    total = sum((F.col(s) for s in each), F.lit(0.0))
+    factor = [(F.col(s) + OWN * F.col(f"q{k}")) / ((total + OWN) * F.col(f"q{k}")) for k, s in enumerate(each)]
+    # What shares times factors sum to in each class and state is divided out.
+    norms = words_of.groupBy("class").agg(*(F.sum(F.col("c") * f) / F.sum("c") for f in factor)).collect()
+    norm = spark.createDataFrame([tuple(r) for r in norms], "class int, " + ", ".join(f"z{k} double" for k in range(states)))  # TAILS rows at most
+    own = F.array(*((f / F.col(f"z{k}")).cast("float") for k, f in enumerate(factor)))
+    return Model.from_counts(start, moves, emissions, prior), words_of.join(F.broadcast(norm), "class").select("word", "c", own.alias("own"))
+
+
+def _score(shared, states: int, size: int):
+    tails = (size - 1 - TAILS, size - 1)
+
+    def run(it):
+        model, prior = shared.value
+        for lexicon, rows in _chunks(it):
+            if not rows.num_rows:
+                continue
+            _, factors = _factors(lexicon, states)
+            texts = _coded(rows["classes"])
+            slots = _slots(texts, rows["found"], tails)
+            forward = np.empty(len(texts))
+            for numbers, group in grouped(texts):
+                forward[numbers] = Lattice(group, model, prior, np.float64, [slots[k] for k in numbers], factors).forward()
+            base, share, known = (lexicon[c].to_numpy() for c in ("base", "share", "known"))
+            found = [np.frombuffer(x, np.int32) for x in rows["found"].to_pylist()]
+            sums = lambda x: np.array([float(x[at].sum()) for at in found])  # noqa: E731, B023
+            yield common.batch(_SCORED, *(rows[c].combine_chunks() for c in ("doc_id", "held_out", "n_tokens")), rows["known_top"].to_numpy() + sums(known).astype(np.int64), rows["base_top"].to_numpy() + sums(base), forward + sums(share))
 
     return run
 
@@ -381,19 +542,18 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     model = Model.first(v.prior, states)
     for _ in range(iterations):
         model = baum_welch(training, model, v.prior)
-    forward = common.map_arrow(coded.select("uid", "classes"), _score(sc.broadcast((model.relative(v.prior), v.prior))), "uid long, forward double")
-    # Words outside the top meet their counts in a join on the word; none of them is frequent in training.
+    lexicon = coded.where(F.col("lexicon").isNotNull()).select("chunk", F.posexplode("lexicon").alias("at", "w")).select("chunk", "at", "w.word", "w.tail")
+    known = counts.select("word", "c", F.lit(None).cast("array<float>").alias("own"))
+    released(spark)
+    for _ in range(OWN_ITERATIONS):
+        model, known = baum_welch_own(training, lexicon, known, model, v.prior, list(tails))
     shares = spark.createDataFrame([(k, float(c), (once + 1.0) / (c + 2.0)) for k, (c, once) in tails.items()], "tail int, in_tail double, unseen double")  # TAILS rows at most
-    rare = coded.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.tail", "r.tf")
-    met = rare.join(counts.select("word", "c").hint("merge"), "word", "left").join(F.broadcast(shares), "tail", "left")
+    met = lexicon.join(known.hint("merge"), "word", "left").join(F.broadcast(shares), "tail", "left")
     base = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(v.divisor))
     share = F.when(F.col("in_tail").isNull(), 0.0).when(F.col("c").isNull(), F.log10("unseen")).otherwise(F.log10((1 - F.col("unseen")) * F.col("c") / F.col("in_tail")))
-    of_rare = met.groupBy("uid").agg(F.sum(F.col("tf") * base).alias("base_rare"), F.sum(F.col("tf") * share).alias("share"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known_rare"))
-    all_ = coded.select("uid", "doc_id", "held_out", "n_tokens", "known_top", "base_top").join(forward.hint("merge"), "uid").join(of_rare.hint("merge"), "uid", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return all_.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known_top") + zero("known_rare")).cast("long").alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"), (F.col("base_top") + zero("base_rare")).alias("base_score"), (F.col("forward") + zero("share")).alias("score")
-    )
+    met = met.select("chunk", "at", "own", base.alias("base"), share.alias("share"), F.col("c").isNotNull().cast("int").alias("known"))
+    out = _written(common.map_arrow(streamed(coded, met), _score(sc.broadcast((model.relative(v.prior), v.prior)), states, v.size), SCORED))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,27 @@ def test_every_iteration_covers_all_training_texts_long_ones_too(frame, monkeypa
     assert np.allclose(calls[0][1].emissions, language_model.Model.first(calls[0][2], 2).emissions, rtol=1e-6)
 
 
+def test_words_outside_the_top_learn_their_own_states(frame, monkeypatch):
+    """Two words of one tail class and one count, each at home in another kind of text, are told apart."""
+    rng = random.Random(4)
+    rows = []
+    for d in range(400):
+        name = "ab"[d % 2]
+        some = [f"{name}{rng.randrange(5)}" for _ in range(30)]
+        if fold(d, 10) and d < 360:
+            some.insert(15, f"{name}{name}xyz")
+        rows.append((d, " ".join(some)))
+    rows += [(d, " ".join(["a1", "a2", "a3", w, "a4", "a0"])) for d, w in zip([d for d in range(1000, 2000) if fold(d, 10) == 0], ("aaxyz", "bbxyz"), strict=False)]
+    n = min(sum(w in t.split() for d, t in rows if fold(d, 10)) for w in ("aaxyz", "bbxyz"))
+    over = {w: sum(w in t.split() for d, t in rows if fold(d, 10)) - n for w in ("aaxyz", "bbxyz")}
+    rows += [(d, w) for w in over for d in [d for d in range(3000 if w == "aaxyz" else 5000, 7000) if fold(d, 10)][: max(over.values()) - over[w]]]
+    monkeypatch.setattr(language_model, "TOP", 10)
+    got = {r.doc_id: r for r in language_model.scored(frame(rows), states=3).where("doc_id between 1000 and 1999").collect()}
+    at_home, away = (got[d] for d in sorted(got))
+    assert math.isclose(at_home.base_score, away.base_score) and at_home.n_known == away.n_known == 7
+    assert at_home.score > away.score + 0.2
+
+
 def test_language_model_of_nothing_and_without_training_texts(frame):
     docs = frame([(d, t) for d, t in ODD])
     assert language_model.scored(docs.limit(0)).collect() == []
