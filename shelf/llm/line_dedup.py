@@ -3,10 +3,11 @@
 Line hashes are range-partitioned and sorted by (hash, document, position), so that even a line that a third of all
 documents hold is spread over several partitions. Each partition streams its rows once; the first document of a hash keeps
 its lines. A hash that began in an earlier partition is known from that partition's last hash (a row for each partition
-is gathered). What is returned is a compressed keep bitmap for each document that loses lines, not its text.
+is gathered). What is returned is a compressed keep bitmap for each text of a document that loses lines, not the text.
 
 Cases: null and empty text are one empty line, keys under min_chars code points are never dropped, a line repeated inside
-the smallest doc_id stays, rows repeated under one doc_id count as one document, null doc_id sorts first, an empty table
+the smallest doc_id stays, rows repeated under one doc_id count as one document (what one of them holds first, all keep),
+but each different text among them has positions and a bitmap of its own, null doc_id sorts first, an empty table
 gives no rows, other columns are left alone.
 """
 
@@ -28,9 +29,9 @@ MIN_CHARS = 10
 #: Hashes dealt to a range partition at most, about.
 LINES_PER_PARTITION = 1_000_000
 
-_LINES = pa.schema([("hash", pa.binary()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+_LINES = pa.schema([("hash", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32())])
 _EDGE = pa.schema([("part", pa.int32()), ("first", pa.binary()), ("last", pa.binary()), ("last_doc", pa.int64())])
-_DROPS = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
+_DROPS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -42,17 +43,23 @@ def long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars)
 
 
+def text_key(docs: DataFrame):
+    """Tells apart the texts under one doc_id; null and empty are the same."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def _hashes(min_chars: int):
     def run(it):
         for b in common.each(it):
-            hashes, ids, places = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), common.texts(b.column("text")), strict=True):
+            hashes, ids, keys, places = [], [], [], []
+            for doc, of_text, text in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), common.texts(b.column("text")), strict=True):
                 for pos, line in enumerate(text.split(b"\n")):
                     if long_enough(key := line_key(line), min_chars):
                         hashes.append(xxhash.xxh3_128_digest(key))
                         ids.append(doc)
+                        keys.append(of_text)
                         places.append(pos)
-            yield common.batch(_LINES, hashes, ids, places)
+            yield common.batch(_LINES, hashes, ids, keys, places)
 
     return run
 
@@ -76,22 +83,24 @@ def _stream(before: dict[int, tuple[bytes, int | None]]):
     def run(it):
         held, keeper = before.get(TaskContext.get().partitionId(), (None, None))
         for b in common.each(it):
-            ids, places = [], []
-            for h, doc, pos in zip(b.column("hash").to_pylist(), b.column("doc_id").to_pylist(), b.column("pos").to_pylist(), strict=True):
+            ids, keys, places = [], [], []
+            for h, doc, of_text, pos in zip(*(b.column(c).to_pylist() for c in ("hash", "doc_id", "text_key", "pos")), strict=True):
                 if h != held:
                     held, keeper = h, doc
                 elif doc != keeper:
                     ids.append(doc)
+                    keys.append(of_text)
                     places.append(pos)
-            yield common.batch(_DROPS, ids, places)
+            yield common.batch(_DROPS, ids, keys, places)
 
     return run
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, partitions: int | None = None) -> DataFrame:
-    """doc_id, pos of the lines to drop."""
+    """doc_id, text_key, pos of the lines to drop."""
     spark = docs.sparkSession
-    lines = common.written(common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _hashes(min_chars), "hash binary, doc_id long, pos int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), F.col("text").cast("string").alias("text"))
+    lines = common.written(common.map_arrow(rows, _hashes(min_chars), "hash binary, doc_id long, text_key long, pos int"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES_PER_PARTITION + 1)
     ordered = lines.repartitionByRange(n, "hash", "doc_id", "pos").sortWithinPartitions("hash", "doc_id", "pos").checkpoint()
     common.short_batches(spark)
@@ -102,26 +111,26 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, partitions: int |
             before[part] = held
         # A hash that fills whole partitions keeps the document with which it began.
         held = held if held and held[0] == last else (bytes(last), doc)
-    return common.map_arrow(ordered, _stream(before), "doc_id long, pos int")
+    return common.map_arrow(ordered, _stream(before), "doc_id long, text_key long, pos int")
 
 
 def _pack(it):
-    """Positions of one document, sorted, as a compressed bitmap of the lines to drop, bit by bit from position 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_dropped", pa.int64()), ("drop_bitmap", pa.binary())])
+    """Positions of one text of a document, sorted, as a compressed bitmap of the lines to drop, bit by bit from position 0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_dropped", pa.int64()), ("drop_bitmap", pa.binary())])
     for b in common.each(it):
         out = []
         for places in b.column("places").to_pylist():
             bits = np.zeros(max(places) + 1, dtype=bool)
             bits[places] = True
             out.append((int(bits.sum()), zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 6)))
-        yield common.batch(schema, b.column("doc_id"), [x[0] for x in out], [x[1] for x in out])
+        yield common.batch(schema, b.column("doc_id"), b.column("text_key"), [x[0] for x in out], [x[1] for x in out])
 
 
 def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, partitions: int | None = None) -> DataFrame:
-    """doc_id, n_dropped, drop_bitmap of each document that loses lines; all lines without a set bit stay."""
+    """doc_id, text_key, n_dropped, drop_bitmap of each text of a document that loses lines; all lines without a set bit stay."""
     drops = dropped_lines(docs, min_chars, partitions)
-    places = drops.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    return common.written(common.map_arrow(places, _pack, "doc_id long, n_dropped long, drop_bitmap binary"))
+    places = drops.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("places"))
+    return common.written(common.map_arrow(places, _pack, "doc_id long, text_key long, n_dropped long, drop_bitmap binary"))
 
 
 def keep_bits(n_lines: int, bitmap: bytes | None) -> np.ndarray:
@@ -143,10 +152,10 @@ def apply_bitmap(text: bytes, bitmap: bytes | None) -> tuple[int, int, bytes]:
 
 def with_bitmaps(docs: DataFrame, maps: DataFrame) -> DataFrame:
     """docs with its own columns in a struct named row, and drop_bitmap. The two sides share no column name."""
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), text_key(docs).alias("_text"))
     # Never broadcast: bitmaps grow with the input, and so does what this join shuffles, alike at every size.
-    other = maps.select(F.col("doc_id").alias("_with"), "drop_bitmap").hint("merge")
-    return rows.join(other, F.col("_doc").eqNullSafe(F.col("_with")), "left").select("row", "drop_bitmap")
+    other = maps.select(F.col("doc_id").alias("_with"), F.col("text_key").alias("_of"), "drop_bitmap").hint("merge")
+    return rows.join(other, F.col("_doc").eqNullSafe(F.col("_with")) & (F.col("_text") == F.col("_of")), "left").select("row", "drop_bitmap")
 
 
 def _digests(it):

@@ -84,3 +84,9 @@ def test_bitmaps_are_returned_only_for_documents_that_lose_lines(frame):
     maps = line_dedup.bitmaps(frame([(1, "x\nsame line here"), (2, "a\nb\nsame line here")])).collect()
     assert [(r.doc_id, r.n_dropped) for r in maps] == [(2, 1)]
     assert line_dedup.keep_bits(3, maps[0].drop_bitmap).tolist() == [True, True, False]
+
+
+def test_different_texts_under_one_id_lose_their_own_lines_only(frame):
+    docs = frame([(1, "shared line xx"), (5, "shared line xx\nfoo"), (5, "unique line yy\nbar"), (5, "unique line yy\nshared line xx")])
+    assert sorted(r.text for r in line_dedup.deduplicated(docs).collect()) == ["foo", "shared line xx", "unique line yy", "unique line yy\nbar"]
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_digests(docs).collect()) == [(1, 1, 0), (5, 2, 0), (5, 2, 1), (5, 2, 1)]
