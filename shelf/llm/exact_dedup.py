@@ -3,7 +3,8 @@
 Each task fills a memtable (digest -> best row so far and count) and flushes it as a sorted run, together with a Bloom
 filter of the run's digests. Compaction merges the runs of a digest bucket in one streaming pass: a digest that at most
 one run's filter can hold is passed through, all others are merged, keeping the best row. Digests seen twice or more are
-hits; their texts are compared byte by byte, so a collision of digests never joins two texts.
+hits; their texts are compared byte by byte. A hit whose texts are all the same is confirmed, and the best row and count are
+those of the index; the texts under digests that collide are split by their bytes, so a collision never joins two texts.
 
 Cases: null text counts as empty, empty texts equal each other, rows repeated under one doc_id count one each and share
 their doc_id's fate, null doc_ids sort last among ties, an empty table gives no rows, other columns are not read.
@@ -30,18 +31,22 @@ BUCKETS = 256
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("digest", pa.int64()), ("sha", pa.binary())])
 _RUN = pa.schema([("bucket", pa.int32()), ("digest", pa.int64()), ("is_filter", pa.bool_()), ("best_len", pa.int64()), ("best_id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 _INDEX = pa.schema([("digest", pa.int64()), ("keep_len", pa.int64()), ("keep_id", pa.int64()), ("n", pa.int64())])
-_TEXT = pa.schema([("sha", pa.binary()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("normal", pa.binary())])
+_TEXT = pa.schema([("digest", pa.int64()), ("sha", pa.binary()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("normal", pa.binary())])
 
 
 def normalised(text: bytes) -> bytes:
     return text.translate(None, common.ASCII_SPACE)
 
 
+def digest_of(sha: bytes, digest_bits: int) -> int:
+    return (int.from_bytes(sha[:8], "big") >> (64 - digest_bits)) - (1 << (digest_bits - 1))
+
+
 def _signatures(digest_bits: int):
     def run(it):
         for b in common.each(it):
             shas = [hashlib.sha256(normalised(t)).digest() for t in common.texts(b.column("text"))]
-            digests = [(int.from_bytes(s[:8], "big") >> (64 - digest_bits)) - (1 << (digest_bits - 1)) for s in shas]
+            digests = [digest_of(s, digest_bits) for s in shas]
             chars = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
             yield common.batch(_SIGNATURE, b.column("doc_id").cast(pa.int64()), chars, digests, shas)
 
@@ -160,24 +165,32 @@ def compact(level0: DataFrame) -> DataFrame:
     return common.map_arrow(dealt, _compact, "digest long, keep_len long, keep_id long, n long")
 
 
-def _normal_texts(it):
-    for b in common.each(it):
-        normal = [normalised(t) for t in common.texts(b.column("text"))]
-        yield common.batch(_TEXT, [hashlib.sha256(x).digest() for x in normal], pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64()), b.column("doc_id").cast(pa.int64()), normal)
+def _normal_texts(digest_bits: int):
+    def run(it):
+        for b in common.each(it):
+            normal = [normalised(t) for t in common.texts(b.column("text"))]
+            shas = [hashlib.sha256(x).digest() for x in normal]
+            chars = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
+            yield common.batch(_TEXT, [digest_of(s, digest_bits) for s in shas], shas, chars, b.column("doc_id").cast(pa.int64()), normal)
+
+    return run
 
 
-def verified_groups(docs: DataFrame, signed: DataFrame, hits: DataFrame) -> DataFrame:
-    """Byte verification: the rows under hit digests grouped by their whole normalised bytes.
+def verified_groups(docs: DataFrame, signed: DataFrame, hits: DataFrame, digest_bits: int = 64) -> DataFrame:
+    """sha, keep_id, group_size of the hits: those of the index where all texts under a digest are the same byte by byte;
+    where digests collide, those of each text among them.
 
     Equal texts meet in a task's partial aggregate first, so a huge group leaves one row for each task.
     """
     suspects = signed.join(hits.select("digest"), "digest", "left_semi").select("doc_id").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(suspects, rows.doc_id.eqNullSafe(suspects.doc_id), "left_semi")
-    whole = common.map_arrow(rows, _normal_texts, "sha binary, n_chars long, doc_id long, normal binary")
+    whole = common.map_arrow(rows, _normal_texts(digest_bits), "digest long, sha binary, n_chars long, doc_id long, normal binary")
     first = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id"))
-    groups = whole.groupBy("sha", "normal").agg(first.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return groups.select("sha", F.col("best.doc_id").alias("keep_id"), "group_size")
+    kinds = common.written(whole.groupBy("digest", "sha", "normal").agg(first.alias("best"), F.count(F.lit(1)).alias("members")).drop("normal"))
+    found = kinds.join(kinds.groupBy("digest").agg(F.count(F.lit(1)).alias("n_kinds")), "digest").join(hits, "digest")
+    confirmed = F.col("n_kinds") == 1
+    return found.select("sha", F.when(confirmed, F.col("keep_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.when(confirmed, F.col("n")).otherwise(F.col("members")).alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
@@ -189,7 +202,7 @@ def exact_groups(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
     signed = signatures(docs, digest_bits)
     index = compact(runs(signed))
     hits = common.written(index.where("n > 1"))
-    groups = common.written(verified_groups(docs, signed, hits))
+    groups = common.written(verified_groups(docs, signed, hits, digest_bits))
     out = signed.join(groups, "sha", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -90,3 +90,11 @@ def test_different_texts_under_one_id_lose_their_own_lines_only(frame):
     docs = frame([(1, "shared line xx"), (5, "shared line xx\nfoo"), (5, "unique line yy\nbar"), (5, "unique line yy\nshared line xx")])
     assert sorted(r.text for r in line_dedup.deduplicated(docs).collect()) == ["foo", "shared line xx", "unique line yy", "unique line yy\nbar"]
     assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_digests(docs).collect()) == [(1, 1, 0), (5, 2, 0), (5, 2, 1), (5, 2, 1)]
+
+
+def test_rows_and_sizes_kept_are_those_of_the_compacted_index(frame, monkeypatch):
+    plain = exact_dedup.compact
+    monkeypatch.setattr(exact_dedup, "compact", lambda runs: plain(runs).selectExpr("digest", "keep_len", "keep_id + 1000 AS keep_id", "n + 5 AS n"))
+    docs = frame([(1, "a b"), (2, "ab"), (3, "a  b"), (4, "c")])
+    got = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect() if r.doc_id < 4)
+    assert got == [(1, 1003, 8), (2, 1003, 8), (3, 1003, 8)]
