@@ -1,8 +1,9 @@
 """Exact deduplication through a log-structured merge index of digests.
 
 Each task fills a memtable (digest -> best row so far and count) and flushes it as a sorted run, together with a Bloom
-filter of the run's digests. Compaction merges the runs of a digest bucket in one streaming pass: a digest that at most
-one run's filter can hold is passed through, all others are merged, keeping the best row. Digests seen twice or more are
+filter of the run's digests. Compaction goes by levels: FAN runs of a digest bucket at a time are merged in one streaming
+pass into a run with a filter of its own, until FAN are left, which the last pass merges into the index. In every pass a
+digest that at most one run's filter can hold is passed through, all others are merged, keeping the best row. Digests seen twice or more are
 hits; their texts are compared byte by byte. A hit whose texts are all the same is confirmed, and the best row and count are
 those of the index; the texts under digests that collide are split by their bytes, so a collision never joins two texts.
 
@@ -17,6 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +29,12 @@ MEMTABLE = 200_000
 #: Bits of a run's filter for each digest; a digest sets FILTER_HASHES of them.
 FILTER_BITS, FILTER_HASHES = 12, 4
 BUCKETS = 256
+#: Runs that one pass of compaction merges.
+FAN = 4
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("digest", pa.int64()), ("sha", pa.binary())])
-_RUN = pa.schema([("bucket", pa.int32()), ("digest", pa.int64()), ("is_filter", pa.bool_()), ("best_len", pa.int64()), ("best_id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+_RUN = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("digest", pa.int64()), ("is_filter", pa.bool_()), ("best_len", pa.int64()), ("best_id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+RUN = "run long, bucket int, digest long, is_filter boolean, best_len long, best_id long, n long, bits binary"
 _INDEX = pa.schema([("digest", pa.int64()), ("keep_len", pa.int64()), ("keep_id", pa.int64()), ("n", pa.int64())])
 _TEXT = pa.schema([("digest", pa.int64()), ("sha", pa.binary()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("normal", pa.binary())])
 
@@ -70,7 +75,11 @@ def _bucket(digests: np.ndarray) -> np.ndarray:
     return ((digests.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.int32)
 
 
-def _flush(memtable: dict):
+def _packed(bits: np.ndarray) -> bytes:
+    return len(bits).to_bytes(8, "little") + np.packbits(bits).tobytes()
+
+
+def _flush(memtable: dict, run: int):
     """The memtable as a sorted run: of each bucket first its filter, then its digests."""
     digests = np.array(sorted(memtable), dtype=np.int64)
     buckets = _bucket(digests)
@@ -80,8 +89,8 @@ def _flush(memtable: dict):
         size = max(64, FILTER_BITS * len(own))
         bits = np.zeros(size, dtype=bool)
         bits[_places(own, size)] = True
-        rows.append((k, None, True, None, None, None, size.to_bytes(8, "little") + np.packbits(bits).tobytes()))
-        rows += [(k, d, False, *memtable[d], None) for d in own.tolist()]
+        rows.append((run, k, None, True, None, None, None, _packed(bits)))
+        rows += [(run, k, d, False, *memtable[d], None) for d in own.tolist()]
         if len(rows) >= 4096:
             yield common.batch(_RUN, *zip(*rows, strict=True))
             rows = []
@@ -91,6 +100,7 @@ def _flush(memtable: dict):
 
 def _memtables(it):
     memtable: dict = {}
+    run = TaskContext.get().partitionId() << 32
     for b in common.each(it):
         for doc, length, digest in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), b.column("digest").to_pylist(), strict=True):
             old = memtable.get(digest)
@@ -99,53 +109,100 @@ def _memtables(it):
             else:
                 memtable[digest] = (*better(old[:2], (length, doc)), old[2] + 1)
         if len(memtable) >= MEMTABLE:
-            yield from _flush(memtable)
-            memtable = {}
-    yield from _flush(memtable)
+            yield from _flush(memtable, run)
+            memtable, run = {}, run + 1
+    yield from _flush(memtable, run)
+
+
+class Merge:
+    """Merges runs of a bucket; rows come sorted by run group, bucket, filters first, then digest."""
+
+    def __init__(self):
+        self.at: tuple[int, int] | None = None
+        self.filters: list[np.ndarray] = []
+        self.held: tuple | None = None
+        self.asked = self.passed = 0
+
+    def several(self, digests: np.ndarray) -> np.ndarray:
+        """Whether more than one run's filter can hold each digest."""
+        found = sum((f[_places(digests, len(f))].all(1).astype(np.int32) for f in self.filters), np.zeros(len(digests), np.int32))
+        self.asked += len(digests)
+        self.passed += int((found <= 1).sum())
+        return found > 1
+
+    def rows(self, b: pa.RecordBatch):
+        """Of a batch: (group and bucket, filters where these are new, merged rows)."""
+        groups, buckets, is_filter = (b.column(c).to_numpy(zero_copy_only=False) for c in ("run", "bucket", "is_filter"))
+        groups = groups // FAN
+        cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (buckets[1:] != buckets[:-1])) + 1
+        cuts = [0, *cuts.tolist(), b.num_rows]
+        for k, to in zip(cuts, cuts[1:]):
+            at = (int(groups[k]), int(buckets[k]))
+            if at != self.at:
+                if self.held is not None:
+                    yield self.at, [self.held]
+                    self.held = None
+                self.at, self.filters = at, []
+            n = int(is_filter[k:to].sum())
+            for bits in b.column("bits").slice(k, n).to_pylist():
+                self.filters.append(np.unpackbits(np.frombuffer(bits, np.uint8, offset=8), count=int.from_bytes(bits[:8], "little")).astype(bool))
+            part = b.slice(k + n, to - k - n)
+            out: list[tuple] = []
+            if part.num_rows:
+                several = self.several(part.column("digest").to_numpy()).tolist()
+                for more, digest, length, doc, count in zip(several, *(part.column(c).to_pylist() for c in ("digest", "best_len", "best_id", "n")), strict=True):
+                    if self.held is not None and self.held[0] == digest:
+                        self.held = (digest, *better(self.held[1:3], (length, doc)), self.held[3] + count)
+                        continue
+                    if self.held is not None:
+                        out.append(self.held)
+                        self.held = None
+                    if more:
+                        self.held = (digest, length, doc, count)
+                    else:
+                        out.append((digest, length, doc, count))
+            yield at, out
+
+    def rest(self):
+        if self.held is not None:
+            yield self.at, [self.held]
+
+
+def _merge_level(it):
+    """FAN runs at a time to one run with its filter, for which there is room in as many bits as those of its parts have."""
+    merge, at, bits = Merge(), None, None
+
+    def filter_row():
+        return common.batch(_RUN, [at[0]], [at[1]], [None], [True], [None], [None], [None], [_packed(bits)])
+
+    def level(parts):
+        nonlocal at, bits
+        for now, rows in parts:
+            if now != at:
+                if at is not None:
+                    yield filter_row()
+                at, bits = now, None
+            if rows:
+                if bits is None:
+                    bits = np.zeros(sum(map(len, merge.filters)), dtype=bool)
+                bits[_places(np.array([x[0] for x in rows], dtype=np.int64), len(bits))] = True
+                yield common.batch(_RUN, [now[0]] * len(rows), [now[1]] * len(rows), *zip(*((d, False, length, doc, n, None) for d, length, doc, n in rows), strict=True))
 
+    for b in common.each(it):
+        yield from level(merge.rows(b))
+    yield from level(merge.rest())
+    if at is not None:
+        yield filter_row()
 
-def _compact(it):
-    """Rows come sorted by bucket, filters first, then digest."""
-    filters: list[tuple[int, np.ndarray]] = []
-    bucket, held = None, None
-    out: list[tuple] = []
-
-    def several(digest: int) -> bool:
-        """Whether more than one run's filter can hold the digest."""
-        found = 0
-        for size, bits in filters:
-            if bits[_places(np.array([digest], dtype=np.int64), size)].all():
-                found += 1
-                if found > 1:
-                    return True
-        return False
 
+def _compact(it):
+    """The last FAN runs to rows of the index."""
+    merge = Merge()
     for b in common.each(it):
-        for k, digest, is_filter, length, doc, n, bits in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            if k != bucket:
-                bucket, filters = k, []
-            if is_filter:
-                size = int.from_bytes(bits[:8], "little")
-                filters.append((size, np.unpackbits(np.frombuffer(bits, np.uint8, offset=8), count=size).astype(bool)))
-                continue
-            if held is not None and held[0] == digest:
-                held = (digest, *better(held[1:3], (length, doc)), held[3] + n)
-                continue
-            if held is not None:
-                out.append(held)
-                held = None
-            # Few runs: filters answer first; with many, the sorted stream itself tells sooner.
-            if len(filters) <= 4 and not several(digest):
-                out.append((digest, length, doc, n))
-            else:
-                held = (digest, length, doc, n)
-        if len(out) >= 4096:
-            yield common.batch(_INDEX, *zip(*out, strict=True))
-            out = []
-    if held is not None:
-        out.append(held)
-    if out:
-        yield common.batch(_INDEX, *zip(*out, strict=True))
+        if rows := [r for _, some in merge.rows(b) for r in some]:
+            yield common.batch(_INDEX, *zip(*rows, strict=True))
+    if rows := [r for _, some in merge.rest() for r in some]:
+        yield common.batch(_INDEX, *zip(*rows, strict=True))
 
 
 def signatures(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
@@ -156,13 +213,32 @@ def signatures(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
 
 def runs(signed: DataFrame) -> DataFrame:
     """Level 0: sorted runs and their filters."""
-    return common.map_arrow(signed.select("doc_id", "n_chars", "digest"), _memtables, "bucket int, digest long, is_filter boolean, best_len long, best_id long, n long, bits binary")
+    return common.map_arrow(signed.select("doc_id", "n_chars", "digest"), _memtables, RUN)
+
+
+def _dealt(level: DataFrame) -> DataFrame:
+    group = F.floor(F.col("run") / FAN).alias("group")
+    return level.repartition(group, F.col("bucket")).sortWithinPartitions(group, "bucket", F.col("is_filter").desc(), "digest")
 
 
 def compact(level0: DataFrame) -> DataFrame:
-    """The merged index: a row for each digest with its best row and count."""
-    dealt = level0.repartition(F.col("bucket")).sortWithinPartitions("bucket", F.col("is_filter").desc(), "digest")
-    return common.map_arrow(dealt, _compact, "digest long, keep_len long, keep_id long, n long")
+    """The merged index: a row for each digest with its best row and count.
+
+    To the driver comes a number for each run, that is for each task or MEMTABLE digests, so that runs can be numbered
+    without gaps.
+    """
+    level = common.written(level0)
+    numbers = sorted(r.run for r in level.select("run").distinct().collect())
+    n = len(numbers)
+    if n > FAN:
+        places = level.sparkSession.createDataFrame([(r, k) for k, r in enumerate(numbers)], "run long, place long")
+        level = level.join(F.broadcast(places), "run").select(F.col("place").alias("run"), *[c for c in _RUN.names if c != "run"])
+    else:
+        level = level.withColumn("run", F.lit(0).cast("long"))
+    while n > FAN:
+        level = common.written(common.map_arrow(_dealt(level), _merge_level, RUN))
+        n = -(-n // FAN)
+    return common.map_arrow(_dealt(level), _compact, "digest long, keep_len long, keep_id long, n long")
 
 
 def _normal_texts(digest_bits: int):

@@ -98,3 +98,21 @@ def test_rows_and_sizes_kept_are_those_of_the_compacted_index(frame, monkeypatch
     docs = frame([(1, "a b"), (2, "ab"), (3, "a  b"), (4, "c")])
     got = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect() if r.doc_id < 4)
     assert got == [(1, 1003, 8), (2, 1003, 8), (3, 1003, 8)]
+
+
+def test_filters_answer_however_many_runs_there_are(frame, monkeypatch):
+    """Each pass merges FAN runs at most, so their filters are few and are asked; nothing is lost or counted twice."""
+    rows = [(k, f"text {k % 50}" if k % 2 else f"alone {k}") for k in range(400)]
+    level0 = exact_dedup.runs(exact_dedup.signatures(frame(rows)).repartition(23)).cache()
+    assert level0.select("run").distinct().count() > exact_dedup.FAN**2
+    merges, plain = [], exact_dedup.common.map_arrow
+    monkeypatch.setattr(exact_dedup.common, "map_arrow", lambda df, f, schema: merges.append(df.groupBy("bucket", (df.run / exact_dedup.FAN).cast("long")).count().count()) or plain(df, f, schema))
+    merged = exact_dedup.compact(level0).collect()
+    assert len(merges) == 3
+    assert sorted((r.keep_id, r.n) for r in merged) == sorted([(k, 1) for k in range(0, 400, 2)] + [(k, 8) for k in range(1, 50, 2)])
+    merge = exact_dedup.Merge()
+    dealt = level0.orderBy("bucket", level0.is_filter.desc(), "digest").toArrow()
+    dealt = dealt.set_column(0, "run", [[0] * dealt.num_rows])
+    for b in dealt.combine_chunks().to_batches():
+        list(merge.rows(b))
+    assert merge.asked == dealt.num_rows - sum(dealt["is_filter"].to_pylist()) and merge.passed >= 190
