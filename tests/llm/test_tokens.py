@@ -143,3 +143,19 @@ def test_token_counts_match_brute_force_by_key(spark, sf_dir, tokenizer):
         s[2] += len(r.text)
     got = token_counts.op5_token_counts(spark, sf_dir).collect()
     assert {(r.source, r.lang): [r.documents, r.tokens, r.chars] for r in got} == dict(truth)
+
+
+def test_the_query_sums_several_batches_with_deletes_and_revisions(spark, sf_dir, monkeypatch):
+    batches, plain = [], token_counts.Rollup.commit
+
+    def commit(self, batch_id, changes):
+        signs = {r.sign: r["count"] for r in changes.groupBy("sign").count().collect()}
+        batches.append((batch_id, plain(self, batch_id, changes), signs.get(1, 0), signs.get(-1, 0)))
+        return batches[-1][1]
+
+    monkeypatch.setattr(token_counts.Rollup, "commit", commit)
+    got = token_counts.op5_token_counts(spark, sf_dir)
+    done = [x for x in batches if x[1]]
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert len(done) > 1 and len(batches) > len(done) and sum(x[3] for x in done) > 0
+    assert sum(x[2] - x[3] for x in done) == n == got.selectExpr("sum(documents)").first()[0]
