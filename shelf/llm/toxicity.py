@@ -46,9 +46,9 @@ OUT = "doc_id long, held_out boolean, score double, predicted int, hits array<st
 
 
 def bound(term: str) -> int:
-    """Edits that a term of so many letters may have."""
+    """Edits that a term of so many letters may have. A stem of four letters has none: with one, any word on three would do."""
     n = len(term.rstrip("*"))
-    return 0 if n < 5 else 1 if n < 9 else 2
+    return 0 if n < 4 + term.endswith("*") else 1 if n < 9 else 2
 
 
 class Automaton:
@@ -227,8 +227,10 @@ class Scorer:
         if len(self.known) >= self.most:
             self.known.clear()
         found = self.automaton.match(word)
-        weight = self.forms.get(word, self.weights[found[0]]) if found else 0.0
-        self.known[word] = m = (*found[0], weight) if weight else None
+        # The nearest term whose weight at that distance makes it a hit; one that was found innocent hides no other.
+        best = next((m for m in found if self.weights[m]), found[0]) if found else None
+        weight = self.forms.get(word, self.weights[best]) if found else 0.0
+        self.known[word] = m = (*best, weight) if weight else None
         return m
 
     def _context(self, text: str, words: list, k: int) -> float:

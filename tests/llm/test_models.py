@@ -130,6 +130,16 @@ def test_toxicity_catches_misspellings_and_leaves_quotes_and_clean_texts(clash,
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if not r.predicted}
 
 
+def test_a_misspelled_term_of_four_letters_is_a_hit_unless_the_sample_finds_it_innocent():
+    toxic = [(prose(k, 30) + " scum " + prose(k + 500, 30), 1) for k in range(60)]
+    clean = [(prose(k + 2_000, 60), 0) for k in range(200)]
+    score = toxicity.Scorer(toxicity.learn(toxic + clean))
+    assert score("a scum")[0] > 0.5 and score("a skum")[0] > 0.5 and score("a skim")[0] < 0.5
+    innocent = [(prose(k + 4_000, 60) + f" the scam and scu{k % 9}", 0) for k in range(60)]
+    score = toxicity.Scorer(toxicity.learn(toxic + clean + innocent))
+    assert score("a scum")[0] > 0.5 and score("a skum")[0] < 0.5
+
+
 def test_scaled_forward_and_baum_welch_match_enumeration():
     rng = np.random.default_rng(2)
     k, size = 3, 6
