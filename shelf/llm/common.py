@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: texts may be long, so batches are kept short and a worker's memory stays bounded.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch: texts may be long, so batches are kept short and a worker's memory stays bounded.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 #: The ASCII white space that separates words, strips lines and is left out of normalised texts.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -35,12 +36,31 @@ def written(df: DataFrame, *partitioning: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Sets how many rows and bytes an Arrow batch has at most; a longer row is a batch by itself."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+_within = 0
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Other Arrow batches for the jobs that run within."""
+    global _within
+    _within += 1
+    short_batches(spark, rows)
+    try:
+        yield
+    finally:
+        _within -= 1
+        short_batches(spark)
 
 
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow() in short batches."""
-    short_batches(df.sparkSession)
+    if not _within:
+        short_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

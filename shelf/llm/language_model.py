@@ -1,20 +1,27 @@
 """Hidden Markov language model.
 
-Words are emitted by latent states as classes: the most frequent TOP words have a class each, every other word belongs to
-one of TAILS classes by its last three bytes, and the end of a text has its own. Within a tail class a word's probability
-is its share of the class' training count, times a factor of its own for each state; one share, estimated from the words
-seen once, is that of all words never seen. So the model is a proper distribution over words and "some unknown word". What
-is broadcast is of bounded size; counts and factors of all words are a distributed table keyed by word, that grows with the
-words and is joined to the lexicons of chunks of texts.
-
-Training is Baum-Welch: each partition runs scaled forward-backward recursions over its training texts and emits expected
-counts, which are summed over partitions by blocks of classes; every iteration, the first among them, covers all training
-texts, however long. In ITERATIONS all words of a tail class have the same factors; in OWN_ITERATIONS after them each word
-has those that its own expected counts give. A text's score is the exact scaled forward likelihood of its words.
+Words are emitted by latent states as classes: the most frequent words, TOP at most, have a class each (of words of one
+count all or none), every other word belongs to one of TAILS classes by its last three bytes, and the end of a text has its
+own. Within a tail class a word's probability is its share of the class' training count, times a factor of its own for each
+state; one share, estimated from the words seen once, is that of all words never seen. So the model is a proper
+distribution over words and "some unknown word". What is broadcast is of bounded size; counts and factors of all words
+are distributed tables that grow with the words.
+
+Training is Baum-Welch. Training texts are cut into segments of SEGMENT tokens, so that many of them run side by side
+however long a text is and a worker's memory is bounded; a text's first segment begins in the start distribution, others in
+one that is learned for them. Each partition runs scaled forward-backward recursions over its segments and emits expected
+counts, which are summed over partitions by blocks of classes. Each of ITERATIONS covers all training texts; in the last,
+expected counts of every word outside the top are gathered too, and give it its factors. A text's score is the exact scaled
+forward likelihood of its whole sequence of words, uncut.
+
+Tables. Texts lie in chunks of about CHUNK tokens, a row each: numbers of words in the chunk's own list of words. Training
+segments lie beside them as lattices, in the order in which the recursion takes their tokens, so an iteration only reads
+rows. The rows of words that chunks hold are shuffled once by word, to be summed, and once by chunk, to be scored.
+Of the rows of one word there are as many as chunks that hold it, and a word outside the top is at most one in TOP tokens.
 
 Cases: null and empty texts are the end token alone; without training texts N and V are 0 and all words are unknown; null
-doc_id hashes as the empty text; rows repeated under one doc_id are scored each; an empty table gives no rows; other
-columns are not read.
+doc_id hashes as the empty text; rows repeated under one doc_id are scored each; a very long text is a chunk by itself,
+whose numbers of words a worker holds; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from __future__ import annotations
 import gc
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -37,77 +44,154 @@ from .shingles import words
 
 FOLDS = 10
 TOP, TAILS = 40_000, 8_192
-STATES, ITERATIONS, OWN_ITERATIONS = 8, 10, 2
-#: Words that a task counts before it hands them on; tokens of a group of texts that run side by side; count blocks.
-HELD, GROUP, BLOCKS = 300_000, 120_000, 64
-#: Tokens of a chunk, about: texts that share a lexicon of their tail words; rows in an Arrow batch of chunks.
-CHUNK, CHUNK_ROWS = 1_000_000, 2_048
+STATES, ITERATIONS = 8, 12
+#: Tokens of a chunk and of a lattice, about; of a segment, at most. Blocks in which classes are summed.
+CHUNK, GROUP, SEGMENT, BLOCKS = 2_000_000, 65_536, 256, 64
 #: Steps between two scalings of a recursion.
 RESCALE = 3
 #: Weight of the class distribution in each state's emissions, as so many tokens.
 PRIOR = 200.0
 #: Weight of its class' states in those of a tail word, as so many tokens.
 OWN = 5.0
-
-_WORDS = pa.schema([("word", pa.binary()), ("tail", pa.int32()), ("c", pa.int64())])
-_LEXICON = pa.list_(pa.struct([("word", pa.binary()), ("tail", pa.int32())]))
-_CODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known_top", pa.int64()), ("base_top", pa.float64()), ("classes", pa.binary()), ("found", pa.binary()), ("lexicon", _LEXICON)])
-CODED = "chunk long, doc_id long, held_out boolean, n_tokens long, known_top long, base_top double, classes binary, found binary, lexicon array<struct<word: binary, tail: int>>"
-_SUMS = pa.schema([("block", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())])
+#: Factors are kept as 16-bit logarithms, so many steps to a power of 2.
+STEPS = 512
+#: Rows in an Arrow batch of lattices and of words' rows.
+LATTICE_ROWS, WORD_ROWS = 64, 20_000
+
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("texts", pa.int64()), ("word", pa.binary()), ("c", pa.int64())])
+CHUNKS = "chunk long, doc_id array<long>, held_out binary, lengths binary, ids binary, words binary, texts long, word binary, c long"
+_LATTICES = pa.schema([("classes", pa.binary()), ("n", pa.binary()), ("first", pa.binary())])
+LATTICES = "classes binary, n binary, first binary"
+_SUMS = [("block", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())]
+SUMS = "block int, at binary, counts binary"
+_EXPECTED = pa.schema([*_SUMS, ("word", pa.binary()), ("tail", pa.int32()), ("chunk", pa.int64()), ("place", pa.int32()), ("c", pa.int64()), ("expected", pa.binary())])
+EXPECTED = f"{SUMS}, word binary, tail int, chunk long, place int, c long, expected binary"
+_OWN = pa.schema([*_SUMS, ("chunk", pa.int64()), ("place", pa.int32()), ("c", pa.int64()), ("own", pa.binary())])
+OWN_ROWS = f"{SUMS}, chunk long, place int, c long, own binary"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def tail_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % TAILS
+def tail_of(word: bytes, tails: int) -> int:
+    return zlib.crc32(word[-3:]) % tails
 
 
-# -- counts
+def _tail(word):
+    return (F.crc32(F.substring(word, -3, 3)) % TAILS).cast("int")
 
 
-def _count(it):
-    held: Counter = Counter()
+def rows_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch of the columns given; the others are null."""
+    n = len(next(iter(columns.values())))
+    return common.batch(schema, *(columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema))
 
-    def rows():
-        some = list(held.items())
-        for k in range(0, len(some), 50_000):
-            part = some[k : k + 50_000]
-            yield common.batch(_WORDS, [w for w, _ in part], [tail_of(w) for w, _ in part], [c for _, c in part])
 
-    for b in common.each(it):
-        for t in common.texts(b.column("text")):
-            held.update(words(t))
-        if len(held) > HELD:
+def packed(rows: np.ndarray, has: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of the next of rows where has, else none."""
+    ends = np.concatenate(([0], np.cumsum(has) * (rows.itemsize * rows.shape[1]))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+# -- chunks and counts
+
+
+class Chunk:
+    """Texts one behind the other as numbers of words, the end being word 0."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, held_out: np.ndarray, words: list[bytes]):
+        self.ids, self.lengths, self.held_out, self.words = ids, lengths, held_out, words
+
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and lengths of the training texts alone."""
+        return self.ids[np.repeat(~self.held_out, self.lengths)], self.lengths[~self.held_out]
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, k: int) -> Chunk:
+        value = lambda name: batch.column(name)[k].as_buffer()
+        words_of = batch.column("words")[k].as_py().split(b" ")
+        return Chunk(np.frombuffer(value("ids"), np.int32), np.frombuffer(value("lengths"), np.int64), np.frombuffer(value("held_out"), bool), words_of)
+
+
+def _split(size: int):
+    """Texts in chunks of that many tokens; after each a row for each of its words that training texts hold, with their count."""
+
+    def run(it):
+        number = TaskContext.get().partitionId() << 33
+
+        def fresh():
+            place: defaultdict = defaultdict()
+            place.default_factory = place.__len__
+            place.__getitem__(b"")  # the end
+            return place, [], [], []
+
+        def rows():
+            chunk = Chunk(np.concatenate(ids), np.array([len(x) for x in ids], np.int64), np.array(held, bool), list(place))
+            yield rows_of(
+                _CHUNKS, chunk=[number], doc_id=[docs], held_out=[chunk.held_out.tobytes()], lengths=[chunk.lengths.tobytes()], ids=[chunk.ids.tobytes()],
+                words=[b" ".join(chunk.words)], texts=[int((~chunk.held_out).sum())],
+            )
+            counts = np.bincount(chunk.training()[0], minlength=len(place))
+            counts[0] = 0
+            known = np.flatnonzero(counts)
+            if len(known):
+                yield rows_of(_CHUNKS, word=pa.array(chunk.words, pa.binary()).take(pa.array(known)), c=counts[known])
+
+        (place, ids, docs, held), tokens = fresh(), 0
+        for b in common.each(it):
+            for doc, held_out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b.column("text")), strict=True):
+                some = words(text)
+                some.append(b"")
+                ids.append(np.fromiter(map(place.__getitem__, some), np.int32, len(some)))
+                docs.append(doc)
+                held.append(held_out)
+                tokens += len(some)
+                if tokens >= size:
+                    yield from rows()
+                    number += 1
+                    (place, ids, docs, held), tokens = fresh(), 0
+        if ids:
             yield from rows()
-            held = Counter()
-    yield from rows()
+
+    return run
 
 
 class Vocabulary:
-    """What scorers must know of the training counts, of bounded size: the top words, and sums over the rest by tail."""
+    """What workers must know of the training counts, of bounded size: the top words, and sums over the rest by tail.
+
+    tails: of each tail the count of its words, and how many of them were seen once.
+    """
 
     def __init__(self, top: list[tuple[bytes, int]], n_words: int, n_types: int, n_texts: int, tails: dict[int, tuple[int, int]]):
         self.place = {w: k for k, (w, _) in enumerate(top)}
         self.counts = np.array([c for _, c in top], dtype=np.float64)
-        self.n_texts = n_texts
         #: N and V: all training tokens and distinct ones, ends among them.
         self.n = n_words + n_texts
         self.v = n_types + (n_texts > 0)
-        self.divisor = self.n + 0.1 * (self.v + 1)
-        self.end = TOP + TAILS
-        self.size = TOP + TAILS + 1
+        self.n_texts, self.divisor = n_texts, self.n + 0.1 * (self.v + 1)
+        #: Places of the classes: tails from here on, then the end.
+        self.top, self.end, self.size = TOP, TOP + TAILS, TOP + TAILS + 1
+        #: By tail: training count, and the share of words never seen.
+        self.in_tail, once = np.zeros(TAILS), np.zeros(TAILS)
+        for k, (c, n) in tails.items():
+            self.in_tail[k], once[k] = c, n
+        self.unseen = (once + 1) / (self.in_tail + 2)
         classes = np.full(self.size, 0.1)
         classes[: len(top)] += self.counts
-        for k, (c, _) in tails.items():
-            classes[TOP + k] += c
+        classes[self.top : self.end] += self.in_tail
         classes[self.end] += n_texts
         self.prior = classes / classes.sum()
-        self.log_base = np.log10((self.counts + 0.1) / self.divisor)
-        self.log_end = math.log10((n_texts + 0.1) / self.divisor)
+
+    def classes(self, words_of: list[bytes]) -> np.ndarray:
+        """Classes of a chunk's words."""
+        out = np.fromiter(map(self.place.get, words_of, repeat(-1)), np.int64, len(words_of))
+        rest = np.flatnonzero(out < 0)
+        out[rest] = [self.top + tail_of(words_of[k], self.end - self.top) for k in rest.tolist()]
+        out[0] = self.end
+        return out
 
 
-def vocabulary(counts: DataFrame, n_texts: int) -> tuple[Vocabulary, dict[int, tuple[int, int]]]:
-    """The vocabulary and sums (count, words seen once) by tail.
+def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
+    """The vocabulary from the counts of all training words.
 
     The top are all words above the least count that leaves TOP of them at most. To the driver come the largest distinct
     counts, of which there are few (about the root of the number of tokens at most), TOP words and TAILS sums.
@@ -120,61 +204,22 @@ def vocabulary(counts: DataFrame, n_texts: int) -> tuple[Vocabulary, dict[int, t
             cut = c
             break
     top = sorted(((bytes(w), c) for w, c in counts.where(F.col("c") > cut).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
-    rest = counts.where(F.col("c") <= cut)
-    tails = {k: (c, once) for k, c, once in rest.groupBy("tail").agg(F.sum("c"), F.sum((F.col("c") == 1).cast("long"))).collect()}
-    return Vocabulary(top, totals[0] or 0, totals[1], n_texts, tails), tails
-
-
-def _code(shared):
-    """Texts as classes, in chunks; of a chunk's tail words the first row has the lexicon, each row its tokens' places in it."""
-
-    def run(it):
-        v: Vocabulary = shared.value
-        chunk = TaskContext.get().partitionId() << 33
-        place, log_base, top = v.place, v.log_base, v.end - TAILS
-        rows, tokens, lexicon, tails = [], 0, {}, []
-
-        def coded():
-            words_of = [list(zip(lexicon, tails, strict=True))] + [None] * (len(rows) - 1)
-            return common.batch(_CODED, [chunk] * len(rows), *zip(*rows, strict=True), words_of)
-
-        for b in common.each(it):
-            for doc, held_out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b.column("text")), strict=True):
-                some = words(text)
-                classes = np.fromiter(map(place.get, some, repeat(-1)), np.int64, len(some))
-                known = classes[classes >= 0]
-                unplaced = np.flatnonzero(classes < 0)
-                found = [some[k] for k in unplaced.tolist()]
-                for w in found:
-                    if w not in lexicon:
-                        lexicon[w] = len(lexicon)
-                        tails.append(tail_of(w))
-                at = np.fromiter(map(lexicon.__getitem__, found), np.int32, len(found))
-                classes[unplaced] = [tails[k] + top for k in at.tolist()]
-                rows.append((doc, held_out, len(some) + 1, len(known) + (v.n_texts > 0), float(log_base[known].sum()) + v.log_end, np.append(classes, v.end).astype(np.uint16).tobytes(), at.tobytes()))
-                tokens += len(some) + 1
-                if tokens >= CHUNK:
-                    yield coded()
-                    chunk += 1
-                    rows, tokens, lexicon, tails = [], 0, {}, []
-        if rows:
-            yield coded()
-
-    return run
+    rest = counts.where(F.col("c") <= cut).groupBy(_tail(F.col("word"))).agg(F.sum("c"), F.sum((F.col("c") == 1).cast("long")))
+    return Vocabulary(top, totals[0] or 0, totals[1], n_texts, {k: (c, once) for k, c, once in rest.collect()})
 
 
 # -- the hidden Markov model
 
 
 class Model:
-    """Start (K), moves (K, K) and emissions (classes, K) as probabilities."""
+    """Start (2, K: of texts, of their later segments), moves (K, K) and emissions (classes, K) as probabilities."""
 
     def __init__(self, start: np.ndarray, moves: np.ndarray, emissions: np.ndarray):
         self.start, self.moves, self.emissions = start, moves, emissions
 
     def relative(self, prior: np.ndarray) -> Model:
-        """With emissions divided by the class distribution."""
-        return Model(self.start, self.moves, (self.emissions / prior[:, None]).astype(np.float32))
+        """With emissions divided by the class distribution, which keeps them near 1."""
+        return Model(self.start.astype(np.float32), self.moves.astype(np.float32), (self.emissions / prior[:, None]).astype(np.float32))
 
     @staticmethod
     def first(prior: np.ndarray, states: int, seed: int = 7) -> Model:
@@ -183,376 +228,399 @@ class Model:
         emissions = prior[:, None] * noise
         moves = np.full((states, states), 0.05 / max(1, states - 1))
         np.fill_diagonal(moves, 0.95 if states > 1 else 1.0)
-        return Model(np.full(states, 1 / states), moves, emissions / emissions.sum(0))
+        return Model(np.full((2, states), 1 / states), moves, emissions / emissions.sum(0))
 
     @staticmethod
-    def from_counts(start: np.ndarray, moves: np.ndarray, emissions: np.ndarray, prior: np.ndarray) -> Model:
+    def from_counts(counts: Counts, prior: np.ndarray) -> Model:
         """The M-step, smoothed."""
-        emissions = emissions + PRIOR * prior[:, None]
-        return Model((start + 0.1) / (start + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), emissions / emissions.sum(0))
-
-
-def grouped(texts: list[np.ndarray]):
-    """Texts sorted by length, longest first, in groups of about GROUP tokens: (numbers, texts)."""
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    group, size = [], 0
-    for k in order:
-        group.append(k)
-        size += len(texts[k])
-        if size >= GROUP:
-            yield group, [texts[x] for x in group]
-            group, size = [], 0
-    if group:
-        yield group, [texts[x] for x in group]
-
-
-class Lattice:
-    """Texts side by side, longest first: at step t the first n[t] of them have a token, so nothing is padded.
-
-    Emissions are taken relative to the class distribution, which keeps them near 1; so it is enough to scale every RESCALE
-    steps, and the log of what was taken out is added to each text's likelihood. Tokens with a slot other than 0 have the
-    factors in that row of factors on top.
+        share = lambda x: (x + 0.1) / (x + 0.1).sum(1, keepdims=True)
+        emissions = counts.emissions + PRIOR * prior[:, None]
+        return Model(share(counts.start), share(counts.moves), emissions / emissions.sum(0))
+
+
+class Counts:
+    """Expected starts, moves and emissions (classes, K)."""
+
+    def __init__(self, states: int, size: int):
+        self.start, self.moves, self.emissions = np.zeros((2, states)), np.zeros((states, states)), np.zeros((size, states))
+
+
+def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and length of each segment of texts that lie one behind the other, and whether it is its text's first."""
+    n = -(-lengths // SEGMENT)
+    text = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return (np.cumsum(lengths) - lengths)[text] + k * SEGMENT, np.minimum(SEGMENT, lengths[text] - k * SEGMENT), k == 0
+
+
+def lattices(lengths: np.ndarray):
+    """Groups of segments side by side, longest first: (places of their tokens, step by step; n; first).
+
+    At step t the first n[t] segments of a group have a token, so nothing is padded.
     """
+    begins, sizes, first = segments(lengths)
+    order = np.argsort(-sizes, kind="stable")
+    group = np.cumsum(sizes[order]) // GROUP
+    for some in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+        if len(some):
+            own = sizes[some]
+            n = np.searchsorted(-own, -np.arange(1, int(own[0]) + 1), side="right")
+            step = np.repeat(np.arange(len(n)), n)
+            yield begins[some][np.arange(len(step)) - np.repeat(np.cumsum(n) - n, n)] + step, n, first[some]
 
-    def __init__(self, texts: list[np.ndarray], model: Model, prior: np.ndarray, dtype, slots: list[np.ndarray] | None = None, factors: np.ndarray | None = None):
-        lengths = np.array([len(t) for t in texts])
-        n = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
-        off = np.concatenate(([0], np.cumsum(n)))
-        self.n, self.off, self.lengths = n.tolist(), off.tolist(), lengths
-        own = np.concatenate([off[:k] + i for i, k in enumerate(lengths.tolist())])
-        tokens = np.concatenate(texts)
-        self.classes = np.empty(len(tokens), np.int64)
-        self.classes[own] = tokens
-        #: Flat places of each text's last token, and of each token after another and that other.
-        self.last = off[lengths - 1] + np.arange(len(texts))
-        self.later = np.arange(n[0], off[-1])
-        self.log_prior = np.add.reduceat(np.log10(prior)[tokens], np.concatenate(([0], np.cumsum(lengths)[:-1])))
-        self.moves = model.moves.astype(dtype)
-        self.e = model.emissions.take(self.classes, axis=0).astype(dtype, copy=False)
-        if slots is not None:
-            of_tokens = np.empty(len(tokens), np.int64)
-            of_tokens[own] = np.concatenate(slots)
-            self.slotted = np.flatnonzero(of_tokens)
-            self.slots = of_tokens[self.slotted]
-            self.e[self.slotted] *= factors[self.slots]
-        self.start = model.start.astype(dtype)
-        self.ones = np.ones(len(model.start), dtype)
-
-    def forward(self) -> np.ndarray:
-        """Log10 likelihood of each text, by the scaled recursion."""
-        e, n, off, moves, ones = self.e, self.n, self.off, self.moves, self.ones
-        alpha = np.empty_like(e)
-        logs = self.log_prior.copy()
-        a = np.multiply(e[: n[0]], self.start, out=alpha[: n[0]])
-        for t in range(1, len(n)):
-            k, m = off[t], n[t]
-            a = np.matmul(a[:m], moves, out=alpha[k : k + m])
-            a *= e[k : k + m]
-            if t % RESCALE == 0:
-                c = a @ ones
-                logs[:m] += np.log10(c, dtype=np.float64)
-                a *= (1 / c)[:, None]
-        self.alpha = alpha
-        return logs + np.log10(alpha[self.last] @ ones, dtype=np.float64)
-
-    def expected(self, counts: np.ndarray, by_slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Adds expected emissions to counts (classes, K) and by_slot (slots, K); expected starts and moves."""
-        e, n, off, alpha, ones = self.e, self.n, self.off, self.alpha, self.ones
-        beta = np.ones_like(e)
-        back = np.ascontiguousarray(self.moves.T)
-        for t in range(len(n) - 2, -1, -1):
-            k, m = off[t + 1], n[t + 1]
-            v = e[k : k + m]
-            v *= beta[k : k + m]
-            b = np.matmul(v, back, out=beta[off[t] : off[t] + m])
-            if t % RESCALE == 0:
-                b *= (1 / (b @ ones))[:, None]
-        moves = np.zeros_like(self.moves, dtype=np.float64)
-        if len(self.later):
-            # The token before flat place off[t] + i is off[t - 1] + i.
-            before = alpha[self.later - np.repeat(self.n[:-1], self.n[1:])]
-            v = e[self.later]
-            v *= (1 / (np.multiply(before @ self.moves, v) @ ones))[:, None]
-            moves = (before.T @ v).astype(np.float64) * self.moves
-        np.multiply(alpha, beta, out=beta)
-        beta *= (1 / (beta @ ones))[:, None]
-        k = beta.shape[1]
-        places = (self.classes[:, None] * k + np.arange(k)).ravel()
-        counts += np.bincount(places, beta.ravel(), counts.size).reshape(counts.shape)
-        if by_slot is not None:
-            places = (self.slots[:, None] * k + np.arange(k)).ravel()
-            by_slot += np.bincount(places, beta[self.slotted].ravel(), by_slot.size).reshape(by_slot.shape)
-        return beta[: n[0]].sum(0).astype(np.float64), moves
-
-
-def e_step(texts: list[np.ndarray], model: Model, prior: np.ndarray, counts: np.ndarray, start: np.ndarray, moves: np.ndarray) -> None:
-    """Adds a batch's expected emissions (classes, K), starts and moves; model has relative emissions."""
-    for _, group in grouped(texts):
-        lattice = Lattice(group, model, prior, np.float32)
-        lattice.forward()
-        s, m = lattice.expected(counts)
-        start += s
-        moves += m
-
-
-def _coded(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16).astype(np.int64) for x in column.to_pylist()]
-
-
-def _emit(counts: np.ndarray, start: np.ndarray, moves: np.ndarray):
-    """Expected counts by blocks of classes, only of classes that have any; block -1 holds starts and moves."""
-    seen = np.flatnonzero(counts.any(1))
-    rows = [(-1, b"", np.concatenate((start, moves.ravel())).tobytes())]
-    for k in range(BLOCKS):
-        if len(at := seen[seen % BLOCKS == k]):
-            rows.append((k, at.astype(np.int32).tobytes(), counts[at].astype(np.float32).tobytes()))
-    yield common.batch(_SUMS, *zip(*rows, strict=True))
 
+def expect(tokens: np.ndarray, n: np.ndarray, first: np.ndarray, model: Model, emissions: np.ndarray, counts: Counts, by_token: np.ndarray) -> None:
+    """The E-step of a lattice: adds starts and moves to counts, and to by_token (K, tokens) the expected emissions.
 
-def _expect(shared, states: int, size: int):
-    def run(it):
-        model, prior = shared.value
-        counts, start, moves = np.zeros((size, states)), np.zeros(states), np.zeros((states, states))
-        held, tokens = [], 0
-        for b in common.each(it):
-            some = _coded(b.column("classes"))
-            held += some
-            tokens += sum(map(len, some))
-            if tokens >= GROUP:
-                e_step(held, model, prior, counts, start, moves)
-                held, tokens = [], 0
-        if held:
-            e_step(held, model, prior, counts, start, moves)
-        if start.any():
-            yield from _emit(counts, start, moves)
+    emissions (tokens, K) are relative to the class distribution; so it is enough to scale every RESCALE steps.
+    """
+    off = np.concatenate(([0], np.cumsum(n)))
+    before = np.arange(n[0], off[-1]) - np.repeat(n[:-1], n[1:])
+    n, off = n.tolist(), off.tolist()
+    moves, back, ones = model.moves, np.ascontiguousarray(model.moves.T), np.ones(len(model.moves), emissions.dtype)
+    e = emissions.take(tokens, axis=0)
+    alpha, scale = np.empty_like(e), np.ones(len(e), e.dtype)
+    a = np.multiply(e[: n[0]], model.start[1 - first], out=alpha[: n[0]])
+    for t in range(1, len(n)):
+        at = slice(off[t], off[t + 1])
+        a = np.matmul(a[: n[t]], moves, out=alpha[at])
+        a *= e[at]
+        if t % RESCALE == 0:
+            c = scale[at] = a @ ones
+            a *= (1 / c)[:, None]
+    beta = np.ones_like(e)
+    for t in range(len(n) - 1, 0, -1):
+        at = slice(off[t], off[t + 1])
+        v = e[at]
+        v *= beta[at]
+        b = np.matmul(v, back, out=beta[off[t - 1] : off[t - 1] + n[t]])
+        if t % RESCALE == 0:
+            b *= (1 / (b @ ones))[:, None]
+    beta *= alpha
+    both = beta @ ones
+    beta *= (1 / both)[:, None]
+    if len(before):
+        v = e[n[0] :]  # emission times beta
+        v *= (1 / (scale[n[0] :] * both[n[0] :]))[:, None]
+        counts.moves += (alpha.take(before, axis=0).T @ v) * moves
+    counts.start[0] += beta[: n[0]][first == 1].sum(0)
+    counts.start[1] += beta[: n[0]][first == 0].sum(0)
+    for k, posterior in enumerate(np.ascontiguousarray(beta.T)):
+        by_token[k] += np.bincount(tokens, posterior, by_token.shape[1])
+
+
+def likelihoods(ids: np.ndarray, lengths: np.ndarray, emissions: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log10 likelihood of each text by the scaled forward recursion; emissions are by word. Only one step is held."""
+    order = np.argsort(-lengths, kind="stable")
+    begins, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    n = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right").tolist()
+    logs, ones = np.zeros(len(order)), np.ones(len(start))
+    a = start * emissions.take(ids[begins], axis=0)
+    for t in range(1, len(n)):
+        m = n[t]
+        if m < len(a):
+            logs[m : len(a)] += np.log10(a[m:] @ ones)
+        a = a[:m] @ moves
+        a *= emissions.take(ids[begins[:m] + t], axis=0)
+        if t % RESCALE == 0:
+            c = a @ ones
+            logs[:m] += np.log10(c)
+            a *= (1 / c)[:, None]
+    logs[: len(a)] += np.log10(a @ ones)
+    out = np.empty(len(order))
+    out[order] = logs
+    return out
 
-    return run
+
+# -- sums over partitions
 
 
-def _sum(states: int, size: int):
+def _emit(schema: pa.Schema, counts: np.ndarray, rest: np.ndarray):
+    """Sums by blocks of rows, only of rows that have any; block -1 holds the rest."""
+    seen = np.flatnonzero(counts.any(1))
+    blocks, at, values = [-1], [b""], [rest.astype(np.float64).tobytes()]
+    for k in range(BLOCKS):
+        if len(some := seen[seen % BLOCKS == k]):
+            blocks.append(k)
+            at.append(some.astype(np.int32).tobytes())
+            values.append(counts[some].astype(np.float32).tobytes())
+    yield rows_of(schema, block=blocks, at=at, counts=values)
+
+
+def _sum(width: int, size: int, rest_size: int):
     """Rows sorted by block to a row for each block."""
+    schema = pa.schema(_SUMS)
 
     def run(it):
-        block, total, start = None, None, None
+        block, total, rest = None, None, None
 
         def row():
             if block == -1:
-                return common.batch(_SUMS, [-1], [b""], [start.tobytes()])
-            at = np.flatnonzero(total.any(1)).astype(np.int32)
-            return common.batch(_SUMS, [block], [(at * BLOCKS + block).astype(np.int32).tobytes()], [total[at].astype(np.float32).tobytes()])
+                return common.batch(schema, [-1], [b""], [rest.tobytes()])
+            at = np.flatnonzero(total.any(1))
+            return common.batch(schema, [block], [(at * BLOCKS + block).astype(np.int32).tobytes()], [total[at].astype(np.float32).tobytes()])
 
         for b in common.each(it):
             for k, at, counts in zip(b.column("block").to_pylist(), b.column("at").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 if k != block:
                     if block is not None:
                         yield row()
-                    block, total, start = k, np.zeros((size // BLOCKS + 1, states)), np.zeros(states + states * states)
+                    block, total, rest = k, np.zeros((size // BLOCKS + 1, width)), np.zeros(rest_size)
                 if k == -1:
-                    start += np.frombuffer(counts)
+                    rest += np.frombuffer(counts)
                 else:
-                    total[np.frombuffer(at, np.int32) // BLOCKS] += np.frombuffer(counts, np.float32).reshape(-1, states)
+                    total[np.frombuffer(at, np.int32) // BLOCKS] += np.frombuffer(counts, np.float32).reshape(-1, width)
         if block is not None:
             yield row()
 
     return run
 
 
-def baum_welch(training: DataFrame, model: Model, prior: np.ndarray) -> Model:
-    """One iteration over all training texts; BLOCKS + 1 rows, of the model's size in all, come to the driver."""
-    states, size = len(model.start), len(prior)
-    shared = training.sparkSession.sparkContext.broadcast((model.relative(prior), prior))
-    parts = common.map_arrow(training.select("classes"), _expect(shared, states, size), "block int, at binary, counts binary")
-    sums = common.map_arrow(parts.repartition("block").sortWithinPartitions("block"), _sum(states, size), "block int, at binary, counts binary").collect()
-    emissions, start, moves = np.zeros((size, states)), np.zeros(states), np.zeros((states, states))
-    for block, at, counts in sums:
+def summed(parts: DataFrame, width: int, size: int, rest_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What tasks emitted, summed: (size, width), and the rest. BLOCKS + 1 rows, of that size in all, come to the driver."""
+    rows = parts.select("block", "at", "counts").repartition("block").sortWithinPartitions("block")
+    total, rest = np.zeros((size, width)), np.zeros(rest_size)
+    for block, at, counts in common.map_arrow(rows, _sum(width, size, rest_size), SUMS).collect():
         if block == -1:
-            both = np.frombuffer(counts)
-            start, moves = both[:states], both[states:].reshape(states, states)
+            rest += np.frombuffer(counts)
         else:
-            emissions[np.frombuffer(at, np.int32)] = np.frombuffer(counts, np.float32).reshape(-1, states)
-    return Model.from_counts(start, moves, emissions, prior)
+            total[np.frombuffer(at, np.int32)] = np.frombuffer(counts, np.float32).reshape(-1, width)
+    return total, rest
 
 
-# -- words outside the top
+def _rest(counts: Counts) -> np.ndarray:
+    return np.concatenate((counts.start.ravel(), counts.moves.ravel()))
 
 
-def _chunks(it):
-    """Of each chunk its lexicon's rows and its texts' rows; rows come sorted by chunk, lexicon first, then place in it."""
-    held, chunk = [], None
+def gathered(parts: DataFrame, states: int, size: int) -> Counts:
+    counts = Counts(states, size)
+    counts.emissions, rest = summed(parts, states, size, states * (states + 2))
+    counts.start, counts.moves = rest[: 2 * states].reshape(2, states), rest[2 * states :].reshape(states, states)
+    return counts
 
-    def both():
-        rows = pa.Table.from_batches(held).combine_chunks()
-        n = rows.num_rows - pc.sum(rows["is_text"]).as_py()
-        return rows.slice(0, n), rows.slice(n)
 
-    for b in common.each(it):
-        ids = b.column("chunk").to_numpy()
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        for k, to in zip(cuts, cuts[1:]):
-            if held and ids[k] != chunk:
-                yield both()
-                held = []
-            chunk = ids[k]
-            held.append(b.slice(k, to - k))
-    if held:
-        yield both()
+# -- iterations
 
 
-def _factors(lexicon: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the lexicon's rows, and the factors of all slots; those of slot 0 and of unknown words are 1."""
-    slots = lexicon["at"].to_numpy() + 1
-    factors = np.ones((int(slots[-1]) + 1 if len(slots) else 1, states), np.float32)
-    own = lexicon["own"].combine_chunks()
-    if has := slots[own.is_valid().to_numpy(zero_copy_only=False)].tolist():
-        factors[has] = own.flatten().to_numpy().reshape(-1, states)
-    return slots, factors
+def _lattices(shared):
+    """The training texts of chunks as lattices of classes."""
 
+    def run(it):
+        v: Vocabulary = shared.value
+        for b in common.each(it):
+            for k in range(b.num_rows):
+                chunk = Chunk.of(b, k)
+                classes = v.classes(chunk.words).astype(np.uint16)
+                ids, lengths = chunk.training()
+                of_tokens = classes[ids]
+                for at, n, first in lattices(lengths):
+                    yield common.batch(_LATTICES, [of_tokens[at].tobytes()], [n.astype(np.int32).tobytes()], [first.astype(np.int8).tobytes()])
 
-def _slots(texts: list[np.ndarray], found: pa.ChunkedArray, tails: tuple[int, int]) -> list[np.ndarray]:
-    out = []
-    for t, at in zip(texts, found.to_pylist(), strict=True):
-        slots = np.zeros(len(t), np.int64)
-        slots[(t >= tails[0]) & (t < tails[1])] = np.frombuffer(at, np.int32) + 1
-        out.append(slots)
-    return out
+    return run
 
 
-def _expect_own(shared, states: int, size: int):
-    """Expected counts by class and, of tail words, by word; class -1 has the starts, classes under it the moves."""
-    schema = pa.schema([("class", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), *((f"s{k}", pa.float32()) for k in range(states))])
-    tails = (size - 1 - TAILS, size - 1)
+def _expect(shared, size: int):
+    def run(it):
+        model: Model = shared.value
+        states = len(model.moves)
+        counts, by_class = Counts(states, 0), np.zeros((states, size))
+        for b in common.each(it):
+            for row in zip(*(b.column(c).to_pylist() for c in ("classes", "n", "first")), strict=True):
+                classes, n, first = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(row, (np.uint16, np.int32, np.int8), strict=True))
+                expect(classes, n, first, model, model.emissions, counts, by_class)
+        if counts.start.any():
+            yield from _emit(pa.schema(_SUMS), by_class.T, _rest(counts))
+
+    return run
+
+
+def baum_welch(training: DataFrame, model: Model, prior: np.ndarray) -> Model:
+    """One iteration over the lattices of all training texts."""
+    states, size = len(model.moves), len(prior)
+    shared = training.sparkSession.sparkContext.broadcast(model.relative(prior))
+    with common.batches_of(training.sparkSession, LATTICE_ROWS):
+        parts = common.map_arrow(training, _expect(shared, size), SUMS)
+        return Model.from_counts(gathered(parts, states, size), prior)
+
+
+def _expect_words(shared):
+    """Expected counts by class and, of words outside the top, by word and chunk."""
 
     def run(it):
-        model, prior = shared.value
-        counts, start, moves = np.zeros((size, states)), np.zeros(states), np.zeros((states, states))
-        for lexicon, rows in _chunks(it):
-            if not rows.num_rows:
-                continue
-            slots, factors = _factors(lexicon, states)
-            by_slot = np.zeros(factors.shape)
-            texts = _coded(rows["classes"])
-            of_texts = _slots(texts, rows["found"], tails)
-            for numbers, group in grouped(texts):
-                lattice = Lattice(group, model, prior, np.float32, [of_texts[k] for k in numbers], factors)
-                lattice.forward()
-                s, m = lattice.expected(counts, by_slot)
-                start += s
-                moves += m
-            if len(slots):
-                yield common.batch(schema, *(lexicon[c].combine_chunks() for c in ("tail", "word", "c")), *by_slot[slots].T.astype(np.float32))
-        seen = np.flatnonzero(counts.any(1))
-        of_classes = np.concatenate((start[None], moves, counts[seen]))
-        classes = np.concatenate((-1 - np.arange(states + 1), seen))
-        yield common.batch(schema, classes, [None] * len(classes), [None] * len(classes), *of_classes.T.astype(np.float32))
+        model, v = shared.value
+        states = len(model.moves)
+        counts, by_class = Counts(states, 0), np.zeros((states, v.size))
+        for b in common.each(it):
+            for k in range(b.num_rows):
+                chunk = Chunk.of(b, k)
+                classes = v.classes(chunk.words)
+                ids, lengths = chunk.training()
+                emissions, by_word = model.emissions[classes], np.zeros((states, len(classes)))
+                for at, n, first in lattices(lengths):
+                    expect(ids[at].astype(np.int64), n, first.astype(np.int64), model, emissions, counts, by_word)
+                for s in range(states):
+                    by_class[s] += np.bincount(classes, by_word[s], v.size)
+                places = np.flatnonzero((classes >= v.top) & (classes < v.end))
+                seen = np.bincount(ids, minlength=len(classes))[places]
+                for some in np.array_split(np.arange(len(places)), -(-len(places) // 100_000) or 1):
+                    at = places[some]
+                    if len(at):
+                        expected = packed(by_word[:, at[seen[some] > 0]].T.astype(np.float32), seen[some] > 0)
+                        yield rows_of(
+                            _EXPECTED, word=[chunk.words[x] for x in at.tolist()], tail=classes[at] - v.top, chunk=pa.repeat(b.column("chunk")[k], len(at)), place=at, c=seen[some], expected=expected
+                        )
+        if counts.start.any():
+            yield from _emit(_EXPECTED, by_class.T, _rest(counts))
 
     return run
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """common.written() in batches for rows of chunks."""
-    common.short_batches(df.sparkSession, CHUNK_ROWS)
-    df = common.written(df)
-    common.short_batches(df.sparkSession)
-    return df
+def _by_word(it):
+    """Tables of whole groups of rows of a word, which come sorted, and where each group begins."""
+    held: list[pa.RecordBatch] = []
+    for b in common.each(it):
+        w = b.column("word")
+        cuts = np.flatnonzero(pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)) + 1
+        new = bool(held) and held[-1].column("word")[-1] != w[0]
+        last = int(cuts[-1]) if len(cuts) else (0 if new else None)
+        if last is None:
+            held.append(b)
+            continue
+        done = [*held, b.slice(0, last)] if last else held
+        held = [b.slice(last)]
+        if done:
+            yield _grouped(done)
+    if held:
+        yield _grouped(held)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is written and no longer held, so that disk holds one iteration's."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+def _grouped(batches: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+    rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    w = rows.column("word")
+    return rows, np.concatenate(([0], np.flatnonzero(pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)) + 1))
 
 
-def streamed(coded: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Texts and their lexicons' rows by chunk, as _chunks() takes them."""
-    both = lexicon.withColumn("is_text", F.lit(False)).unionByName(coded.drop("lexicon").withColumn("is_text", F.lit(True)), allowMissingColumns=True)
-    return both.repartition("chunk").sortWithinPartitions("chunk", "is_text", "at")
+def _own(shared):
+    """Rows of words with their training count over all chunks and their factors; sums of count times factor by tail."""
 
+    def run(it):
+        usual = shared.value  # states of a tail class; a word's are drawn to them
+        states = usual.shape[1]
+        norms = np.zeros((len(usual), states + 1))
+        for rows, begins in _by_word(it):
+            c, tails = rows.column("c").to_numpy(), rows.column("tail").to_numpy()[begins]
+            expected = np.zeros((len(c), states))
+            expected[c > 0] = np.frombuffer(b"".join(rows.column("expected").to_pylist()), np.float32).reshape(-1, states)
+            of_word, count = np.add.reduceat(expected, begins, axis=0), np.add.reduceat(c, begins)
+            q = usual[tails]
+            factors = (of_word + OWN * q) / ((of_word.sum(1, keepdims=True) + OWN) * q)
+            steps = np.clip(np.rint(np.log2(factors) * STEPS), -32_000, 32_000).astype(np.int16)
+            np.add.at(norms, tails, count[:, None] * np.hstack((np.exp2(steps / STEPS), np.ones((len(count), 1)))))
+            sizes = np.diff(np.concatenate((begins, [len(c)])))
+            every = np.repeat(count, sizes)
+            own = packed(np.repeat(steps, sizes, axis=0)[every > 0], every > 0)
+            yield rows_of(_OWN, chunk=rows.column("chunk"), place=rows.column("place"), c=every, own=own)
+        if norms.any():
+            yield from _emit(_OWN, norms, np.zeros(1))
 
-def baum_welch_own(training: DataFrame, lexicon: DataFrame, known: DataFrame, model: Model, prior: np.ndarray, tails: list[int]) -> tuple[Model, DataFrame]:
-    """One iteration over all training texts with factors of words' own.
+    return run
 
-    known and what is returned with the model: word, c, own (K factors, or null) of each training word outside the top. To
-    the driver come sums by class.
-    """
-    spark, states, size = training.sparkSession, len(model.start), len(prior)
-    shared = spark.sparkContext.broadcast((model.relative(prior), prior))
-    rows = streamed(training.select("chunk", "classes", "found"), lexicon.join(known.hint("merge"), "word"))
-    each = [f"s{k}" for k in range(states)]
-    expected = common.map_arrow(rows, _expect_own(shared, states, size), "class int, word binary, c long, " + ", ".join(f"{s} float" for s in each))
-    sums = expected.groupBy("class", "word").agg(F.max("c").alias("c"), *(F.sum(s).cast("float").alias(s) for s in each))
-    sums = _written(sums)
-    del rows, expected
-    released(spark)
-    emissions, start, moves = np.zeros((size, states)), np.zeros(states), np.zeros((states, states))
-    for k, *values in sums.where("word is null").select("class", *each).collect():
-        if k >= 0:
-            emissions[k] = values
-        elif k == -1:
-            start += values
-        else:
-            moves[-2 - k] += values
-    # States of a tail class; a word's are drawn to them.
-    top = size - 1 - TAILS
-    of_class = {k: (emissions[top + k] + 1) / (emissions[top + k].sum() + states) for k in tails}
-    usual = spark.createDataFrame([(k, *map(float, q)) for k, q in of_class.items()], "class int, " + ", ".join(f"q{k} double" for k in range(states)))  # TAILS rows at most
-    words_of = sums.where("word is not null").join(F.broadcast(usual), "class")
-    total = sum((F.col(s) for s in each), F.lit(0.0))
-    factor = [(F.col(s) + OWN * F.col(f"q{k}")) / ((total + OWN) * F.col(f"q{k}")) for k, s in enumerate(each)]
-    # What shares times factors sum to in each class and state is divided out.
-    norms = words_of.groupBy("class").agg(*(F.sum(F.col("c") * f) / F.sum("c") for f in factor)).collect()
-    norm = spark.createDataFrame([tuple(r) for r in norms], "class int, " + ", ".join(f"z{k} double" for k in range(states)))  # TAILS rows at most
-    own = F.array(*((f / F.col(f"z{k}")).cast("float") for k, f in enumerate(factor)))
-    return Model.from_counts(start, moves, emissions, prior), words_of.join(F.broadcast(norm), "class").select("word", "c", own.alias("own"))
-
-
-def _score(shared, states: int, size: int):
-    tails = (size - 1 - TAILS, size - 1)
 
+def baum_welch_words(chunks: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, DataFrame, np.ndarray]:
+    """The last iteration over all training texts, with words' own expected counts: the model; of each word outside the top
+    in each chunk its training count and factors; by tail and state what shares times factors sum to."""
+    spark, states = chunks.sparkSession, len(model.moves)
+    with common.batches_of(spark, WORD_ROWS):
+        rows = common.written(common.map_arrow(chunks, _expect_words(spark.sparkContext.broadcast((model.relative(v.prior), v))), EXPECTED))
+        counts = gathered(rows.where("block is not null"), states, v.size)
+        usual = counts.emissions[v.top : v.end] + 1
+        usual /= usual.sum(1, keepdims=True)
+        by_word = rows.where("word is not null").select("word", "tail", "chunk", "place", "c", "expected").repartition("word").sortWithinPartitions("word")
+        own = common.written(common.map_arrow(by_word, _own(spark.sparkContext.broadcast(usual)), OWN_ROWS))
+        norms, _ = summed(own.where("block is not null"), states + 1, len(usual), 1)
+    norms = np.where(norms[:, -1:] > 0, norms[:, :-1] / np.maximum(norms[:, -1:], 1), 1.0)
+    return Model.from_counts(counts, v.prior), own.where("block is null").select("chunk", "place", "c", "own"), norms
+
+
+# -- scores
+
+
+def _of_chunks(it):
+    """Of each chunk its text row and the columns place, c and own of its words outside the top; rows come sorted by chunk."""
+    held, number = [], None
+
+    def both():
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        text = pc.is_valid(rows.column("ids"))
+        return rows.filter(text), rows.filter(pc.invert(text)).select(["place", "c", "own"])
+
+    for b in common.each(it):
+        ids = b.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for k, to in zip(cuts, cuts[1:]):
+            if held and ids[k] != number:
+                yield both()
+                held = []
+            number = ids[k]
+            held.append(b.slice(k, to - k))
+    if held:
+        yield both()
+
+
+def _score(shared):
     def run(it):
-        model, prior = shared.value
-        for lexicon, rows in _chunks(it):
-            if not rows.num_rows:
-                continue
-            _, factors = _factors(lexicon, states)
-            texts = _coded(rows["classes"])
-            slots = _slots(texts, rows["found"], tails)
-            forward = np.empty(len(texts))
-            for numbers, group in grouped(texts):
-                forward[numbers] = Lattice(group, model, prior, np.float64, [slots[k] for k in numbers], factors).forward()
-            base, share, known = (lexicon[c].to_numpy() for c in ("base", "share", "known"))
-            found = [np.frombuffer(x, np.int32) for x in rows["found"].to_pylist()]
-            sums = lambda x: np.array([float(x[at].sum()) for at in found])  # noqa: E731, B023
-            yield common.batch(_SCORED, *(rows[c].combine_chunks() for c in ("doc_id", "held_out", "n_tokens")), rows["known_top"].to_numpy() + sums(known).astype(np.int64), rows["base_top"].to_numpy() + sums(base), forward + sums(share))
+        model, v, norms = shared.value
+        states = len(model.moves)
+        relative = model.emissions / v.prior[:, None]
+        for row, own in _of_chunks(it):
+            chunk = Chunk.of(row, 0)
+            classes = v.classes(chunk.words)
+            emissions = relative[classes]
+            place, c = own.column("place").to_numpy(), own.column("c").to_numpy()
+            known = c > 0
+            steps = np.frombuffer(b"".join(own.column("own").to_pylist()), np.int16).reshape(-1, states)
+            tail = classes[place] - v.top
+            emissions[place[known]] *= np.exp2(steps / STEPS) / norms[tail[known]]
+            # By word: training count, and the log of the class' probability and of the word's share of it.
+            count = np.zeros(len(classes))
+            top = np.flatnonzero(classes < v.top)
+            count[top], count[0], count[place] = v.counts[classes[top]], v.n_texts, c
+            logs = np.log10(v.prior)[classes]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                logs[place] += np.log10(np.where(v.in_tail[tail] == 0, 1.0, np.where(known, (1 - v.unseen[tail]) * c / v.in_tail[tail], v.unseen[tail])))
+            base = np.log10((count + 0.1) / v.divisor)
+            begins = np.cumsum(chunk.lengths) - chunk.lengths
+            sums = lambda x: np.add.reduceat(x[chunk.ids], begins)  # noqa: E731, B023
+            score = sums(logs) + likelihoods(chunk.ids, chunk.lengths, emissions, model.start[0], model.moves)
+            yield common.batch(_SCORED, row.column("doc_id")[0].values, chunk.held_out, chunk.lengths, sums((count > 0).astype(np.int64)), sums(base), score)
 
     return run
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is written and no longer held, so that disk holds one step's."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
     """Of each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold(docs["doc_id"], FOLDS) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    training = rows.where(~F.col("held_out"))
-    counts = common.map_arrow(training.select("text"), _count, "word binary, tail int, c long").groupBy("word", "tail").agg(F.sum("c").alias("c"))
-    counts = common.written(counts)
-    v, tails = vocabulary(counts, training.count())
-    shared = sc.broadcast(v)
-    coded = common.written(common.map_arrow(rows, _code(shared), CODED))
-    training = coded.where(~F.col("held_out"))
+    split = common.written(common.map_arrow(rows, _split(CHUNK), CHUNKS))
+    chunks = split.where("chunk is not null").drop("word", "c")
+    counts = common.written(split.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
+    v = vocabulary(counts, chunks.agg(F.sum("texts")).first()[0] or 0)
+    released(spark)
+    training = common.written(common.map_arrow(chunks, _lattices(spark.sparkContext.broadcast(v)), LATTICES))
     model = Model.first(v.prior, states)
-    for _ in range(iterations):
+    for _ in range(iterations - 1):
         model = baum_welch(training, model, v.prior)
-    lexicon = coded.where(F.col("lexicon").isNotNull()).select("chunk", F.posexplode("lexicon").alias("at", "w")).select("chunk", "at", "w.word", "w.tail")
-    known = counts.select("word", "c", F.lit(None).cast("array<float>").alias("own"))
+    model, own, norms = baum_welch_words(chunks, model, v)
     released(spark)
-    for _ in range(OWN_ITERATIONS):
-        model, known = baum_welch_own(training, lexicon, known, model, v.prior, list(tails))
-    shares = spark.createDataFrame([(k, float(c), (once + 1.0) / (c + 2.0)) for k, (c, once) in tails.items()], "tail int, in_tail double, unseen double")  # TAILS rows at most
-    met = lexicon.join(known.hint("merge"), "word", "left").join(F.broadcast(shares), "tail", "left")
-    base = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(v.divisor))
-    share = F.when(F.col("in_tail").isNull(), 0.0).when(F.col("c").isNull(), F.log10("unseen")).otherwise(F.log10((1 - F.col("unseen")) * F.col("c") / F.col("in_tail")))
-    met = met.select("chunk", "at", "own", base.alias("base"), share.alias("share"), F.col("c").isNotNull().cast("int").alias("known"))
-    out = _written(common.map_arrow(streamed(coded, met), _score(sc.broadcast((model.relative(v.prior), v.prior)), states, v.size), SCORED))
+    both = own.unionByName(chunks.drop("texts"), allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk")
+    with common.batches_of(spark, WORD_ROWS):
+        out = common.written(common.map_arrow(both, _score(spark.sparkContext.broadcast((model, v, norms))), SCORED))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

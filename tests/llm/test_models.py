@@ -140,42 +140,159 @@ def test_a_misspelled_term_of_four_letters_is_a_hit_unless_the_sample_finds_it_i
     assert score("a scum")[0] > 0.5 and score("a skum")[0] < 0.5
 
 
-def test_scaled_forward_and_baum_welch_match_enumeration():
+def normal(x, axis):
+    return x / x.sum(axis, keepdims=True)
+
+
+def paths_of(model, text, start):
+    """All paths of states through a text, and their probabilities with it."""
+    k = len(model.moves)
+    paths = np.stack(np.meshgrid(*[range(k)] * len(text), indexing="ij"), -1).reshape(-1, len(text))
+    p = [start[s[0]] * np.prod([model.moves[a, b] for a, b in zip(s[:-1], s[1:], strict=True)]) * np.prod([model.emissions[x, q] for x, q in zip(text, s, strict=True)]) for s in paths.tolist()]
+    return paths.tolist(), np.array(p)
+
+
+@pytest.mark.parametrize(("segment", "group"), [(256, 10_000), (3, 10_000), (3, 4)])
+def test_scaled_forward_and_baum_welch_match_enumeration(monkeypatch, segment, group):
+    monkeypatch.setattr(language_model, "SEGMENT", segment)
+    monkeypatch.setattr(language_model, "GROUP", group)
     rng = np.random.default_rng(2)
     k, size = 3, 6
-    normal = lambda x, axis: x / x.sum(axis, keepdims=True)
-    model = language_model.Model(normal(rng.random(k), 0), normal(rng.random((k, k)), 1), normal(rng.random((size, k)), 0))
-    texts = [rng.integers(0, size, n) for n in (5, 1, 4, 4, 2)]
+    model = language_model.Model(normal(rng.random((2, k)), 1), normal(rng.random((k, k)), 1), normal(rng.random((size, k)), 0))
+    texts = [rng.integers(0, size, n) for n in (5, 1, 8, 4, 4, 2)]
     prior = np.array([0.3, 0.1, 0.2, 0.15, 0.05, 0.2])
-    lattice = language_model.Lattice(sorted(texts, key=len, reverse=True), language_model.Model(model.start, model.moves, model.emissions / prior[:, None]), prior, np.float64)
-    logs = lattice.forward()
-    counts = np.zeros((size, k))
-    start, moves = lattice.expected(counts)
-    counts = counts.T
-    true_counts, true_start, true_moves, true_logs = np.zeros((k, size)), np.zeros(k), np.zeros((k, k)), []
-    for t in sorted(texts, key=len, reverse=True):
-        paths = np.stack(np.meshgrid(*[range(k)] * len(t), indexing="ij"), -1).reshape(-1, len(t))
-        p = np.array([model.start[s[0]] * np.prod([model.moves[a, b] for a, b in zip(s[:-1], s[1:], strict=True)]) * np.prod([model.emissions[x, q] for x, q in zip(t, s, strict=True)]) for s in paths.tolist()])
-        true_logs.append(math.log10(p.sum()))
-        for s, w in zip(paths.tolist(), p / p.sum(), strict=True):
-            true_start[s[0]] += w
-            for x, q in zip(t, s, strict=True):
-                true_counts[q, x] += w
-            for a, b in zip(s[:-1], s[1:], strict=True):
-                true_moves[a, b] += w
-    assert np.allclose(logs, true_logs)
-    assert np.allclose(counts, true_counts) and np.allclose(start, true_start) and np.allclose(moves, true_moves)
+    relative = model.emissions / prior[:, None]
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    logs = language_model.likelihoods(ids, lengths, relative, model.start[0], model.moves) + np.array([np.log10(prior[t]).sum() for t in texts])
+    assert np.allclose(logs, [math.log10(paths_of(model, t, model.start[0])[1].sum()) for t in texts])
+    counts, by_class = language_model.Counts(k, 0), np.zeros((k, size))
+    for at, n, first in language_model.lattices(lengths):
+        language_model.expect(ids[at], n, first.astype(np.int64), model, relative, counts, by_class)
+    want, emitted = language_model.Counts(k, 0), np.zeros((k, size))
+    for t in texts:
+        for later, piece in enumerate(t[x : x + segment] for x in range(0, len(t), segment)):
+            start = want.start[min(later, 1)]
+            paths, p = paths_of(model, piece, model.start[min(later, 1)])
+            for s, w in zip(paths, p / p.sum(), strict=True):
+                start[s[0]] += w
+                for x, q in zip(piece, s, strict=True):
+                    emitted[q, x] += w
+                for a, b in zip(s[:-1], s[1:], strict=True):
+                    want.moves[a, b] += w
+    assert np.allclose(by_class, emitted) and np.allclose(counts.start, want.start) and np.allclose(counts.moves, want.moves)
+
+
+def test_a_very_long_text_is_scored_uncut_and_its_segments_train_side_by_side():
+    rng = np.random.default_rng(3)
+    model = language_model.Model(normal(rng.random((2, 2)), 1), normal(rng.random((2, 2)), 1), normal(rng.random((5, 2)), 0))
+    text = rng.integers(0, 5, 20_000)
+    a, log = model.start[0] * model.emissions[text[0]], 0.0
+    for x in text[1:]:
+        a = (a @ model.moves) * model.emissions[x]
+        log, a = log + math.log10(a.sum()), a / a.sum()
+    got = language_model.likelihoods(np.concatenate((text, text[:3])), np.array([20_000, 3]), model.emissions, model.start[0], model.moves)
+    assert math.isclose(got[0], log + math.log10(a.sum()), rel_tol=1e-9)
+    groups = list(language_model.lattices(np.array([20_000, 3])))
+    assert max(len(n) for _, n, _ in groups) == language_model.SEGMENT and sorted(np.concatenate([at for at, _, _ in groups]).tolist()) == list(range(20_003))
+    assert sum(int(f.sum()) for _, _, f in groups) == 2
+
+
+def scores_again(rows, states, iterations, top, tails, own, prior_weight, steps):
+    """The language model in plain Python, a text and a token at a time: log10 probability of each text."""
+    split = lambda t: (t or "").encode().lower().split()
+    train = [split(t) for d, t in rows if fold(d, 10)]
+    c = Counter(w for t in train for w in t)
+    cut = max([n for n in {0, *c.values()} if sum(m > n for m in c.values()) <= top and (n == 0 or sum(m >= n for m in c.values()) > top)], default=0)
+    place = {w: k for k, w in enumerate(sorted((w for w in c if c[w] > cut), key=lambda w: (-c[w], w)))}
+    klass = lambda w: place[w] if w in place else top + zlib.crc32(w[-3:]) % tails
+    size, end = top + tails + 1, top + tails
+    in_tail, once = Counter(), Counter()
+    for w, n in c.items():
+        if w not in place:
+            in_tail[klass(w)] += n
+            once[klass(w)] += n == 1
+    prior = np.full(size, 0.1)
+    for w, n in c.items():
+        prior[klass(w)] += n
+    prior[end] += len(train)
+    prior /= prior.sum()
+    first = language_model.Model.first(prior, states)
+    start, moves, emissions = first.start[0].copy(), first.moves, first.emissions
+    factor = {}
+    for step in range(iterations):
+        s, m, e, by_word = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), {}
+        for t in train:
+            x = [*map(klass, t), end]
+            alpha = [start * emissions[x[0]]]
+            for q in x[1:]:
+                alpha.append((alpha[-1] @ moves) * emissions[q])
+            beta = [np.ones(states)]
+            for q in reversed(x[1:]):
+                beta.insert(0, moves @ (emissions[q] * beta[0]))
+            total = alpha[-1].sum()
+            posterior = [a * b / total for a, b in zip(alpha, beta, strict=True)]
+            s += posterior[0]
+            for k, q in enumerate(x):
+                e[q] += posterior[k]
+                if k:
+                    m += np.outer(alpha[k - 1], emissions[q] * beta[k]) * moves / total
+            for k, w in enumerate(t):
+                if w not in place:
+                    by_word[w] = by_word.get(w, 0) + posterior[k]
+        if step == iterations - 1:
+            usual = normal(e + 1, 1)
+            for w, n in by_word.items():
+                q = usual[klass(w)]
+                factor[w] = np.exp2(np.rint(np.log2((n + own * q) / ((n.sum() + own) * q)) * steps) / steps)
+        start, moves, emissions = normal(s + 0.1, 0), normal(m + 0.1, 1), normal(e + prior_weight * prior[:, None], 0)
+    norm = {k: sum(c[w] * f for w, f in factor.items() if klass(w) == k) / in_tail[k] for k in in_tail}
+    out = {}
+    for d, t in rows:
+        a, log = start, 0.0
+        for k, w in enumerate([*split(t), None]):
+            q = end if w is None else klass(w)
+            p = emissions[q].copy()
+            if w is not None and w not in place and in_tail[q]:
+                unseen = (once[q] + 1) / (in_tail[q] + 2)
+                p *= factor[w] / norm[q] * (1 - unseen) * c[w] / in_tail[q] if w in c else unseen
+            a = (a @ moves if k else a) * p
+            log, a = log + math.log10(a.sum()), a / a.sum()
+        out[d] = log
+    return out
+
+
+def test_scores_match_the_model_in_plain_python(frame, monkeypatch):
+    rng = random.Random(11)
+    rows = [(d, " ".join(f"{'ab'[d % 2]}{rng.randrange(40)}" for _ in range(rng.randrange(12))) + (f" rare{d}" if d % 4 == 0 else "")) for d in range(120)]
+    rows += [(500, None), (501, "never seen words"), (502, "a1"), (503, "A1 a1\ta2")]
+    monkeypatch.setattr(language_model, "TOP", 20)
+    monkeypatch.setattr(language_model, "TAILS", 16)
+    monkeypatch.setattr(language_model, "CHUNK", 150)
+    got = {r.doc_id: r.score for r in language_model.scored(frame(rows), states=2, iterations=3).collect()}
+    want = scores_again(rows, 2, 3, 20, 16, language_model.OWN, language_model.PRIOR, language_model.STEPS)
+    assert got.keys() == want.keys()
+    assert max(abs(got[d] - want[d]) / (1 + abs(want[d])) for d in got) < 2e-4
+
+
+def test_of_words_of_one_count_all_or_none_are_in_the_top(spark, monkeypatch):
+    counts = spark.createDataFrame([(w.encode(), n) for w, n in (("a", 9), ("b", 5), ("c", 5), ("d", 5), ("e", 1))], "word binary, c long")
+    for top, want in ((1, 1), (3, 1), (4, 4), (9, 5)):
+        monkeypatch.setattr(language_model, "TOP", top)
+        v = language_model.vocabulary(counts, 2)
+        assert len(v.place) == want and v.n == 27 and v.v == 6 and v.in_tail.sum() == 25 - v.counts.sum()
+        assert math.isclose(v.prior.sum(), 1)
 
 
 def test_base_scores_match_brute_force_and_the_model_is_better(clash, monkeypatch):
     rng = random.Random(9)
-    rows = list({d: (d, t) for d, t in ODD}.values())
+    rows = list(ODD)  # with repeated rows
     for k in range(300):
         name = "ab"[k % 2]
         rows.append((100 + k, " ".join(f"{name}{min(int(rng.expovariate(0.05)), 200)}" for _ in range(40)) + (f" Only{k}" if k % 3 == 0 else "")))
     monkeypatch.setattr(language_model, "TOP", 60)
-    got = {r.doc_id: r for r in language_model.scored(clash(rows), states=3).collect()}
-    assert len(got) == len(rows)
+    all_ = language_model.scored(clash(rows), states=3).collect()
+    got = {r.doc_id: r for r in all_}
+    assert Counter(r.doc_id for r in all_) == Counter(d for d, _ in rows)
     end = object()
     split = lambda t: [*(t or "").encode().lower().split(), end]
     c = Counter(w for d, t in rows if fold(d, 10) for w in split(t))
@@ -193,9 +310,19 @@ def test_every_iteration_covers_all_training_texts_long_ones_too(frame, monkeypa
     """From the noise of Model.first() on; a text of over 2,000 words takes part from the first iteration."""
     rows = [(d, prose(d, 2_500 if d % 5 == 0 else 20)) for d in range(40)]
     calls, plain = [], language_model.baum_welch
-    monkeypatch.setattr(language_model, "baum_welch", lambda training, model, prior, *more: calls.append((training.count(), model, prior)) or plain(training, model, prior, *more))
+    tokens = lambda rows: sum(len(r.classes) // 2 for r in rows.collect())
+    monkeypatch.setattr(language_model, "baum_welch", lambda training, model, prior: calls.append((tokens(training), model, prior)) or plain(training, model, prior))
+    gathered = language_model.gathered  # of every iteration, the last among them
+
+    def expected(*a):
+        counts = gathered(*a)
+        calls.append((round(counts.emissions.sum()), None, None))
+        return counts
+
+    monkeypatch.setattr(language_model, "gathered", expected)
     language_model.scored(frame(rows), states=2).count()
-    assert [n for n, _, _ in calls] == [sum(fold(d, 10) != 0 for d, _ in rows)] * language_model.ITERATIONS
+    n = sum(len(t.split()) + 1 for d, t in rows if fold(d, 10))
+    assert [x for x, _, _ in calls] == [n] * (2 * language_model.ITERATIONS - 1)
     assert np.allclose(calls[0][1].emissions, language_model.Model.first(calls[0][2], 2).emissions, rtol=1e-6)
 
 
