@@ -27,14 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *partitioning: str) -> DataFrame:
+def written(df: DataFrame, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
+    path = path or shared_folder(spark)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Sets how many rows and bytes an Arrow batch has at most; a longer row is a batch by itself."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

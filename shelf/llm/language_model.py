@@ -14,7 +14,7 @@ counts, which are summed over partitions by blocks of classes. Each of ITERATION
 expected counts of every word outside the top are gathered too, and give it its factors. A text's score is the exact scaled
 forward likelihood of its whole sequence of words, uncut.
 
-Tables. Texts lie in chunks of about CHUNK tokens, a row each: numbers of words in the chunk's own list of words. Training
+Tables. Texts lie in chunks of about CHUNK bytes, a row each: numbers of words in the chunk's own list of words. Training
 segments lie beside them as lattices, in the order in which the recursion takes their tokens, so an iteration only reads
 rows. The rows of words that chunks hold are shuffled once by word, to be summed, and once by chunk, to be scored.
 Of the rows of one word there are as many as chunks that hold it, and a word outside the top is at most one in TOP tokens.
@@ -29,7 +29,6 @@ from __future__ import annotations
 import gc
 import math
 import zlib
-from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -40,13 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import words
 
 FOLDS = 10
 TOP, TAILS = 40_000, 8_192
 STATES, ITERATIONS = 8, 12
-#: Tokens of a chunk and of a lattice, about; of a segment, at most. Blocks in which classes are summed.
-CHUNK, GROUP, SEGMENT, BLOCKS = 2_000_000, 65_536, 256, 64
+#: Bytes of a chunk and tokens of a lattice, about; tokens of a segment, at most. Blocks in which classes are summed.
+CHUNK, GROUP, SEGMENT, BLOCKS = 12_000_000, 65_536, 256, 64
 #: Steps between two scalings of a recursion.
 RESCALE = 3
 #: Weight of the class distribution in each state's emissions, as so many tokens.
@@ -55,8 +53,10 @@ PRIOR = 200.0
 OWN = 5.0
 #: Factors are kept as 16-bit logarithms, so many steps to a power of 2.
 STEPS = 512
-#: Rows in an Arrow batch of lattices and of words' rows.
-LATTICE_ROWS, WORD_ROWS = 64, 20_000
+#: Rows in an Arrow batch of texts, lattices and words' rows.
+TEXT_ROWS, LATTICE_ROWS, WORD_ROWS = 1_024, 64, 20_000
+#: Expected counts of words are kept as 16-bit shares of their training counts.
+SHARES = 65_535
 
 _CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("texts", pa.int64()), ("word", pa.binary()), ("c", pa.int64())])
 CHUNKS = "chunk long, doc_id array<long>, held_out binary, lengths binary, ids binary, words binary, texts long, word binary, c long"
@@ -108,8 +108,26 @@ class Chunk:
     @staticmethod
     def of(batch: pa.RecordBatch, k: int) -> Chunk:
         value = lambda name: batch.column(name)[k].as_buffer()
-        words_of = batch.column("words")[k].as_py().split(b" ")
-        return Chunk(np.frombuffer(value("ids"), np.int32), np.frombuffer(value("lengths"), np.int64), np.frombuffer(value("held_out"), bool), words_of)
+        planes = np.frombuffer(value("ids"), np.uint8).reshape(4, -1)
+        return Chunk(planes.T.copy().view(np.int32).ravel(), np.frombuffer(value("lengths"), np.int64), np.frombuffer(value("held_out"), bool), batch.column("words")[k].as_py().split(b" "))
+
+
+def planes(ids: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, lowest bytes first: most others are 0 and compress away."""
+    return ids.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbered(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of the words of texts, one behind the other and each with its end, which is 0; lengths; words by number."""
+    plain = [pc.fill_null(t, "") for t in texts]
+    lists = [pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(t))) for t in plain]  # [""] where there are no words
+    lengths = np.concatenate([pc.list_value_length(x).to_numpy() for x in lists]).astype(np.int64)
+    coded = pa.concat_arrays([pa.array([""], lists[0].type.value_type), *(x.flatten() for x in lists)]).dictionary_encode()
+    numbers = coded.indices.to_numpy()[1:]
+    ends = np.cumsum(lengths)
+    wordless = numbers[ends - 1] == 0
+    ids = np.insert(numbers, ends[~wordless], 0)
+    return ids, lengths + ~wordless, coded.dictionary.cast(pa.binary())
 
 
 def _split(size: int):
@@ -118,38 +136,29 @@ def _split(size: int):
     def run(it):
         number = TaskContext.get().partitionId() << 33
 
-        def fresh():
-            place: defaultdict = defaultdict()
-            place.default_factory = place.__len__
-            place.__getitem__(b"")  # the end
-            return place, [], [], []
-
         def rows():
-            chunk = Chunk(np.concatenate(ids), np.array([len(x) for x in ids], np.int64), np.array(held, bool), list(place))
+            ids, lengths, words_of = _numbered([b.column("text") for b in held])
+            held_out = np.concatenate([b.column("held_out").to_numpy(zero_copy_only=False) for b in held])
+            chunk = Chunk(ids, lengths, held_out, words_of.to_pylist())
             yield rows_of(
-                _CHUNKS, chunk=[number], doc_id=[docs], held_out=[chunk.held_out.tobytes()], lengths=[chunk.lengths.tobytes()], ids=[chunk.ids.tobytes()],
-                words=[b" ".join(chunk.words)], texts=[int((~chunk.held_out).sum())],
+                _CHUNKS, chunk=[number], doc_id=[pa.concat_arrays([b.column("doc_id") for b in held])], held_out=[held_out.tobytes()], lengths=[lengths.tobytes()],
+                ids=[planes(ids)], words=[b" ".join(chunk.words)], texts=[int((~held_out).sum())],
             )
-            counts = np.bincount(chunk.training()[0], minlength=len(place))
+            counts = np.bincount(chunk.training()[0], minlength=len(chunk.words))
             counts[0] = 0
             known = np.flatnonzero(counts)
             if len(known):
-                yield rows_of(_CHUNKS, word=pa.array(chunk.words, pa.binary()).take(pa.array(known)), c=counts[known])
+                yield rows_of(_CHUNKS, word=words_of.take(pa.array(known)), c=counts[known])
 
-        (place, ids, docs, held), tokens = fresh(), 0
+        held, tokens = [], 0
         for b in common.each(it):
-            for doc, held_out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b.column("text")), strict=True):
-                some = words(text)
-                some.append(b"")
-                ids.append(np.fromiter(map(place.__getitem__, some), np.int32, len(some)))
-                docs.append(doc)
-                held.append(held_out)
-                tokens += len(some)
-                if tokens >= size:
-                    yield from rows()
-                    number += 1
-                    (place, ids, docs, held), tokens = fresh(), 0
-        if ids:
+            held.append(b)
+            tokens += pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
+            if tokens >= size:
+                yield from rows()
+                number += 1
+                held, tokens = [], 0
+        if held:
             yield from rows()
 
     return run
@@ -269,8 +278,8 @@ def lattices(lengths: np.ndarray):
             yield begins[some][np.arange(len(step)) - np.repeat(np.cumsum(n) - n, n)] + step, n, first[some]
 
 
-def expect(tokens: np.ndarray, n: np.ndarray, first: np.ndarray, model: Model, emissions: np.ndarray, counts: Counts, by_token: np.ndarray) -> None:
-    """The E-step of a lattice: adds starts and moves to counts, and to by_token (K, tokens) the expected emissions.
+def expect(tokens: np.ndarray, n: np.ndarray, first: np.ndarray, model: Model, emissions: np.ndarray, counts: Counts) -> np.ndarray:
+    """The E-step of a lattice: adds starts and moves to counts; of each token the posterior of its state (K, tokens).
 
     emissions (tokens, K) are relative to the class distribution; so it is enough to scale every RESCALE steps.
     """
@@ -305,8 +314,13 @@ def expect(tokens: np.ndarray, n: np.ndarray, first: np.ndarray, model: Model, e
         counts.moves += (alpha.take(before, axis=0).T @ v) * moves
     counts.start[0] += beta[: n[0]][first == 1].sum(0)
     counts.start[1] += beta[: n[0]][first == 0].sum(0)
-    for k, posterior in enumerate(np.ascontiguousarray(beta.T)):
-        by_token[k] += np.bincount(tokens, posterior, by_token.shape[1])
+    return np.ascontiguousarray(beta.T)
+
+
+def add(by_token: np.ndarray, tokens: np.ndarray, posteriors: np.ndarray) -> None:
+    """Adds posteriors to the expected emissions (K, classes or words)."""
+    for k, p in enumerate(posteriors):
+        by_token[k] += np.bincount(tokens, p, by_token.shape[1])
 
 
 def likelihoods(ids: np.ndarray, lengths: np.ndarray, emissions: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -427,7 +441,7 @@ def _expect(shared, size: int):
         for b in common.each(it):
             for row in zip(*(b.column(c).to_pylist() for c in ("classes", "n", "first")), strict=True):
                 classes, n, first = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(row, (np.uint16, np.int32, np.int8), strict=True))
-                expect(classes, n, first, model, model.emissions, counts, by_class)
+                add(by_class, classes, expect(classes, n, first, model, model.emissions, counts))
         if counts.start.any():
             yield from _emit(pa.schema(_SUMS), by_class.T, _rest(counts))
 
@@ -456,8 +470,15 @@ def _expect_words(shared):
                 classes = v.classes(chunk.words)
                 ids, lengths = chunk.training()
                 emissions, by_word = model.emissions[classes], np.zeros((states, len(classes)))
+                tokens, posteriors = [], []
                 for at, n, first in lattices(lengths):
-                    expect(ids[at].astype(np.int64), n, first.astype(np.int64), model, emissions, counts, by_word)
+                    tokens.append(ids[at].astype(np.int64))
+                    posteriors.append(expect(tokens[-1], n, first.astype(np.int64), model, emissions, counts))
+                    if len(tokens) == 8:
+                        add(by_word, np.concatenate(tokens), np.hstack(posteriors))
+                        tokens, posteriors = [], []
+                if tokens:
+                    add(by_word, np.concatenate(tokens), np.hstack(posteriors))
                 for s in range(states):
                     by_class[s] += np.bincount(classes, by_word[s], v.size)
                 places = np.flatnonzero((classes >= v.top) & (classes < v.end))
@@ -465,7 +486,9 @@ def _expect_words(shared):
                 for some in np.array_split(np.arange(len(places)), -(-len(places) // 100_000) or 1):
                     at = places[some]
                     if len(at):
-                        expected = packed(by_word[:, at[seen[some] > 0]].T.astype(np.float32), seen[some] > 0)
+                        has = seen[some] > 0
+                        shares = np.rint(by_word[:, at[has]] / seen[some][has] * SHARES)
+                        expected = packed(shares.clip(0, SHARES).T.astype(np.uint16), has)
                         yield rows_of(
                             _EXPECTED, word=[chunk.words[x] for x in at.tolist()], tail=classes[at] - v.top, chunk=pa.repeat(b.column("chunk")[k], len(at)), place=at, c=seen[some], expected=expected
                         )
@@ -510,7 +533,7 @@ def _own(shared):
         for rows, begins in _by_word(it):
             c, tails = rows.column("c").to_numpy(), rows.column("tail").to_numpy()[begins]
             expected = np.zeros((len(c), states))
-            expected[c > 0] = np.frombuffer(b"".join(rows.column("expected").to_pylist()), np.float32).reshape(-1, states)
+            expected[c > 0] = np.frombuffer(b"".join(rows.column("expected").to_pylist()), np.uint16).reshape(-1, states) * (c[c > 0, None] / SHARES)
             of_word, count = np.add.reduceat(expected, begins, axis=0), np.add.reduceat(c, begins)
             q = usual[tails]
             factors = (of_word + OWN * q) / ((of_word.sum(1, keepdims=True) + OWN) * q)
@@ -531,12 +554,14 @@ def baum_welch_words(chunks: DataFrame, model: Model, v: Vocabulary) -> tuple[Mo
     in each chunk its training count and factors; by tail and state what shares times factors sum to."""
     spark, states = chunks.sparkSession, len(model.moves)
     with common.batches_of(spark, WORD_ROWS):
-        rows = common.written(common.map_arrow(chunks, _expect_words(spark.sparkContext.broadcast((model.relative(v.prior), v))), EXPECTED))
+        at = common.shared_folder(spark)
+        rows = common.written(common.map_arrow(chunks, _expect_words(spark.sparkContext.broadcast((model.relative(v.prior), v))), EXPECTED), at, "zstd")
         counts = gathered(rows.where("block is not null"), states, v.size)
         usual = counts.emissions[v.top : v.end] + 1
         usual /= usual.sum(1, keepdims=True)
         by_word = rows.where("word is not null").select("word", "tail", "chunk", "place", "c", "expected").repartition("word").sortWithinPartitions("word")
         own = common.written(common.map_arrow(by_word, _own(spark.sparkContext.broadcast(usual)), OWN_ROWS))
+        common.discard(spark, at)
         norms, _ = summed(own.where("block is not null"), states + 1, len(usual), 1)
     norms = np.where(norms[:, -1:] > 0, norms[:, :-1] / np.maximum(norms[:, -1:], 1), 1.0)
     return Model.from_counts(counts, v.prior), own.where("block is null").select("chunk", "place", "c", "own"), norms
@@ -607,15 +632,19 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     """Of each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold(docs["doc_id"], FOLDS) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    split = common.written(common.map_arrow(rows, _split(CHUNK), CHUNKS))
+    with common.batches_of(spark, TEXT_ROWS):
+        split = common.written(common.map_arrow(rows, _split(CHUNK), CHUNKS), codec="zstd")
     chunks = split.where("chunk is not null").drop("word", "c")
-    counts = common.written(split.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
+    at = [common.shared_folder(spark) for _ in range(2)]
+    counts = common.written(split.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), at[0])
     v = vocabulary(counts, chunks.agg(F.sum("texts")).first()[0] or 0)
     released(spark)
-    training = common.written(common.map_arrow(chunks, _lattices(spark.sparkContext.broadcast(v)), LATTICES))
+    training = common.written(common.map_arrow(chunks, _lattices(spark.sparkContext.broadcast(v)), LATTICES), at[1])
     model = Model.first(v.prior, states)
     for _ in range(iterations - 1):
         model = baum_welch(training, model, v.prior)
+    for path in at:
+        common.discard(spark, path)
     model, own, norms = baum_welch_words(chunks, model, v)
     released(spark)
     both = own.unionByName(chunks.drop("texts"), allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk")

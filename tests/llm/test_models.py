@@ -167,7 +167,7 @@ def test_scaled_forward_and_baum_welch_match_enumeration(monkeypatch, segment, g
     assert np.allclose(logs, [math.log10(paths_of(model, t, model.start[0])[1].sum()) for t in texts])
     counts, by_class = language_model.Counts(k, 0), np.zeros((k, size))
     for at, n, first in language_model.lattices(lengths):
-        language_model.expect(ids[at], n, first.astype(np.int64), model, relative, counts, by_class)
+        language_model.add(by_class, ids[at], language_model.expect(ids[at], n, first.astype(np.int64), model, relative, counts))
     want, emitted = language_model.Counts(k, 0), np.zeros((k, size))
     for t in texts:
         for later, piece in enumerate(t[x : x + segment] for x in range(0, len(t), segment)):
@@ -267,7 +267,8 @@ def test_scores_match_the_model_in_plain_python(frame, monkeypatch):
     rows += [(500, None), (501, "never seen words"), (502, "a1"), (503, "A1 a1\ta2")]
     monkeypatch.setattr(language_model, "TOP", 20)
     monkeypatch.setattr(language_model, "TAILS", 16)
-    monkeypatch.setattr(language_model, "CHUNK", 150)
+    monkeypatch.setattr(language_model, "CHUNK", 300)
+    monkeypatch.setattr(language_model, "TEXT_ROWS", 5)
     got = {r.doc_id: r.score for r in language_model.scored(frame(rows), states=2, iterations=3).collect()}
     want = scores_again(rows, 2, 3, 20, 16, language_model.OWN, language_model.PRIOR, language_model.STEPS)
     assert got.keys() == want.keys()
