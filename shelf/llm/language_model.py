@@ -44,7 +44,7 @@ FOLDS = 10
 TOP, TAILS = 40_000, 8_192
 STATES, ITERATIONS = 8, 12
 #: Bytes of a chunk and tokens of a lattice, about; tokens of a segment, at most. Blocks in which classes are summed.
-CHUNK, GROUP, SEGMENT, BLOCKS = 12_000_000, 65_536, 256, 64
+CHUNK, GROUP, SEGMENT, BLOCKS = 24_000_000, 131_072, 512, 64
 #: Steps between two scalings of a recursion.
 RESCALE = 3
 #: Weight of the class distribution in each state's emissions, as so many tokens.
@@ -58,8 +58,8 @@ TEXT_ROWS, LATTICE_ROWS, WORD_ROWS = 1_024, 64, 20_000
 #: Expected counts of words are kept as 16-bit shares of their training counts.
 SHARES = 65_535
 
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("texts", pa.int64()), ("word", pa.binary()), ("c", pa.int64())])
-CHUNKS = "chunk long, doc_id array<long>, held_out binary, lengths binary, ids binary, words binary, texts long, word binary, c long"
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.binary()), ("has_id", pa.binary()), ("held_out", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("texts", pa.int64()), ("word", pa.binary()), ("c", pa.int64())])
+CHUNKS = "chunk long, doc_id binary, has_id binary, held_out binary, lengths binary, ids binary, words binary, texts long, word binary, c long"
 _LATTICES = pa.schema([("classes", pa.binary()), ("n", pa.binary()), ("first", pa.binary())])
 LATTICES = "classes binary, n binary, first binary"
 _SUMS = [("block", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())]
@@ -139,10 +139,11 @@ def _split(size: int):
         def rows():
             ids, lengths, words_of = _numbered([b.column("text") for b in held])
             held_out = np.concatenate([b.column("held_out").to_numpy(zero_copy_only=False) for b in held])
+            docs = pa.concat_arrays([b.column("doc_id") for b in held])
             chunk = Chunk(ids, lengths, held_out, words_of.to_pylist())
             yield rows_of(
-                _CHUNKS, chunk=[number], doc_id=[pa.concat_arrays([b.column("doc_id") for b in held])], held_out=[held_out.tobytes()], lengths=[lengths.tobytes()],
-                ids=[planes(ids)], words=[b" ".join(chunk.words)], texts=[int((~held_out).sum())],
+                _CHUNKS, chunk=[number], doc_id=[docs.fill_null(0).to_numpy().tobytes()], has_id=[docs.is_valid().to_numpy(zero_copy_only=False).tobytes()],
+                held_out=[held_out.tobytes()], lengths=[lengths.tobytes()], ids=[planes(ids)], words=[b" ".join(chunk.words)], texts=[int((~held_out).sum())],
             )
             counts = np.bincount(chunk.training()[0], minlength=len(chunk.words))
             counts[0] = 0
@@ -617,7 +618,8 @@ def _score(shared):
             begins = np.cumsum(chunk.lengths) - chunk.lengths
             sums = lambda x: np.add.reduceat(x[chunk.ids], begins)  # noqa: E731, B023
             score = sums(logs) + likelihoods(chunk.ids, chunk.lengths, emissions, model.start[0], model.moves)
-            yield common.batch(_SCORED, row.column("doc_id")[0].values, chunk.held_out, chunk.lengths, sums((count > 0).astype(np.int64)), sums(base), score)
+            docs = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("doc_id", np.int64), ("has_id", bool)))
+            yield common.batch(_SCORED, pa.array(next(docs), mask=~next(docs)), chunk.held_out, chunk.lengths, sums((count > 0).astype(np.int64)), sums(base), score)
 
     return run
 
