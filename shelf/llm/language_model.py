@@ -28,8 +28,6 @@ from __future__ import annotations
 
 import gc
 import math
-import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +43,8 @@ TOP, TAILS = 40_000, 8_192
 STATES, ITERATIONS = 8, 12
 #: Bytes of a chunk and tokens of a lattice, about; tokens of a segment, at most. Blocks in which classes are summed.
 CHUNK, GROUP, SEGMENT, BLOCKS = 24_000_000, 131_072, 512, 64
-#: Steps between two scalings of a recursion.
-RESCALE = 3
+#: Steps between two scalings of a recursion; steps whose emissions are looked up at once.
+RESCALE, STRIDE = 3, 16
 #: Weight of the class distribution in each state's emissions, as so many tokens.
 PRIOR = 200.0
 #: Weight of its class' states in those of a tail word, as so many tokens.
@@ -58,8 +56,8 @@ TEXT_ROWS, LATTICE_ROWS, WORD_ROWS = 1_024, 64, 20_000
 #: Expected counts of words are kept as 16-bit shares of their training counts.
 SHARES = 65_535
 
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.binary()), ("has_id", pa.binary()), ("held_out", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("texts", pa.int64()), ("word", pa.binary()), ("c", pa.int64())])
-CHUNKS = "chunk long, doc_id binary, has_id binary, held_out binary, lengths binary, ids binary, words binary, texts long, word binary, c long"
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.binary()), ("has_id", pa.binary()), ("held_out", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("sizes", pa.binary()), ("texts", pa.int64()), ("word", pa.binary()), ("c", pa.int64())])
+CHUNKS = "chunk long, doc_id binary, has_id binary, held_out binary, lengths binary, ids binary, words binary, sizes binary, texts long, word binary, c long"
 _LATTICES = pa.schema([("classes", pa.binary()), ("n", pa.binary()), ("first", pa.binary())])
 LATTICES = "classes binary, n binary, first binary"
 _SUMS = [("block", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())]
@@ -72,14 +70,35 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def tail_of(word: bytes, tails: int) -> int:
-    return zlib.crc32(word[-3:]) % tails
-
-
 def _tail(word):
+    """Of a column of words the tail class: crc32 of the last three bytes, modulo TAILS."""
     return (F.crc32(F.substring(word, -3, 3)) % TAILS).cast("int")
 
 
+#: crc32's table: what each byte does to the register.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def tails_of(words_of: pa.BinaryArray, tails: int) -> np.ndarray:
+    """_tail() over an array."""
+    ends, data = offsets(words_of)
+    begins = np.maximum(ends[:-1], ends[1:] - 3)
+    crc = np.full(len(words_of), 0xFFFFFFFF, np.uint32)
+    for k in range(3):
+        has = np.flatnonzero(begins + k < ends[1:])
+        crc[has] = _CRC[(crc[has] ^ data[begins[has] + k]) & 0xFF] ^ crc[has] >> 8
+    return (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % tails
+
+
+def offsets(words_of: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values begin and end, and the bytes."""
+    _, at, data = words_of.buffers()
+    at = np.frombuffer(at, np.int32)[words_of.offset : words_of.offset + len(words_of) + 1]
+    return at, np.frombuffer(data, np.uint8) if data and data.size else np.zeros(1, np.uint8)
+
+
 def rows_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch of the columns given; the others are null."""
     n = len(next(iter(columns.values())))
@@ -98,7 +117,7 @@ def packed(rows: np.ndarray, has: np.ndarray) -> pa.Array:
 class Chunk:
     """Texts one behind the other as numbers of words, the end being word 0."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, held_out: np.ndarray, words: list[bytes]):
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, held_out: np.ndarray, words: pa.BinaryArray):
         self.ids, self.lengths, self.held_out, self.words = ids, lengths, held_out, words
 
     def training(self) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +127,18 @@ class Chunk:
     @staticmethod
     def of(batch: pa.RecordBatch, k: int) -> Chunk:
         value = lambda name: batch.column(name)[k].as_buffer()
-        planes = np.frombuffer(value("ids"), np.uint8).reshape(4, -1)
-        return Chunk(planes.T.copy().view(np.int32).ravel(), np.frombuffer(value("lengths"), np.int64), np.frombuffer(value("held_out"), bool), batch.column("words")[k].as_py().split(b" "))
+        ends = np.concatenate(([0], np.cumsum(unplaned(value("sizes"))))).astype(np.int32)
+        words_of = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), value("words")])
+        return Chunk(unplaned(value("ids")), np.frombuffer(value("lengths"), np.int64), np.frombuffer(value("held_out"), bool), words_of)
 
 
-def planes(ids: np.ndarray) -> bytes:
+def planes(numbers: np.ndarray) -> bytes:
     """32-bit numbers byte by byte, lowest bytes first: most others are 0 and compress away."""
-    return ids.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(raw) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
 
 
 def _numbered(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -140,10 +164,11 @@ def _split(size: int):
             ids, lengths, words_of = _numbered([b.column("text") for b in held])
             held_out = np.concatenate([b.column("held_out").to_numpy(zero_copy_only=False) for b in held])
             docs = pa.concat_arrays([b.column("doc_id") for b in held])
-            chunk = Chunk(ids, lengths, held_out, words_of.to_pylist())
+            chunk = Chunk(ids, lengths, held_out, words_of)
+            at, data = offsets(words_of)
             yield rows_of(
                 _CHUNKS, chunk=[number], doc_id=[docs.fill_null(0).to_numpy().tobytes()], has_id=[docs.is_valid().to_numpy(zero_copy_only=False).tobytes()],
-                held_out=[held_out.tobytes()], lengths=[lengths.tobytes()], ids=[planes(ids)], words=[b" ".join(chunk.words)], texts=[int((~held_out).sum())],
+                held_out=[held_out.tobytes()], lengths=[lengths.tobytes()], ids=[planes(ids)], words=[data[at[0] : at[-1]].tobytes()], sizes=[planes(np.diff(at))], texts=[int((~held_out).sum())],
             )
             counts = np.bincount(chunk.training()[0], minlength=len(chunk.words))
             counts[0] = 0
@@ -172,7 +197,7 @@ class Vocabulary:
     """
 
     def __init__(self, top: list[tuple[bytes, int]], n_words: int, n_types: int, n_texts: int, tails: dict[int, tuple[int, int]]):
-        self.place = {w: k for k, (w, _) in enumerate(top)}
+        self.words = [w for w, _ in top]
         self.counts = np.array([c for _, c in top], dtype=np.float64)
         #: N and V: all training tokens and distinct ones, ends among them.
         self.n = n_words + n_texts
@@ -191,11 +216,10 @@ class Vocabulary:
         classes[self.end] += n_texts
         self.prior = classes / classes.sum()
 
-    def classes(self, words_of: list[bytes]) -> np.ndarray:
+    def classes(self, words_of: pa.BinaryArray) -> np.ndarray:
         """Classes of a chunk's words."""
-        out = np.fromiter(map(self.place.get, words_of, repeat(-1)), np.int64, len(words_of))
-        rest = np.flatnonzero(out < 0)
-        out[rest] = [self.top + tail_of(words_of[k], self.end - self.top) for k in rest.tolist()]
+        place = pc.index_in(words_of, value_set=pa.array(self.words, pa.binary())).fill_null(-1).to_numpy().astype(np.int64)
+        out = np.where(place < 0, self.top + tails_of(words_of, self.end - self.top), place)
         out[0] = self.end
         return out
 
@@ -325,18 +349,22 @@ def add(by_token: np.ndarray, tokens: np.ndarray, posteriors: np.ndarray) -> Non
 
 
 def likelihoods(ids: np.ndarray, lengths: np.ndarray, emissions: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Log10 likelihood of each text by the scaled forward recursion; emissions are by word. Only one step is held."""
+    """Log10 likelihood of each text by the scaled forward recursion; emissions are by word. Only STRIDE steps are held."""
     order = np.argsort(-lengths, kind="stable")
     begins, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
     n = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right").tolist()
-    logs, ones = np.zeros(len(order)), np.ones(len(start))
-    a = start * emissions.take(ids[begins], axis=0)
-    for t in range(1, len(n)):
-        m = n[t]
+    logs, ones, here = np.zeros(len(order)), np.ones(len(start)), np.empty(0)
+    for t, m in enumerate(n):
+        if t % STRIDE == 0:  # emissions of some steps at once, for the texts that reach the first of them
+            steps = np.arange(t, min(t + STRIDE, len(n)))
+            here = emissions.take(ids.take(begins[:m] + steps[:, None], mode="clip"), axis=0)
+        if t == 0:
+            a = start * here[0]
+            continue
         if m < len(a):
             logs[m : len(a)] += np.log10(a[m:] @ ones)
         a = a[:m] @ moves
-        a *= emissions.take(ids[begins[:m] + t], axis=0)
+        a *= here[t % STRIDE, :m]
         if t % RESCALE == 0:
             c = a @ ones
             logs[:m] += np.log10(c)
@@ -491,7 +519,7 @@ def _expect_words(shared):
                         shares = np.rint(by_word[:, at[has]] / seen[some][has] * SHARES)
                         expected = packed(shares.clip(0, SHARES).T.astype(np.uint16), has)
                         yield rows_of(
-                            _EXPECTED, word=[chunk.words[x] for x in at.tolist()], tail=classes[at] - v.top, chunk=pa.repeat(b.column("chunk")[k], len(at)), place=at, c=seen[some], expected=expected
+                            _EXPECTED, word=chunk.words.take(pa.array(at)), tail=classes[at] - v.top, chunk=pa.repeat(b.column("chunk")[k], len(at)), place=at, c=seen[some], expected=expected
                         )
         if counts.start.any():
             yield from _emit(_EXPECTED, by_class.T, _rest(counts))
@@ -500,12 +528,12 @@ def _expect_words(shared):
 
 
 def _by_word(it):
-    """Tables of whole groups of rows of a word, which come sorted, and where each group begins."""
+    """Tables of whole groups of rows of a word, which come sorted by its hash, and where each group begins."""
     held: list[pa.RecordBatch] = []
     for b in common.each(it):
-        w = b.column("word")
-        cuts = np.flatnonzero(pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)) + 1
-        new = bool(held) and held[-1].column("word")[-1] != w[0]
+        key = b.column("key").to_numpy()
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        new = bool(held) and held[-1].column("key")[-1].as_py() != key[0]
         last = int(cuts[-1]) if len(cuts) else (0 if new else None)
         if last is None:
             held.append(b)
@@ -519,9 +547,14 @@ def _by_word(it):
 
 
 def _grouped(batches: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
-    rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-    w = rows.column("word")
-    return rows, np.concatenate(([0], np.flatnonzero(pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)) + 1))
+    rows = pa.Table.from_batches(batches)
+    begins = lambda x: np.concatenate(([0], np.flatnonzero(pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)) + 1))
+    one = rows.combine_chunks().to_batches()[0]
+    of_words = begins(one.column("word"))
+    if len(of_words) != len(begins(one.column("key"))):  # words that share a hash
+        one = rows.sort_by([("key", "ascending"), ("word", "ascending")]).combine_chunks().to_batches()[0]
+        of_words = begins(one.column("word"))
+    return one, of_words
 
 
 def _own(shared):
@@ -560,7 +593,7 @@ def baum_welch_words(chunks: DataFrame, model: Model, v: Vocabulary) -> tuple[Mo
         counts = gathered(rows.where("block is not null"), states, v.size)
         usual = counts.emissions[v.top : v.end] + 1
         usual /= usual.sum(1, keepdims=True)
-        by_word = rows.where("word is not null").select("word", "tail", "chunk", "place", "c", "expected").repartition("word").sortWithinPartitions("word")
+        by_word = rows.where("word is not null").select("word", "tail", "chunk", "place", "c", "expected").repartition("word").withColumn("key", F.xxhash64("word")).sortWithinPartitions("key")
         own = common.written(common.map_arrow(by_word, _own(spark.sparkContext.broadcast(usual)), OWN_ROWS))
         common.discard(spark, at)
         norms, _ = summed(own.where("block is not null"), states + 1, len(usual), 1)

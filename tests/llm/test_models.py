@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelf.llm import labelled, language_model, quality, toxicity
@@ -275,12 +276,27 @@ def test_scores_match_the_model_in_plain_python(frame, monkeypatch):
     assert max(abs(got[d] - want[d]) / (1 + abs(want[d])) for d in got) < 2e-4
 
 
+def test_tails_in_arrays_and_columns_are_crc32_of_the_last_three_bytes(spark):
+    words = [b"", b"a", b"ab", b"abc", b"xabc", "é🙂".encode(), b"\xff\xfe\x00z"]
+    for array in (pa.array(words, pa.binary()), pa.array([b"skipped", *words], pa.binary())[1:]):
+        assert language_model.tails_of(array, 8_192).tolist() == [zlib.crc32(w[-3:]) % 8_192 for w in words]
+    frame = spark.createDataFrame([(w,) for w in words], "w binary")
+    assert [r[0] for r in frame.select(language_model._tail("w")).collect()] == [zlib.crc32(w[-3:]) % 8_192 for w in words]
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    rows = lambda *ws: pa.RecordBatch.from_pylist([{"key": k, "word": w, "c": n} for n, (k, w) in enumerate(ws)])
+    batches = [rows((1, b"a"), (2, b"b")), rows((2, b"c")), rows((2, b"b"), (3, b"d")), rows((3, b"d"))]
+    got = [(x.column("word")[k].as_py(), n) for x, begins in language_model._by_word(iter(batches)) for k, n in zip(begins.tolist(), np.diff([*begins, len(x)]).tolist(), strict=True)]
+    assert got == [(b"a", 1), (b"b", 2), (b"c", 1), (b"d", 2)]
+
+
 def test_of_words_of_one_count_all_or_none_are_in_the_top(spark, monkeypatch):
     counts = spark.createDataFrame([(w.encode(), n) for w, n in (("a", 9), ("b", 5), ("c", 5), ("d", 5), ("e", 1))], "word binary, c long")
     for top, want in ((1, 1), (3, 1), (4, 4), (9, 5)):
         monkeypatch.setattr(language_model, "TOP", top)
         v = language_model.vocabulary(counts, 2)
-        assert len(v.place) == want and v.n == 27 and v.v == 6 and v.in_tail.sum() == 25 - v.counts.sum()
+        assert len(v.words) == want and v.n == 27 and v.v == 6 and v.in_tail.sum() == 25 - v.counts.sum()
         assert math.isclose(v.prior.sum(), 1)
 
 
