@@ -42,7 +42,7 @@ FOLDS = 10
 TOP, TAILS = 40_000, 8_192
 STATES, ITERATIONS = 8, 12
 #: Bytes of a chunk and tokens of a lattice, about; tokens of a segment, at most. Blocks in which classes are summed.
-CHUNK, GROUP, SEGMENT, BLOCKS = 24_000_000, 131_072, 512, 64
+CHUNK, GROUP, SEGMENT, BLOCKS = 24_000_000, 131_072, 128, 64
 #: Steps between two scalings of a recursion; steps whose emissions are looked up at once.
 RESCALE, STRIDE = 3, 16
 #: Weight of the class distribution in each state's emissions, as so many tokens.
@@ -306,37 +306,38 @@ def lattices(lengths: np.ndarray):
 def expect(tokens: np.ndarray, n: np.ndarray, first: np.ndarray, model: Model, emissions: np.ndarray, counts: Counts) -> np.ndarray:
     """The E-step of a lattice: adds starts and moves to counts; of each token the posterior of its state (K, tokens).
 
-    emissions (tokens, K) are relative to the class distribution; so it is enough to scale every RESCALE steps.
+    emissions (tokens, K) are relative to the class distribution; so it is enough to scale every RESCALE steps. The backward
+    recursion is scaled by what the forward one was, and begins with the inverse of its last sum, so that products of both
+    are posteriors as they are.
     """
     off = np.concatenate(([0], np.cumsum(n)))
-    before = np.arange(n[0], off[-1]) - np.repeat(n[:-1], n[1:])
+    even = n[0] == n[-1]
+    before = slice(0, off[-2]) if even else np.arange(n[0], off[-1]) - np.repeat(n[:-1], n[1:])
+    last = slice(off[-2], None) if even else off[np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right") - 1] + np.arange(n[0])
     n, off = n.tolist(), off.tolist()
     moves, back, ones = model.moves, np.ascontiguousarray(model.moves.T), np.ones(len(model.moves), emissions.dtype)
     e = emissions.take(tokens, axis=0)
-    alpha, scale = np.empty_like(e), np.ones(len(e), e.dtype)
+    alpha, scales = np.empty_like(e), {}
     a = np.multiply(e[: n[0]], model.start[1 - first], out=alpha[: n[0]])
     for t in range(1, len(n)):
         at = slice(off[t], off[t + 1])
         a = np.matmul(a[: n[t]], moves, out=alpha[at])
         a *= e[at]
         if t % RESCALE == 0:
-            c = scale[at] = a @ ones
-            a *= (1 / c)[:, None]
-    beta = np.ones_like(e)
+            scales[t] = (1 / (a @ ones))[:, None]
+            a *= scales[t]
+    beta = np.empty_like(e)
+    beta[last] = (1 / (alpha[last] @ ones))[:, None]
     for t in range(len(n) - 1, 0, -1):
         at = slice(off[t], off[t + 1])
-        v = e[at]
+        v = e[at]  # from here on emission times beta
         v *= beta[at]
-        b = np.matmul(v, back, out=beta[off[t - 1] : off[t - 1] + n[t]])
         if t % RESCALE == 0:
-            b *= (1 / (b @ ones))[:, None]
+            v *= scales[t]
+        np.matmul(v, back, out=beta[off[t - 1] : off[t - 1] + n[t]])
+    if len(n) > 1:
+        counts.moves += (alpha[before].T @ e[n[0] :]) * moves
     beta *= alpha
-    both = beta @ ones
-    beta *= (1 / both)[:, None]
-    if len(before):
-        v = e[n[0] :]  # emission times beta
-        v *= (1 / (scale[n[0] :] * both[n[0] :]))[:, None]
-        counts.moves += (alpha.take(before, axis=0).T @ v) * moves
     counts.start[0] += beta[: n[0]][first == 1].sum(0)
     counts.start[1] += beta[: n[0]][first == 0].sum(0)
     return np.ascontiguousarray(beta.T)
