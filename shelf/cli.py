@@ -13,7 +13,7 @@ from .engine import LIMIT, MODES, Engine
 from .operators.models import default_reranker, embedding_provider, load_reranker
 from .plans.crawl import MAX_DEPTH, MAX_PAGES
 from .sources.location import default_store
-from .sources.web import fetch_pages, read_pages
+from .sources.web import DELAY, fetch_pages, read_pages
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,10 +22,11 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     add = sub.add_parser("add", help="fetch and index URLs, or pages of a table")
     add.add_argument("url", nargs="*")
-    add.add_argument("--crawl", action="store_true", help="follow links of the first URL through --pages")
+    add.add_argument("--crawl", action="store_true", help="follow links from the first URL, over the network or through --pages")
     add.add_argument("--depth", type=int, default=MAX_DEPTH)
     add.add_argument("--max-pages", type=int, default=MAX_PAGES)
     add.add_argument("--any-origin", action="store_true")
+    add.add_argument("--delay", type=int, default=int(DELAY * 1000), help="milliseconds between two fetches of a crawl")
     add.add_argument("--include")
     add.add_argument("--exclude")
     refresh = sub.add_parser("refresh", help="read documents again")
@@ -50,20 +51,26 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    a = parser().parse_args(argv)
+    command = parser()
+    a = command.parse_args(argv)
     spark = spark or SparkSession.builder.appName("shelf").getOrCreate()
     engine = Engine(spark, a.store or default_store(), None if getattr(a, "no_embed", False) else embedding_provider())
     collection = getattr(a, "collection", None)
     if a.command in ("add", "refresh"):
+        if a.command == "add" and not a.url and (a.crawl or not a.pages):
+            command.error("add needs a URL" + (" to crawl from" if a.crawl else " or --pages"))
+        if a.command == "refresh" and a.id is None and not a.all:
+            command.error("refresh needs an id or --all")
         if a.pages:
             pages = read_pages(spark, a.pages)
+        elif a.command == "refresh":
+            pages = fetch_pages(engine.targets(None if a.id is None else [a.id], collection).select("url"), spark.sparkContext.defaultParallelism)
         else:
-            wanted = a.url if a.command == "add" else [r.url for r in engine.list_docs(collection).collect()]
-            pages = fetch_pages(spark.createDataFrame([(u,) for u in wanted], "url string"))
+            pages = None if a.crawl else fetch_pages(spark.createDataFrame([(u,) for u in a.url], "url string"))
         if a.command == "refresh":
             print(tools.refresh_doc(engine, pages, a.id, a.all, collection))
         elif a.crawl:
-            done = engine.crawl(pages, a.url[0], collection or "default", a.depth, a.max_pages, not a.any_origin, a.include, a.exclude)
+            done = engine.crawl(pages, a.url[0], collection or "default", a.depth, a.max_pages, not a.any_origin, a.include, a.exclude, a.delay / 1000)
             for r in done.events.toLocalIterator():
                 print(f"{r.kind} [{r.depth}] {r.url}" + (f": {r.error or r.reason}" if r.error or r.reason else ""))
         else:

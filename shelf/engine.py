@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 from .functions.chunking import build_chunks
 from .functions.text import score_tag, snippet
 from .operators import catalog, fulltext, fusion, vector
-from .operators.models import Embedder, Reranker
-from .plans.crawl import MAX_DEPTH, MAX_PAGES, Crawl, crawl
+from .operators.models import RERANK_BATCH, Embedder, Reranker, probe_ollama, providers, reranker_state, transformers_available
+from .plans.crawl import MAX_DEPTH, MAX_PAGES, MISSING, Crawl, crawl
 from .sources.html import read_articles, sections_of
+from .sources.web import DELAY, PAGES, fetch_in_turn
+from .staging import staged
 from .store import Store
 
 LIMIT, MOST = 6, 20
 MODES = ("fts", "vector", "hybrid")
+#: Why a page that was read isn't stored.
+NOTHING = "Nothing to store: the page gave no chunks"
+_HITS = "chunk_id long, doc_id long, doc_title string, doc_url string, collection string, idx int, text string, section_path string, fts_score double, vec_distance double, fused_score double, source string"
 
 
 class Engine:
@@ -29,38 +35,61 @@ class Engine:
     def articles(self, pages: DataFrame) -> DataFrame:
         """Pages (url, html; final_url, if redirects were followed) as articles with their chunks; error where there are none."""
         url = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
-        read = read_articles(pages.select(url.alias("url"), "html"))
+        read = read_articles(pages.select(url.alias("url"), "html", *(["error"] if "error" in pages.columns else [])))
         chunks = build_chunks(sections_of("content_html", "title", "text_content"))
         out = read.withColumn("chunks", F.when(F.col("error").isNull(), chunks))
         none = F.col("error").isNull() & (F.size("chunks") < 1)
-        return out.withColumn("error", F.when(none, "No chunks produced after extraction").otherwise(F.col("error")))
+        return out.withColumn("error", F.when(none, NOTHING).otherwise(F.col("error")))
 
     def add(self, pages: DataFrame, collection: str = schemas.DEFAULT_COLLECTION, embed: bool = True) -> DataFrame:
-        """Reads pages and upserts them; status of each, rejects with their error. New and changed documents are embedded."""
-        articles = self.articles(pages)
+        """Reads pages and upserts them; status of each, rejects with their error. New and changed documents are embedded.
+
+        Pages are fetched and parsed once: what was read of them is written down before anything else looks at it.
+        """
+        return self._ingest(staged(self.articles(pages)), collection, embed)
+
+    def _ingest(self, articles: DataFrame, collection: str, embed: bool = True) -> DataFrame:
+        """articles: a table that is stored and so reads alike each time."""
         good = articles.where("error is null").select("url", "title", "byline", "site_name", F.lit(collection).alias("collection"), "chunks")
         status = self.store.upsert(good)
         if embed and self.embedder:
-            changed = status.where("status <> 'unchanged'").select("doc_id")
-            self.store.init_embeddings(self.embedder.dim, self.embedder.model)
-            self._embed(self.store.pending().join(changed, "doc_id", "left_semi"))
+            self.store.embed_pending(self.embedder, ids=status.where("status <> 'unchanged'"))
         bad = articles.where("error is not null").select(F.lit(None).cast("long").alias("doc_id"), "url", F.lit(collection).alias("collection"), "title", F.lit(0).cast("long").alias("chunk_count"), F.lit("failed").alias("status"), "error")
         return status.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
-    def _embed(self, rows: DataFrame) -> None:
-        from .operators.models import embed_chunks
+    def crawl(
+        self, pages: DataFrame | None, root: str, collection: str = schemas.DEFAULT_COLLECTION, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES,
+        same_origin: bool = True, include: str | None = None, exclude: str | None = None, delay: float = DELAY, fetch=fetch_in_turn,
+    ) -> Crawl:
+        """Crawls a table of pages (url, html; final_url) from root and ingests what it reads, in one upsert; events with the
+        ids of documents. Without a table, pages are fetched: one at a time, in crawl order, delay seconds apart.
 
-        self.store.store_embeddings(embed_chunks(rows, self.embedder))
-
-    def crawl(self, pages: DataFrame, root: str, collection: str = schemas.DEFAULT_COLLECTION, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, same_origin: bool = True, include: str | None = None, exclude: str | None = None) -> Crawl:
-        """Crawls a table of pages from root and ingests what it reads, in one upsert; events with the ids of documents."""
-        final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
-        read = F.col("error").isNull() | F.col("error").startswith("No chunks")
-        articles = self.articles(pages).select(F.col("url").alias("_final"), "links", "error", read.alias("fetched"))
-        table = pages.select("url", final.alias("final_url")).join(articles, F.col("final_url") == F.col("_final")).drop("_final").dropDuplicates(["url"])
-        done = crawl(self.spark, table, root, max_depth, max_pages, same_origin, include, exclude)
-        status = self.add(pages.join(done.fetched.select("url"), "url", "left_semi"), collection)
-        of = table.select("url", "final_url").join(status.select(F.col("url").alias("final_url"), F.col("doc_id").alias("_doc"), "status"), "final_url").select("url", "_doc", "status")
+        Of each depth only the frontier's pages are parsed, once; what was read of them is what is ingested.
+        """
+        rounds: list[DataFrame] = []
+        if pages is not None:
+            final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
+            error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+            table = pages.select("url", final.alias("final_url"), "html", error.alias("failed")).dropDuplicates(["url"])
+
+        def read(taken: DataFrame) -> DataFrame:
+            if pages is None:
+                urls = [r.url for r in taken.orderBy("ord").collect()]  # as many as the page budget at most
+                found = self.spark.createDataFrame(fetch(urls, delay, bool(rounds)), PAGES).withColumnRenamed("error", "failed")
+            else:
+                found = table.join(F.broadcast(taken.select("url")), "url", "left_semi")
+            found = staged(found)
+            parsed = self.articles(found.where("failed is null").select(F.col("final_url").alias("url"), "html").dropDuplicates(["url"])).withColumnRenamed("url", "final_url")
+            got = staged(found.drop("html").join(parsed, "final_url", "left").withColumn("error", F.coalesce("failed", "error")))
+            rounds.append(got)
+            return got.select("url", "final_url", "links", "error", (F.col("error").isNull() | F.col("error").eqNullSafe(NOTHING)).alias("fetched"))
+
+        done = crawl(self.spark, read, root, max_depth, max_pages, same_origin, include, exclude)
+        if not rounds:
+            return done
+        articles = staged(reduce(DataFrame.unionByName, rounds))
+        status = self._ingest(articles.drop("url").withColumnRenamed("final_url", "url").dropDuplicates(["url"]), collection)
+        of = articles.select("url", "final_url").join(status.select(F.col("url").alias("final_url"), F.col("doc_id").alias("_doc"), "status"), "final_url").select("url", "_doc", "status")
         events = done.events.join(of, "url", "left")
         kind = F.when((F.col("kind") == "indexed") & (F.col("status") == "unchanged"), "unchanged").otherwise(F.col("kind"))
         return Crawl(events.select("ord", kind.alias("kind"), "url", "depth", F.col("_doc").alias("doc_id"), "error", "reason").orderBy("ord"), done.fetched)
@@ -72,30 +101,35 @@ class Engine:
         """
         if ids is None and not all_:
             raise ValueError("Pass ids or all_")
-        docs = self.store.docs()
-        wanted = docs if collection is None else docs.where(F.col("collection") == collection)
-        if ids is not None:
-            ids = list(ids)
-            wanted = docs.where(F.col("id").isin(ids))
-            missing = set(ids) - {r.id for r in wanted.select("id").collect()}
-            if missing:
-                raise ValueError(f"No document with id {min(missing)}")
-        targets = wanted.select(F.col("id").alias("target_id"), "url", F.col("collection").alias("target_collection"))
-        snapshot = targets.join(pages, "url", "left")
+        targets = staged(self.targets(ids, collection).select(F.col("id").alias("target_id"), "url", F.col("collection").alias("target_collection")))
         final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
-        snapshot = snapshot.withColumn("final_url", final)
-        articles = self.articles(snapshot.where("html is not null").select("url", "final_url", "html").dropDuplicates(["final_url"]))
-        rows = snapshot.join(articles.withColumnRenamed("url", "final_url"), "final_url", "left")
-        error = F.when(F.col("html").isNull(), "Fetch failed: not found").otherwise(F.col("error"))
-        good = rows.where(error.isNull()).select(F.col("final_url").alias("url"), "title", "byline", "site_name", F.col("target_collection").alias("collection"), "chunks")
-        failed = rows.where(error.isNotNull()).select(F.col("target_id").alias("doc_id"), "url", F.col("target_collection").alias("collection"), F.lit("failed").alias("status"), error.alias("error"))
+        failed = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+        wanted = pages.select("url", final.alias("final_url"), "html", failed.alias("failed")).join(targets.select("url"), "url", "left_semi").dropDuplicates(["url"])
+        snapshot = staged(targets.join(wanted, "url", "left"))
+        articles = self.articles(snapshot.where("html is not null").select("url", "final_url", "html").dropDuplicates(["final_url"])).withColumnRenamed("url", "final_url")
+        error = F.when(F.col("html").isNull(), F.coalesce("failed", F.lit(MISSING))).otherwise(F.col("error"))
+        rows = staged(snapshot.join(articles, "final_url", "left").withColumn("error", error).drop("html"))
+        good = rows.where("error is null").select(F.col("final_url").alias("url"), "title", "byline", "site_name", F.col("target_collection").alias("collection"), "chunks")
+        failed = rows.where("error is not null").select(F.col("target_id").alias("doc_id"), "url", F.col("target_collection").alias("collection"), F.lit("failed").alias("status"), "error")
         had = self.store.has_embeddings()
         status = self.store.upsert(good)
         if (had if embed is None else embed) and self.embedder:
-            self.store.embed_pending(self.embedder)
+            self.store.embed_pending(self.embedder, ids=status)
         named = F.when(F.col("status") == "unchanged", "unchanged").otherwise("refreshed")
         return status.select("doc_id", "url", "collection", named.alias("status"), F.lit(None).cast("string").alias("error")).unionByName(failed)
 
+    def targets(self, ids: Iterable[int] | None = None, collection: str | None = None) -> DataFrame:
+        """Stored documents by ids, or all, or all of a collection; an id that isn't there is an error."""
+        docs = self.store.docs()
+        if ids is None:
+            return docs if collection is None else docs.where(F.col("collection") == collection)
+        ids = sorted(set(ids))
+        docs = docs.where(F.col("id").isin(ids))
+        missing = set(ids) - {r.id for r in docs.select("id").collect()}  # as many as were asked for
+        if missing:
+            raise ValueError(f"No document with id {min(missing)}")
+        return docs
+
     def embed(self, collection: str | None = None) -> int:
         if self.embedder is None:
             raise RuntimeError("No embedding provider available")
@@ -131,11 +165,10 @@ class Engine:
                 raise RuntimeError("Semantic search needs embeddings and an embedding provider")
             mode = "fts"
         pool = fusion.overfetch(limit, reranker is not None)
-        within = None if collection is None else self.store.chunks(collection).select("chunk_id")
-        order = {"fts": ["fts_score"], "vector": ["vec_distance"], "hybrid": [F.desc("fused_score")]}[mode]
+        within = None if collection is None else self.store.documents_of(collection)
         none = lambda name: F.lit(None).cast("double").alias(name)
         if mode != "vector":
-            fts = fulltext.fts_search(self.store.postings(), fulltext.corpus_stats(self.store.chunks()), query, pool, within)
+            fts = fulltext.fts_search(self.store.postings(), self.store.corpus_stats(), query, pool, within)
         if mode != "fts":
             vec = vector.vector_search(self.store.embeddings(), self.embedder.embed([query])[0], pool, within=within)
         if mode == "fts":
@@ -144,23 +177,34 @@ class Engine:
             hits = vec.select("chunk_id", none("fts_score"), "vec_distance", F.lit(0.0).alias("fused_score"), F.lit("vector").alias("source"))
         else:
             hits = fusion.rrf_fuse(fts, vec, pool)
-        found = catalog.enrich(hits, self.store.chunks(), self.store.docs()).select(*schemas.HIT).orderBy(*order, "chunk_id").limit(pool)
-        if reranker is None:
-            return found
-        from pyspark.sql import Window
-
-        ranked = found.withColumn("prev_rank", F.row_number().over(Window.orderBy(*order, "chunk_id")))  # pool rows at most
-        scored = fusion.model_scores(ranked, query, lambda: reranker)
-        return fusion.rerank(scored, F.col("rerank_score"), limit).drop("prev_rank")
+        # pool rows at most, once: their ids then filter the scans of chunks and documents.
+        best = hits.collect()
+        hits = self.spark.createDataFrame(best, hits.schema)
+        ids = [r.chunk_id for r in best]
+        chunks = self.store._table("chunks").where(F.col("chunk_id").isin(ids))
+        docs = self.store.docs().where(F.col("id").isin([k // (schemas.PLACES * schemas.VERSIONS) for k in ids]))
+        order = {"fts": lambda r: (r.fts_score, r.chunk_id), "vector": lambda r: (r.vec_distance, r.chunk_id), "hybrid": lambda r: (-r.fused_score, r.chunk_id)}[mode]
+        found = sorted(catalog.enrich(hits, chunks, docs).select(*schemas.HIT).collect(), key=order)
+        schema = _HITS
+        if reranker is not None:
+            scores = [s for k in range(0, len(found), RERANK_BATCH) for s in reranker.rerank(query, [r.text for r in found[k : k + RERANK_BATCH]])]
+            found = [Row(**r.asDict(), rerank_score=float(s)) for r, s in sorted(zip(found, scores, strict=True), key=lambda x: -x[1])][:limit]  # stable
+            schema += ", rerank_score double"
+        return self.spark.createDataFrame([tuple(r) for r in found], schema).coalesce(1)
 
     def show(self, hits: DataFrame) -> DataFrame:
         """Hits as they are printed: tag of the score and a snippet."""
         return hits.select("doc_id", "idx", "collection", score_tag(hits).alias("tag"), "doc_title", "section_path", "doc_url", snippet("text").alias("snippet"))
 
-    def doctor(self) -> DataFrame:
-        """One row: counts, and what there is to embed with."""
+    def doctor(self, env: Mapping[str, str] | None = None, reachable=probe_ollama, local=transformers_available) -> DataFrame:
+        """One row: counts, what the store's vectors are of, which providers there are and which is used, and the reranker."""
         docs = self.store.docs().agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("collection").alias("collections"))
-        chunks = self.store.chunks().agg(F.count(F.lit(1)).alias("chunks"))
         vectors = self.store.embeddings().agg(F.count(F.lit(1)).alias("embeddings"))
-        meta = self.store.meta
-        return docs.crossJoin(chunks).crossJoin(vectors).select("*", F.lit(meta["model"]).cast("string").alias("embedding_model"), F.lit(meta["dim"]).cast("int").alias("embedding_dim"), F.lit(self.embedder.name if self.embedder else None).cast("string").alias("provider"))
+        meta, active = self.store.meta, self.embedder
+        state = [F.lit(f"{name}: {what}").alias(f"{name}_provider") for name, what in providers(env, reachable, local).items() if name != "hashing"]
+        used = f"{active.name} ({active.model}, {active.dim})" if active else "none: search is full-text only"
+        return docs.crossJoin(vectors).select(  # one row each
+            "docs", "collections", F.lit(meta["n_chunks"]).cast("long").alias("chunks"), "embeddings", F.lit(meta["model"]).cast("string").alias("embedding_model"),
+            F.lit(meta["dim"]).cast("int").alias("embedding_dim"), F.lit(active.name if active else None).cast("string").alias("provider"), F.lit(used).alias("active"),
+            *state, F.lit(reranker_state(env)).alias("reranker"),
+        )

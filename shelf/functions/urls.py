@@ -1,4 +1,4 @@
-"""URL normalisation: native for absolute and root-relative links, full resolution as an Arrow function."""
+"""URL normalisation: native for links as pages have them, full resolution as an Arrow function."""
 
 from __future__ import annotations
 
@@ -25,24 +25,45 @@ def skipped(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^.]*)$", 1)).isin(SKIPPED_EXTENSIONS)
 
 
+def _plain_path(path: Column) -> Column:
+    """A path without its . and .. segments; one that ends in them keeps its slash."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", up(done)).when(p == ".", done).otherwise(F.concat(done, F.array(p))))
+    ends = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(ends, "/"))).otherwise(path)
+
+
+def _ascii(text: Column) -> Column:
+    """Characters beyond ASCII as the percent codes of their bytes."""
+    coded = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c > "\x7f", F.url_encode(c)).otherwise(c))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_join(coded, "")).otherwise(text)
+
+
 def normalize_url(href: Column | str, base: Column | str) -> Column:
-    """Absolute, scheme-relative and root-relative http(s) links without fragment, host in lower case; null for others.
+    """A link against its page: http(s), without fragment and dot segments, host in lower case; null for others.
 
-    Query and trailing slash stay. resolve_url() takes all other forms.
+    Query and trailing slash stay; blanks and what is beyond ASCII are encoded. resolve_url() knows user names, other encodings and hosts beyond ASCII.
     """
-    href, base = F.trim(col(href)), col(base)
-    origin = F.regexp_extract(base, _ORIGIN, 1)
+    href, base = F.trim(col(href)), F.regexp_replace(col(base), "#.*$", "")
+    origin, own = F.regexp_extract(base, _ORIGIN, 1), F.regexp_extract(base, r"^[^?]*", 0)
+    folder = F.concat(origin, F.regexp_replace(F.regexp_replace(F.concat(own, F.when(own == origin, "/").otherwise("")), _ORIGIN, ""), "[^/]*$", ""))
     absolute = (
         F.when(href.rlike(r"^(?i:https?)://"), href)
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(origin == "", None)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^((?i:https?):)", 1), href))
         .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.rlike("^(#|$)"), base)
+        .when(href.startswith("?"), F.concat(own, href))
+        .otherwise(F.concat(folder, href))
     )
-    bare = F.regexp_replace(absolute, "#.*$", "")
+    bare = F.regexp_replace(F.regexp_replace(absolute, "#.*$", ""), " ", "%20")
     head, rest = F.lower(F.regexp_extract(bare, _ORIGIN, 1)), F.regexp_replace(bare, _ORIGIN, "")
     head = F.when(head.startswith("http://"), F.regexp_replace(head, ":80$", "")).otherwise(F.regexp_replace(head, ":443$", ""))
-    path = F.regexp_replace(rest, r"\?.*$", "")
-    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(head.rlike("^https?://[^:]") & ~skipped(path), F.concat(head, rest))
+    path, query = F.regexp_replace(rest, r"\?.*$", ""), F.regexp_extract(rest, r"\?.*$", 0)
+    path = _plain_path(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
+    return F.when(head.rlike("^https?://[^:%]+(:[0-9]+)?$") & ~skipped(path), F.concat(head, _ascii(F.concat(path, query))))
 
 
 def origin_of(url: Column | str) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_py, query_terms, tokens
+from ..schemas import PLACES, VERSIONS
+from ..staging import staged
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -50,13 +52,18 @@ def _parts(term: str) -> list[str]:
     return out + [now] if now else out
 
 
+def _terms(query: str) -> list[list[str]]:
+    """Terms of a query as their tokens."""
+    return [p for p in (_parts(t) for t in query_terms(query)) if p]
+
+
 def bm25(posts: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     """chunk_id, fts_score (negative; the lower the better) of all chunks that match any term of the query.
 
     A term is a prefix; a term with punctuation inside is a phrase whose last token is a prefix. The prefixes filter the
     scan of the postings; what is shuffled is the matching postings, pre-aggregated, and a row of document frequencies.
     """
-    terms = [p for p in (_parts(t) for t in query_terms(query)) if p]
+    terms = _terms(query)
     if not terms:
         return posts.sparkSession.createDataFrame([], "chunk_id long, fts_score double")
     wanted = reduce(Column.__or__, [F.col("tok").startswith(p[-1]) for p in terms] + [F.col("tok") == x for p in terms for x in p[:-1]])
@@ -69,6 +76,11 @@ def bm25(posts: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     names = [f"f{k}" for k in range(len(terms))]
     hits = hits.select("chunk_id", "dl", *(F.coalesce(n, F.lit(0)).alias(n) for n in names)).where(reduce(Column.__or__, [F.col(n) > 0 for n in names]))
     df = hits.agg(*(F.sum((F.col(n) > 0).cast("long")).alias(f"d{n}") for n in names))
+    return _scored(hits, df, stats, names)
+
+
+def _scored(hits: DataFrame, df: DataFrame, stats: DataFrame | None, names: list[str], *keep: str) -> DataFrame:
+    """stats: where df, the document frequencies, doesn't hold the statistics too."""
     one = F.lit(1.0)
     length = K1 * ((one - B) + B * F.col("dl") / F.col("avgdl"))
 
@@ -78,8 +90,36 @@ def bm25(posts: DataFrame, stats: DataFrame, query: str) -> DataFrame:
         return idf * F.col(n) * (K1 + 1) / (F.col(n) + length)
 
     # One row each on the right: sizes that can't grow.
-    scored = hits.crossJoin(F.broadcast(df)).crossJoin(F.broadcast(stats))
-    return scored.select("chunk_id", (-reduce(Column.__add__, [part(n) for n in names])).alias("fts_score"))
+    scored = hits.crossJoin(F.broadcast(df))
+    if stats is not None:
+        scored = scored.crossJoin(F.broadcast(stats))
+    return scored.select("chunk_id", (-reduce(Column.__add__, [part(n) for n in names])).alias("fts_score"), *keep)
+
+
+def _count(toks: Column, parts: list[str]) -> Column:
+    """How often the tokens of a term stand next to each other, the last as a prefix."""
+    if len(parts) == 1:
+        return F.size(F.filter(toks, lambda t: t.startswith(parts[0])))
+    last = len(parts) - 1
+    places = F.when(F.size(toks) > last, F.sequence(F.lit(0), F.size(toks) - len(parts))).otherwise(F.array().cast("array<int>"))
+    here = lambda i: reduce(Column.__and__, [toks[i + k].startswith(p) if k == last else toks[i + k] == p for k, p in enumerate(parts)])
+    return F.size(F.filter(places, here))
+
+
+def scanned(chunks: DataFrame, query: str, *keep: str) -> DataFrame:
+    """chunk_id, the columns to keep, dl and how often each term of the query occurs, of every chunk: a thin table, written
+    so that texts without an index are read and tokenised once for all that scan_scores() takes from it."""
+    return staged(tokenized(chunks, *keep).select("chunk_id", *keep, "dl", *(_count(F.col("toks"), p).alias(f"f{k}") for k, p in enumerate(_terms(query)))))
+
+
+def scan_scores(rows: DataFrame, *keep: str) -> DataFrame:
+    """bm25() over a scanned() table: statistics, document frequencies and scores; and the columns to keep."""
+    names = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
+    if not names:
+        return rows.select("chunk_id", F.lit(0.0).alias("fts_score"), *keep).limit(0)
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(n) > 0).cast("long")).alias(f"d{n}") for n in names))
+    hits = rows.where(reduce(Column.__or__, [F.col(n) > 0 for n in names]))
+    return _scored(hits, facts, None, names, *keep)
 
 
 def _phrase(found: DataFrame, parts: list[str], name: str) -> DataFrame:
@@ -91,8 +131,19 @@ def _phrase(found: DataFrame, parts: list[str], name: str) -> DataFrame:
 
 
 def fts_search(posts: DataFrame, stats: DataFrame, query: str, limit: int, within: DataFrame | None = None) -> DataFrame:
-    """The best chunks by BM25; within: the chunk_ids of a collection. Document frequencies stay those of all chunks."""
-    scored = bm25(posts, stats, query)
-    if within is not None:
-        scored = scored.join(within.select("chunk_id"), "chunk_id", "left_semi")
+    """The best chunks by BM25; within: the chunk_ids, or doc_ids of a store, of a collection. Document frequencies stay those
+    of all chunks."""
+    return best(inside(bm25(posts, stats, query), within), limit)
+
+
+def best(scored: DataFrame, limit: int) -> DataFrame:
     return scored.orderBy("fts_score", "chunk_id").limit(limit)
+
+
+def inside(rows: DataFrame, within: DataFrame | None) -> DataFrame:
+    """Rows (chunk_id, ...) of the chunk_ids given, or of the documents, whose ids lead a store's chunk_ids."""
+    if within is None:
+        return rows
+    if "chunk_id" in within.columns:
+        return rows.join(within.select("chunk_id"), "chunk_id", "left_semi")
+    return rows.join(within.select("doc_id"), F.shiftright("chunk_id", (PLACES * VERSIONS).bit_length() - 1) == F.col("doc_id"), "left_semi")

@@ -17,7 +17,7 @@ def classify(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
     One shuffle of each side on the key, of hashes only; texts needn't be moved.
     """
-    old = stored.select("collection", "url", F.col("id").alias("old_id"), F.col("content_hash").alias("old_hash"), F.col("version").alias("old_version"))
+    old = stored.select("collection", "url", F.col("id").alias("old_id"), F.col("content_hash").alias("old_hash"), F.col("version").alias("old_version"), *(F.col(c).alias(n) for c, n in (("chunk_count", "old_chunks"), ("tokens", "old_tokens")) if c in stored.columns))
     rows = incoming.join(old, ["collection", "url"], "left")
     status = F.when(F.col("old_id").isNull(), "inserted").when(F.col("content_hash") == F.col("old_hash"), "unchanged").otherwise("replaced")
     return rows.withColumn("status", status)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fulltext import inside
+
 
 def distance(embedding: Column, query: list[float], metric: str = "l2") -> Column:
     """Distance of a vector column from a query vector; null if their widths differ."""
@@ -21,7 +23,6 @@ def distance(embedding: Column, query: list[float], metric: str = "l2") -> Colum
 
 
 def vector_search(embeddings: DataFrame, query: list[float], limit: int, metric: str = "l2", within: DataFrame | None = None) -> DataFrame:
-    """chunk_id, vec_distance of the nearest chunks; a filter on chunk_ids comes first, so limit rows come back if there are."""
-    rows = embeddings if within is None else embeddings.join(within.select("chunk_id"), "chunk_id", "left_semi")
-    near = rows.select("chunk_id", distance(F.col("embedding"), query, metric).alias("vec_distance"))
+    """chunk_id, vec_distance of the nearest chunks; a filter on chunk_ids, or a store's doc_ids, comes first, so limit rows come back if there are."""
+    near = inside(embeddings, within).select("chunk_id", distance(F.col("embedding"), query, metric).alias("vec_distance"))
     return near.where(F.col("vec_distance").isNotNull()).orderBy("vec_distance", "chunk_id").limit(limit)

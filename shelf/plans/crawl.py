@@ -8,6 +8,7 @@ its pages hold.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import origin_of, resolve
 from ..schemas import EVENTS
+from ..staging import staged
 
 MAX_DEPTH, MAX_PAGES = 2, 50
+#: Why a page fails that isn't there.
+MISSING = "not among the pages"
 
 
 @dataclass
@@ -33,22 +37,20 @@ class Crawl:
 
 
 def crawl(
-    spark: SparkSession, pages: DataFrame, root: str, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, same_origin: bool = True,
-    include: str | None = None, exclude: str | None = None, known: DataFrame | None = None, keep=None,
+    spark: SparkSession, pages: DataFrame | Callable[[DataFrame], DataFrame], root: str, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES,
+    same_origin: bool = True, include: str | None = None, exclude: str | None = None, known: DataFrame | None = None,
 ) -> Crawl:
     """pages: url, final_url, links, and error of pages that can't be indexed (fetched, if there, tells which of these were
-    read all the same: their origins count).
+    read all the same: their origins count); or what reads these for a round's url, ord.
 
-    known: urls whose content is stored already and unchanged. keep(df): materialises a round's table, by default a
-    reliable checkpoint if the session has a folder for it.
+    known: urls whose content is stored already and unchanged. A round's tables are written to the shared folder.
     """
     start = resolve(root, root)
     if start is None:
         raise ValueError(f"Invalid URL: {root}")
-    if keep is None:
-        keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.cache())
-    if "fetched" not in pages.columns:
-        pages = pages.withColumn("fetched", F.col("error").isNull())
+    keep, read = staged, pages
+    if isinstance(pages, DataFrame):
+        read = lambda taken: pages.join(F.broadcast(taken.select("url")), "url", "left_semi")  # noqa: E731  as many as the budget at most
     frontier = spark.createDataFrame([(start, 0)], "url string, ord long")
     seen = frontier.select("url")
     origins = frontier.select(origin_of("url").alias("origin"), F.lit(-1).cast("long").alias("since"))
@@ -69,9 +71,11 @@ def crawl(
         skipped = rows.where("reason is not null")
         if n == left:  # the budget ends with the last page, and what stands behind it is never looked at
             skipped = skipped.where(F.col("ord") < last)
-        at = taken.alias("t").join(pages.alias("p"), F.col("t.url") == F.col("p.url"), "left")
-        missing = F.col("p.url").isNull()
-        error = F.when(missing, "Fetch failed: not found").otherwise(F.col("p.error"))
+        found = read(taken)
+        if "fetched" not in found.columns:
+            found = found.withColumn("fetched", F.col("error").isNull())
+        at = taken.alias("t").join(found.alias("p"), F.col("t.url") == F.col("p.url"), "left")
+        error = F.when(F.col("p.url").isNull(), MISSING).otherwise(F.col("p.error"))
         got = keep(at.select(F.col("t.url").alias("url"), F.col("t.ord").alias("ord"), F.coalesce("p.fetched", F.lit(False)).alias("read"), F.coalesce("p.final_url", "t.url").alias("final_url"), F.col("p.links").alias("links"), error.alias("error")))
         same = known.withColumn("same", F.lit(True))
         kinds = got.join(same, "url", "left").select("ord", F.when(F.col("error").isNotNull(), "failed").when(F.col("same"), "unchanged").otherwise("indexed").alias("kind"), "url", "error", F.lit(None).cast("string").alias("reason"))

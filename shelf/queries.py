@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import urls
@@ -16,8 +16,10 @@ from .functions.chunking import LEAST, TARGET, build_chunks, chunk_text
 from .functions.text import normalize_whitespace, score_tag, snippet, to_fts_query_col, tokens
 from .operators import catalog, fulltext, fusion, upsert, vector
 from .operators.models import Hashing
-from .plans.crawl import crawl
+from .plans.crawl import MISSING, crawl
 from .sources.html import read_articles, sections_of
+from .staging import folder, staged
+from .store import Store
 
 QUERY = "attion thing nicht ertion"
 PHRASE = "the-on attion"
@@ -52,8 +54,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc://"), "doc_id").alias("url"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("lang").alias("collection"), "text")
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).select(F.col("id").alias("doc_id"), "collection", F.posexplode(chunk_text("text")).alias("idx", "text"))
+def _chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Chunks of all documents, or of those few of a table with doc_id."""
+    docs = _documents(spark, sf_dir)
+    docs = docs if of is None else docs.join(F.broadcast(of.select(F.col("doc_id").alias("id"))), "id", "left_semi")
+    rows = docs.select(F.col("id").alias("doc_id"), "collection", F.posexplode(chunk_text("text")).alias("idx", "text"))
     return rows.withColumn("chunk_id", F.col("doc_id") * PLACES + F.col("idx"))
 
 
@@ -119,12 +124,14 @@ def chunk_texts(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "idx", "text")
 
 
-_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '. ', '.' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10)), ', ', ',' || chr(9) || ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 
 
 @_query(f"SELECT doc_id, {_TRIM(_NORMAL)} AS text FROM documents")
 def normalized_texts(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", normalize_whitespace("text").alias("text"))
+    """Texts whose sentences are set apart by blank lines, as Windows ends them, and commas by tabs."""
+    wide = F.replace(F.replace("text", F.lit(". "), F.lit(".\r\n\r\n\r\n")), F.lit(", "), F.lit(",\t "))
+    return _table(spark, sf_dir, "documents").select("doc_id", normalize_whitespace(wide).alias("text"))
 
 
 @_query(f"WITH {_CHUNKS} SELECT doc_id, idx, 'Document ' || doc_id || chr(10) || chr(10) || text AS text, 'Document ' || doc_id AS section_path FROM chunks")
@@ -153,31 +160,31 @@ def fts_tokens(spark, sf_dir):
 # -- search
 
 
-def _fts(spark, sf_dir, query=QUERY, limit=LIMIT, collection=None) -> tuple[DataFrame, DataFrame]:
-    chunks = _chunks(spark, sf_dir)
-    within = None if collection is None else chunks.where(F.col("collection") == collection)
-    return fulltext.fts_search(fulltext.postings(chunks), fulltext.corpus_stats(chunks), query, limit, within), chunks
+_ABOUT = ("doc_id", "idx", "collection")
+
 
+def _fts(spark, sf_dir, query=QUERY) -> DataFrame:
+    """Scores of all chunks that match, with their document, place and collection."""
+    return fulltext.scan_scores(fulltext.scanned(_chunks(spark, sf_dir), query, *_ABOUT), *_ABOUT)
 
-def _hits(hits: DataFrame, chunks: DataFrame, *values: str) -> DataFrame:
-    found = chunks.join(F.broadcast(hits), "chunk_id")
-    return found.select("chunk_id", "doc_id", "idx", "collection", *(F.round(v, 6).alias(v) for v in values))
+
+def _hits(hits: DataFrame) -> DataFrame:
+    return hits.select("chunk_id", "doc_id", "idx", "collection", F.round("fts_score", 6).alias("fts_score"))
 
 
 @_query(f"WITH {_bm25_sql(QUERY.split())} SELECT chunk_id, doc_id, idx, collection, round(fts_score, 6) AS fts_score FROM scored ORDER BY scored.fts_score, chunk_id LIMIT {LIMIT}")
 def fts_search(spark, sf_dir):
-    return _hits(*_fts(spark, sf_dir), "fts_score")
+    return _hits(fulltext.best(_fts(spark, sf_dir), LIMIT))
 
 
 @_query(f"WITH {_bm25_sql(QUERY.split())} SELECT chunk_id, doc_id, idx, collection, round(fts_score, 6) AS fts_score FROM scored WHERE collection = '{COLLECTION}' ORDER BY scored.fts_score, chunk_id LIMIT {LIMIT}")
 def fts_search_collection(spark, sf_dir):
-    return _hits(*_fts(spark, sf_dir, collection=COLLECTION), "fts_score")
+    return _hits(fulltext.best(_fts(spark, sf_dir).where(F.col("collection") == COLLECTION), LIMIT))
 
 
 @_query(f"WITH {_bm25_sql(QUERY.split())} SELECT chunk_id, round(fts_score, 6) AS fts_score FROM scored")
 def bm25_scores(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    return fulltext.bm25(fulltext.postings(chunks), fulltext.corpus_stats(chunks), QUERY).select("chunk_id", F.round("fts_score", 6).alias("fts_score"))
+    return _fts(spark, sf_dir).select("chunk_id", F.round("fts_score", 6).alias("fts_score"))
 
 
 @_query(
@@ -224,7 +231,7 @@ def _rounded(hits: DataFrame) -> DataFrame:
 
 @_query(f"WITH {_FUSED} SELECT chunk_id, round(fts_score, 6) AS fts_score, round(vec_distance, 6) AS vec_distance, round(fused_score, 6) AS fused_score, source FROM fused")
 def rrf_fuse(spark, sf_dir):
-    fts, _ = _fts(spark, sf_dir, limit=_POOL)
+    fts = fulltext.best(_fts(spark, sf_dir), _POOL)
     return _rounded(fusion.rrf_fuse(fts, vector.vector_search(_vectors(spark, sf_dir), VECTOR, _POOL), 2 * _POOL))
 
 
@@ -236,11 +243,11 @@ _FUSED_HELD = _FUSED.replace("FROM near ORDER BY r", "FROM near WHERE chunk_id I
 
 @_query(f"WITH {_FUSED_HELD} SELECT fused.chunk_id, doc_id, idx, collection, round(fused_score, 6) AS fused_score, source, {_TAG} AS tag FROM fused JOIN chunks ON fused.chunk_id = chunks.chunk_id ORDER BY fused.fused_score DESC, fused.chunk_id LIMIT {_POOL}")
 def hybrid_search(spark, sf_dir):
-    fts, chunks = _fts(spark, sf_dir, limit=_POOL)
-    near = vector.vector_search(_vectors(spark, sf_dir).join(chunks.select("chunk_id"), "chunk_id", "left_semi"), VECTOR, _POOL)
-    hits = fusion.rrf_fuse(fts, near, _POOL)
-    found = chunks.join(F.broadcast(hits), "chunk_id")
-    return found.select("chunk_id", "doc_id", "idx", "collection", F.round("fused_score", 6).alias("fused_score"), "source", score_tag(found).alias("tag"))
+    every = fulltext.scanned(_chunks(spark, sf_dir), QUERY, *_ABOUT)
+    near = vector.vector_search(_vectors(spark, sf_dir), VECTOR, _POOL, within=every)
+    hits = fusion.rrf_fuse(fulltext.best(fulltext.scan_scores(every), _POOL), near, _POOL)
+    found = every.select("chunk_id", *_ABOUT).join(F.broadcast(hits), "chunk_id")
+    return found.select("chunk_id", *_ABOUT, F.round("fused_score", 6).alias("fused_score"), "source", score_tag(found).alias("tag"))
 
 
 @_query(
@@ -250,10 +257,9 @@ re AS (SELECT *, len(list_intersect(list_distinct({_TOKENS}), {QUERY.split()!r})
 SELECT chunk_id, prev_rank, rerank_score FROM re ORDER BY rerank_score DESC, prev_rank LIMIT {LIMIT}"""
 )
 def rerank_topk(spark, sf_dir):
-    from pyspark.sql import Window
-
-    fts, chunks = _fts(spark, sf_dir, limit=fusion.overfetch(LIMIT, True))
-    hits = chunks.join(F.broadcast(fts), "chunk_id").withColumn("prev_rank", F.row_number().over(Window.orderBy("fts_score", "chunk_id")).cast("long"))
+    best = fulltext.best(_fts(spark, sf_dir), fusion.overfetch(LIMIT, True)).withColumn("prev_rank", F.row_number().over(Window.orderBy("fts_score", "chunk_id")).cast("long"))
+    best = staged(best.select("chunk_id", "doc_id", "prev_rank"))
+    hits = _chunks(spark, sf_dir, best).join(F.broadcast(best.drop("doc_id")), "chunk_id")
     return fusion.rerank(hits, fusion.lexical_score("text", QUERY), LIMIT).select("chunk_id", "prev_rank", "rerank_score")
 
 
@@ -297,6 +303,24 @@ def upsert_classify(spark, sf_dir):
     return upsert.classify(stored, incoming).select("collection", "url", F.col("old_id").alias("id"), "status")
 
 
+_REVISED = "CASE WHEN lang = 'de' THEN 'revised. ' || text ELSE text END"
+
+
+@_query(
+    f"""WITH {_CHUNKS.replace(_chunk_sql('text'), _chunk_sql(_REVISED)).replace('FROM documents', "FROM documents WHERE len(" + _chunk_sql(_REVISED) + ") > 0")}
+SELECT 'doc://' || doc_id AS url, collection, CASE WHEN collection = 'de' THEN 1 ELSE 0 END AS version, idx, text, count(*) OVER (PARTITION BY doc_id) AS chunk_count FROM chunks"""
+)
+def stored_chunks(spark, sf_dir):
+    """A store that all documents are put in, and again with those in German revised: its chunks with their documents."""
+    store = Store(spark, folder(spark))
+    docs = _documents(spark, sf_dir).select("url", "title", F.lit(None).cast("string").alias("byline"), F.lit(None).cast("string").alias("site_name"), "collection", "text")
+    for text in (F.col("text"), F.when(F.col("collection") == "de", F.concat(F.lit("revised. "), "text")).otherwise(F.col("text"))):
+        chunks = F.transform(chunk_text(text), lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("section_path")))
+        store.upsert(docs.withColumn("chunks", chunks).drop("text"))
+    named = store.docs().select(F.col("id").alias("doc_id"), "url", "collection", "chunk_count")
+    return store.chunks().join(named, "doc_id").select("url", "collection", F.col("version").cast("int").alias("version"), "idx", "text", "chunk_count")
+
+
 @_query(f"WITH {_CHUNKS} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT lang) FROM documents) AS collections, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT max(len(embedding)) FROM embeddings) AS embedding_dim")
 def doctor(spark, sf_dir):
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
@@ -317,7 +341,8 @@ def _url_sql(href: str, base: str) -> str:
     head, rest = f"lower(regexp_extract({bare}, '^(https?://[^/?#]*)', 1))", f"regexp_replace({bare}, '^https?://[^/?#]*', '')"
     path = f"regexp_replace({rest}, '\\?.*$', '')"
     slash = f"CASE WHEN starts_with({rest}, '/') THEN {rest} ELSE '/' || {rest} END"
-    return f"CASE WHEN lower(regexp_extract({path}, '(\\.[^.]*)$', 1)) IN {_EXT} THEN NULL ELSE {head} || {slash} END"
+    coded = f"array_to_string(list_transform(string_split({slash}, ''), lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')"
+    return f"CASE WHEN lower(regexp_extract({path}, '(\\.[^.]*)$', 1)) IN {_EXT} THEN NULL ELSE {head} || {coded} END"
 
 
 @_query(f"SELECT page_id, {_url_sql('url', 'url')} AS url FROM pages")
@@ -325,9 +350,46 @@ def normalized_urls(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", urls.normalize_url("url", "url").alias("url"))
 
 
-@_query(f"SELECT page_id, {_url_sql('url', 'url')} AS url FROM pages")
+_HREFS = """a AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a [^>]*href="([^"]*)"', 1) AS hs FROM pages),
+l AS (SELECT page_id, url, replace(hs[i], '&amp;', '&') AS href, i FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a))"""
+
+
+@_query(f"WITH {_HREFS} SELECT page_id, href, {_url_sql('href', 'url')} AS link FROM l")
 def resolved_urls(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", urls.resolve_url("url", "url").alias("url"))
+    """Every link of every page as it stands there, resolved against the page."""
+    raw = F.transform(F.regexp_extract_all(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1)), lambda h: F.replace(h, F.lit("&amp;"), F.lit("&")))
+    return _table(spark, sf_dir, "pages").select("page_id", "url", F.explode(raw).alias("href")).select("page_id", "href", urls.resolve_url("href", "url").alias("link"))
+
+
+#: Forms of links, most of them relative to the page, with the page's id in them.
+_FORMS = ["next{0}", "../up{0}", "./a/../b{0}/", "?page={0}", "#part{0}", "//Other{0}.Example.org/x", "mailto:{0}@example.org", "/abs/./{0}/../y?q=../z", "sub/pic{0}.PNG", "HTTPS://Example.org:443/{0}#f", "..", "a b{0}"]
+_FORM_SQL = " UNION ALL ".join(f"SELECT {k} AS form, {' || '.join([chr(39) + x + chr(39) if k2 == 0 else 'page_id || ' + chr(39) + x + chr(39) for k2, x in enumerate(f.split('{0}'))])} AS href, page_id, url FROM pages" for k, f in enumerate(_FORMS))
+
+
+def _dots(path: str) -> str:
+    """Dot segments taken out by patterns, one after the other; a form has two at most, pages' folders are deeper."""
+    path = f"regexp_replace(replace({path}, '/./', '/'), '/[.]$', '/')"
+    for _ in range(2):
+        path = f"regexp_replace(regexp_replace({path}, '^(/[.][.])+(/|$)', '/'), '(/[^/]*[^/.][^/]*)?/[.][.](/|$)', '/')"
+    return path
+
+
+_RELATIVE = f"""l AS ({_FORM_SQL}), b AS (SELECT *, regexp_replace(url, '#.*$', '') AS bare, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin FROM l),
+p AS (SELECT *, regexp_replace(bare, '[?].*$', '') AS own FROM b),
+d AS (SELECT *, CASE WHEN own = origin THEN '/' ELSE regexp_replace(substr(own, length(origin) + 1), '[^/]*$', '') END AS folder FROM p),
+j AS (SELECT *, replace(regexp_replace(CASE WHEN regexp_matches(href, '^HTTPS:') THEN href WHEN regexp_matches(href, '^[a-z]+:') THEN NULL WHEN starts_with(href, '//') THEN split_part(url, ':', 1) || ':' || href
+  WHEN starts_with(href, '/') THEN origin || href WHEN starts_with(href, '?') THEN own || href WHEN starts_with(href, '#') THEN bare ELSE origin || folder || href END, '#.*$', ''), ' ', '%20') AS whole FROM d),
+h AS (SELECT *, regexp_replace(lower(regexp_extract(whole, '^((?:https?|HTTPS)://[^/?#]*)', 1)), ':443$', '') AS head, regexp_replace(whole, '^(?:https?|HTTPS)://[^/?#]*', '') AS rest FROM j),
+q AS (SELECT *, CASE WHEN starts_with(rest, '/') THEN '' ELSE '/' END || regexp_replace(rest, '[?].*$', '') AS path, regexp_extract(rest, '[?].*$') AS query FROM h)
+SELECT page_id, CAST(form AS INTEGER) AS form, CASE WHEN whole IS NULL OR lower(regexp_extract(path, '([.][^./]*)$', 1)) IN {_EXT} THEN NULL ELSE head || {_dots('path')} || query END AS link FROM q"""
+
+
+@_query(f"WITH {_RELATIVE}")
+def relative_links(spark, sf_dir):
+    """Links in every form, relative ones above all, against every page."""
+    at = F.col("page_id").cast("string")
+    hrefs = F.array(*(F.concat_ws("", *[p for k, x in enumerate(f.split("{0}")) for p in ([at] if k else []) + [F.lit(x)]]) for f in _FORMS))
+    return _table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(hrefs).alias("form", "href")).select("page_id", "form", urls.normalize_url("href", "url").alias("link"))
 
 
 @_query(
@@ -361,25 +423,33 @@ def article_chunks(spark, sf_dir):
     return read.select("url", F.posexplode(chunks).alias("idx", "c")).select("url", "idx", "c.text", "c.section_path")
 
 
-ROOT, DEPTH, PAGES, EXCLUDE = "https://pages.example.org/p/0", 5, 40, "p/[0-9]*7$"
-_REACHED = f"""RECURSIVE p AS (SELECT page_id AS i, page_id % 13 = 6 AS bad, regexp_matches('p/' || page_id, '{EXCLUDE}') AS out FROM pages),
-r(i, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL
-  SELECT 2 * r.i + k.k, r.depth + 1 FROM r JOIN p ON p.i = r.i AND NOT p.bad AND NOT p.out, (VALUES (1), (2)) k(k) WHERE r.depth < {DEPTH}),
-o AS (SELECT r.i, r.depth, p.i IS NULL OR p.bad AS bad, regexp_matches('p/' || r.i, '{EXCLUDE}') AS out,
-  p.i IS NULL AS missing, coalesce(sum(CASE WHEN regexp_matches('p/' || r.i, '{EXCLUDE}') THEN 0 ELSE 1 END) OVER (ORDER BY r.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+ROOT, DEPTH, PAGES, INCLUDE, EXCLUDE = "https://pages.example.org/p/0", 5, 40, "/p/", "p/[0-9]*7$"
+_AT = "'https://pages.example.org/' || CASE WHEN i % 9 = 8 THEN 'q/' ELSE 'p/' END || i"
+_REACHED = f"""RECURSIVE p AS (SELECT page_id AS i, page_id % 13 = 6 AS bad FROM pages),
+r(i, depth, place, extra) AS (SELECT CAST(0 AS BIGINT), 0, CAST(0 AS DOUBLE), FALSE UNION ALL
+  SELECT CASE WHEN k = 3 THEN r.i ELSE 2 * r.i + k END, r.depth + 1, CASE WHEN k = 3 THEN 2 * r.i + 2.5e0 ELSE 2e0 * r.i + k END, k = 3
+  FROM r JOIN p ON p.i = r.i AND NOT r.extra AND NOT p.bad AND r.i % 9 <> 8 AND NOT regexp_matches('p/' || r.i, '{EXCLUDE}'), (VALUES (1), (2), (3)) k(k)
+  WHERE r.depth < {DEPTH} AND (k < 3 OR r.i % 7 = 2)),
+u AS (SELECT r.depth, r.place, CASE WHEN extra THEN 'https://moved.example.org/p/x' || r.i ELSE {_AT.replace(" i ", " r.i ").replace("|| i", "|| r.i")} END AS url, NOT extra AND p.bad AS bad, extra OR p.i IS NULL AS missing, NOT extra AND r.i % 10 = 3 AS known
   FROM r LEFT JOIN p ON p.i = r.i),
-e AS (SELECT CASE WHEN out THEN 'skipped' WHEN bad THEN 'failed' ELSE 'indexed' END AS kind, 'https://pages.example.org/p/' || i AS url, CAST(depth AS INTEGER) AS depth,
-  CASE WHEN out THEN NULL WHEN missing THEN 'Fetch failed: not found' WHEN bad THEN 'Fetch failed: 500' END AS error, CASE WHEN out THEN 'exclude filter' END AS reason
-  FROM o WHERE before < {PAGES})"""
+o AS (SELECT *, CASE WHEN NOT regexp_matches(url, '{INCLUDE}') THEN 'include filter' WHEN regexp_matches(url, '{EXCLUDE}') THEN 'exclude filter' END AS out FROM u),
+n AS (SELECT *, coalesce(sum(CASE WHEN out IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY depth, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+e AS (SELECT CASE WHEN out IS NOT NULL THEN 'skipped' WHEN missing OR bad THEN 'failed' WHEN known THEN 'unchanged' ELSE 'indexed' END AS kind, url, CAST(depth AS INTEGER) AS depth,
+  CASE WHEN out IS NOT NULL THEN NULL WHEN missing THEN '{MISSING}' WHEN bad THEN 'the server answered 500' END AS error, out AS reason
+  FROM n WHERE before < {PAGES})"""
 
 
 def _crawl(spark, sf_dir):
-    """Pages as a tree (page i links to 2i + 1 and 2i + 2, back to the root and to another host); some fail, some are skipped."""
-    at = lambda i: F.concat(F.lit("https://pages.example.org/p/"), i.cast("string"))
+    """Pages as a tree: page i links to 2i + 1 and 2i + 2, back to the root and to another host. Some fail, some are filtered
+    out, some are stored already; some are redirected, and link to a page of that host, which isn't there."""
+    at = lambda i: F.concat(F.lit("https://pages.example.org/"), F.when(i % 9 == 8, "q/").otherwise("p/"), i.cast("string"))
     i = F.col("page_id")
-    links = F.array(at(2 * i + 1), at(F.lit(0)), F.lit("https://elsewhere.example.org/"), at(2 * i + 2))
-    pages = _table(spark, sf_dir, "pages").select(at(i).alias("url"), at(i).alias("final_url"), links.alias("links"), F.when(i % 13 == 6, "Fetch failed: 500").alias("error"))
-    return crawl(spark, pages, ROOT, DEPTH, PAGES, exclude=EXCLUDE)
+    moved = i % 7 == 2
+    there = F.when(moved, F.array(F.concat(F.lit("https://moved.example.org/p/x"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    links = F.concat(F.array(at(2 * i + 1), at(F.lit(0)), F.lit("https://elsewhere.example.org/"), at(2 * i + 2)), there)
+    final = F.when(moved, F.concat(F.lit("https://moved.example.org/p/"), i.cast("string"))).otherwise(at(i))
+    pages = _table(spark, sf_dir, "pages").select(at(i).alias("url"), final.alias("final_url"), links.alias("links"), F.when(i % 13 == 6, "the server answered 500").alias("error"), i.alias("i"))
+    return crawl(spark, pages.drop("i"), ROOT, DEPTH, PAGES, include=INCLUDE, exclude=EXCLUDE, known=pages.where("i % 10 = 3").select("url"))
 
 
 @_query(f"WITH {_REACHED} SELECT kind, url, depth, error, reason FROM e")
@@ -387,6 +457,6 @@ def crawl_events(spark, sf_dir):
     return _crawl(spark, sf_dir).events.select("kind", "url", "depth", "error", "reason")
 
 
-@_query(f"WITH {_REACHED} SELECT CAST(count(*) FILTER (WHERE kind <> 'skipped') AS BIGINT) AS visited, CAST(count(*) FILTER (WHERE kind = 'indexed') AS BIGINT) AS indexed, CAST(0 AS BIGINT) AS unchanged, CAST(count(*) FILTER (WHERE kind = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE kind = 'skipped') AS BIGINT) AS skipped FROM e")
+@_query(f"WITH {_REACHED} SELECT CAST(count(*) FILTER (WHERE kind <> 'skipped') AS BIGINT) AS visited, CAST(count(*) FILTER (WHERE kind = 'indexed') AS BIGINT) AS indexed, CAST(count(*) FILTER (WHERE kind = 'unchanged') AS BIGINT) AS unchanged, CAST(count(*) FILTER (WHERE kind = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE kind = 'skipped') AS BIGINT) AS skipped FROM e")
 def crawl_summary(spark, sf_dir):
     return _crawl(spark, sf_dir).summary()

@@ -7,7 +7,7 @@ CHUNK = "struct<text: string, section_path: string>"
 ARTICLE = f"url string, title string, byline string, site_name string, content_html string, text_content string, links array<string>, error string"
 #: A document to be upserted.
 UPSERT = f"url string, title string, byline string, site_name string, collection string, chunks array<{CHUNK}>"
-DOCS = "id long, url string, title string, byline string, site_name string, collection string, content_hash string, version long, chunk_count long, fetched_at timestamp"
+DOCS = "id long, url string, title string, byline string, site_name string, collection string, content_hash string, version long, chunk_count long, tokens long, fetched_at timestamp"
 CHUNKS = "chunk_id long, doc_id long, version long, idx int, text string, section_path string, dl int"
 EMBEDDINGS = "chunk_id long, embedding array<float>"
 POSTINGS = "tok string, chunk_id long, pos int, dl int"
@@ -17,7 +17,8 @@ HIT = [
 ]
 EVENTS = "kind string, url string, depth int, doc_id long, error string, reason string"
 #: chunk_id = doc_id, version modulo VERSIONS and place in one number, so ids need no coordination and a new version's
-#: chunks never meet an old one's vectors.
-PLACES, VERSIONS = 1 << 20, 1 << 12
+#: chunks never meet an old one's vectors. Writes beyond these ranges are refused; a version that would begin anew has the
+#: store compacted first.
+DOCUMENTS, PLACES, VERSIONS = 1 << 31, 1 << 20, 1 << 12
 DEFAULT_COLLECTION = "default"
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2

@@ -217,7 +217,7 @@ def read_article(url: str, html: str | None) -> dict:
     readable = bool(strip_py(text))
     return {
         "url": url, "title": title, "byline": byline, "site_name": site, "content_html": content.html() if readable else None, "text_content": text if readable else None,
-        "links": found, "error": None if readable else "Could not extract readable content from page",
+        "links": found, "error": None if readable else "Nothing readable on this page",
     }
 
 
@@ -226,14 +226,17 @@ _SECTIONS = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("text", pa.str
 
 
 def read_articles(pages: DataFrame) -> DataFrame:
-    """Articles of pages (url, html), in Arrow batches; parsing is what native expressions can't do."""
+    """Articles of pages (url, html; error of those that couldn't be fetched), in Arrow batches; parsing is what native
+    expressions can't do."""
+    failed = "error" in pages.columns
 
     def run(batches):
         for b in batches:
-            rows = [read_article(u, h) for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True)]
+            errors = b.column("error").to_pylist() if failed else [None] * b.num_rows
+            rows = [dict.fromkeys(_ARROW.names) | {"url": u, "error": e} if e else read_article(u, h) for u, h, e in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), errors, strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return pages.select("url", "html").mapInArrow(run, ARTICLE)
+    return pages.select("url", "html", *(["error"] if failed else [])).mapInArrow(run, ARTICLE)
 
 
 def sections_of(content_html, title, text_content=None):

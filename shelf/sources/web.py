@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from time import sleep
 from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 AGENT = "shelf/0.1"
+#: Seconds between two fetches of a crawl.
+DELAY = 0.25
 PAGES = "url string, final_url string, html string, error string"
 _SCHEMA = pa.schema([(n, pa.string()) for n in ("url", "final_url", "html", "error")])
 
@@ -21,11 +24,22 @@ def fetch(url: str, timeout: float = 30.0) -> dict:
         with urlopen(request, timeout=timeout) as r:
             return {"url": url, "final_url": r.url or url, "html": r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), "error": None}
     except HTTPError as e:
-        return {"url": url, "final_url": url, "html": None, "error": f"Fetch failed: {e.code} {e.reason}"}
+        return {"url": url, "final_url": url, "html": None, "error": f"The server answered {e.code} {e.reason}"}
     except (URLError, OSError, ValueError) as e:
         return {"url": url, "final_url": url, "html": None, "error": str(e)}
 
 
+def fetch_in_turn(urls: list[str], delay: float = DELAY, waits: bool = False) -> list[tuple]:
+    """Pages one after the other, delay seconds apart; waits: before the first, too. Rows of PAGES."""
+    out = []
+    for k, url in enumerate(urls):
+        if k or waits:
+            sleep(delay)
+        page = fetch(url)
+        out.append(tuple(page[n] for n in _SCHEMA.names))
+    return out
+
+
 def fetch_pages(urls: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Fetches each url of a DataFrame on the executors."""
 

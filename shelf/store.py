@@ -1,10 +1,11 @@
 """The store: Parquet tables under one folder that driver and executors share.
 
-Chunks, postings and vectors are only ever appended, each batch to a folder of its own; a row belongs to a document's
-version, and what counts is the version that the documents table names. So replacing a document writes its new chunks and
-leaves the old ones behind until compact(); an unchanged document writes nothing but its line in the documents table.
-The documents table is written anew for each change, as a new version of its folder; the pointer file, replaced last,
-names all folders that count. A job that dies before that leaves the store as it was. One writer at a time.
+All tables are only ever appended to, each batch in a folder of its own. A row of chunks, postings or vectors belongs to a
+document's version; documents have a row for each batch that touched them, of which the latest counts. Replacing a document
+writes its new chunks and names the old version as stale; an unchanged one writes nothing but its line. The documents'
+batches are merged when there are more than MERGE; compact() merges everything and drops what is stale. The pointer file,
+replaced last, names all folders that count and holds the corpus statistics of full-text search. A job that dies before
+that leaves the store as it was. One writer at a time.
 """
 
 from __future__ import annotations
@@ -13,15 +14,34 @@ import json
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
 from .functions.text import tokens
 from .operators import catalog, fulltext, upsert
 from .operators.models import Embedder, embed_chunks
+from .staging import staged
 
-_APPENDED = {"chunks": schemas.CHUNKS, "postings": f"{schemas.POSTINGS}, doc_id long, version long", "embeddings": schemas.EMBEDDINGS}
+_TABLES = {
+    "docs": f"{schemas.DOCS}, batch long",
+    "chunks": schemas.CHUNKS,
+    "postings": f"{schemas.POSTINGS}, doc_id long, version long",
+    "embeddings": schemas.EMBEDDINGS,
+    "stale": "owner long",
+}
+_FIELDS = {t: [f.split(" ")[0] for f in ddl.split(", ")] for t, ddl in _TABLES.items()}
+#: Batches of documents that are read together before they are merged.
+MERGE = 16
+
+
+def owner(chunk_id: Column | str = "chunk_id") -> Column:
+    """Document and version of a chunk in one number."""
+    return F.shiftright(chunk_id, schemas.PLACES.bit_length() - 1)
+
+
+def _owner_of(doc_id: Column, version: Column) -> Column:
+    return doc_id * schemas.VERSIONS + F.pmod(version, F.lit(schemas.VERSIONS))
 
 
 class Store:
@@ -39,15 +59,15 @@ class Store:
     def _load(self) -> dict:
         at = self._hadoop(f"{self.path}/pointer.json")
         if not self._fs.exists(at):
-            return {"schema_version": schemas.SCHEMA_VERSION, "docs": None, "model": None, "dim": None, **{t: [] for t in _APPENDED}}
+            return {"schema_version": schemas.SCHEMA_VERSION, "model": None, "dim": None, "batch": 0, "n_chunks": 0, "n_tokens": 0, **{t: [] for t in _TABLES}}
         stream = self._fs.open(at)
         try:
             raw = stream.readAllBytes()
         finally:
             stream.close()
         meta = json.loads(bytes(raw).decode())
-        if meta["schema_version"] > schemas.SCHEMA_VERSION:
-            raise RuntimeError("the store was written by a later version")
+        if meta["schema_version"] != schemas.SCHEMA_VERSION:
+            raise RuntimeError(f"the store has schema {meta['schema_version']}, this version reads {schemas.SCHEMA_VERSION}")
         return meta
 
     def _commit(self, meta: dict) -> None:
@@ -68,52 +88,64 @@ class Store:
     def _table(self, name: str) -> DataFrame:
         folders = self.meta[name]
         if not folders:
-            return self.spark.createDataFrame([], _APPENDED[name])
-        return self.spark.read.schema(_APPENDED[name]).parquet(*folders)
+            return self.spark.createDataFrame([], _TABLES[name])
+        return self.spark.read.schema(_TABLES[name]).parquet(*folders)
 
     # -- tables as they stand
 
     def docs(self) -> DataFrame:
-        if self.meta["docs"] is None:
-            return self.spark.createDataFrame([], schemas.DOCS)
-        return self.spark.read.schema(schemas.DOCS).parquet(self.meta["docs"])
+        rows, fields = self._table("docs"), _FIELDS["docs"][:-1]
+        if len(self.meta["docs"]) < 2:
+            return rows.select(*fields)
+        # Thin rows; a batch holds a document once.
+        latest = rows.groupBy("id").agg(F.max_by(F.struct(*fields), "batch").alias("d"))
+        return latest.select("d.*")
 
     def _current(self, rows: DataFrame) -> DataFrame:
-        live = self.docs().select(F.col("id").alias("doc_id"), "version")
-        return rows.join(live, ["doc_id", "version"], "left_semi")
+        """Without rows of replaced versions, which are few; where none is, there is no join."""
+        return rows.join(self._table("stale"), owner() == F.col("owner"), "left_anti") if self.meta["stale"] else rows
+
+    def documents_of(self, collection: str) -> DataFrame:
+        return self.docs().where(F.col("collection") == collection).select(F.col("id").alias("doc_id"))
 
     def chunks(self, collection: str | None = None) -> DataFrame:
         rows = self._current(self._table("chunks"))
-        if collection is None:
-            return rows
-        ids = self.docs().where(F.col("collection") == collection).select(F.col("id").alias("doc_id"))
-        return rows.join(ids, "doc_id", "left_semi")
+        return rows if collection is None else rows.join(self.documents_of(collection), "doc_id", "left_semi")
 
     def postings(self) -> DataFrame:
         return self._current(self._table("postings"))
 
     def embeddings(self) -> DataFrame:
-        return self._table("embeddings").join(self.chunks().select("chunk_id"), "chunk_id", "left_semi")
+        return self._current(self._table("embeddings"))
+
+    def corpus_stats(self) -> DataFrame:
+        """One row, from the pointer: n chunks and their mean length in tokens."""
+        n = self.meta["n_chunks"]
+        return self.spark.createDataFrame([(n, self.meta["n_tokens"] / n if n else None)], "n long, avgdl double")
 
     # -- writes
 
     def upsert(self, incoming: DataFrame, index_partitions: int | None = None) -> DataFrame:
         """Inserts, keeps or replaces documents (schemas.UPSERT) by (collection, url); status of each: doc_id, url,
-        collection, chunk_count, status. Of rows with one key the first in content order counts."""
-        key = ["collection", "url"]
-        rows = incoming.withColumn("collection", F.coalesce("collection", F.lit(schemas.DEFAULT_COLLECTION))).where(F.col("url").isNotNull() & (F.size("chunks") > 0))
-        rows = rows.withColumn("content_hash", upsert.content_hash(F.col("chunks")))
-        first = Window.partitionBy(*key).orderBy("content_hash", "title")
-        rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        collection, chunk_count, status. Of rows with one key the first in content order counts.
+
+        incoming is computed once, into the store's staging folder; texts are moved once, and only those of documents that
+        are new or changed.
+        """
+        key, stage = ["collection", "url"], self._folder("staged")
+        rows = incoming.select("url", "title", "byline", "site_name", "collection", "chunks").withColumn("collection", F.coalesce("collection", F.lit(schemas.DEFAULT_COLLECTION))).where(F.col("url").isNotNull() & (F.size("chunks") > 0))
+        rows = rows.withColumn("content_hash", upsert.content_hash(F.col("chunks"))).withColumn("row", F.monotonically_increasing_id())
+        rows = rows.withColumn("chunk_count", F.size("chunks").cast("long")).withColumn("tokens", F.aggregate("chunks", F.lit(0).cast("long"), lambda s, c: s + F.size(tokens(c["text"]))))
+        rows = staged(rows, f"{stage}/in")
+        thin = rows.drop("chunks")
+        first = Window.partitionBy(*key).orderBy("content_hash", "title", "row")
         docs = self.docs()
-        classified = upsert.classify(docs, rows)
+        classified = upsert.classify(docs, thin.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+        classified = staged(classified, f"{stage}/classified")
         top = docs.agg(F.max("id")).first()[0] or 0
-        staged = self._folder("staged")
         # New ids follow the order of keys: ranges of keys are numbered within partitions, partitions by their counts.
         new = classified.where("status = 'inserted'").select(*key).repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
-        numbered = f"{staged}/numbered"
-        new.write.parquet(numbered)
-        new = self.spark.read.parquet(numbered)
+        new = staged(new, f"{stage}/numbered")
         counts = sorted(map(tuple, new.groupBy("part").agg(F.count(F.lit(1)), F.min("place")).collect()))  # a row for each partition
         starts, total = [], top + 1
         for part, n, least in counts:
@@ -123,33 +155,50 @@ class Store:
         ids = new.join(F.broadcast(offsets), "part").select(*key, (F.col("place") + F.col("offset")).alias("new_id"))
         out = classified.join(ids, key, "left").select(
             F.coalesce("old_id", "new_id").alias("id"), "url", "title", "byline", "site_name", "collection", "content_hash",
-            F.when(F.col("status") == "replaced", F.col("old_version") + 1).otherwise(F.coalesce("old_version", F.lit(1))).cast("long").alias("version"),
-            F.size("chunks").cast("long").alias("chunk_count"), F.current_timestamp().alias("fetched_at"), "status", "chunks",
+            F.when(F.col("status") == "replaced", F.col("old_version") + 1).otherwise(F.coalesce("old_version", F.lit(0).cast("long"))).alias("version"),
+            "chunk_count", "tokens", F.current_timestamp().alias("fetched_at"), F.lit(self.meta["batch"]).cast("long").alias("batch"),
+            "status", "row", "old_version", "old_chunks", "old_tokens",
         )
-        out.write.parquet(f"{staged}/out")
-        out = self.spark.read.parquet(f"{staged}/out")
-        changed = out.where("status <> 'unchanged'")
-        place = F.col("doc_id") * (schemas.PLACES * schemas.VERSIONS) + F.pmod("version", F.lit(schemas.VERSIONS)) * schemas.PLACES + F.col("idx")
-        pieces = changed.select(F.col("id").alias("doc_id"), "version", F.posexplode("chunks").alias("idx", "c")).select(
-            place.cast("long").alias("chunk_id"), "doc_id", "version", "idx", F.col("c.text").alias("text"), F.col("c.section_path").alias("section_path"), F.size(tokens("c.text")).alias("dl")
-        )
+        out = staged(out, f"{stage}/out")
+        changed, replaced = out.where("status <> 'unchanged'"), out.where("status = 'replaced'")
+        facts = out.agg(
+            F.max("id"), F.max("chunk_count"), F.coalesce(F.sum(F.col("id").isNull().cast("long")), F.lit(0)),
+            F.coalesce(F.max((F.col("version") >= schemas.VERSIONS) & F.pmod("version", F.lit(schemas.VERSIONS)).isin(0, schemas.VERSIONS - 1)), F.lit(False)),
+            *(F.coalesce(F.sum(F.when(F.col("status") != "unchanged", F.col(a) - F.coalesce(b, F.lit(0)))), F.lit(0)) for a, b in (("chunk_count", "old_chunks"), ("tokens", "old_tokens"))),
+            F.count(F.when(F.col("status") != "unchanged", 1)), F.count(F.when(F.col("status") == "replaced", 1)),
+        ).first()
+        last, most, nameless, begins_anew, more_chunks, more_tokens, n_changed, n_replaced = facts
+        if nameless:
+            raise RuntimeError(f"{nameless} documents came out without an id; nothing is stored")
+        if (last or 0) >= schemas.DOCUMENTS or (most or 0) > schemas.PLACES:
+            raise ValueError(f"a store holds {schemas.DOCUMENTS - 1} documents of {schemas.PLACES} chunks at most")
+        if begins_anew:  # or else the version would be one that is stale already
+            self.compact(keep=stage)
         meta = {k: list(v) if isinstance(v, list) else v for k, v in self.meta.items()}
-        if not changed.isEmpty():
-            at = self._folder("chunks")
-            pieces.write.parquet(at)
-            meta["chunks"].append(at)
-            pieces = self.spark.read.schema(schemas.CHUNKS).parquet(at)
-            posts = fulltext.sorted_postings(pieces, "doc_id", "version", partitions=index_partitions)
-            at = self._folder("postings")
-            posts.write.parquet(at)
-            meta["postings"].append(at)
-        fields = [f.split(" ")[0] for f in schemas.DOCS.split(", ")]
-        kept = docs.join(out.select("id"), "id", "left_anti").select(*fields)
-        # An unchanged document keeps title and chunk_count; only its time moves.
-        at = self._folder("docs")
-        kept.unionByName(out.select(*fields)).write.parquet(at)
-        meta["docs"] = at
-        self._commit(meta)
+
+        def append(table: str, new: DataFrame) -> DataFrame:
+            at = self._folder(table)
+            new.select(*_FIELDS[table]).write.parquet(at)
+            meta[table].append(at)
+            return self.spark.read.schema(_TABLES[table]).parquet(at)
+
+        if n_changed:
+            place = _owner_of(F.col("doc_id"), F.col("version")) * schemas.PLACES + F.col("idx")
+            pieces = rows.select("row", "chunks").join(changed.select("row", F.col("id").alias("doc_id"), "version"), "row").select("doc_id", "version", F.posexplode("chunks").alias("idx", "c"))
+            pieces = pieces.select(place.cast("long").alias("chunk_id"), "doc_id", "version", "idx", F.col("c.text").alias("text"), F.col("c.section_path").alias("section_path"), F.size(tokens("c.text")).alias("dl"))
+            pieces = append("chunks", pieces.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"))
+            append("postings", fulltext.sorted_postings(pieces, "doc_id", "version", partitions=index_partitions))
+        if n_replaced:
+            append("stale", replaced.select(_owner_of(F.col("id"), F.col("old_version")).alias("owner")))
+        # An unchanged document keeps what it had; only its time moves.
+        append("docs", out)
+        if len(meta["docs"]) > MERGE:
+            before, self.meta = self.meta, meta
+            merged = self.docs().withColumn("batch", F.lit(meta["batch"]).cast("long"))
+            meta["docs"] = []
+            self.meta = before
+            append("docs", merged)
+        self._commit(meta | {"batch": meta["batch"] + 1, "n_chunks": meta["n_chunks"] + more_chunks, "n_tokens": meta["n_tokens"] + more_tokens})
         return out.select(F.col("id").alias("doc_id"), "url", "collection", "title", "chunk_count", "status")
 
     def init_embeddings(self, dim: int, model: str) -> None:
@@ -172,29 +221,44 @@ class Store:
             raise ValueError(f"vectors must be {self.meta['dim']} wide")
         self._commit(self.meta | {"embeddings": [*self.meta["embeddings"], at]})
 
-    def embed_pending(self, provider: Embedder, collection: str | None = None, ids: Iterable[int] | None = None) -> int:
-        """Vectors for all chunks that have none: one anti-join and one pass, however many there are."""
+    def embed_pending(self, provider: Embedder, collection: str | None = None, ids: Iterable[int] | DataFrame | None = None, rounds: int = 1) -> int:
+        """Vectors for all chunks that have none: one anti-join and one pass, however many there are.
+
+        ids: only of these documents. rounds: chunks are dealt by a hash to so many passes, each stored when it ends, so that
+        what a failure loses is one of them.
+        """
         self.init_embeddings(provider.dim, provider.model)
-        rows = self.pending(collection)
-        if ids is not None:
-            rows = rows.where(F.col("doc_id").isin(list(ids)))
-        before = len(self.meta["embeddings"])
-        self.store_embeddings(embed_chunks(rows, provider))
-        return self.spark.read.parquet(self.meta["embeddings"][before]).count()
-
-    def compact(self) -> None:
-        """Rewrites the appended tables without rows of versions that no longer count, as one folder each."""
+        done = 0
+        for k in range(rounds):
+            rows = self.pending(collection)
+            if isinstance(ids, DataFrame):
+                rows = rows.join(ids.select("doc_id"), "doc_id", "left_semi")
+            elif ids is not None:
+                rows = rows.where(F.col("doc_id").isin(list(ids)))
+            if rounds > 1:
+                rows = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == k)
+            self.store_embeddings(embed_chunks(rows, provider))
+            done += self.spark.read.parquet(self.meta["embeddings"][-1]).count()
+        return done
+
+    def compact(self, keep: str | None = None) -> None:
+        """Rewrites all tables without what no longer counts, as one folder each, and deletes every folder that the pointer
+        doesn't name (but keep). Readers that still hold older tables must begin anew."""
         meta = dict(self.meta)
-        for name, rows, by in (("chunks", self.chunks(), ["doc_id", "idx"]), ("postings", self.postings(), ["tok", "chunk_id", "pos"]), ("embeddings", self.embeddings(), ["chunk_id"])):
+        order = {"docs": ["id"], "chunks": ["chunk_id"], "postings": ["tok", "chunk_id", "pos"], "embeddings": ["chunk_id"]}
+        tables = {"docs": self.docs().withColumn("batch", F.lit(meta["batch"]).cast("long")), "chunks": self.chunks(), "postings": self.postings(), "embeddings": self.embeddings()}
+        for name, rows in tables.items():
             if meta[name]:
                 at = self._folder(name)
-                fields = [f.split(" ")[0] for f in _APPENDED[name].split(", ")]
-                rows.select(*fields).repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(at)
+                rows.select(*_FIELDS[name]).repartitionByRange(*order[name]).sortWithinPartitions(*order[name]).write.parquet(at)
                 meta[name] = [at]
-        old = [f for name in _APPENDED for f in self.meta[name] if f not in meta[name]]
-        self._commit(meta)
-        for f in [*old, f"{self.path}/staged"]:
-            self._fs.delete(self._hadoop(f), True)
+        self._commit(meta | {"stale": []})
+        named = {self._hadoop(f).toString() for name in _TABLES for f in self.meta[name]} | {self._hadoop(keep).toString() if keep else ""}
+        for name in (*_TABLES, "staged"):
+            at = self._hadoop(f"{self.path}/{name}")
+            for found in self._fs.listStatus(at) if self._fs.exists(at) else []:
+                if self._hadoop(f"{self.path}/{name}/{found.getPath().getName()}").toString() not in named:
+                    self._fs.delete(found.getPath(), True)
 
     # -- state
 

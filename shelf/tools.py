@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .engine import LIMIT, MOST, Engine
+from .functions.text import score_tag
 from .operators.models import Reranker
 
 
@@ -20,10 +21,10 @@ def list_docs(engine: Engine, collection: str | None = None) -> str:
 
 def get_doc(engine: Engine, doc_id: int) -> str:
     if isinstance(doc_id, bool) or not isinstance(doc_id, int) or doc_id < 1:
-        raise ValueError("id must be a positive integer")
+        raise ValueError("a document's id is a whole number from 1 on")
     doc = engine.get_doc(doc_id)
     if doc is None:
-        return f"No document with id {doc_id}"
+        return f"There is no document {doc_id}."
     byline = f"\nby {doc['byline']}" if doc["byline"] else ""
     return f"# {doc['title']}\n{doc['url']}{byline}\ncollection: {doc['collection']}\n\n{doc['body']}"
 
@@ -38,10 +39,9 @@ def search_docs(engine: Engine, query: str, mode: str | None = None, collection:
         hits = engine.search(query, mode, collection, limit, reranker, on_unavailable="error")
     except RuntimeError as e:
         return str(e)
-    rows = hits.join(engine.show(hits).select("doc_id", "idx", "tag"), ["doc_id", "idx"]).collect()  # limit rows
-    order = sorted(rows, key=lambda r: (-(r.rerank_score or 0.0),) if reranker else (-r.fused_score, r.fts_score or 0.0, r.vec_distance or 0.0, r.chunk_id))
+    rows = hits.withColumn("tag", score_tag(hits)).collect()  # limit rows, in order
     label = (mode or ("hybrid" if engine.store.has_embeddings() else "fts")) + ("+rerank" if reranker else "")
-    blocks = [f"[{k}] {r.doc_title} (doc #{r.doc_id}, chunk {r.idx}, {r.collection}) {r.tag}\n{r.doc_url}\n{r.text}" for k, r in enumerate(order, 1)]
+    blocks = [f"[{k}] {r.doc_title} (doc #{r.doc_id}, chunk {r.idx}, {r.collection}) {r.tag}\n{r.doc_url}\n{r.text}" for k, r in enumerate(rows, 1)]
     return f"mode={label}, hits={len(blocks)}\n\n" + "\n\n---\n\n".join(blocks) if blocks else f"(no matches, mode={label})"
 
 

@@ -1,14 +1,20 @@
 from __future__ import annotations
 
+import glob
+import os
 import re
+import sys
+import uuid
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from shelf import cli, queries, tools
+from shelf import cli, queries, schemas, tools
 from shelf.engine import Engine
+from shelf.operators import fulltext
 from shelf.operators.models import Hashing, LexicalReranker
 from shelf.plans.crawl import crawl
 from shelf.streaming import ingest_stream
@@ -104,6 +110,114 @@ def test_add_and_refresh(spark, engine):
             engine.refresh(new, **bad)
 
 
+def test_pages_are_fetched_and_parsed_once_even_if_a_fetch_would_fail_only_the_first_time(spark, engine, tmp_path):
+    """A source that counts its fetches in files and fails the first of each page."""
+    folder = str(tmp_path / "fetched")
+    os.mkdir(folder)
+
+    def fetch(batches):
+        for b in batches:
+            out = []
+            for k in b.column(0).to_pylist():
+                before = len(glob.glob(f"{folder}/{k}-*"))
+                open(f"{folder}/{k}-{uuid.uuid4().hex}", "w").close()
+                fails = k % 3 == 0 and before == 0
+                out.append({"url": f"http://x/{k}", "html": None if fails else PAGE.format(f"T{k}", f"text number {k}"), "error": "The server answered 503" if fails else None})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(c, pa.string()) for c in ("url", "html", "error")]))
+
+    status = engine.add(spark.range(12).mapInArrow(fetch, "url string, html string, error string")).collect()
+    assert len(os.listdir(folder)) == 12
+    assert sorted((r.status, r.doc_id is None, r.error) for r in status) == [("failed", True, "The server answered 503")] * 4 + [("inserted", False, None)] * 8
+    assert engine.store.docs().where("id is null").isEmpty() and engine.store.docs().count() == 8 == engine.store.chunks().select("doc_id").distinct().count()
+    assert engine.store.pending().isEmpty()
+
+
+def test_ids_stay_in_their_range_and_nothing_is_stored_beyond(spark, engine, monkeypatch):
+    row = lambda n: ("a", "A", None, [(f"text {k}", None) for k in range(n)])
+    monkeypatch.setattr(schemas, "PLACES", 4)
+    with pytest.raises(ValueError):
+        engine.store.upsert(docs(spark, row(5)))
+    monkeypatch.setattr(schemas, "DOCUMENTS", 2)
+    engine.store.upsert(docs(spark, row(4)))
+    with pytest.raises(ValueError):
+        engine.store.upsert(docs(spark, ("b", "B", None, [("x", None)])))
+    assert engine.store.docs().count() == 1 and len({r.chunk_id for r in engine.store.chunks().collect()}) == 4
+
+
+def test_versions_that_begin_anew_meet_no_old_vectors(spark, engine, monkeypatch):
+    monkeypatch.setattr(schemas, "VERSIONS", 2)
+    for k in range(5):
+        engine.store.upsert(docs(spark, ("a", "A", None, [(f"words of round {k}", None), ("same", None)][: 1 + k % 2])))
+        assert engine.store.pending().count() == 1 + k % 2
+        engine.embed()
+        near = engine.search(f"words of round {k}", "vector", limit=9).collect()
+        assert [r.text for r in near][:1] == [f"words of round {k}"] and len(near) == 1 + k % 2
+        assert engine.store.corpus_stats().first().n == engine.store.chunks().count()
+
+
+def test_batches_of_documents_are_merged_and_compacting_deletes_what_no_longer_counts(spark, engine, monkeypatch):
+    monkeypatch.setattr("shelf.store.MERGE", 3)
+    for k in range(6):
+        engine.store.upsert(docs(spark, ("a", "A", None, [(f"round {k}", None)]), (f"d{k}", "D", None, [("kept", None)])))
+        assert len(engine.store.meta["docs"]) <= 3 and engine.store.docs().count() == k + 2
+    stats = engine.store.corpus_stats().first()
+    assert stats == fulltext.corpus_stats(engine.store.chunks()).first() and stats.n == 7
+    engine.store.compact()
+    assert [len(os.listdir(f"{engine.store.path}/{t}")) for t in ("docs", "chunks", "postings")] == [1, 1, 1] and not os.listdir(f"{engine.store.path}/staged")
+    assert engine.store.meta["stale"] == [] and engine.store.corpus_stats().first() == stats and engine.store.chunks().count() == 7
+    assert [r.text for r in engine.search("round").collect()] == ["round 5"]
+    put = {r.url: r.status for r in engine.store.upsert(docs(spark, ("a", "A", None, [("round 5", None)]), ("d0", "D", None, [("new", None)]))).collect()}
+    assert put == {"a": "unchanged", "d0": "replaced"}
+
+
+def test_a_search_scans_postings_once_and_reads_chunks_by_their_ids(spark, engine):
+    rows = [(f"u{k}", "T", "even" if k % 2 == 0 else "odd", [(f"alpha word{k}", None)]) for k in range(40)]
+    engine.store.upsert(docs(spark, *rows))
+    plan = fulltext.fts_search(engine.store.postings(), engine.store.corpus_stats(), "alpha", 3, engine.store.documents_of("even"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and plan.count("Relation [tok") == 2  # the second is the document frequencies'
+    assert [r.doc_url for r in engine.search("alpha", collection="odd", limit=2).collect()] == ["u1", "u11"]
+
+
+def test_embedding_in_rounds_stores_each(spark, engine):
+    engine.store.upsert(docs(spark, *[(f"u{k}", "T", None, [(f"text {k}", None)]) for k in range(20)]))
+    assert engine.store.embed_pending(engine.embedder, rounds=3) == 20 and len(engine.store.meta["embeddings"]) == 3 and engine.store.pending().isEmpty()
+
+
+def test_refreshing_one_document_leaves_the_backlog_alone(spark, engine):
+    first = engine.add(pages(spark, [("http://x/a", "A", "alpha text")])).first()
+    engine.add(pages(spark, [("http://x/b", "B", "beta text")]), embed=False)
+    changed = pages(spark, [("http://x/a", "A", "alpha anew"), ("http://x/b", "B", "beta anew")])
+    assert [(r.doc_id, r.status) for r in engine.refresh(changed, ids=[first.doc_id]).collect()] == [(first.doc_id, "refreshed")]
+    assert [r.doc_id != first.doc_id for r in engine.store.pending().collect()] == [True]
+
+
+def test_a_live_crawl_fetches_in_order_and_waits_between(spark, engine, monkeypatch):
+    link = lambda *us: "".join(f'<a href="{u}">x</a>' for u in us)
+    web = {"https://e.com/": "root" + link("a/", "b?x=1"), "https://e.com/a/": "alpha" + link("../c", "/"), "https://e.com/b?x=1": None, "https://e.com/c": "gamma"}
+    asked, slept = [], []
+
+    def fetch(url, timeout=30.0):
+        asked.append(url)
+        body = web[url]
+        return {"url": url, "final_url": url, "html": body and PAGE.format(url, body), "error": None if body else "The server answered 404"}
+
+    monkeypatch.setattr("shelf.sources.web.fetch", fetch)
+    monkeypatch.setattr("shelf.sources.web.sleep", slept.append)
+    done = engine.crawl(None, "https://e.com/", delay=0.1)
+    assert asked == ["https://e.com/", "https://e.com/a/", "https://e.com/b?x=1", "https://e.com/c"] and slept == [0.1] * 3
+    assert [(r.kind, r.url, r.error) for r in done.events.collect()] == [("indexed", asked[0], None), ("indexed", asked[1], None), ("failed", asked[2], "The server answered 404"), ("indexed", asked[3], None)]
+    assert engine.store.docs().count() == 3
+
+
+def test_a_crawl_parses_the_frontier_only(spark, engine, monkeypatch):
+    parsed = []
+    plain = engine.articles
+    monkeypatch.setattr(engine, "articles", lambda rows: parsed.append(sorted(r.url for r in rows.collect())) or plain(rows))
+    rows = pages(spark, [("https://e.com/", "Root", 'r <a href="/a">x</a>'), ("https://e.com/a", "A", "alpha")] + [(f"https://e.com/far{k}", "F", "far") for k in range(9)])
+    engine.crawl(rows, "https://e.com/")
+    assert parsed == [["https://e.com/"], ["https://e.com/a"]]
+
+
 def tree(spark, n, **change):
     at = lambda k: f"https://e.com/{k}"
     rows = {k: (at(k), at(k), [at(2 * k + 1), at(2 * k + 2), at(0), "https://other.com/z"], None) for k in range(n)}
@@ -138,7 +252,7 @@ def test_crawl_widens_origins_by_redirects_in_crawl_order(spark):
     got = [u for _, u, _ in kinds(crawl(spark, pages_, "https://e.com/0", 2, 50))]
     assert got == ["0", "1", "2", "3", "4", "z", "5"]
     assert "z" in [u for _, u, _ in kinds(crawl(spark, tree(spark, 7), "https://e.com/0", 1, 50, same_origin=False))]
-    failed = tree(spark, 7, k1=("https://e.com/1", "https://e.com/1", ["https://e.com/3"], "No chunks produced after extraction"))
+    failed = tree(spark, 7, k1=("https://e.com/1", "https://e.com/1", ["https://e.com/3"], "Nothing to store: the page gave no chunks"))
     assert ("failed", "1", 1) in kinds(crawl(spark, failed, "https://e.com/0", 2, 50)) and "3" not in [u for _, u, _ in kinds(crawl(spark, failed, "https://e.com/0", 2, 50))]
 
 
@@ -205,6 +319,17 @@ def test_entry_and_registration(spark):
     assert set(queries.QUERIES) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
+def test_without_the_training_data_operators_the_rest_is_registered(monkeypatch):
+    """Whether their folder is gone, only its cache is left, or something that they import is missing."""
+    for gone in ("shelf.llm", "corpus_pipeline", "tiktoken"):
+        with monkeypatch.context() as m:
+            for name in [n for n in sys.modules if n.startswith(("shelf.llm", "corpus_pipeline", "tiktoken"))]:
+                m.delitem(sys.modules, name)
+            m.delattr("shelf.llm", raising=False)
+            m.setitem(sys.modules, gone, None)
+            assert set(__spark_entry__.queries()) == set(queries.QUERIES) and set(__spark_entry__.oracle_sql()) == set(queries.SQL)
+
+
 def test_nothing_but_the_entry_imports_the_training_data_operators():
     from pathlib import Path
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelf.operators import catalog, fulltext, fusion, models, upsert, vector
-from shelf.sources.location import default_store
+from shelf.sources import location
 
 HITS = "chunk_id long, fts_score double, vec_distance double"
 
@@ -143,11 +143,21 @@ def test_batches_and_rerankers():
     assert models.default_reranker({"SHELF_RERANK": "true"}) is None or models.transformers_available()
 
 
+def test_a_folder_that_may_not_be_looked_at_is_no_store(tmp_path, monkeypatch):
+    def stat(self, **_):
+        raise PermissionError(13, "Permission denied", str(self))
+
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.setattr(location.Path, "exists", stat)
+    assert location.default_store(tmp_path, {}) == str(tmp_path / "home" / ".shelf" / "store")
+
+
 def test_location(tmp_path, monkeypatch):
-    assert default_store("/whatever", {"SHELF_STORE": "/abs/custom"}) == "/abs/custom"
+    assert location.default_store("/whatever", {"SHELF_STORE": "/abs/custom"}) == "/abs/custom"
     monkeypatch.setenv("HOME", str(tmp_path / "home"))
     plain = tmp_path / "plain"
     plain.mkdir()
+    default_store = lambda cwd, env: location.default_store(cwd, env, top=tmp_path)  # noqa: E731  whatever lies above
     assert default_store(plain, {}) == str(tmp_path / "home" / ".shelf" / "store")
     repo, deep = tmp_path / "repo", tmp_path / "repo" / "a" / "b"
     deep.mkdir(parents=True)
@@ -156,3 +166,35 @@ def test_location(tmp_path, monkeypatch):
     (repo / "a" / "data" / "shelf").mkdir(parents=True)
     assert default_store(deep, {}) == str(repo / "a" / "data" / "shelf")
     assert default_store(repo / "a", {}) == str(repo / "a" / "data" / "shelf")
+
+
+def test_states_of_providers_and_reranker():
+    got = models.providers(ENV, lambda _: False, lambda: False)
+    assert list(got) == ["openai", "ollama", "transformers", "hashing"] and got["openai"] == got["hashing"] == "ready" and "11434" in got["ollama"]
+    assert models.reranker_state({}) == "off" and models.reranker_state({"SHELF_RERANK_MODEL": "lexical"}) == "lexical"
+
+
+def test_scanning_texts_scores_as_postings_do(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    for query in ("attion thing nicht", "the-on élle attion", "a an"):
+        want = {r.chunk_id: r.fts_score for r in fulltext.bm25(fulltext.postings(docs), fulltext.corpus_stats(docs), query).collect()}
+        got = {r.chunk_id: r.fts_score for r in fulltext.scan_scores(fulltext.scanned(docs, query)).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
+
+
+def test_scores_of_a_cross_encoder_are_raw(monkeypatch):
+    import sys
+    import types
+
+    said = {}
+
+    class Model:
+        def predict(self, pairs, batch_size, activation_fn=None):
+            said.update(batch=batch_size, activation=type(activation_fn).__name__)
+            return [float(len(p)) for _, p in pairs]
+
+    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(nn=types.SimpleNamespace(Identity=type("Identity", (), {}))))
+    monkeypatch.setitem(sys.modules, "torch.nn", types.SimpleNamespace(Identity=type("Identity", (), {})))
+    monkeypatch.setattr(models, "_cross_encoder", lambda name: Model())
+    assert models.CrossEncoderReranker("m").rerank("q", ["a", "bcd"]) == [1.0, 3.0] and said == {"batch": 16, "activation": "Identity"}
+    assert models.CrossEncoderReranker("m").rerank("q", []) == []
