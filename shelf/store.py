@@ -246,7 +246,8 @@ class Store:
         doesn't name (but keep). Readers that still hold older tables must begin anew."""
         meta = dict(self.meta)
         order = {"docs": ["id"], "chunks": ["chunk_id"], "postings": ["tok", "chunk_id", "pos"], "embeddings": ["chunk_id"]}
-        tables = {"docs": self.docs().withColumn("batch", F.lit(meta["batch"]).cast("long")), "chunks": self.chunks(), "postings": self.postings(), "embeddings": self.embeddings()}
+        # The batch before the next one: whatever is appended from here on is later.
+        tables = {"docs": self.docs().withColumn("batch", F.lit(meta["batch"] - 1).cast("long")), "chunks": self.chunks(), "postings": self.postings(), "embeddings": self.embeddings()}
         for name, rows in tables.items():
             if meta[name]:
                 at = self._folder(name)
