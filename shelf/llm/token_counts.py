@@ -4,7 +4,9 @@ Totals of documents, tokens and characters by source, language and tokenizer ver
 signed: an insert adds a document's counts, a delete takes them away, a revision takes the old counts and adds the new.
 Each batch is summed per task, shuffled as one row for each key and task, and appended as a delta; totals are sums of
 deltas. A batch commits by writing its delta to a folder named by its batch id and only then its marker, so a batch that
-is sent again, or that a failed driver left half written, changes nothing or is written anew.
+is sent again, or that a failed driver left half written, changes nothing or is written anew. A compaction commits by one
+file that names its sum and the batches within; these don't count any more from then on, whether their deltas are deleted
+yet or not. One writer at a time.
 
 Cases: null text counts as empty (0 tokens, 1 document), null source or language is a key of its own, rows repeated under
 one doc_id count each, a batch without rows commits an empty delta, other columns are not read.
@@ -12,6 +14,7 @@ one doc_id count each, a batch without rows commits an empty delta, other column
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
@@ -22,6 +25,7 @@ from . import common
 from .bpe import codec, default_vocabulary
 
 INSERT, DELETE = 1, -1
+_ID = r"[A-Za-z0-9][A-Za-z0-9-]*"
 KEYS = ["source", "lang", "tokenizer"]
 _DELTA = "source string, lang string, tokenizer string, documents long, tokens long, chars long"
 _ROWS = pa.schema([("source", pa.string()), ("lang", pa.string()), ("tokenizer", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("chars", pa.int64())])
@@ -90,7 +94,7 @@ class Rollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch once; False if it was there already."""
-        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9-]*", batch_id):
+        if not re.fullmatch(_ID, batch_id):
             raise ValueError(f"batch ids have letters, digits and hyphens: {batch_id!r}")
         if self.committed(batch_id):
             return False
@@ -101,22 +105,64 @@ class Rollup:
         change.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
         self.fs.create(self._at("commits", batch_id), True).close()
 
-    def batches(self) -> list[str]:
-        at = self._at("commits")
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
+    def batches(self) -> list[str]:
+        return self._names("commits")
+
+    def _manifests(self) -> list[str]:
+        return [m for m in self._names("compactions") if not m.startswith("_")]
+
+    def _compacted(self) -> dict:
+        """into, batches of the last compaction."""
+        found = self._manifests()
+        if not found:
+            return {"into": None, "batches": []}
+        stream = self.fs.open(self._at("compactions", found[-1]))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
     def compact(self, into: str) -> None:
         """Sums all committed batches into one delta; their markers stay, so none of them counts again."""
-        done = self.batches()
-        if self.committed(into):
-            raise ValueError(f"{into} is a batch already")
-        self._write(into, self.totals())
-        for batch in done:
+        done, last = self.batches(), self._compacted()
+        if not re.fullmatch(_ID, into) or into == last["into"]:
+            raise ValueError(f"{into!r} is no name for a new sum")
+        self._totals(done, last).write.mode("overwrite").parquet(f"{self.path}/sums/{into}")
+        self._name({"into": into, "batches": done})
+        self._sweep()
+
+    def _name(self, manifest: dict) -> None:
+        """Makes a compaction count, in one step."""
+        number = f"{len(self._manifests()) + 1:09d}"
+        new = self._at("compactions", f"_{number}")
+        out = self.fs.create(new, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not self.fs.rename(new, self._at("compactions", number)):
+            raise RuntimeError(f"compaction {number} is there already: two writers")
+
+    def _sweep(self) -> None:
+        """Deletes what the last compaction replaced, and what earlier ones left behind."""
+        last = self._compacted()
+        for name in self._names("sums"):
+            if name != last["into"]:
+                self.fs.delete(self._at("sums", name), True)
+        for batch in last["batches"]:
             self.fs.delete(self._at("deltas", f"batch={batch}"), True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens, chars over all committed batches."""
-        paths = [f"{self.path}/deltas/batch={b}" for b in self.batches() if self.fs.exists(self._at("deltas", f"batch={b}"))]
+        return self._totals(self.batches(), self._compacted())
+
+    def _totals(self, batches: list[str], compacted: dict) -> DataFrame:
+        within = set(compacted["batches"])
+        paths = [f"{self.path}/deltas/batch={b}" for b in batches if b not in within]
+        if compacted["into"]:
+            paths.append(f"{self.path}/sums/{compacted['into']}")
         rows = self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
         return rows.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in ("documents", "tokens", "chars")))
 

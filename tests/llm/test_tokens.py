@@ -133,6 +133,54 @@ def test_a_half_written_batch_does_not_count(spark, frame, tmp_path):
     assert rollup.totals().first().documents == 1
 
 
+@pytest.mark.parametrize("step", ["_name", "_sweep"])
+def test_a_compaction_that_a_lost_driver_left_counts_nothing_twice(spark, frame, tmp_path, monkeypatch, step):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    rollup.commit("a", token_counts.inserts(frame([(1, "x y"), (2, "z")])))
+    rollup.commit("b", token_counts.deletes(frame([(1, "x y")])))
+    shown = lambda r: sorted(map(tuple, r.totals().collect()), key=str)
+    before = shown(rollup)
+
+    def lost(*_):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(rollup, step, lost)
+        with pytest.raises(RuntimeError):
+            rollup.compact("sum-1")
+    again = token_counts.Rollup(spark, rollup.path)
+    assert shown(again) == before and not again.commit("a", token_counts.inserts(frame([(1, "x y")])))
+    again.compact("sum-2")
+    again.commit("c", token_counts.inserts(frame([(3, "one two")])))
+    again.compact("sum-3")
+    assert sum(r[3] for r in shown(again)) == 2 and again.batches() == ["a", "b", "c"]
+    assert not any((tmp_path / "rollup" / "deltas").iterdir()) and len([x for x in (tmp_path / "rollup" / "sums").iterdir() if x.is_dir()]) == 1
+    for bad in ("sum-3", "../x"):
+        with pytest.raises(ValueError):
+            again.compact(bad)
+
+
+def test_token_counts_of_odd_rows(spark, frame, clash, tokenizer, tmp_path):
+    """Null keys, texts and ids, repeated rows, extra columns, a batch without rows."""
+    from pyspark.sql import functions as F
+
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    docs = clash(ODD).withColumn("source", F.when(F.col("doc_id") > 5, F.col("source"))).withColumn("lang", F.when(F.col("doc_id") > 6, F.col("lang")))
+    for extra in ("sign", "tokens", "documents", "tokenizer"):
+        docs = docs.withColumn(extra, F.lit("x"))
+    assert rollup.commit("none", token_counts.inserts(docs.limit(0))) and rollup.totals().collect() == []
+    assert rollup.commit("odd", token_counts.inserts(docs))
+    truth = defaultdict(lambda: [0, 0, 0])
+    for r in docs.collect():
+        s = truth[r.source, r.lang]
+        s[0] += 1
+        s[1] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+        s[2] += len(r.text or "")
+    assert {(r.source, r.lang): [r.documents, r.tokens, r.chars] for r in rollup.totals().collect()} == dict(truth)
+    assert rollup.commit("gone", token_counts.deletes(docs))
+    assert {tuple(r)[3:] for r in rollup.totals().collect()} == {(0, 0, 0)}
+
+
 def test_token_counts_match_brute_force_by_key(spark, sf_dir, tokenizer):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     truth = defaultdict(lambda: [0, 0, 0])
