@@ -172,22 +172,42 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return common.written(common.map_arrow(_with(pairs, sets, "set").select("a", "b", "set_a", "set_b"), _compare(percent), "a long, b long").distinct())
 
 
+def _contracted(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """node, rep: the least of a node and its neighbours, in an order of its own for each round k; and the edges between
+    representatives. edges (node, other) hold both directions."""
+
+    def ranked(c: str):
+        # Hubs are least by number, so the first round folds stars at once.
+        return F.struct((F.col(c) if k == 0 else F.xxhash64(F.lit(k), F.col(c))).alias("rank"), F.col(c).alias("node"))
+
+    nearest = edges.groupBy("node").agg(F.min(ranked("other")).alias("least"))
+    rep = common.written(nearest.select("node", F.least(ranked("node"), "least")["node"].alias("rep")))
+    ends = edges.join(rep.withColumnRenamed("rep", "a"), "node").select("a", "other")
+    ends = ends.join(rep.select(F.col("node").alias("other"), F.col("rep").alias("b")), "other").where("a <> b")
+    return rep, common.written(ends.select(F.col("a").alias("node"), F.col("b").alias("other")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of each node that has a link.
 
-    Every round each node takes the least label among its own and its neighbours', then the label of that label; the number
-    of rounds is about the logarithm of the longest chain. All tables stay distributed.
+    Every round folds each node into the least of itself and its neighbours, under a new hash order, until no edge is left.
+    Of nodes in any arrangement a round is expected to leave three quarters at most (chains: half), so rounds grow as the
+    logarithm of the nodes and all rounds together read in proportion to the links. Then representatives are followed back
+    from the last round to the first, and each component takes its smallest node. All tables stay distributed; rows of one
+    hub or label meet in partial aggregates, and in joins with one row of the other side, which Spark splits by size.
     """
-    both = common.written(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "other"))
-    labels = common.written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("heard"))
-        taken = common.written(labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component")))
-        jump = taken.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = common.written(taken.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")))
-        if new.where("old <> component").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+    edges = common.written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().toDF("node", "other"))
+    rounds = []
+    while not edges.isEmpty():
+        rep, edges = _contracted(edges, len(rounds))
+        rounds.append(rep)
+    if not rounds:
+        return edges.toDF("node", "component")
+    labels = rounds.pop()
+    while rounds:
+        labels = common.written(rounds.pop().join(labels.toDF("rep", "root"), "rep", "left").select("node", F.coalesce("root", "rep").alias("rep")))
+    least = labels.groupBy("rep").agg(F.min("node").alias("component"))
+    return common.written(labels.join(least, "rep").select("node", "component"))
 
 
 def _component(table: DataFrame, node: str, labels: DataFrame, to: str) -> DataFrame:

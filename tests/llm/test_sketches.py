@@ -117,6 +117,20 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(50)] + [(101, 100)], "a long, b long")
     got = dict(map(tuple, minhash.components(links).collect()))
     assert got == {k: 0 for k in range(51)} | {100: 100, 101: 100}
+    assert minhash.components(links.limit(0)).collect() == []
+
+
+def test_rounds_grow_as_the_logarithm_of_a_chain_whatever_the_order_of_its_ids(spark, monkeypatch):
+    """Ids that rise to the middle and fall again, a star whose hub is not least, a ring; and a link of a node to itself."""
+    rounds, plain = [], minhash._contracted
+    monkeypatch.setattr(minhash, "_contracted", lambda edges, k: rounds.append(k) or plain(edges, k))
+    n = 1_000
+    chain = [2 * k for k in range(n // 2)] + [2 * k + 1 for k in reversed(range(n // 2))]
+    ring = [5_000 + 37 * k % 101 for k in range(101)]
+    links = list(zip(chain, chain[1:])) + [(9_000, 8_000 + k) for k in range(200)] + list(zip(ring, [*ring[1:], ring[0]])) + [(7, 7)]
+    got = dict(map(tuple, minhash.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {k: 0 for k in range(n)} | {8_000 + k: 8_000 for k in range(200)} | {9_000: 8_000} | {k: 5_000 for k in ring}
+    assert len(rounds) <= 20
 
 
 def test_fingerprints_match_brute_force(clash, frame):
