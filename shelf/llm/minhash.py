@@ -371,3 +371,29 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
+
+
+#: Brute force: all pairs that share a shingle, then everything reachable over links.
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), shingles as materialized (
+  select distinct doc_id, hash(s) as h, s from (
+    select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+    from words)
+), sizes as materialized (
+  select doc_id, count(s) as n from documents left join shingles using (doc_id) group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as m
+  from shingles a join shingles b on a.h = b.h and a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+), links as materialized (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * m >= 75 * (x.n + y.n - m)
+), reached as (
+  select doc_id, doc_id as other from sizes
+  union
+  select r.doc_id, l.b from reached r join links l on l.a = r.other
+)
+select doc_id, any_value(n) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
+from reached join sizes using (doc_id) group by doc_id"""

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -79,6 +80,14 @@ def test_components_match_brute_force_with_copies_chains_and_a_common_passage(cl
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_the_query_matches_its_sql(spark, sf_dir):
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = db.sql(f"select doc_id, n_shingles, component_id, kept from ({minhash.OP1_SQL})").fetchall()
+    got = minhash.op1_minhash(spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and 0 < sum(not r.kept for r in got)
+
+
 def test_parity_bitmaps_bound_the_symmetric_difference():
     rng = np.random.default_rng(3)
     for n in (5, 300, 5_000):
