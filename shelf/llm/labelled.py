@@ -17,19 +17,18 @@ def held_out(docs: DataFrame):
     return common.fold(docs["doc_id"], FOLDS) == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, marked: bool = False) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
     """text, label of up to most labelled rows outside the held-out fold, in one partition, in the order of a hash.
 
-    Rows without doc_id or label are left out; of labels that disagree about a document the larger counts. The sample is
-    the most rows with the smallest hashes of doc_id; its ids alone are broadcast. marked: half of the bound is for label 1.
+    Rows without doc_id or label are left out; of labels that disagree about a document the larger counts, of rows repeated
+    under one doc_id the smallest text (null: empty). The sample is the most documents with the smallest hashes of doc_id;
+    its ids alone are broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label"))
     known = known.where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & (common.fold(F.col("_id"), FOLDS) != 0))
-    known = known.groupBy("_id").agg(F.max("_label").alias("_label")).withColumn("_order", F.xxhash64("_id"))
-    if marked:
-        chosen = known.where("_label = 1").orderBy("_order", "_id").limit(most // 2).unionByName(known.where("_label <> 1").orderBy("_order", "_id").limit(most // 2))
-    else:
-        chosen = known.orderBy("_order", "_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
-    found = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", F.col("_label").alias("label"), "_order", "_id")
-    return found.repartition(1).sortWithinPartitions("_order", "_id", "text").select("text", "label")
+    chosen = known.groupBy("_id").agg(F.max("_label").alias("_label")).withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    # A repeated row is left behind where it lies: a text for each document of the sample is all that a task hands on.
+    found = found.groupBy("_order", "_id").agg(F.min("text").alias("text"), F.max("_label").alias("label"))
+    return found.repartition(1).sortWithinPartitions("_order", "_id").select("text", "label")

@@ -144,8 +144,13 @@ class Automaton:
         return self.found[state]
 
 
+def lowered(text: str) -> str:
+    """text in lower case, of as many code points: the dotted capital I is the one letter that would become two."""
+    return text.replace("\u0130", "i").lower()
+
+
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(lowered(text))
 
 
 def _forms(word: str):
@@ -251,7 +256,7 @@ class Scorer:
 
     def __call__(self, text: str) -> tuple[float, list[dict]]:
         """Score of a text, and its hits."""
-        lower = text.lower()
+        lower = lowered(text)
         some = {w: m for w in set(_WORD.findall(lower)) if (m := self._match(w))}
         if not some:
             return self.base, []

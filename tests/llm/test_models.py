@@ -88,6 +88,33 @@ def test_the_sample_is_bounded_and_the_same_each_time(frame, labels):
     docs = frame(rows)
     a = labelled.sample(docs, labels(marks), "quality", 50).collect()
     assert len(a) == 50 and a == labelled.sample(docs.repartition(7), labels(marks), "quality", 50).collect()
+    again = frame(rows + [(d, "~" + t) for d, t in rows for _ in range(3)])  # rows repeated under one id are one of the sample
+    assert a == labelled.sample(again, labels(marks), "quality", 50).collect()
+    split = labels(marks + [(d, 0, 0) for d, _, _ in marks])  # of labels that disagree the larger counts
+    assert a == labelled.sample(docs, split, "quality", 50).collect()
+
+
+def test_lower_case_has_as_many_code_points():
+    every = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    assert all(len(toxicity.lowered(c)) == 1 for c in every)
+    assert toxicity.tokens("\u0130\u0130 DIMW\u0130T") == ["ii", "dimwit"]
+
+
+def test_classifiers_score_repeated_and_very_long_texts_whole(frame, labels):
+    rows, marks = corpus(7, 200)
+    clean, rude = prose(5, 60_000), prose(5, 60_000) + " you dimwit, blockhead and scoundrel"
+    docs = frame(rows + [(9001, clean), (9002, rude), (9002, rude), (9003, clean)])
+    bad = toxicity.train(docs, labels(marks))
+    judge = toxicity.Scorer(bad)
+    got = sorted((r.doc_id, r.score, r.predicted) for r in toxicity.scored(docs, bad).collect() if r.doc_id > 9000)
+    assert got == sorted((d, judge(t)[0], int(judge(t)[0] >= 0.5)) for d, t in ((9001, clean), (9002, rude), (9002, rude), (9003, clean)))
+    assert [p for _, _, p in got] == [0, 1, 1, 0]
+    good = quality.train(docs, labels(marks))
+    score = quality.scorer(good)
+    got = sorted((r.doc_id, r.score) for r in quality.scored(docs, good).collect() if r.doc_id > 9000)
+    want = [(9001, clean), (9002, rude), (9002, rude), (9003, clean)]
+    # The order of a sum's terms, so its last bit, is up to the arrays' places in memory.
+    assert [d for d, _ in got] == [d for d, _ in want] and all(math.isclose(x, score(t.encode()), rel_tol=1e-12) for (_, x), (_, t) in zip(got, want, strict=True))
 
 
 def edits(a, b):

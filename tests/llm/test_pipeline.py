@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from shelf.llm import bpe, quality, queries, toxicity
 
+from .conftest import ODD, prose
 from .test_exact_and_lines import line_truth
 from .test_sketches import component_truth
 from .test_tokens import check_pieces
@@ -43,5 +46,23 @@ def test_stages_match_brute_force_on_what_each_is_given(spark, sf_dir):
     assert np.sum([p.length for p in whole]) == np.sum([p.length for p in pieces])
 
 
+def test_the_pipeline_of_odd_rows_and_of_none(clash, spark, tmp_path):
+    odd = ODD + [(20, prose(4, 300)), (21, prose(4, 300) + " tail"), (24, prose(4, 300)), (22, "a line that repeats\n" + prose(5, 80)), (23, "a line that repeats\n" + prose(6, 80))]
+    labels = spark.createDataFrame([(None, 1, 1), (4, None, 0), (5, 1, None), (777, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", clash(odd)), ("none", clash(odd).limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # Nothing is rejected without labels that tell. 7 and 21 are near 4 and 20; 4 is there twice, and both rows stay; 24
+    # has lost its only line to 20 before, and empty texts are near nothing.
+    want = Counter(d for d, _ in odd if d not in (7, 21))
+    assert Counter(p.doc_id for p in got if p.start == 0) == want
+    tokenizer = Tokenizer.from_file(bpe.default_vocabulary())
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    assert {p.doc_tokens for p in got if p.doc_id in (22, 23)} == {size("a line that repeats\n" + prose(5, 80)), size(prose(6, 80))}
+    assert [p.doc_tokens for p in got if p.doc_id == 24] == [1]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_all_ten_are_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))

@@ -81,6 +81,21 @@ def test_packing_places_every_id_once_without_padding(clash, frame, tokenizer):
     assert packing.packed(frame(rows).limit(0)).collect() == []
 
 
+def test_packing_of_repeated_rows_and_of_rows_without_an_id(frame, tokenizer):
+    rows = ODD + [(20, prose(4, 900)), (20, prose(4, 900)), (20, prose(6, 2_500)), (None, prose(4, 900))]
+    ids, owed = defaultdict(list), defaultdict(int)
+    for d, t in rows:
+        ids[d].append(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4"))
+        owed[d] += len(ids[d][-1])
+    got = packing.packed(frame(rows)).collect()
+    for p in got:
+        assert any(len(x) == p.doc_tokens and zlib.crc32(x[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for x in ids[p.doc_id])
+        owed[p.doc_id] -= p.length
+    assert not any(owed.values())
+    starts = sorted((str(p.doc_id), p.doc_tokens) for p in got if p.start == 0)
+    assert starts == sorted((str(d), len(x)) for d, some in ids.items() for x in some)
+
+
 def test_sum_of_squares_takes_the_best_level_and_windows_stay_bounded():
     rng = random.Random(8)
     p = packing.Packer(window=64, most_open=20)
