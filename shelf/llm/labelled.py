@@ -29,6 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -
     chosen = known.groupBy("_id").agg(F.max("_label").alias("_label")).withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    # A repeated row is left behind where it lies: a text for each document of the sample is all that a task hands on.
+    # A repeated row is left behind where it lies: a text for each document of the sample is all that a task hands on. One
+    # task reads and groups them, so they are shuffled once.
     found = found.groupBy("_order", "_id").agg(F.min("text").alias("text"), F.max("_label").alias("label"))
-    return found.repartition(1).sortWithinPartitions("_order", "_id").select("text", "label")
+    return found.coalesce(1).sortWithinPartitions("_order", "_id").select("text", "label")
