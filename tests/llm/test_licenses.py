@@ -1,0 +1,112 @@
+"""License scans against brute force: base phrases by words, detections without gates, suppression pair by pair."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from shelf.llm import licenses
+
+from .conftest import ODD, prose
+
+PLANTED = [
+    "Licensed under the Apache License, Version 2.0.", "released UNDER\nthe * MIT\n# License, under-the-mit-license", "see CC BY-NC 4.0; cc by nc nd 4.0",
+    "This work is licensed under the GNU General Public License, version 3.", "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\") */",
+    "SPDX-License-Identifier: LGPL-2.1-or-later\nSPDX-License-Identifier: (MIT OR Apache-2.0)", "GNU Lesser General Public License v2.1", "Mit der Lizenz, im Apache-Stil. Under the mitt license. CC by Nancy",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/ and http://www.apache.org/licenses/LICENSE-2.0", "Copyright (c) 1999-2003 Someone. All rights reserved.", "under the mit licenseé", "apache license version 22",
+]
+
+
+def by_hand(text: str | None) -> tuple:
+    """n_words, n_base, first, last, base labels of a text, word by word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    places = [(k, label) for label, phrase in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    at = [k for k, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def detections(text: bytes) -> list[tuple]:
+    """Every rule over every text; a detection goes if any one of an earlier kind, or a better one of its own, contains it."""
+    words = licenses.words_of(text)
+    joined = b" " + b" ".join(words) + b" "
+    at = [k for k in range(len(joined) - 1) if joined[k : k + 1] == b" "]
+    found = []
+    for k, rule in enumerate(licenses.all_rules()):
+        for m in re.finditer(b"(?<= )(?:" + rule.pattern.encode() + b")(?= )", joined):
+            found.append((sum(x < m.start() for x in at) - 1, sum(x < m.end() for x in at), list(licenses.KINDS).index(rule.kind), k, rule))
+    better = lambda y, x: y[0] <= x[0] and x[1] <= y[1] and (y[2] < x[2] or y[2] == x[2] and ((x[0] - x[1], x[3]) > (y[0] - y[1], y[3])))
+    return sorted((x[4].kind, x[4].label, x[0], x[1]) for x in found if x[2] == 0 or not any(better(y, x) for y in found))
+
+
+def test_rules_are_hundreds_and_gates_never_close_on_a_match():
+    rules = licenses.all_rules()
+    assert len(rules) > 300 and max(len(licenses.FAMILIES), len(licenses.NOTICES)) < 200
+    assert [r.kind for r in rules] == sorted((r.kind for r in rules), key=list(licenses.KINDS).index)
+    rng = random.Random(5)
+
+    @settings(max_examples=12, deadline=None, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+    @given(st.data())
+    def gate_of(rule, data):
+        text = data.draw(st.from_regex(re.compile(rule.pattern, re.ASCII), fullmatch=True))
+        words = licenses.words_of(text.encode())
+        if " ".join(w.decode() for w in words) == text:  # a made-up word may hold a blank or a bar
+            have = set(words)
+            assert all(have & group for group in rule.gate), (rule, text)
+
+    for rule in rng.sample(rules, 60):
+        gate_of(rule)
+
+
+@pytest.mark.parametrize("text", PLANTED)
+def test_detections_equal_all_rules_without_gates(text):
+    got = sorted((r.kind, r.label, s, e) for r, s, e in licenses.Scanner()(licenses.words_of(text.encode())))
+    assert got == detections(text.encode())
+
+
+@settings(max_examples=60, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 6), st.integers(0, 3), st.integers(0, 5)), max_size=14))
+def test_suppression_equals_pairs(some):
+    found = [(s, s + n, p, k) for s, n, p, k in dict.fromkeys(some)]
+    found = list(dict.fromkeys(found))
+    better = lambda y, x: y[0] <= x[0] and x[1] <= y[1] and (y[2] < x[2] or y[2] == x[2] and ((x[0] - x[1], x[3]) > (y[0] - y[1], y[3])))
+    assert licenses.suppressed(found) == [x[2] > 0 and any(better(y, x) for y in found) for x in found]
+
+
+def test_labels_of_real_notices():
+    scan = licenses.Scanner()
+    labels = lambda t: {r.label for r, _, _ in scan(licenses.words_of(t.encode()))}
+    assert labels(PLANTED[3]) == {"gpl-3"} and labels(PLANTED[4]) == {"mit"} and labels(PLANTED[6]) == {"lgpl-2.1"}
+    assert labels(PLANTED[2]) == {"cc-by-nc", "cc-by-nc-nd"} and labels(PLANTED[7]) == set()
+    assert labels("Distributed under the terms of the BSD 3-Clause License") == {"bsd-3"}
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    want = {r.doc_id: by_hand(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in licenses.op11_licenses(spark, sf_dir).collect()}
+    assert {k: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for k, r in got.items()} == want
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1 for r in got.values())
+    assert sum(r.n_base for r in got.values()) > 0 and all(r.score == 0 for r in got.values() if not r.labels)
+
+
+def test_odd_rows_and_clashing_columns(spark, clash):
+    long = prose(3, 400_000) + " under the MIT license " + prose(4, 200_000)
+    texts = [*ODD, (20, long), (21, "ünder the mit license cc by nc"), *((30 + k, t) for k, t in enumerate(PLANTED))]
+    found = licenses.scanned(clash(texts))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, *r[1:]) for r in licenses.digests(found).drop("labels", "score").collect())
+    assert [x[1:] for x in got if x[0]] == [x[1:] for x in sorted((d is not None, d or 0, *by_hand(t)) for d, t in texts) if x[0]]
+    spans = {r.doc_id: r.detections for r in found.collect()}
+    for doc, text in texts:
+        for d in spans[doc] if doc is not None and doc >= 20 else ():
+            part = text[d.start : d.start + d.length]
+            assert len(licenses.words_of(part.encode())) == d.n_words and len(part) == d.length
+    assert licenses.scanned(clash(texts[:1]).limit(0)).collect() == []
+
+
+def test_scan_reads_the_whole_hot_source(spark):
+    rows = spark.range(4_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'Under the MIT License.' else 'plain words' end as text")
+    got = licenses.digests(licenses.scanned(rows)).where("n_base = 1 and first_word = 0 and labels = 'mit'").count()
+    assert got == 1_334
