@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from . import common
 
 #: Labelled documents that a classifier is fitted on, at most.
 SAMPLE = 12_000
+#: Bytes of their texts, at most, that are learned from: a text that goes beyond is passed over.
+SAMPLE_BYTES = 128 << 20
 #: Rows of fold 0 of so many are held out.
 FOLDS = 5
 
@@ -33,3 +38,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -
     # task reads and groups them, so they are shuffled once.
     found = found.groupBy("_order", "_id").agg(F.min("text").alias("text"), F.max("_label").alias("label"))
     return found.coalesce(1).sortWithinPartitions("_order", "_id").select("text", "label")
+
+
+def within(it: Iterator[pa.RecordBatch], most: int = SAMPLE_BYTES) -> Iterator[tuple[bytes, int]]:
+    """Texts and labels of a sample's batches, in its order, as far as most bytes go."""
+    left = most
+    for b in common.each(it):
+        for text, label in zip(common.texts(b.column("text")), b.column("label").to_pylist(), strict=True):
+            if len(text) <= left:
+                left -= len(text)
+                yield text, label

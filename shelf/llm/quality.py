@@ -119,8 +119,7 @@ def fit(rows, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.nd
 
 def _fit(bits: int, epochs: int):
     def run(it):
-        rows = ((t, y) for b in common.each(it) for t, y in zip(common.texts(b.column("text")), b.column("label").to_pylist(), strict=True))
-        at, w = fit(rows, bits, epochs)
+        at, w = fit(labelled.within(it), bits, epochs)
         yield common.batch(_MODEL, [at.tobytes()], [w.tobytes()])
 
     return run

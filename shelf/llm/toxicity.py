@@ -4,9 +4,9 @@ Terms (whole words and stems that take any ending) are learned from a bounded sa
 again and again the term that explains most of the toxic documents not yet explained, if it is rare in the others. The
 terms form a trie; the product of the trie and the Levenshtein automaton of each term's bound is a deterministic automaton
 built while it is used, so a word is given up at its first letter that no term within the bound allows. Each hit weighs by
-the precision that its term and distance had in the sample, less in a context that quotes or reports it, more in one that
-addresses someone; the score is a noisy or over the forms
-found, each by its heaviest hit.
+the precision that its term and distance had in the sample, less inside a quotation (of any length, over any lines of its
+paragraph) and less still if words that report speech are near, more where someone is addressed; the score is a noisy or
+over the forms found, each by its heaviest hit.
 
 Cases: null text counts as empty and scores the base rate, as does a text without hits; without toxic labelled rows the
 lexicon is empty and all rows score the base rate; rows repeated under one doc_id are scored each; an empty table gives no
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -28,7 +29,8 @@ from . import common, labelled
 THRESHOLD = 0.5
 #: Terms of a lexicon at most; letters of a stem; documents that a term must add, and its precision, to be learned.
 TERMS, STEM, SUPPORT, PRECISION = 400, (4, 10), 4, 0.85
-#: Precision under which a distance or a form is no hit; forms with a weight of their own at most.
+#: Precision under which a distance or a form is no hit; forms with a weight of their own at most, the commonest of the
+#: sample's: a form beyond them weighs as its term and distance do.
 LEAST, FORMS = 0.6, 20_000
 #: Tokens on either side of a hit that make its context.
 WINDOW = 8
@@ -37,9 +39,11 @@ QUOTED, REPORTED, ADDRESSED = 0.35, 0.6, 1.15
 # Words that report speech and words that address someone, in the corpus' languages.
 REPORTING = frozenset("said says wrote writes called calls quoted quote reported term word slur insult sagte schrieb nannte zitat wort dit écrit appelé citation mot dijo escribió llamó cita palabra".split())
 ADDRESSING = frozenset("you your yours du dich dein deine tu te toi vous votre tú usted ustedes".split())
-_OPENING, _CLOSING = "“„«‘‹\"", "”“»’›\""
+# Quotation marks that open, and what closes each.
+_CLOSERS = {"“": "”“", "”": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’", '"': '"'}
 
 _WORD = re.compile(r"[^\W_]+(?:[@$*'’\-][^\W_]+)*")
+_MARK = re.compile(r"[“”„«»‹›‘’\"]|\n[ \t\r]*\n")
 _MODEL = pa.schema([("model", pa.string())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("hits", pa.list_(pa.struct([("term", pa.string()), ("found", pa.string()), ("start", pa.int64()), ("distance", pa.int32()), ("weight", pa.float64())])))])
 OUT = "doc_id long, held_out boolean, score double, predicted int, hits array<struct<term: string, found: string, start: long, distance: int, weight: double>>"
@@ -153,6 +157,28 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(lowered(text))
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Start and end of each quotation of a text, in order: a mark that opens, up to the first that closes it before a blank
+    line, over as many words and lines as it has. Marks within a quotation belong to it; an apostrophe closes nothing."""
+    out: list[tuple[int, int]] = []
+    begun: tuple[int, str] | None = None
+    for m in _MARK.finditer(text):
+        mark, at = m[0], m.start()
+        if mark[0] == "\n":
+            begun = None
+        elif begun is None:
+            begun = (at, _CLOSERS[mark]) if mark in _CLOSERS else None
+        elif mark in begun[1] and not (mark == "’" and text[m.end() : m.end() + 1].isalnum()):
+            out.append((begun[0], m.end()))
+            begun = None
+    return out
+
+
+def inside(spans: list[tuple[int, int]], at: int) -> bool:
+    k = bisect_right(spans, (at, len(spans) and spans[-1][1])) - 1
+    return k >= 0 and spans[k][0] < at < spans[k][1]
+
+
 def _forms(word: str):
     """The word itself and its stems."""
     yield word
@@ -238,15 +264,9 @@ class Scorer:
         self.known[word] = m = (*best, weight) if weight else None
         return m
 
-    def _context(self, text: str, words: list, k: int) -> float:
+    def _context(self, quoted: list[tuple[int, int]], words: list, k: int) -> float:
         """Factor of the hit at token k."""
-        start, end = words[k].span()
-        line = text.rfind("\n", 0, start) + 1
-        before, after = text[max(line, start - 200) : start], text[end : end + 200].split("\n")[0]
-        factor = 1.0
-        opened = max(before.rfind(c) for c in _OPENING)
-        if opened >= 0 and any(c in after for c in _CLOSING) and not any(c in before[opened + 1 :] for c in _CLOSING) and before.count('"') % 2 == (before[opened] == '"'):
-            factor *= QUOTED
+        factor = QUOTED if inside(quoted, words[k].start()) else 1.0
         near = {w[0] for w in words[max(0, k - WINDOW) : k + WINDOW + 1]}
         if near & REPORTING and factor < 1:
             factor *= REPORTED
@@ -261,10 +281,10 @@ class Scorer:
         if not some:
             return self.base, []
         words = list(_WORD.finditer(lower))
-        hits, most = [], {}
+        quoted, hits, most = quotations(lower), [], {}
         for k, w in enumerate(words):
             if m := some.get(w[0]):
-                weight = min(0.99, m[2] * self._context(lower, words, k))
+                weight = min(0.99, m[2] * self._context(quoted, words, k))
                 most[w[0]] = max(weight, most.get(w[0], 0.0))
                 hits.append({"term": self.terms[m[0]], "found": w[0], "start": w.start(), "distance": m[1], "weight": weight})
         left = 1 - self.base
@@ -274,7 +294,7 @@ class Scorer:
 
 
 def _learn(it):
-    rows = [(t.decode(), y) for b in common.each(it) for t, y in zip(common.texts(b.column("text")), b.column("label").to_pylist(), strict=True)]
+    rows = [(t.decode(), y) for t, y in labelled.within(it)]
     yield common.batch(_MODEL, [json.dumps(learn(rows))])
 
 

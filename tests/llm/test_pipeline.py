@@ -64,5 +64,5 @@ def test_the_pipeline_of_odd_rows_and_of_none(clash, spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+def test_all_twelve_are_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 13))
