@@ -2,12 +2,16 @@
 
 Each document's ids (with the end id) are cut into whole windows and a rest. A rest goes to the fill level that minimises
 the sum over levels of the squared number of open windows, tracked in a level array; a window that becomes full is closed.
-Windows are never shared between tasks, so a task's memory is its open windows alone. When more than OPEN windows are open,
-and at the end of a partition, open windows are emptied into one another by cutting pieces; what then is left of a
-partition, less than one window, is cut into sequences whose lengths are powers of two, which need no padding.
+Windows are never shared between tasks, so a task's memory is its open windows alone. At the end of a partition open
+windows are emptied into one another by cutting pieces; what then is left of it, less than one window, is cut into sequences
+whose lengths are powers of two, which need no padding. Where more than OPEN windows are open at once, which bounds a task's
+memory, they are emptied into one another earlier: that cuts more documents, and loses no id.
+
+Documents are dealt by a hash of doc_id and text over a given number of partitions and sorted by both, so the packing is
+a function of the rows and that number: neither cores, nor files, nor the order in which rows or blocks arrive matter.
 
 Cases: null text counts as empty (the end id alone), rows repeated under one doc_id are packed one by one, an empty table
-gives no rows, other columns are not read. The packing depends on how rows are dealt over partitions, never on timing.
+gives no rows, other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from .bpe import codec, default_vocabulary
 
 WINDOW = 2048
 END_ID = 1
-#: Open windows of a task at most.
-OPEN = 1024
+#: Open windows of a task at most: 128 MB of ids.
+OPEN = 16_384
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -154,10 +158,15 @@ def _pack(path: str, window: int, end_id: int):
     return run
 
 
-def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Pieces of the documents' ids in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.map_arrow(rows, _pack(path or default_vocabulary(), window, end_id), SCHEMA)
+def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
+    """Pieces of the documents' ids in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    partitions: packed apart from each other; by default the session's shuffle partitions.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    return common.map_arrow(dealt, _pack(path or default_vocabulary(), window, end_id), SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
