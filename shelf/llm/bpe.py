@@ -204,8 +204,8 @@ def codec(path: str, leaf: int = LEAF) -> Codec:
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-_PIECE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string())])
-_CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("ids", pa.binary())])
+_PIECE = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string())])
+_CODED = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("ids", pa.binary())])
 
 
 def _digest(c: Codec, ids: list[int]) -> tuple[int, str, str]:
@@ -226,12 +226,9 @@ def _pieces(path: str, leaf: int, size: int):
     """Long texts as pieces; special tokens are pieces of their own, so that joins never touch them."""
 
     def run(it):
-        from pyspark import TaskContext
-
         c = codec(path, leaf)
-        row = TaskContext.get().partitionId() << 33
         for b in common.each(it):
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for row, doc, text in zip(*(b.column(n).to_pylist() for n in ("row", "doc_id", "text")), strict=True):
                 parts, at = [], 0
                 for m in c._special.finditer(text) if c._special else ():
                     parts += [text[at : m.start()], m[0]]
@@ -241,7 +238,6 @@ def _pieces(path: str, leaf: int, size: int):
                 for k in range(0, len(cut), 64):
                     some = cut[k : k + 64]
                     yield common.batch(_PIECE, [row] * len(some), [doc] * len(some), range(k, k + len(some)), some)
-                row += 1
 
     return run
 
@@ -277,20 +273,27 @@ def join_all(c: Codec, encodings: list[list[int]]) -> list[int]:
 
 
 def _joined(path: str, leaf: int):
-    """Rows sorted by (row, piece)."""
+    """Rows sorted by (row, piece). A row that is there more than once has each of its pieces as often."""
 
     def run(it):
         c = codec(path, leaf)
-        held, doc, encodings = None, None, []
+        held, copies, last, encodings = None, 0, None, []
+
+        def done():
+            return common.batch(_OUT, [held[1]] * copies, *([x] * copies for x in _digest(c, join_all(c, encodings))))
+
         for b in common.each(it):
-            for row, d, ids in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if row != held and held is not None:
-                    yield common.batch(_OUT, [doc], *([x] for x in _digest(c, join_all(c, encodings))))
-                    encodings = []
-                held, doc = row, d
-                encodings.append(array("i", ids).tolist())
+            for row, d, piece, ids in zip(*(b.column(n).to_pylist() for n in ("row", "doc_id", "piece", "ids")), strict=True):
+                if held != (row, d):
+                    if held is not None:
+                        yield done()
+                    held, copies, last, encodings = (row, d), 0, None, []
+                copies += piece == 0
+                if piece != last:
+                    last = piece
+                    encodings.append(array("i", ids).tolist())
         if held is not None:
-            yield common.batch(_OUT, [doc], *([x] for x in _digest(c, join_all(c, encodings))))
+            yield done()
 
     return run
 
@@ -305,9 +308,11 @@ def encoded(docs: DataFrame, path: str | None = None, leaf: int = LEAF, spread:
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     is_long = F.coalesce(F.length("text"), F.lit(0)) > spread
     short = common.map_arrow(rows.where(~is_long), _short(path, leaf), out)
-    pieces = common.map_arrow(rows.where(is_long), _pieces(path, leaf, max(leaf, spread // 4)), "row long, doc_id long, piece int, text string")
-    coded = common.map_arrow(pieces.repartition(F.xxhash64("row", "piece")), _code(path, leaf), "row long, doc_id long, piece int, ids binary")
-    tied = coded.repartition("row").sortWithinPartitions("row", "piece")
+    # A long text's row is known by what is in it, so pieces meet whatever the order in which rows arrive.
+    long = rows.where(is_long).withColumn("row", F.sha2(F.col("text").cast("binary"), 256))
+    pieces = common.map_arrow(long, _pieces(path, leaf, max(leaf, spread // 4)), "row string, doc_id long, piece int, text string")
+    coded = common.map_arrow(pieces.repartition(F.xxhash64("row", "doc_id", "piece")), _code(path, leaf), "row string, doc_id long, piece int, ids binary")
+    tied = coded.repartition("row", "doc_id").sortWithinPartitions("row", "doc_id", "piece")
     return short.unionByName(common.map_arrow(tied, _joined(path, leaf), out))
 
 
