@@ -85,10 +85,8 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table; one of fewer partitions than there are cores, so a small one, is dealt out to all of them."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """The documents table, as its files lie."""
+    return table(spark, sf_dir, "documents")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
