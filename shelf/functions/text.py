@@ -52,27 +52,33 @@ def snippet(c: Column | str) -> Column:
     return F.concat(F.regexp_replace(F.substring(col(c), 1, SNIPPET), f"[{SPACE}]+", " "), F.lit("…"))
 
 
+# Combining marks that are dropped from words, and letters that are forms of another.
+MARKS = "".join(chr(c) for a, b in ((0x300, 0x304), (0x306, 0x30C), (0x30F, 0x30F), (0x311, 0x311), (0x31B, 0x31B), (0x323, 0x328), (0x32D, 0x32E), (0x330, 0x331)) for c in range(a, b + 1))
+_FORMS = {"µ": "μ", "ſ": "s", "ẛ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ι": "ι"}
+
+
 def _fold_map() -> tuple[str, str]:
-    """Lower-case letters with diacritics and their base letters, from canonical decompositions."""
-    pairs = []
+    """Lower-case Latin letters with marks and their base letters, by canonical decomposition; and the forms above. Letters of
+    other scripts keep what belongs to them."""
+    pairs = dict(_FORMS)
     for cp in range(0xC0, 0x2000):
         c = chr(cp)
         d = unicodedata.normalize("NFD", c)
-        if len(d) > 1 and c.isalpha() and c == c.lower() and all(unicodedata.category(x) == "Mn" for x in d[1:]):
-            pairs.append((c, d[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        if len(d) > 1 and c == c.lower() and d[0].isascii() and d[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in d[1:]):
+            pairs[c] = d[0]
+    return "".join(pairs), "".join(pairs.values())
 
 
 FOLD_FROM, FOLD_TO = _fold_map()
 
 
 def fold(c: Column | str) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(col(c)), FOLD_FROM, FOLD_TO)
+    """Lower case without diacritics, composed or combining (so that the dotted capital I is an i)."""
+    return F.translate(F.lower(col(c)), FOLD_FROM + MARKS, FOLD_TO)
 
 
 def fold_py(s: str) -> str:
-    return s.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
+    return s.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO, MARKS))
 
 
 def tokens(c: Column | str) -> Column:
@@ -91,10 +97,14 @@ def to_fts_query(query: str) -> str:
     return " OR ".join(f'"{w}"*' for w in query_terms(query))
 
 
-def to_fts_query_col(c: Column | str) -> Column:
+def query_terms_col(c: Column | str) -> Column:
+    """query_terms() of a column."""
     bare = F.transform(F.split(trim(c), f"[{SPACE}]+"), lambda w: F.regexp_replace(w, "^[\"'`“”‘’]+|[\"'`“”‘’]+$", ""))
-    kept = F.filter(bare, lambda w: F.length(w) > 3)
-    return F.array_join(F.transform(kept, lambda w: F.concat(F.lit('"'), w, F.lit('"*'))), " OR ")
+    return F.filter(bare, lambda w: F.length(w) > 3)
+
+
+def to_fts_query_col(c: Column | str) -> Column:
+    return F.array_join(F.transform(query_terms_col(c), lambda w: F.concat(F.lit('"'), w, F.lit('"*'))), " OR ")
 
 
 def each(values: list, make: Callable) -> list[Column]:

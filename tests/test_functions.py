@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import re
+import sqlite3
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +171,26 @@ def test_articles():
     for nothing in (None, "", "<body><nav>x</nav></body>"):
         assert html.read_article("https://e.com/x", nothing)["error"]
     assert html.read_article("https://e.com/x", "<p>bare</p>")["title"] == "https://e.com/x"
+
+
+SAMPLES = [
+    "Café cafe\u0301s CAFE\u0301 naïve nai\u0308ve", "İstanbul I\u0307stanbul ISTANBUL ıstanbul ÇAĞRI Çağrı", "हिन्दी भाषा देवनागरी १२३", "Ελλάδα ΕΛΛΆΔΑ ΌΣΟΣ όσος µm", "Йод йод и\u0306од ёлка", "ﬁn ǖ u\u0308\u0304 Ǖ ǘ ệ e\u0323\u0302 ﬀ",
+    "\u0301start a\u0301-\u0301b e\u0335x o\u0338 ſtraße STRASSE ẛ", "日本語 テスト 한국어 ２３ x² ½", "rate-limit don't a_b c.d 3,14",
+]
+
+
+def test_tokens_equal_fts5(spark):
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("create virtual table t using fts5(x, tokenize='unicode61 remove_diacritics 2')")
+    except sqlite3.OperationalError:
+        pytest.skip("sqlite without fts5")
+    db.execute("create virtual table v using fts5vocab(t, 'instance')")
+    letters = [chr(c) for c in range(0xC0, 0x530) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and chr(c) not in "ǠǡͿԨԪԬԮ" and unicodedata.normalize("NFD", chr(c))[0] != "\u0378"]
+    every = [*SAMPLES, *(f"a{c}b {unicodedata.normalize('NFD', c)}x" for c in letters if unicodedata.normalize("NFD", c)[0].isascii() or unicodedata.normalize("NFD", c) == c)]
+    db.executemany("insert into t(rowid, x) values (?, ?)", list(enumerate(every)))
+    want = {k: [r[0] for r in db.execute("select term from v where doc = ? order by offset", (k,))] for k in range(len(every))}
+    rows = spark.createDataFrame(list(enumerate(every)), "k int, x string").select("k", text.tokens("x").alias("t"))
+    got = {r.k: r.t for r in rows.collect()}
+    assert {every[k]: got[k] for k in got if got[k] != want[k]} == {}
+    assert [text.fold_py(x) for x in SAMPLES] == [r.f for r in spark.createDataFrame(list(enumerate(SAMPLES)), "k int, x string").orderBy("k").select(text.fold("x").alias("f")).collect()]
