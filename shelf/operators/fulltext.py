@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_py, query_terms, tokens
+from ..functions.text import fold_py, query_terms, query_terms_col, tokens
 from ..schemas import PLACES, VERSIONS
 from ..staging import staged
 
@@ -22,7 +22,12 @@ def tokenized(chunks: DataFrame, *keep: str) -> DataFrame:
 
 def postings(chunks: DataFrame, *keep: str) -> DataFrame:
     """tok, chunk_id, pos, dl: a row for each token, in one pass without a shuffle."""
-    return tokenized(chunks, *keep).select("chunk_id", *keep, "dl", F.posexplode("toks").alias("pos", "tok")).select("tok", "chunk_id", "pos", "dl", *keep)
+    return exploded(tokenized(chunks, *keep), *keep)
+
+
+def exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    """Postings of a tokenized() table."""
+    return rows.select("chunk_id", *keep, "dl", F.posexplode("toks").alias("pos", "tok")).select("tok", "chunk_id", "pos", "dl", *keep)
 
 
 def sorted_postings(chunks: DataFrame, *keep: str, partitions: int | None = None) -> DataFrame:
@@ -68,6 +73,8 @@ def bm25(posts: DataFrame, stats: DataFrame, query: str) -> DataFrame:
         return posts.sparkSession.createDataFrame([], "chunk_id long, fts_score double")
     wanted = reduce(Column.__or__, [F.col("tok").startswith(p[-1]) for p in terms] + [F.col("tok") == x for p in terms for x in p[:-1]])
     found = posts.where(wanted)
+    if any(len(p) > 1 for p in terms):  # read for each token of each phrase: once from the postings, then as they were found
+        found = staged(found.select("tok", "chunk_id", "pos", "dl"))
     plain = [k for k, p in enumerate(terms) if len(p) == 1]
     counts = [F.sum(F.when(F.col("tok").startswith(terms[k][0]), 1).otherwise(0)).alias(f"f{k}") for k in plain]
     hits = found.groupBy("chunk_id").agg(F.first("dl").alias("dl"), *counts)
@@ -147,3 +154,55 @@ def inside(rows: DataFrame, within: DataFrame | None) -> DataFrame:
     if "chunk_id" in within.columns:
         return rows.join(within.select("chunk_id"), "chunk_id", "left_semi")
     return rows.join(within.select("doc_id"), F.shiftright("chunk_id", (PLACES * VERSIONS).bit_length() - 1) == F.col("doc_id"), "left_semi")
+
+
+def query_parts(queries: DataFrame) -> DataFrame:
+    """query_id, term, times of each query (query_id, query): terms as their tokens, parted by blanks, how often each is there."""
+    words = queries.select("query_id", F.explode(query_terms_col("query")).alias("word"))
+    terms = words.select("query_id", F.array_join(tokens("word"), " ").alias("term")).where("term <> ''")
+    return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def dictionary_matches(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """tok, term, k, parts: the tokens of the postings that can stand at place k of each term (term); the last is a prefix.
+
+    A prefix is a range of the dictionary; it is found by equality with the prefixes of each distinct token, as long as the
+    longest that is asked for, so that no term is compared with every token.
+    """
+    parts = terms.select("term", F.split("term", " ").alias("p")).select("term", F.size("p").alias("parts"), F.posexplode("p").alias("k", "part"))
+    last = parts.where("k = parts - 1")
+    longest = last.agg(F.coalesce(F.max(F.length("part")), F.lit(0)).alias("longest"))  # one row
+    dictionary = posts.select("tok").distinct().crossJoin(F.broadcast(longest)).where("longest > 0")
+    heads = dictionary.select("tok", F.explode(F.sequence(F.lit(1), F.least(F.length("tok"), "longest"))).alias("n")).select("tok", F.expr("substring(tok, 1, n)").alias("part"))
+    prefixes = heads.join(last, "part").select("tok", "term", "k", "parts")
+    return parts.where("k < parts - 1").select(F.col("part").alias("tok"), "term", "k", "parts").unionByName(prefixes)
+
+
+def batch_scores(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """bm25() of every query (query_id, query) of a table: query_id, chunk_id, fts_score of all chunks that match it.
+
+    Terms are counted once, whichever queries share them: postings meet the dictionary's matches by token, occurrences are
+    merged within their tasks, phrases by their first token's place; then each term's chunks meet the queries that ask for
+    it. What is broadcast is one row, or what Spark's own size check allows. Scores are summed as decimals, so their order
+    doesn't depend on that of rows.
+    """
+    asked = staged(query_parts(queries))
+    matches = staged(dictionary_matches(posts, asked.select("term").distinct()))
+    found = posts.select("tok", "chunk_id", "pos", "dl").join(matches, "tok")
+    single = found.where("parts = 1").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
+    places = found.where("parts > 1").groupBy("term", "parts", "chunk_id", (F.col("pos") - F.col("k")).alias("at")).agg(F.count(F.lit(1)).alias("there"), F.max("dl").alias("dl"))
+    phrases = places.where("there = parts").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
+    counts = staged(single.unionByName(phrases))
+    of = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row of statistics
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    of = of.select("term", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"), "avgdl")
+    one = F.lit(1.0)
+    weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * ((one - B) + B * F.col("dl") / F.col("avgdl")))
+    scored = counts.join(of, "term").select("term", "chunk_id", weight.alias("w")).join(asked, "term")
+    return scored.groupBy("query_id", "chunk_id").agg((-F.sum((F.col("w") * F.col("times")).cast("decimal(30,15)")).cast("double")).alias("fts_score"))
+
+
+def batch_search(posts: DataFrame, stats: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """query_id, rank, chunk_id, fts_score: the best chunks of every query; tasks keep limit rows a query before they meet."""
+    order = Window.partitionBy("query_id").orderBy("fts_score", "chunk_id")
+    return batch_scores(posts, stats, queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
