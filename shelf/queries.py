@@ -42,10 +42,7 @@ def _query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; documents of fewer partitions than there are cores, so a small table, are dealt out to all of them."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +154,15 @@ def fts_tokens(spark, sf_dir):
     return per_doc.groupBy("tok").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
+@_query(f"SELECT tok, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({_TOKENS.replace('(text)', '(replace(text, chr(101), chr(233)))')}) AS tok FROM documents) GROUP BY tok")
+def decomposed_tokens(spark, sf_dir):
+    """Tokens of all texts with each e as e and a combining accent, letters with marks taken apart where they are common."""
+    apart = F.replace("text", F.lit("e"), F.lit("e\u0301"))
+    for whole, parts in (("ö", "o\u0308"), ("ü", "u\u0308"), ("ä", "a\u0308"), ("ç", "c\u0327"), ("è", "e\u0300"), ("ê", "e\u0302"), ("à", "a\u0300")):
+        apart = F.replace(apart, F.lit(whole), F.lit(parts))
+    return _table(spark, sf_dir, "documents").select(F.explode(tokens(apart)).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- search
 
 
