@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under the folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """A new path under the folder that the cluster names in spark.checkpoint.dir; one of our own only where
+    it is unset and all run on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/shelf")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints/shelf")
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
