@@ -363,8 +363,8 @@ l AS (SELECT page_id, url, replace(hs[i], '&amp;', '&') AS href, i FROM (SELECT
 @_query(f"WITH {_HREFS} SELECT page_id, href, {_url_sql('href', 'url')} AS link FROM l")
 def resolved_urls(spark, sf_dir):
     """Every link of every page as it stands there, resolved against the page."""
-    raw = F.transform(F.regexp_extract_all(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1)), lambda h: F.replace(h, F.lit("&amp;"), F.lit("&")))
-    return _table(spark, sf_dir, "pages").select("page_id", "url", F.explode(raw).alias("href")).select("page_id", "href", urls.resolve_url("href", "url").alias("link"))
+    links = _table(spark, sf_dir, "pages").select("page_id", "url", F.explode(urls.hrefs("html")).alias("href"))
+    return links.select("page_id", "href", urls.normalize_url("href", "url").alias("link"))
 
 
 #: Forms of links, most of them relative to the page, with the page's id in them.
@@ -408,6 +408,49 @@ def extract_links(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(urls.extract_links("html", "url")).alias("pos", "link"))
 
 
+#: Links that a page may hold in ways of their own, and what they are; {0} is the page's id, {o} its scheme and host, {s} its scheme.
+_ODD_LINKS = {
+    "\n /foo{0}": "{o}/foo{0}", "\\win\\path{0}": "{o}/win/path{0}", "http://BÜCHER.example/x{0}": "http://xn--bcher-kva.example/x{0}", "https://u:p@Host.example/{0}": "https://u:p@host.example/{0}",
+    "http://日本語.example:80/{0}?q=é": "http://xn--wgv71a119e.example/{0}?q=%C3%A9", "http://h.example:0080/{0}": "http://h.example/{0}", "http://h.example:70000/{0}": None, "http://": None, "javascript:x({0})": None,
+    "/a b{0}?c d": "{o}/a%20b{0}?c%20d", "/%41{0}": "{o}/%41{0}", "http://[::1]:81/{0}": "http://[::1]:81/{0}", "http://exa mple.com/{0}": None, "/x{0}.ta\tr": None, "/v1.2/x{0}": "{o}/v1.2/x{0}", "//O.example/../{0}/./y/..": "{s}//o.example/{0}/",
+}
+
+
+def _filled(form: str | None, k: str) -> str:
+    """A form in SQL."""
+    if form is None:
+        return "CAST(NULL AS VARCHAR)"
+    text = "'" + form.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+    return text.replace("{0}", f"' || {k} || '").replace("{o}", "' || origin || '").replace("{s}", "' || scheme || '")
+
+
+_ODD = " UNION ALL ".join(f"SELECT page_id, {k} AS form, {_filled(v, 'page_id')} AS link FROM p" for k, v in enumerate(_ODD_LINKS.values()))
+_PLACES_OF = "p AS (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) AS origin, regexp_extract(url, '^(https?:)', 1) AS scheme, url FROM pages)"
+
+
+@_query(f"WITH {_PLACES_OF} SELECT page_id, CAST(form AS INTEGER) AS form, link FROM ({_ODD})")
+def odd_links(spark, sf_dir):
+    """Links with blanks, backslashes, users, ports and hosts beyond ASCII, against every page."""
+    at = F.col("page_id").cast("string")
+    hrefs = F.array(*(F.struct(F.lit(k).alias("form"), F.replace(F.lit(f), F.lit("{0}"), at).alias("href")) for k, f in enumerate(_ODD_LINKS)))
+    return _table(spark, sf_dir, "pages").select("page_id", "url", F.explode(hrefs).alias("x")).select("page_id", "x.form", urls.normalize_url("x.href", "url").alias("link"))
+
+
+#: Markup in which tags are easily mistaken, and the links it has.
+_ODD_MARKUP = """<A title="a > b" HREF="/q{0}">x</A><script>if (a < b) "<a href='/ghost'>"</script><!-- <a href="/comment"> --><a data-href="/no" href='/x?a={0}&#38;b=2&amp;c=&#x33;'>y</a>
+<img alt="<a href='/alt'>"><a href=/bare{0}?q=1>z</a><a name="n">t</a><a href>e</a><a href="">e</a><style>a::after { content: "<a href=/css>" }</style><textarea><a href="/text"></textarea>
+<a rel=next
+   href = "/copy?x=1&copy=2&eacute;{0}">w</a><abbr href="/abbr">v</abbr><a/href="/slash{0}">u</a><a href="/q{0}#again">r</a><!doctype x><a class='"' href="/last{0}">"""
+_FOUND = ["/q{0}", "/x?a={0}&b=2&c=3", "/bare{0}?q=1", "/copy?x=1&copy=2%C3%A9{0}", "/slash{0}", "/last{0}"]
+
+
+@_query(f"WITH {_PLACES_OF} " + " UNION ALL ".join(f"SELECT page_id, CAST({k} AS INTEGER) AS pos, {_filled('{o}' + x, 'page_id')} AS link FROM p" for k, x in enumerate(_FOUND)))
+def odd_markup(spark, sf_dir):
+    """Links of every page if its markup were of the kind that misleads."""
+    markup = F.replace(F.lit(_ODD_MARKUP), F.lit("{0}"), F.col("page_id").cast("string"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(urls.extract_links(markup, "url")).alias("pos", "link"))
+
+
 _TITLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
 

@@ -77,6 +77,8 @@ class Node:
 class _Tree(HTMLParser):
     """Builds a tree from markup as found: implied end tags, elements without content, raw text."""
 
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea", "iframe", "xmp", "noembed", "noframes")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})

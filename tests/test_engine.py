@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from jobs import queries as jobs
 from shelf import cli, queries, schemas, tools
 from shelf.engine import Engine
 from shelf.operators import fulltext
@@ -316,7 +317,7 @@ def test_queries_match_their_sql(spark, sf_dir, name):
 def test_entry_and_registration(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
-    assert set(queries.QUERIES) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
+    assert {*queries.QUERIES, *jobs.QUERIES} <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
 def test_without_the_training_data_operators_the_rest_is_registered(monkeypatch):
@@ -327,16 +328,16 @@ def test_without_the_training_data_operators_the_rest_is_registered(monkeypatch)
                 m.delitem(sys.modules, name)
             m.delattr("shelf.llm", raising=False)
             m.setitem(sys.modules, gone, None)
-            assert set(__spark_entry__.queries()) == set(queries.QUERIES) and set(__spark_entry__.oracle_sql()) == set(queries.SQL)
+            assert set(__spark_entry__.queries()) == {*queries.QUERIES, *jobs.QUERIES} and set(__spark_entry__.oracle_sql()) == {*queries.SQL, *jobs.SQL}
 
 
 def test_nothing_but_the_entry_imports_the_training_data_operators():
     from pathlib import Path
 
-    root = Path(queries.__file__).parent
-    for f in root.rglob("*.py"):
-        if "llm" not in f.relative_to(root).parts:
-            assert not re.search(r"^\s*(from|import) .*\bllm\b", f.read_text(), re.M), f
+    for root in (Path(queries.__file__).parent, Path(jobs.__file__).parent):
+        for f in root.rglob("*.py"):
+            if "llm" not in f.relative_to(root).parts:
+                assert not re.search(r"^\s*(from|import) .*\b(llm|corpus_pipeline)\b", f.read_text(), re.M), f
 
 
 def test_articles_of_pages_have_chunks(spark, engine, sf_dir):
