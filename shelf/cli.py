@@ -68,7 +68,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             pages = None if a.crawl else fetch_pages(spark.createDataFrame([(u,) for u in a.url], "url string"))
         if a.command == "refresh":
-            print(tools.refresh_doc(engine, pages, a.id, a.all, collection))
+            print(tools.refresh_doc(engine, pages, a.id, a.all, collection, embed=not a.no_embed))
         elif a.crawl:
             done = engine.crawl(pages, a.url[0], collection or "default", a.depth, a.max_pages, not a.any_origin, a.include, a.exclude, a.delay / 1000)
             for r in done.events.toLocalIterator():

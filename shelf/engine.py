@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -91,7 +91,9 @@ class Engine:
         status = self._ingest(articles.drop("url").withColumnRenamed("final_url", "url").dropDuplicates(["url"]), collection)
         of = articles.select("url", "final_url").join(status.select(F.col("url").alias("final_url"), F.col("doc_id").alias("_doc"), "status"), "final_url").select("url", "_doc", "status")
         events = done.events.join(of, "url", "left")
-        kind = F.when((F.col("kind") == "indexed") & (F.col("status") == "unchanged"), "unchanged").otherwise(F.col("kind"))
+        # A page that was reached by another URL before is there already. As many rows as the page budget at most.
+        again = F.row_number().over(Window.partitionBy("_doc", "kind").orderBy("ord")) > 1
+        kind = F.when((F.col("kind") == "indexed") & F.col("_doc").isNotNull() & ((F.col("status") == "unchanged") | again), "unchanged").otherwise(F.col("kind"))
         return Crawl(events.select("ord", kind.alias("kind"), "url", "depth", F.col("_doc").alias("doc_id"), "error", "reason").orderBy("ord"), done.fetched)
 
     def refresh(self, pages: DataFrame, ids: Iterable[int] | None = None, all_: bool = False, collection: str | None = None, embed: bool | None = None) -> DataFrame:
@@ -100,7 +102,7 @@ class Engine:
         embed: by default only if the store has vectors already.
         """
         if ids is None and not all_:
-            raise ValueError("Pass ids or all_")
+            raise ValueError("refresh needs ids, or all_")
         targets = staged(self.targets(ids, collection).select(F.col("id").alias("target_id"), "url", F.col("collection").alias("target_collection")))
         final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
         failed = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
@@ -114,7 +116,7 @@ class Engine:
         had = self.store.has_embeddings()
         status = self.store.upsert(good)
         if (had if embed is None else embed) and self.embedder:
-            self.store.embed_pending(self.embedder, ids=status)
+            self.store.embed_pending(self.embedder, ids=status.where("status <> 'unchanged'"))
         named = F.when(F.col("status") == "unchanged", "unchanged").otherwise("refreshed")
         return status.select("doc_id", "url", "collection", named.alias("status"), F.lit(None).cast("string").alias("error")).unionByName(failed)
 
@@ -127,7 +129,7 @@ class Engine:
         docs = docs.where(F.col("id").isin(ids))
         missing = set(ids) - {r.id for r in docs.select("id").collect()}  # as many as were asked for
         if missing:
-            raise ValueError(f"No document with id {min(missing)}")
+            raise ValueError(f"the store has no document {min(missing)}")
         return docs
 
     def embed(self, collection: str | None = None) -> int:

@@ -12,12 +12,16 @@ def content_hash(chunks: Column) -> Column:
     return F.sha2(F.array_join(pairs, "\x1e").cast("binary"), 256)
 
 
+#: What else is kept of a stored document, where the table has it.
+_MORE = {"chunk_count": "old_chunks", "tokens": "old_tokens", "title": "old_title", "byline": "old_byline", "site_name": "old_site_name"}
+
+
 def classify(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Of each incoming (collection, url): status, and the id and version that it has, if any.
+    """Of each incoming (collection, url): status, and what is stored of it, if anything.
 
     One shuffle of each side on the key, of hashes only; texts needn't be moved.
     """
-    old = stored.select("collection", "url", F.col("id").alias("old_id"), F.col("content_hash").alias("old_hash"), F.col("version").alias("old_version"), *(F.col(c).alias(n) for c, n in (("chunk_count", "old_chunks"), ("tokens", "old_tokens")) if c in stored.columns))
+    old = stored.select("collection", "url", F.col("id").alias("old_id"), F.col("content_hash").alias("old_hash"), F.col("version").alias("old_version"), *(F.col(c).alias(n) for c, n in _MORE.items() if c in stored.columns))
     rows = incoming.join(old, ["collection", "url"], "left")
     status = F.when(F.col("old_id").isNull(), "inserted").when(F.col("content_hash") == F.col("old_hash"), "unchanged").otherwise("replaced")
     return rows.withColumn("status", status)

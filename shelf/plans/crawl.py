@@ -47,7 +47,7 @@ def crawl(
     """
     start = resolve(root, root)
     if start is None:
-        raise ValueError(f"Invalid URL: {root}")
+        raise ValueError(f"a crawl can't begin at {root}")
     keep, read = staged, pages
     if isinstance(pages, DataFrame):
         read = lambda taken: pages.join(F.broadcast(taken.select("url")), "url", "left_semi")  # noqa: E731  as many as the budget at most

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions import urls
 from .functions.chunking import LEAST, TARGET, build_chunks, chunk_text
 from .functions.text import normalize_whitespace, score_tag, snippet, to_fts_query_col, tokens
@@ -19,7 +20,6 @@ from .operators.models import Hashing
 from .plans.crawl import MISSING, crawl
 from .sources.html import read_articles, sections_of
 from .staging import folder, staged
-from .store import Store
 
 QUERY = "attion thing nicht ertion"
 PHRASE = "the-on attion"
@@ -279,7 +279,8 @@ def list_collections(spark, sf_dir):
 
 @_query(f"WITH {_CHUNKS} SELECT d.doc_id AS id, 'doc://' || d.doc_id AS url, 'Document ' || d.doc_id AS title, lang AS collection, CAST(count(c.chunk_id) AS BIGINT) AS chunk_count FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id, lang")
 def list_docs(spark, sf_dir):
-    return catalog.list_docs(_documents(spark, sf_dir).drop("text"), _chunks(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return catalog.list_docs(docs.withColumn("chunk_count", F.size(chunk_text("text")).cast("long")).drop("text"))
 
 
 @_query("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
@@ -317,14 +318,52 @@ _REVISED = "CASE WHEN lang = 'de' THEN 'revised. ' || text ELSE text END"
 SELECT 'doc://' || doc_id AS url, collection, CASE WHEN collection = 'de' THEN 1 ELSE 0 END AS version, idx, text, count(*) OVER (PARTITION BY doc_id) AS chunk_count FROM chunks"""
 )
 def stored_chunks(spark, sf_dir):
-    """A store that all documents are put in, and again with those in German revised: its chunks with their documents."""
-    store = Store(spark, folder(spark))
+    """The chunks of a store that all documents were put in twice, with their documents."""
+    store = _stored(spark, sf_dir).store
+    named = store.docs().select(F.col("id").alias("doc_id"), "url", "collection", "chunk_count")
+    return store.chunks().join(named, "doc_id").select("url", "collection", F.col("version").cast("int").alias("version"), "idx", "text", "chunk_count")
+
+
+_REVISED_CHUNKS = _CHUNKS.replace(_chunk_sql("text"), _chunk_sql(_REVISED))
+
+
+def _stored(spark, sf_dir) -> Engine:
+    """A store that all documents are put in, and again with those in German revised."""
+    engine = Engine(spark, folder(spark))
     docs = _documents(spark, sf_dir).select("url", "title", F.lit(None).cast("string").alias("byline"), F.lit(None).cast("string").alias("site_name"), "collection", "text")
     for text in (F.col("text"), F.when(F.col("collection") == "de", F.concat(F.lit("revised. "), "text")).otherwise(F.col("text"))):
         chunks = F.transform(chunk_text(text), lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("section_path")))
-        store.upsert(docs.withColumn("chunks", chunks).drop("text"))
-    named = store.docs().select(F.col("id").alias("doc_id"), "url", "collection", "chunk_count")
-    return store.chunks().join(named, "doc_id").select("url", "collection", F.col("version").cast("int").alias("version"), "idx", "text", "chunk_count")
+        engine.store.upsert(docs.withColumn("chunks", chunks).drop("text"))
+    return engine
+
+
+@_query(
+    f"""WITH {_bm25_sql(['revised', *QUERY.split()]).replace(_CHUNKS, _REVISED_CHUNKS)}
+SELECT 'doc://' || doc_id AS doc_url, 'Document ' || doc_id AS doc_title, collection, idx, text, round(fts_score, 6) AS fts_score, source, CAST(row_number() OVER (ORDER BY scored.fts_score, collection, doc_url, idx) AS INTEGER) AS place
+FROM (SELECT *, 'doc://' || doc_id AS doc_url, 'fts' AS source FROM scored) AS scored ORDER BY scored.fts_score, collection, doc_url, idx LIMIT 20"""
+)
+def store_search(spark, sf_dir):
+    """The engine's own search over such a store: the best hits with their documents' fields."""
+    hits = _stored(spark, sf_dir).search(f"revised {QUERY}", "fts", limit=20)
+    order = Window.orderBy("fts_score", "collection", "doc_url", "idx")  # 20 rows
+    return hits.select("doc_url", "doc_title", "collection", "idx", "text", F.round("fts_score", 6).alias("fts_score"), "source", F.row_number().over(order).alias("place"))
+
+
+_OUTCOME = "CASE WHEN html IS NULL OR url IS NULL THEN NULL WHEN page_id % 3 = 2 THEN 'failed' WHEN page_id % 3 = 0 THEN 'refreshed' ELSE 'unchanged' END"
+
+
+@_query(f"SELECT url, {_OUTCOME} AS status, CASE WHEN page_id % 3 = 2 THEN '{MISSING}' END AS error, CAST(page_id % 3 = 0 AS INTEGER) AS version, TRUE AS embedded FROM pages")
+def store_refresh(spark, sf_dir):
+    """All pages put in a store with vectors, then refreshed from a snapshot in which every third has a paragraph more, the next is
+    as it was and the third is gone: what came of each, and whether all of its chunks have vectors."""
+    engine = Engine(spark, folder(spark), Hashing(16))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    engine.add(pages.select("url", "html"), "web")
+    longer = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "</article>", "<p>One more paragraph stands here.</p></article>")).otherwise(F.col("html"))
+    told = engine.refresh(pages.where("page_id % 3 <> 2").select("url", longer.alias("html")), all_=True)
+    bare = engine.store.pending().select("doc_id").distinct()
+    docs = engine.store.docs().select(F.col("id").alias("doc_id"), "version").join(bare.withColumn("bare", F.lit(True)), "doc_id", "left")
+    return told.join(docs, "doc_id").select("url", "status", "error", F.col("version").cast("int").alias("version"), F.col("bare").isNull().alias("embedded"))
 
 
 @_query(f"WITH {_CHUNKS} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT lang) FROM documents) AS collections, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT max(len(embedding)) FROM embeddings) AS embedding_dim")

@@ -21,4 +21,5 @@ EVENTS = "kind string, url string, depth int, doc_id long, error string, reason
 #: store compacted first.
 DOCUMENTS, PLACES, VERSIONS = 1 << 31, 1 << 20, 1 << 12
 DEFAULT_COLLECTION = "default"
-SCHEMA_VERSION = 2
+#: Stores of earlier versions are brought forward by migrations.STEPS.
+SCHEMA_VERSION = 3

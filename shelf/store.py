@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import schemas
+from . import migrations, schemas
 from .functions.text import tokens
 from .operators import catalog, fulltext, upsert
 from .operators.models import Embedder, embed_chunks
@@ -50,6 +50,8 @@ class Store:
         self._jvm = spark.sparkContext._jvm
         self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.meta = self._load()
+        while (at := self.meta["schema_version"]) < schemas.SCHEMA_VERSION:
+            self._commit(migrations.STEPS[at](self, self.meta))
 
     # -- folders and the pointer
 
@@ -66,8 +68,8 @@ class Store:
         finally:
             stream.close()
         meta = json.loads(bytes(raw).decode())
-        if meta["schema_version"] != schemas.SCHEMA_VERSION:
-            raise RuntimeError(f"the store has schema {meta['schema_version']}, this version reads {schemas.SCHEMA_VERSION}")
+        if meta["schema_version"] > schemas.SCHEMA_VERSION:
+            raise RuntimeError(f"the store has schema {meta['schema_version']}, this version reads {schemas.SCHEMA_VERSION} and earlier ones")
         return meta
 
     def _commit(self, meta: dict) -> None:
@@ -127,7 +129,8 @@ class Store:
 
     def upsert(self, incoming: DataFrame, index_partitions: int | None = None) -> DataFrame:
         """Inserts, keeps or replaces documents (schemas.UPSERT) by (collection, url); status of each: doc_id, url,
-        collection, chunk_count, status. Of rows with one key the first in content order counts.
+        collection, title, chunk_count, status. Of rows with one key the first in content order counts. An unchanged document
+        keeps its title, byline and site.
 
         incoming is computed once, into the store's staging folder; texts are moved once, and only those of documents that
         are new or changed.
@@ -153,8 +156,9 @@ class Store:
             total += n
         offsets = self.spark.createDataFrame(starts, "part int, offset long")
         ids = new.join(F.broadcast(offsets), "part").select(*key, (F.col("place") + F.col("offset")).alias("new_id"))
+        same = F.col("status") == "unchanged"
         out = classified.join(ids, key, "left").select(
-            F.coalesce("old_id", "new_id").alias("id"), "url", "title", "byline", "site_name", "collection", "content_hash",
+            F.coalesce("old_id", "new_id").alias("id"), "url", *(F.when(same, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "byline", "site_name")), "collection", "content_hash",
             F.when(F.col("status") == "replaced", F.col("old_version") + 1).otherwise(F.coalesce("old_version", F.lit(0).cast("long"))).alias("version"),
             "chunk_count", "tokens", F.current_timestamp().alias("fetched_at"), F.lit(self.meta["batch"]).cast("long").alias("batch"),
             "status", "row", "old_version", "old_chunks", "old_tokens",
@@ -190,7 +194,7 @@ class Store:
             append("postings", fulltext.sorted_postings(pieces, "doc_id", "version", partitions=index_partitions))
         if n_replaced:
             append("stale", replaced.select(_owner_of(F.col("id"), F.col("old_version")).alias("owner")))
-        # An unchanged document keeps what it had; only its time moves.
+        # Of an unchanged document only its time moves.
         append("docs", out)
         if len(meta["docs"]) > MERGE:
             before, self.meta = self.meta, meta
@@ -199,7 +203,10 @@ class Store:
             self.meta = before
             append("docs", merged)
         self._commit(meta | {"batch": meta["batch"] + 1, "n_chunks": meta["n_chunks"] + more_chunks, "n_tokens": meta["n_tokens"] + more_tokens})
-        return out.select(F.col("id").alias("doc_id"), "url", "collection", "title", "chunk_count", "status")
+        # What is told of the documents lies outside the store, so it can be read whatever becomes of that meanwhile.
+        told = staged(out.select(F.col("id").alias("doc_id"), "url", "collection", "title", "chunk_count", "status"))
+        self._fs.delete(self._hadoop(stage), True)
+        return told
 
     def init_embeddings(self, dim: int, model: str) -> None:
         if self.meta["dim"] not in (None, dim):

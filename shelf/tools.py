@@ -45,6 +45,7 @@ def search_docs(engine: Engine, query: str, mode: str | None = None, collection:
     return f"mode={label}, hits={len(blocks)}\n\n" + "\n\n---\n\n".join(blocks) if blocks else f"(no matches, mode={label})"
 
 
-def refresh_doc(engine: Engine, pages: DataFrame, doc_id: int | None = None, all_: bool = False, collection: str | None = None) -> str:
-    rows = engine.refresh(pages, None if doc_id is None else [doc_id], all_, collection).toLocalIterator()
+def refresh_doc(engine: Engine, pages: DataFrame, doc_id: int | None = None, all_: bool = False, collection: str | None = None, embed: bool | None = None) -> str:
+    """embed: by default only if the store has vectors."""
+    rows = engine.refresh(pages, None if doc_id is None else [doc_id], all_, collection, embed).toLocalIterator()
     return "\n".join(f"{r.status} #{r.doc_id} {r.url}" + (f": {r.error}" if r.error else "") for r in rows)

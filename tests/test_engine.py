@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 import sys
@@ -63,6 +64,74 @@ def test_an_unchanged_document_only_moves_its_time(spark, engine):
     new = engine.store.docs().first()
     assert (first.status, second.status, first.doc_id) == ("inserted", "unchanged", second.doc_id)
     assert all(engine.store.meta[t] == before[t] for t in ("chunks", "postings", "embeddings")) and new.fetched_at > old.fetched_at
+    other = spark.createDataFrame([("a", "Another title", "by someone", "a site", None, [("same content here today", None)])], UPSERT)
+    assert engine.store.upsert(other).first().title == "Doc A"
+    assert [tuple(r) for r in engine.store.docs().select("title", "byline", "site_name").collect()] == [("Doc A", None, None)]
+    changed = other.withColumn("chunks", F.expr("array(named_struct('text', 'other content', 'section_path', cast(null as string)))"))
+    assert engine.store.upsert(changed).first().title == "Another title" and engine.store.docs().first().site_name == "a site"
+
+
+def test_what_is_told_outlives_compaction_and_staging_is_removed(spark, engine):
+    told = engine.store.upsert(docs(spark, ("a", "A", None, [("alpha", None)]), ("b", "B", None, [("beta", None)])))
+    assert os.listdir(f"{engine.store.path}/staged") == []
+    engine.store.upsert(docs(spark, ("a", "A", None, [("gamma", None)])))
+    engine.store.compact()
+    assert sorted((r.url, r.status) for r in told.collect()) == [("a", "inserted"), ("b", "inserted")]
+
+
+def former_store(spark, path, version):
+    """A store as an earlier version wrote it: a document of two versions, one without a mark in its word, one with vectors."""
+    place = lambda doc, v, idx: doc * (schemas.PLACES * schemas.VERSIONS) + v * schemas.PLACES + idx
+    fields = [(1, "http://x/a", "A", None, None, "default", "h1", 2, 1), (2, "http://x/b", "B", None, None, "k", "h2", 1, 2)]
+    chunks = [(place(1, 1, 0), 1, 1, 0, "old words", None, 2), (place(1, 2, 0), 1, 2, 0, "new cafe\u0301s here", None, 4), (place(2, 1, 0), 2, 1, 0, "beta text", "B", 2), (place(2, 1, 1), 2, 1, 1, "more beta", "B", 2)]
+    words = {"old words": ["old", "words"], "new cafe\u0301s here": ["new", "cafe", "s", "here"], "beta text": ["beta", "text"], "more beta": ["more", "beta"]}
+    posts = [(t, c[0], k, len(words[c[4]]), c[1], c[2]) for c in chunks for k, t in enumerate(words[c[4]])]
+    vectors = [(c[0], [float(c[3])] * 8) for c in chunks if c[1] == 2 or c[2] == 1]
+    now = F.current_timestamp().alias("fetched_at")
+    rows = spark.createDataFrame(fields, "id long, url string, title string, byline string, site_name string, collection string, content_hash string, version long, chunk_count long")
+    rows = rows.select("*", now) if version == 1 else rows.select("*", F.lit(4).cast("long").alias("tokens"), now, F.lit(0).cast("long").alias("batch"))
+    tables = {"docs": rows, "chunks": spark.createDataFrame(chunks, schemas.CHUNKS), "postings": spark.createDataFrame(posts, f"{schemas.POSTINGS}, doc_id long, version long"), "embeddings": spark.createDataFrame(vectors, schemas.EMBEDDINGS)}
+    meta = {"schema_version": version, "model": "hashing", "dim": 8}
+    if version == 2:
+        tables["stale"] = spark.createDataFrame([(schemas.VERSIONS + 1,)], "owner long")
+        meta |= {"batch": 1, "n_chunks": 3, "n_tokens": 8}
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}/first")
+        meta[name] = f"{path}/{name}/first" if version == 1 and name == "docs" else [f"{path}/{name}/first"]
+    with open(f"{path}/pointer.json", "w") as f:
+        json.dump(meta, f)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_a_store_of_an_earlier_version_is_brought_forward_once(spark, tmp_path, version):
+    path = str(tmp_path / "store")
+    former_store(spark, path, version)
+    engine = Engine(spark, path, Hashing(8))
+    meta = json.load(open(f"{path}/pointer.json"))
+    assert meta["schema_version"] == schemas.SCHEMA_VERSION and engine.store.corpus_stats().first() == fulltext.corpus_stats(engine.store.chunks()).first() == (3, 7 / 3)
+    assert {(r.id, r.version, r.tokens) for r in engine.store.docs().collect()} == {(1, 2, 3), (2, 1, 4)}
+    assert sorted(r.text for r in engine.store.chunks().collect()) == ["beta text", "more beta", "new cafe\u0301s here"]
+    assert engine.store.embeddings().count() == 2 and engine.store.pending().count() == 1
+    assert [r.doc_url for r in engine.search("cafés", "fts").collect()] == ["http://x/a"] and engine.search("words", "fts").collect() == []
+    stamp = os.stat(f"{path}/pointer.json").st_mtime_ns
+    again = Engine(spark, path, Hashing(8))
+    assert os.stat(f"{path}/pointer.json").st_mtime_ns == stamp and again.store.meta == meta
+    put = again.store.upsert(docs(spark, ("http://x/a", "A", None, [("newer", None)]), ("http://x/c", "C", None, [("third", None)])))
+    assert sorted((r.doc_id, r.status) for r in put.collect()) == [(1, "replaced"), (3, "inserted")]
+    again.store.compact()
+    assert sorted(r.text for r in again.store.chunks().collect()) == ["beta text", "more beta", "newer", "third"] and [len(os.listdir(f"{path}/{t}")) for t in ("docs", "chunks", "postings")] == [1, 1, 1]
+    os.remove(f"{path}/.pointer.json.crc")
+    with open(f"{path}/pointer.json", "w") as f:
+        json.dump(meta | {"schema_version": schemas.SCHEMA_VERSION + 1}, f)
+    with pytest.raises(RuntimeError):
+        Engine(spark, path)
+
+
+def test_an_empty_store_of_the_first_version_opens(spark, tmp_path):
+    with open(f"{tmp_path}/pointer.json", "w") as f:
+        json.dump({"schema_version": 1, "docs": None, "model": None, "dim": None, "chunks": [], "postings": [], "embeddings": []}, f)
+    engine = Engine(spark, str(tmp_path))
+    assert engine.store.docs().count() == 0 and engine.store.upsert(docs(spark, ("a", "A", None, [("alpha", None)]))).count() == 1
 
 
 def test_search_finds_chunks_and_collections_are_counted(spark, engine):
@@ -192,6 +261,34 @@ def test_refreshing_one_document_leaves_the_backlog_alone(spark, engine):
     assert [r.doc_id != first.doc_id for r in engine.store.pending().collect()] == [True]
 
 
+def test_refresh_embeds_only_what_changed(spark, engine):
+    engine.add(pages(spark, [("http://x/a", "A", "alpha text"), ("http://x/b", "B", "beta text")]), embed=False)
+    engine.add(pages(spark, [("http://x/c", "C", "gamma text")]))
+    new = pages(spark, [("http://x/a", "A", "alpha text"), ("http://x/b", "B", "beta anew"), ("http://x/c", "C", "gamma text")])
+    assert sorted(r.status for r in engine.refresh(new, all_=True).collect()) == ["refreshed", "unchanged", "unchanged"]
+    assert engine.store.embeddings().count() == 2 and [r.text.endswith("alpha text") for r in engine.store.pending().collect()] == [True]
+
+
+def test_the_commands_refresh_embeds_with_a_provider_and_the_tools_only_with_vectors(spark, engine, tmp_path, monkeypatch, capsys):
+    engine.add(pages(spark, [("http://x/a", "A", "alpha text")]), embed=False)
+    for k, change in enumerate(("first change", "second change")):
+        pages(spark, [("http://x/a", "A", change)]).write.parquet(f"{tmp_path}/{k}")
+    tools.refresh_doc(engine, spark.read.parquet(f"{tmp_path}/0"), all_=True)
+    assert not engine.store.has_embeddings()
+    monkeypatch.setattr(cli, "embedding_provider", lambda: Hashing(8))
+    cli.main(["--store", engine.store.path, "refresh", "--all", "--pages", f"{tmp_path}/1"], spark)
+    assert Engine(spark, engine.store.path).store.has_embeddings() and "refreshed" in capsys.readouterr().out
+
+
+def test_a_page_reached_twice_is_indexed_once(spark, engine):
+    link = lambda *us: "".join(f'<a href="{u}">x</a>' for u in us)
+    body = lambda t, x: PAGE.format(t, x)
+    rows = spark.createDataFrame([("https://e.com/", "https://e.com/", body("Root", "r" + link("/one", "/two", "/three"))), *((f"https://e.com/{k}", "https://e.com/same", body("Same", "alpha")) for k in ("one", "two", "three"))], "url string, final_url string, html string")
+    done = engine.crawl(rows, "https://e.com/")
+    assert [(r.kind, r.url.rpartition("/")[2]) for r in done.events.collect()] == [("indexed", ""), ("indexed", "one"), ("unchanged", "two"), ("unchanged", "three")]
+    assert tuple(done.summary().first()) == (4, 2, 2, 0, 0) and engine.store.docs().count() == 2
+
+
 def test_a_live_crawl_fetches_in_order_and_waits_between(spark, engine, monkeypatch):
     link = lambda *us: "".join(f'<a href="{u}">x</a>' for u in us)
     web = {"https://e.com/": "root" + link("a/", "b?x=1"), "https://e.com/a/": "alpha" + link("../c", "/"), "https://e.com/b?x=1": None, "https://e.com/c": "gamma"}
