@@ -17,6 +17,7 @@ from .functions.chunking import LEAST, TARGET, build_chunks, chunk_text
 from .functions.text import normalize_whitespace, score_tag, snippet, to_fts_query_col, tokens
 from .operators import catalog, fulltext, fusion, upsert, vector
 from .operators.models import Hashing
+from .operators.neighbours import VectorIndex, nearest
 from .plans.crawl import MISSING, crawl
 from .sources.html import read_articles, sections_of
 from .staging import folder, staged
@@ -216,6 +217,28 @@ def vector_search_collection(spark, sf_dir):
     return vector.vector_search(rows, VECTOR, LIMIT, within=rows.where("label = 1")).select("chunk_id", F.round("vec_distance", 6).alias("vec_distance"))
 
 
+@_query(f"WITH {_NEAR} SELECT chunk_id, round(vec_distance, 6) AS vec_distance FROM near ORDER BY near.vec_distance, chunk_id LIMIT {LIMIT}")
+def indexed_vector_search(spark, sf_dir):
+    """vector_search through an index of all vectors, built for it."""
+    index = VectorIndex.build(_vectors(spark, sf_dir), folder(spark))
+    return index.search(VECTOR, LIMIT).hits.withColumn("vec_distance", F.round("vec_distance", 6))
+
+
+_APART = "sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+@_query(
+    f"""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id * {PLACES} AS chunk_id, {_APART} AS far FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY far, chunk_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, chunk_id, round(far, 6) AS vec_distance FROM r WHERE rank <= {LIMIT}"""
+)
+def knn_join(spark, sf_dir):
+    """The nearest of all vectors to every hundredth."""
+    rows = _table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return nearest(asked, _vectors(spark, sf_dir), LIMIT).withColumn("vec_distance", F.round("vec_distance", 6))
+
+
 @_query(f"SELECT vec_id * {PLACES} AS chunk_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_ARRAY} AS DOUBLE[])), 6) AS vec_distance FROM embeddings")
 def cosine_distances(spark, sf_dir):
     return _vectors(spark, sf_dir).select("chunk_id", F.round(vector.distance(F.col("embedding"), VECTOR, "cosine"), 6).alias("vec_distance"))
