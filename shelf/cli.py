@@ -13,7 +13,7 @@ from .engine import LIMIT, MODES, Engine
 from .operators.models import default_reranker, embedding_provider, load_reranker
 from .plans.crawl import MAX_DEPTH, MAX_PAGES
 from .sources.location import default_store
-from .sources.web import DELAY, fetch_pages, read_pages
+from .sources.web import DELAY, fetch_given, fetch_pages, read_pages
 
 
 def parser() -> argparse.ArgumentParser:
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "refresh":
             pages = fetch_pages(engine.targets(None if a.id is None else [a.id], collection).select("url"), spark.sparkContext.defaultParallelism)
         else:
-            pages = None if a.crawl else fetch_pages(spark.createDataFrame([(u,) for u in a.url], "url string"))
+            pages = None if a.crawl else fetch_given(spark, a.url, a.delay / 1000)
         if a.command == "refresh":
             print(tools.refresh_doc(engine, pages, a.id, a.all, collection, embed=not a.no_embed))
         elif a.crawl:
