@@ -272,7 +272,8 @@ def extract_links(html: Column | str, base: Column | str) -> Column:
 def page_title(html: Column | str) -> Column:
     """Text of the title element with the basic entities decoded, trimmed; null if there is none or it is blank."""
     t = F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title", 1)
-    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         t = F.replace(t, F.lit(entity), F.lit(c))
+    t = F.regexp_replace(t, "&amp;?", "&")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
     return F.when(t != "", t)

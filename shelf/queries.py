@@ -513,7 +513,7 @@ def odd_markup(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(urls.extract_links(markup, "url")).alias("pos", "link"))
 
 
-_TITLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+_TITLE = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
 
 
 @_query(f"SELECT page_id, nullif({_TITLE}, '') AS title FROM pages")
@@ -521,13 +521,26 @@ def page_titles(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", urls.page_title("html").alias("title"))
 
 
-@_query()
+_BARE = lambda x: f"regexp_replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;?', '&', 'g')"
+_SQUEEZED = lambda x: _TRIM(f"regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+_P = _TRIM(_BARE("split_part(x, '</p>', 1)"))
+_HEADING, _TEXTS = _TRIM(_BARE("regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1)")), _SQUEEZED("array_to_string(ps, chr(10) || chr(10))")
+#: Sections of pages whose articles have one heading and paragraphs that may not be closed.
+_SECTIONS = f"""art AS (SELECT url, coalesce(nullif({_TITLE}, ''), url) AS title, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS b FROM pages),
+cut AS (SELECT url, title, {_HEADING} AS h1, list_filter(list_transform(string_split(regexp_replace(b, '(?s)^.*?</h1>', ''), '<p>')[2:], lambda x: {_P}), lambda x: x <> '') AS ps FROM art),
+sec AS (SELECT url, array_to_string(list_filter([title, h1], lambda x: x <> ''), ' > ') AS path, {_TEXTS} AS text FROM cut WHERE len(ps) > 0)"""
+
+
+@_query(f"WITH {_SECTIONS} SELECT url, CAST(0 AS INTEGER) AS pos, path, text FROM sec")
 def walk_sections(spark, sf_dir):
     read = read_articles(_table(spark, sf_dir, "pages"))
     return read.select("url", F.posexplode(sections_of("content_html", "title", "text_content")).alias("pos", "s")).select("url", "pos", F.array_join(F.col("s.path"), " > ", "").alias("path"), "s.text")
 
 
-@_query()
+@_query(
+    f"""WITH {_SECTIONS}, c AS (SELECT url, path, {_chunk_sql('text')} AS cs FROM sec)
+SELECT url, CAST(i - 1 AS INTEGER) AS idx, path || chr(10) || chr(10) || cs[i] AS text, path AS section_path FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM c)"""
+)
 def article_chunks(spark, sf_dir):
     read = read_articles(_table(spark, sf_dir, "pages")).where("error is null")
     chunks = build_chunks(sections_of("content_html", "title", "text_content"))

@@ -185,16 +185,46 @@ def _cleaned(node: Node) -> Node:
     return node
 
 
-def _densest(body: Node) -> Node:
-    """The smallest container that holds most of the text of paragraphs."""
-    amount = lambda n: sum(len(strip_py(x.text())) for x in n.all() if x.tag in ("p", "pre", "blockquote"))
-    best, all_ = body, amount(body)
-    while all_:
-        inner = max((c for c in best.children() if c.tag in CONTAINERS), key=amount, default=None)
-        if inner is None or amount(inner) < 0.8 * all_:
-            break
-        best = inner
-    return best
+#: Characters below which a block says nothing, and from which it counts in full: a comment is short, a paragraph is not.
+_LEAST, _FULL = 25, 200
+
+
+def best_block(body: Node) -> Node:
+    """The element that holds the reading matter of a page that doesn't name it.
+
+    Each block of text weighs by its length outside links, the less the shorter it is and the more of it is links. Its weight
+    goes to the element that holds it, half of it to the one around that, and so on. An element's score is what it was given,
+    times the share of its text that is outside links; the best scores highest, the outer of two that score alike.
+    """
+    order: list[tuple[Node, int]] = []  # elements, each after the one around it, and that one's place
+    todo = [(body, -1)]
+    while todo:
+        node, above = todo.pop()
+        order.append((node, above))
+        todo.extend((x, len(order) - 1) for x in reversed(node.children()))
+    length, linked = [0] * len(order), [0] * len(order)
+    for k in range(len(order) - 1, -1, -1):
+        node, above = order[k]
+        length[k] += sum(len(strip_py(x)) for x in node.inside if isinstance(x, str))
+        if node.tag == "a":
+            linked[k] = length[k]
+        if above >= 0:
+            length[above] += length[k]
+            linked[above] += linked[k]
+    given = [0.0] * len(order)
+    for k, (node, above) in enumerate(order):
+        bare = node.tag in CONTAINERS and any(isinstance(x, str) and len(strip_py(x)) >= _LEAST for x in node.inside)
+        n = length[k]
+        if n < _LEAST or not (node.tag in TEXT_BLOCKS or bare) or any(x.tag in CONTAINERS | TEXT_BLOCKS for x in node.children()):
+            continue
+        weight = (n - linked[k]) * (1 - linked[k] / n) * min(1.0, n / _FULL)
+        at = k if bare else above
+        while at >= 0 and weight >= 1:
+            given[at] += weight
+            at, weight = order[at][1], weight / 2
+    scores = [g * (1 - linked[k] / length[k]) if length[k] else 0.0 for k, g in enumerate(given)]
+    best = max(range(len(order)), key=lambda k: (order[k][0].tag in CONTAINERS or k == 0, scores[k], -k))
+    return order[best][0] if scores[best] > 0 else body
 
 
 def _meta(root: Node, *names: str) -> str | None:
@@ -214,7 +244,7 @@ def read_article(url: str, html: str | None) -> dict:
     byline = _meta(root, "author", "article:author") or next((t for x in root.all() if (x.attrs.get("rel") == "author" or "byline" in x.attrs.get("class", "").split()) and (t := strip_py(x.text()))), None)
     site = _meta(root, "og:site_name")
     body = _cleaned(find(root, "body") or root)
-    content = find(body, "article") or find(body, "main") or _densest(body)
+    content = find(body, "article") or find(body, "main") or best_block(body)
     text = content.text()
     readable = bool(strip_py(text))
     return {
