@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,30 +44,27 @@ def crawl(
     """pages: url, final_url, links, and error of pages that can't be indexed (fetched, if there, tells which of these were
     read all the same: their origins count); or what reads these for a round's url, ord.
 
-    known: urls whose content is stored already and unchanged. A round's tables are written to the shared folder.
+    known: urls whose content is stored already and unchanged. A round writes two tables to the shared folder, what came of its
+    pages and the next frontier; what was seen, allowed origins and events are read from all rounds'.
     """
     start = resolve(root, root)
     if start is None:
         raise ValueError(f"a crawl can't begin at {root}")
-    keep, read = staged, pages
+    read = pages
     if isinstance(pages, DataFrame):
         read = lambda taken: pages.join(F.broadcast(taken.select("url")), "url", "left_semi")  # noqa: E731  as many as the budget at most
     frontier = spark.createDataFrame([(start, 0)], "url string, ord long")
-    seen = frontier.select("url")
-    origins = frontier.select(origin_of("url").alias("origin"), F.lit(-1).cast("long").alias("since"))
-    left = max_pages
-    events, fetched = spark.createDataFrame([], f"ord long, {EVENTS}"), spark.createDataFrame([], "url string, ord long")
-    known = spark.createDataFrame([], "url string") if known is None else known.select("url").distinct()
+    same = None if known is None else known.select("url").distinct().withColumn("same", F.lit(True))
+    reason = F.lit(None).cast("string")
+    if exclude is not None:
+        reason = F.when(F.col("url").rlike(exclude), "exclude filter").otherwise(reason)
+    if include is not None:
+        reason = F.when(~F.col("url").rlike(include), "include filter").otherwise(reason)
+    left, after, frontiers, rounds, events = max_pages, 0, [], [], []
     for depth in range(max_depth + 1):
-        if left <= 0:
-            break
-        reason = F.lit(None).cast("string")
-        if exclude is not None:
-            reason = F.when(F.col("url").rlike(exclude), "exclude filter").otherwise(reason)
-        if include is not None:
-            reason = F.when(~F.col("url").rlike(include), "include filter").otherwise(reason)
-        rows = keep(frontier.withColumn("reason", reason))
-        taken = keep(rows.where("reason is null").orderBy("ord").limit(left).select("url", "ord"))
+        frontiers.append(frontier)
+        rows = frontier.withColumn("reason", reason)
+        taken = rows.where("reason is null").orderBy("ord").limit(left).select("url", "ord")
         n, last = taken.agg(F.count(F.lit(1)), F.max("ord")).first()
         skipped = rows.where("reason is not null")
         if n == left:  # the budget ends with the last page, and what stands behind it is never looked at
@@ -76,24 +74,32 @@ def crawl(
             found = found.withColumn("fetched", F.col("error").isNull())
         at = taken.alias("t").join(found.alias("p"), F.col("t.url") == F.col("p.url"), "left")
         error = F.when(F.col("p.url").isNull(), MISSING).otherwise(F.col("p.error"))
-        got = keep(at.select(F.col("t.url").alias("url"), F.col("t.ord").alias("ord"), F.coalesce("p.fetched", F.lit(False)).alias("read"), F.coalesce("p.final_url", "t.url").alias("final_url"), F.col("p.links").alias("links"), error.alias("error")))
-        same = known.withColumn("same", F.lit(True))
-        kinds = got.join(same, "url", "left").select("ord", F.when(F.col("error").isNotNull(), "failed").when(F.col("same"), "unchanged").otherwise("indexed").alias("kind"), "url", "error", F.lit(None).cast("string").alias("reason"))
-        said = kinds.unionByName(skipped.select("ord", F.lit("skipped").alias("kind"), "url", F.lit(None).cast("string").alias("error"), "reason"))
-        events = events.unionByName(said.select("ord", "kind", "url", F.lit(depth).alias("depth"), F.lit(None).cast("long").alias("doc_id"), "error", "reason"))
-        fetched = fetched.unionByName(got.where("error is null").select("url", "ord"))
-        origins = keep(origins.unionByName(got.where("read").select(origin_of("final_url").alias("origin"), F.col("ord").alias("since"))).groupBy("origin").agg(F.min("since").alias("since")))
+        got = at.select(F.col("t.url").alias("url"), F.col("t.ord").alias("ord"), F.coalesce("p.fetched", F.lit(False)).alias("read"), F.coalesce("p.final_url", "t.url").alias("final_url"), F.col("p.links").alias("links"), error.alias("error"))
+        got = staged(got.withColumn("same", F.lit(False)) if same is None else got.join(same, "url", "left"))
+        rounds.append(got)
+        kind = F.when(F.col("error").isNotNull(), "failed").when(F.col("same"), "unchanged").otherwise("indexed")
+        none = F.lit(None).cast("string")
+        for told in (got.select("ord", kind.alias("kind"), "url", "error", none.alias("reason")), skipped.select("ord", F.lit("skipped").alias("kind"), "url", none.alias("error"), "reason")):
+            events.append(told.select("ord", "kind", "url", F.lit(depth).alias("depth"), F.lit(None).cast("long").alias("doc_id"), "error", "reason"))
         left -= n
         if depth == max_depth or left <= 0:
             break
         links = got.where("error is null").select("ord", F.posexplode("links").alias("place", "link"))
         if same_origin:
+            # As many rows as pages were fetched so far, so as the budget at most.
+            fetched = _all(rounds).where("read").groupBy(origin_of("final_url").alias("origin")).agg(F.min("ord").alias("since"))
+            origins = fetched.unionByName(spark.createDataFrame([(start, -1)], "url string, since long").select(origin_of("url").alias("origin"), "since"))
             links = links.join(origins, (origin_of("link") == F.col("origin")) & (F.col("since") <= F.col("ord")), "left_semi")
+        seen = _all([f.select("url") for f in frontiers])
         new = links.join(seen, links.link == seen.url, "left_anti").groupBy(F.col("link").alias("url")).agg(F.min(F.struct("ord", "place")).alias("first"))
         # Only links of this round's pages are ranked, which are as many as the budget at most; the order goes on from the old.
-        after = rows.agg(F.max("ord")).first()[0]
-        frontier = keep(new.select("url", (F.row_number().over(Window.orderBy("first")) + F.lit(after)).cast("long").alias("ord")))
-        seen = keep(seen.unionByName(frontier.select("url")))
-        if frontier.isEmpty():
+        frontier = staged(new.select("url", (F.row_number().over(Window.orderBy("first")) + F.lit(after)).cast("long").alias("ord")))
+        count = frontier.count()
+        if not count:
             break
-    return Crawl(keep(events).orderBy("ord"), fetched.orderBy("ord"))
+        after += count
+    return Crawl(_all(events).orderBy("ord"), _all(rounds).where("error is null").select("url", "ord").orderBy("ord"))
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
