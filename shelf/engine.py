@@ -194,6 +194,17 @@ class Engine:
             schema += ", rerank_score double"
         return self.spark.createDataFrame([tuple(r) for r in found], schema).coalesce(1)
 
+    def search_all(self, queries: DataFrame, collection: str | None = None, limit: int = LIMIT) -> DataFrame:
+        """The best chunks by full text for every query of a table (query_id, query), in one job: query_id, rank and the fields
+        of a hit. Null queries and those without a term have none."""
+        within = None if collection is None else self.store.documents_of(collection)
+        best = fulltext.batch_search(self.store.postings(), self.store.corpus_stats(), queries, limit, within)
+        chunks = self.store.chunks().select("chunk_id", "doc_id", "idx", "text", "section_path")
+        docs = self.store.docs().select(F.col("id").alias("doc_id"), F.col("title").alias("doc_title"), F.col("url").alias("doc_url"), "collection")
+        hits = best.join(chunks, "chunk_id").join(docs, "doc_id")
+        hits = hits.withColumn("vec_distance", F.lit(None).cast("double")).withColumn("fused_score", F.lit(0.0)).withColumn("source", F.lit("fts"))
+        return hits.select("query_id", "rank", *schemas.HIT)
+
     def show(self, hits: DataFrame) -> DataFrame:
         """Hits as they are printed: tag of the score and a snippet."""
         return hits.select("doc_id", "idx", "collection", score_tag(hits).alias("tag"), "doc_title", "section_path", "doc_url", snippet("text").alias("snippet"))

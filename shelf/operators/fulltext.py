@@ -202,7 +202,8 @@ def batch_scores(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> Data
     return scored.groupBy("query_id", "chunk_id").agg((-F.sum((F.col("w") * F.col("times")).cast("decimal(30,15)")).cast("double")).alias("fts_score"))
 
 
-def batch_search(posts: DataFrame, stats: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """query_id, rank, chunk_id, fts_score: the best chunks of every query; tasks keep limit rows a query before they meet."""
+def batch_search(posts: DataFrame, stats: DataFrame, queries: DataFrame, limit: int, within: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, chunk_id, fts_score: the best chunks of every query; tasks keep limit rows a query before they meet.
+    within: as in fts_search()."""
     order = Window.partitionBy("query_id").orderBy("fts_score", "chunk_id")
-    return batch_scores(posts, stats, queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return inside(batch_scores(posts, stats, queries), within).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

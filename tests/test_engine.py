@@ -143,6 +143,20 @@ def test_search_finds_chunks_and_collections_are_counted(spark, engine):
     assert [r.collection for r in engine.list_docs("alpha").collect()] == ["alpha", "alpha"]
 
 
+def test_all_queries_of_a_table_find_what_each_finds_alone(spark, engine):
+    rows = [(f"u{k}", "T", "even" if k % 2 == 0 else "odd", [(f"alpha word{k % 5} and café-bar number {k}", None), (f"other text{k}", "S")]) for k in range(24)]
+    engine.store.upsert(docs(spark, *rows))
+    engine.store.upsert(docs(spark, ("u3", "T", "odd", [("replaced alpha alpha", None)])))
+    asked = ["alpha", "word3 text1", "cafe-bar numbers", "nothing", "", None, "“other” alpha alpha"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    for collection in (None, "odd"):
+        got: dict[int, list] = {}
+        for r in engine.search_all(queries, collection, 4).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_url, r.idx, r.text, r.collection, r.section_path, round(r.fts_score, 9), r.source))
+        alone = {k: [(r.doc_url, r.idx, r.text, r.collection, r.section_path, round(r.fts_score, 9), r.source) for r in engine.search(q, "fts", collection, 4).collect()] for k, q in enumerate(asked) if q}
+        assert got == {k: v for k, v in alone.items() if v} and len(got) == 4
+
+
 def test_modes_need_vectors(spark, engine):
     engine.store.upsert(docs(spark, ("a", "A", None, [("one two three four", None), ("five six seven eight", None)])))
     with pytest.raises(RuntimeError):
