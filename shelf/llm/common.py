@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,21 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
+
 #: Rows and bytes of an Arrow batch: texts may be long, so batches are kept short and a worker's memory stays bounded.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 #: The ASCII white space that separates words, strips lines and is left out of normalised texts.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under the folder that driver and executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``; one of our own is set only where it is unset.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/shelf")
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+#: A new path under the folder that driver and executors share, as all tables of a job are.
+shared_folder = staging.folder
 
 
 def written(df: DataFrame, path: str | None = None, codec: str = "snappy") -> DataFrame:

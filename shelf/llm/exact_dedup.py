@@ -14,6 +14,7 @@ their doc_id's fate, null doc_ids sort last among ties, an empty table gives no
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from . import common
 MEMTABLE = 200_000
 #: Bits of a run's filter for each digest; a digest sets FILTER_HASHES of them.
 FILTER_BITS, FILTER_HASHES = 12, 4
-BUCKETS = 256
+#: Rows to a bucket of digests, about, and the fewest buckets as a power of two: a bucket is one task's work at the last level.
+BUCKET_ROWS, LEAST_BITS = 1 << 20, 8
 #: Runs that one pass of compaction merges.
 FAN = 4
 
@@ -71,18 +73,23 @@ def _places(digests: np.ndarray, bits: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
-def _bucket(digests: np.ndarray) -> np.ndarray:
-    return ((digests.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.int32)
+def bucket_bits(rows: int) -> int:
+    """Buckets of so many rows, as a power of two."""
+    return max(LEAST_BITS, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))
+
+
+def _bucket(digests: np.ndarray, bits: int) -> np.ndarray:
+    return ((digests.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def _packed(bits: np.ndarray) -> bytes:
     return len(bits).to_bytes(8, "little") + np.packbits(bits).tobytes()
 
 
-def _flush(memtable: dict, run: int):
+def _flush(memtable: dict, run: int, bucket_bits: int):
     """The memtable as a sorted run: of each bucket first its filter, then its digests."""
     digests = np.array(sorted(memtable), dtype=np.int64)
-    buckets = _bucket(digests)
+    buckets = _bucket(digests, bucket_bits)
     rows: list[tuple] = []
     for k in np.unique(buckets).tolist():
         own = digests[buckets == k]
@@ -98,20 +105,23 @@ def _flush(memtable: dict, run: int):
         yield common.batch(_RUN, *zip(*rows, strict=True))
 
 
-def _memtables(it):
-    memtable: dict = {}
-    run = TaskContext.get().partitionId() << 32
-    for b in common.each(it):
-        for doc, length, digest in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), b.column("digest").to_pylist(), strict=True):
-            old = memtable.get(digest)
-            if old is None:
-                memtable[digest] = (length, doc, 1)
-            else:
-                memtable[digest] = (*better(old[:2], (length, doc)), old[2] + 1)
-        if len(memtable) >= MEMTABLE:
-            yield from _flush(memtable, run)
-            memtable, run = {}, run + 1
-    yield from _flush(memtable, run)
+def _memtables(bucket_bits: int):
+    def run(it):
+        memtable: dict = {}
+        number = TaskContext.get().partitionId() << 32
+        for b in common.each(it):
+            for doc, length, digest in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), b.column("digest").to_pylist(), strict=True):
+                old = memtable.get(digest)
+                if old is None:
+                    memtable[digest] = (length, doc, 1)
+                else:
+                    memtable[digest] = (*better(old[:2], (length, doc)), old[2] + 1)
+            if len(memtable) >= MEMTABLE:
+                yield from _flush(memtable, number, bucket_bits)
+                memtable, number = {}, number + 1
+        yield from _flush(memtable, number, bucket_bits)
+
+    return run
 
 
 class Merge:
@@ -212,8 +222,8 @@ def signatures(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
 
 
 def runs(signed: DataFrame) -> DataFrame:
-    """Level 0: sorted runs and their filters."""
-    return common.map_arrow(signed.select("doc_id", "n_chars", "digest"), _memtables, RUN)
+    """Level 0: sorted runs and their filters, in as many buckets as the rows ask for."""
+    return common.map_arrow(signed.select("doc_id", "n_chars", "digest"), _memtables(bucket_bits(signed.count())), RUN)
 
 
 def _dealt(level: DataFrame) -> DataFrame:

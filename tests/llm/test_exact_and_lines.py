@@ -116,3 +116,13 @@ def test_filters_answer_however_many_runs_there_are(frame, monkeypatch):
     for b in dealt.combine_chunks().to_batches():
         list(merge.rows(b))
     assert merge.asked == dealt.num_rows - sum(dealt["is_filter"].to_pylist()) and merge.passed >= 190
+
+
+@pytest.mark.parametrize(("rows_of_a_bucket", "bits"), [(1, 9), (4, 7), (1 << 20, 1)])
+def test_buckets_follow_the_rows_and_change_nothing(frame, monkeypatch, rows_of_a_bucket, bits):
+    monkeypatch.setattr(exact_dedup, "LEAST_BITS", 1)
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", rows_of_a_bucket)
+    assert exact_dedup.bucket_bits(400) == bits and exact_dedup.bucket_bits(0) == 1
+    rows = [(k, f"text {k % 50}" if k % 2 else f"alone {k}") for k in range(400)]
+    merged = exact_dedup.compact(exact_dedup.runs(exact_dedup.signatures(frame(rows, 7)))).collect()
+    assert sorted((r.keep_id, r.n) for r in merged) == sorted([(k, 1) for k in range(0, 400, 2)] + [(k, 8) for k in range(1, 50, 2)])
