@@ -42,7 +42,7 @@ FOLDS = 10
 TOP, TAILS = 40_000, 8_192
 STATES, ITERATIONS = 8, 12
 #: Bytes of a chunk and tokens of a lattice, about; tokens of a segment, at most. Blocks in which classes are summed.
-CHUNK, GROUP, SEGMENT, BLOCKS = 24_000_000, 131_072, 128, 64
+CHUNK, GROUP, SEGMENT, BLOCKS = 12_000_000, 131_072, 128, 64
 #: Steps between two scalings of a recursion; steps whose emissions are looked up at once.
 RESCALE, STRIDE = 3, 16
 #: Weight of the class distribution in each state's emissions, as so many tokens.
@@ -584,7 +584,7 @@ def _own(shared):
     return run
 
 
-def baum_welch_words(chunks: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, DataFrame, np.ndarray]:
+def baum_welch_words(chunks: DataFrame, model: Model, v: Vocabulary, partitions: int) -> tuple[Model, DataFrame, np.ndarray]:
     """The last iteration over all training texts, with words' own expected counts: the model; of each word outside the top
     in each chunk its training count and factors; by tail and state what shares times factors sum to."""
     spark, states = chunks.sparkSession, len(model.moves)
@@ -594,7 +594,7 @@ def baum_welch_words(chunks: DataFrame, model: Model, v: Vocabulary) -> tuple[Mo
         counts = gathered(rows.where("block is not null"), states, v.size)
         usual = counts.emissions[v.top : v.end] + 1
         usual /= usual.sum(1, keepdims=True)
-        by_word = rows.where("word is not null").select("word", "tail", "chunk", "place", "c", "expected").repartition("word").withColumn("key", F.xxhash64("word")).sortWithinPartitions("key")
+        by_word = rows.where("word is not null").select("word", "tail", "chunk", "place", "c", "expected").repartition(partitions, "word").withColumn("key", F.xxhash64("word")).sortWithinPartitions("key")
         own = common.written(common.map_arrow(by_word, _own(spark.sparkContext.broadcast(usual)), OWN_ROWS))
         common.discard(spark, at)
         norms, _ = summed(own.where("block is not null"), states + 1, len(usual), 1)
@@ -673,7 +673,10 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     chunks = split.where("chunk is not null").drop("word", "c")
     at = [common.shared_folder(spark) for _ in range(2)]
     counts = common.written(split.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), at[0])
-    v = vocabulary(counts, chunks.agg(F.sum("texts")).first()[0] or 0)
+    n_texts, n_chunks = chunks.agg(F.coalesce(F.sum("texts"), F.lit(0)), F.count("texts")).first()
+    v = vocabulary(counts, n_texts)
+    # As many partitions as there are chunks: what a task gets of words or chunks doesn't grow with the input.
+    partitions = max(n_chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     released(spark)
     training = common.written(common.map_arrow(chunks, _lattices(spark.sparkContext.broadcast(v)), LATTICES), at[1])
     model = Model.first(v.prior, states)
@@ -681,9 +684,9 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
         model = baum_welch(training, model, v.prior)
     for path in at:
         common.discard(spark, path)
-    model, own, norms = baum_welch_words(chunks, model, v)
+    model, own, norms = baum_welch_words(chunks, model, v, partitions)
     released(spark)
-    both = own.unionByName(chunks.drop("texts"), allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk")
+    both = own.unionByName(chunks.drop("texts"), allowMissingColumns=True).repartition(partitions, "chunk").sortWithinPartitions("chunk")
     with common.batches_of(spark, WORD_ROWS):
         out = common.written(common.map_arrow(both, _score(spark.sparkContext.broadcast((model, v, norms))), SCORED))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.n).cast("long").alias("train_tokens"), "base_score", "score")
