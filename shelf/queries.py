@@ -389,12 +389,14 @@ def store_refresh(spark, sf_dir):
     return told.join(docs, "doc_id").select("url", "status", "error", F.col("version").cast("int").alias("version"), F.col("bare").isNull().alias("embedded"))
 
 
-@_query(f"WITH {_CHUNKS} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT lang) FROM documents) AS collections, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT max(len(embedding)) FROM embeddings) AS embedding_dim")
+@_query(f"WITH {_REVISED_CHUNKS} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT lang) FROM documents) AS collections, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM chunks) AS embeddings, 'hashing' AS embedding_model, 16 AS embedding_dim, 'hashing' AS provider, (SELECT count(*) FROM chunks) AS embedded")
 def doctor(spark, sf_dir):
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    docs, vectors = _documents(spark, sf_dir), _vectors(spark, sf_dir)
-    one = docs.agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("collection").alias("collections")).crossJoin(count(_chunks(spark, sf_dir), "chunks"))
-    return one.crossJoin(vectors.agg(F.count(F.lit(1)).alias("embeddings"), F.max(F.size("embedding")).cast("long").alias("embedding_dim")))
+    """What the engine tells of such a store once all that is pending is embedded, as it was embedded."""
+    engine = _stored(spark, sf_dir)
+    engine.embedder = Hashing(16)
+    embedded = engine.embed()
+    told = engine.doctor({}, reachable=lambda *_: False, local=lambda: False)
+    return told.select("docs", "collections", "chunks", "embeddings", "embedding_model", "embedding_dim", "provider", F.lit(embedded).cast("long").alias("embedded"))
 
 
 # -- pages and crawls
