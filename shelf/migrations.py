@@ -5,7 +5,8 @@ pointer is replaced after each step, so a chain that breaks off goes on where it
 the store is compacted.
 
 1 to 2: documents know their tokens and batch; what replaced versions left behind is no longer told by a join with them.
-2 to 3: words are folded as FTS5 folds them (combining marks, the dotted I, letter forms), so all chunks are indexed anew.
+2 to 3: words are folded as FTS5 folds them (combining marks, the dotted I, letter forms), so all chunks are indexed anew; the
+pointer holds the last id.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def _to_2(store, meta: dict) -> dict:
 
 def _to_3(store, meta: dict) -> dict:
     store.meta = meta
-    new = meta | {"schema_version": 3}
+    new = meta | {"schema_version": 3, "last_id": 0}
     if not meta["docs"]:
         return new
     docs, chunks, vectors = store.docs(), store.chunks(), store.embeddings()  # as they stand, without what is stale
@@ -76,7 +77,8 @@ def _to_3(store, meta: dict) -> dict:
     if meta["embeddings"]:
         new["embeddings"] = _write(store, "embeddings", vectors, schemas.EMBEDDINGS)
     new["docs"] = _write(store, "docs", _with_tokens(docs.drop("tokens"), chunks).withColumn("batch", F.lit(meta["batch"] - 1).cast("long")), _BATCHED)
-    return _counted(store, new | {"stale": []})
+    last = docs.agg(F.max("id")).first()[0] or 0
+    return _counted(store, new | {"stale": [], "last_id": last})
 
 
 STEPS: dict[int, Callable] = {1: _to_2, 2: _to_3}

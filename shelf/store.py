@@ -61,7 +61,7 @@ class Store:
     def _load(self) -> dict:
         at = self._hadoop(f"{self.path}/pointer.json")
         if not self._fs.exists(at):
-            return {"schema_version": schemas.SCHEMA_VERSION, "model": None, "dim": None, "batch": 0, "n_chunks": 0, "n_tokens": 0, **{t: [] for t in _TABLES}}
+            return {"schema_version": schemas.SCHEMA_VERSION, "model": None, "dim": None, "batch": 0, "last_id": 0, "n_chunks": 0, "n_tokens": 0, **{t: [] for t in _TABLES}}
         stream = self._fs.open(at)
         try:
             raw = stream.readAllBytes()
@@ -95,8 +95,12 @@ class Store:
 
     # -- tables as they stand
 
-    def docs(self) -> DataFrame:
+    def docs(self, keys: DataFrame | None = None) -> DataFrame:
+        """Documents; keys: only those of a table's collections and urls. Where the keys are few, which Spark tells by their
+        size, they are sent to the documents, which then are filtered where they lie."""
         rows, fields = self._table("docs"), _FIELDS["docs"][:-1]
+        if keys is not None:
+            rows = rows.join(keys, ["collection", "url"], "left_semi")
         if len(self.meta["docs"]) < 2:
             return rows.select(*fields)
         # Thin rows; a batch holds a document once.
@@ -142,10 +146,10 @@ class Store:
         rows = staged(rows, f"{stage}/in")
         thin = rows.drop("chunks")
         first = Window.partitionBy(*key).orderBy("content_hash", "title", "row")
-        docs = self.docs()
-        classified = upsert.classify(docs, thin.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+        keys = staged(thin.select(*key).distinct(), f"{stage}/keys")
+        classified = upsert.classify(self.docs(keys), thin.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
         classified = staged(classified, f"{stage}/classified")
-        top = docs.agg(F.max("id")).first()[0] or 0
+        top = self.meta["last_id"]
         # New ids follow the order of keys: ranges of keys are numbered within partitions, partitions by their counts.
         new = classified.where("status = 'inserted'").select(*key).repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
         new = staged(new, f"{stage}/numbered")
@@ -202,7 +206,7 @@ class Store:
             meta["docs"] = []
             self.meta = before
             append("docs", merged)
-        self._commit(meta | {"batch": meta["batch"] + 1, "n_chunks": meta["n_chunks"] + more_chunks, "n_tokens": meta["n_tokens"] + more_tokens})
+        self._commit(meta | {"batch": meta["batch"] + 1, "last_id": max(top, last or 0), "n_chunks": meta["n_chunks"] + more_chunks, "n_tokens": meta["n_tokens"] + more_tokens})
         # What is told of the documents lies outside the store, so it can be read whatever becomes of that meanwhile.
         told = staged(out.select(F.col("id").alias("doc_id"), "url", "collection", "title", "chunk_count", "status"))
         self._fs.delete(self._hadoop(stage), True)

@@ -19,6 +19,7 @@ from shelf.engine import Engine
 from shelf.operators import fulltext
 from shelf.operators.models import Hashing, LexicalReranker
 from shelf.plans.crawl import crawl
+from shelf.staging import staged
 from shelf.streaming import ingest_stream
 
 UPSERT = "url string, title string, byline string, site_name string, collection string, chunks array<struct<text: string, section_path: string>>"
@@ -71,6 +72,18 @@ def test_an_unchanged_document_only_moves_its_time(spark, engine):
     assert engine.store.upsert(changed).first().title == "Another title" and engine.store.docs().first().site_name == "a site"
 
 
+def test_an_upsert_sends_its_keys_to_the_stored_documents(spark, engine):
+    """Documents that a batch doesn't name are filtered where they lie: what is shuffled of them is the batch's."""
+    for k in range(3):
+        engine.store.upsert(docs(spark, *[(f"u{n}", "T", None, [(f"text {n} {k * (n % 7 == 0)}", None)]) for n in range(60)]))
+    keys = staged(spark.createDataFrame([("default", "u7"), ("default", "u8")], "collection string, url string"))
+    found = engine.store.docs(keys)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.url, r.version) for r in found.collect()) == [("u7", 2), ("u8", 0)]
+    assert plan.index("BroadcastHashJoin [collection") > plan.index("Exchange hashpartitioning(id") and plan.count("Exchange hashpartitioning") == 1
+    assert engine.store.meta["last_id"] == 60 and engine.store.upsert(docs(spark, ("new", "N", None, [("x", None)]))).first().doc_id == 61
+
+
 def test_what_is_told_outlives_compaction_and_staging_is_removed(spark, engine):
     told = engine.store.upsert(docs(spark, ("a", "A", None, [("alpha", None)]), ("b", "B", None, [("beta", None)])))
     assert os.listdir(f"{engine.store.path}/staged") == []
