@@ -32,19 +32,23 @@ HITS = "item_id long, rank int, doc_id long, idx int, fts_score double, snippet
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """chunk_id, collection, text, toks, dl of each article's chunks. chunk_id: doc_id, idx, and a number for each row."""
+    """chunk_id, doc_id, idx, collection, text, toks, dl of each article's chunks; chunk_ids are in the order of doc_id and idx.
+
+    Articles are dealt by ranges of doc_id, so the files that they come in don't decide how many tasks there are.
+    """
     rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(DEFAULT_COLLECTION)).alias("collection"), F.col("text").cast("string").alias("text"))
-    cut = rows.select("doc_id", "collection", F.posexplode(chunk_text("text")).alias("idx", "text"))
-    named = cut.select(F.struct("doc_id", "idx", F.monotonically_increasing_id().alias("row")).alias("chunk_id"), "collection", "text")
-    return fulltext.tokenized(named, "collection", "text")
+    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    cut = dealt.select("doc_id", "collection", F.posexplode(chunk_text("text")).alias("idx", "text")).withColumn("chunk_id", F.monotonically_increasing_id())
+    return fulltext.tokenized(cut, "doc_id", "idx", "collection", "text")
 
 
 def hits(documents: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """The best chunks of each query by BM25 (rows of HITS), a rank each. Chunks are cut and tokenised once, into a table of the job's own."""
+    """The best chunks of each query by BM25 (rows of HITS), a rank each. Chunks are cut and tokenised once, into a table of the
+    job's own."""
     asked = queries.where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").cast("long").alias("query_id")).agg(F.min(F.col("text").cast("string")).alias("query"))
     every = staged(chunks(documents))
     best = fulltext.batch_search(fulltext.exploded(every), fulltext.corpus_stats(every), asked, limit)
-    return best.join(every, "chunk_id").select(F.col("query_id").alias("item_id"), "rank", "chunk_id.doc_id", "chunk_id.idx", "fts_score", snippet("text").alias("snippet"), "collection")
+    return best.join(every, "chunk_id").select(F.col("query_id").alias("item_id"), "rank", "doc_id", "idx", "fts_score", snippet("text").alias("snippet"), "collection")
 
 
 def run(spark: SparkSession, documents: str, queries: str, output: str, limit: int = 6) -> int:

@@ -53,7 +53,7 @@ st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(toks)) AS avgdl FROM k),
 df AS (SELECT p, count(*) AS df FROM f GROUP BY p),
 idf AS (SELECT p, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf, avgdl FROM df, st),
 w AS (SELECT f.p, k.chunk_id, k.doc_id, k.idx, k.collection, k.text, idf * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * len(toks) / avgdl)) AS w FROM f JOIN idf ON f.p = idf.p JOIN k ON k.chunk_id = f.chunk_id),
-s AS (SELECT item_id, doc_id, idx, collection, text, -CAST(sum(CAST(w * times AS DECIMAL(30, 15))) AS DOUBLE) AS score FROM w JOIN asked ON asked.p = w.p GROUP BY ALL),
+s AS (SELECT item_id, doc_id, idx, collection, text, CAST(sum(CAST(round(w * times * 1e12) AS BIGINT)) AS DOUBLE) / -1e12 AS score FROM w JOIN asked ON asked.p = w.p GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id, idx) AS INTEGER) AS rank FROM s)
 SELECT item_id, rank, doc_id, idx, round(score, 6) AS fts_score, regexp_replace(substring(text, 1, 260), '{engine._CLASS}+', ' ', 'g') || '…' AS snippet, collection FROM r WHERE rank <= {LIMIT}"""
 

@@ -13,6 +13,8 @@ from ..staging import staged
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Parts of one in which the scores of many queries are summed.
+PARTS = 1e12
 
 
 def tokenized(chunks: DataFrame, *keep: str) -> DataFrame:
@@ -183,8 +185,8 @@ def batch_scores(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> Data
 
     Terms are counted once, whichever queries share them: postings meet the dictionary's matches by token, occurrences are
     merged within their tasks, phrases by their first token's place; then each term's chunks meet the queries that ask for
-    it. What is broadcast is one row, or what Spark's own size check allows. Scores are summed as decimals, so their order
-    doesn't depend on that of rows.
+    it. What is broadcast is one row, or what Spark's own size check allows. Scores are summed as whole numbers of parts of a
+    million millionth, so they don't depend on the order of rows.
     """
     asked = staged(query_parts(queries))
     matches = staged(dictionary_matches(posts, asked.select("term").distinct()))
@@ -199,7 +201,7 @@ def batch_scores(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> Data
     one = F.lit(1.0)
     weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * ((one - B) + B * F.col("dl") / F.col("avgdl")))
     scored = counts.join(of, "term").select("term", "chunk_id", weight.alias("w")).join(asked, "term")
-    return scored.groupBy("query_id", "chunk_id").agg((-F.sum((F.col("w") * F.col("times")).cast("decimal(30,15)")).cast("double")).alias("fts_score"))
+    return scored.groupBy("query_id", "chunk_id").agg((F.sum(F.round(F.col("w") * F.col("times") * PARTS).cast("long")) / -PARTS).alias("fts_score"))
 
 
 def batch_search(posts: DataFrame, stats: DataFrame, queries: DataFrame, limit: int, within: DataFrame | None = None) -> DataFrame:

@@ -117,6 +117,7 @@ def test_batch_search_equals_searches_one_by_one(spark, sf_dir):
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
     every = staged(batch_search.chunks(rows))
     posts, stats = staged(fulltext.exploded(every)), fulltext.corpus_stats(every)
+    assert [(r.doc_id, r.idx) for r in every.orderBy("chunk_id").collect()] == sorted((r.doc_id, r.idx) for r in every.collect())
     got = {(r.query_id, r.chunk_id): r.fts_score for r in fulltext.batch_scores(posts, stats, queries).collect()}
     want = {(k, r.chunk_id): r.fts_score for k, q in enumerate(texts) for r in fulltext.bm25(posts, stats, q).collect()}
     assert got.keys() == want.keys() and len({k for k, _ in got}) >= 4
