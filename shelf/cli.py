@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--pages", help="Parquet table of pages (url, html) instead of the network")
         s.add_argument("--no-embed", action="store_true")
     embed = sub.add_parser("embed", help="vectors for chunks that have none")
+    embed.add_argument("--index", action="store_true", help="lay all vectors out for search afterwards")
     search = sub.add_parser("search", help="search chunks")
     search.add_argument("query", nargs="+")
     search.add_argument("-n", "--limit", type=int, default=LIMIT)
@@ -79,6 +80,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(f"{r.status} #{r.doc_id} [{r.collection}]: {r.title} ({r.chunk_count} chunks)" + (f" {r.error}" if r.error else ""))
     elif a.command == "embed":
         print(f"Embedded {engine.embed(collection)} chunks.")
+        if a.index:
+            print(f"Indexed {engine.store.index_vectors().total} vectors.")
     elif a.command == "search":
         reranker = load_reranker(a.rerank_model) if a.rerank and a.rerank_model else default_reranker({"SHELF_RERANK": "1"} if a.rerank else None)
         if a.rerank and reranker is None:

@@ -172,7 +172,7 @@ class Engine:
         if mode != "vector":
             fts = fulltext.fts_search(self.store.postings(), self.store.corpus_stats(), query, pool, within)
         if mode != "fts":
-            vec = vector.vector_search(self.store.embeddings(), self.embedder.embed([query])[0], pool, within=within)
+            vec = self._nearest(self.embedder.embed([query])[0], pool, within)
         if mode == "fts":
             hits = fts.select("chunk_id", "fts_score", none("vec_distance"), F.lit(0.0).alias("fused_score"), F.lit("fts").alias("source"))
         elif mode == "vector":
@@ -194,6 +194,11 @@ class Engine:
             schema += ", rerank_score double"
         return self.spark.createDataFrame([tuple(r) for r in found], schema).coalesce(1)
 
+    def _nearest(self, query: list[float], pool: int, within: DataFrame | None) -> DataFrame:
+        """The nearest chunks: by the store's index where it is of all vectors that count, else by reading them."""
+        index = None if within is not None else self.store.vector_index()
+        return index.search(query, pool).hits if index else vector.vector_search(self.store.embeddings(), query, pool, within=within)
+
     def search_all(self, queries: DataFrame, collection: str | None = None, limit: int = LIMIT) -> DataFrame:
         """The best chunks by full text for every query of a table (query_id, query), in one job: query_id, rank and the fields
         of a hit. Null queries and those without a term have none."""

@@ -21,6 +21,7 @@ from . import migrations, schemas
 from .functions.text import tokens
 from .operators import catalog, fulltext, upsert
 from .operators.models import Embedder, embed_chunks
+from .operators.neighbours import VectorIndex
 from .staging import staged
 
 _TABLES = {
@@ -252,6 +253,21 @@ class Store:
             done += self.spark.read.parquet(self.meta["embeddings"][-1]).count()
         return done
 
+    def index_vectors(self, centres: int | None = None) -> VectorIndex:
+        """An exact index of the vectors as they stand; searches use it until vectors come or go."""
+        at = self._folder("index")
+        index = VectorIndex.build(self.embeddings(), at, centres)
+        self._commit(self.meta | {"index": {"path": at, "of": self._vectors_named()}})
+        return index
+
+    def vector_index(self) -> VectorIndex | None:
+        """The index, if there is one of the vectors as they stand."""
+        at = self.meta.get("index")
+        return VectorIndex(self.spark, at["path"]) if at and at["of"] == self._vectors_named() else None
+
+    def _vectors_named(self) -> list[str]:
+        return [*self.meta["embeddings"], *self.meta["stale"]]
+
     def compact(self, keep: str | None = None) -> None:
         """Rewrites all tables without what no longer counts, as one folder each, and deletes every folder that the pointer
         doesn't name (but keep). Readers that still hold older tables must begin anew."""
@@ -264,9 +280,9 @@ class Store:
                 at = self._folder(name)
                 rows.select(*_FIELDS[name]).repartitionByRange(*order[name]).sortWithinPartitions(*order[name]).write.parquet(at)
                 meta[name] = [at]
-        self._commit(meta | {"stale": []})
+        self._commit({k: v for k, v in meta.items() if k != "index"} | {"stale": []})
         named = {self._hadoop(f).toString() for name in _TABLES for f in self.meta[name]} | {self._hadoop(keep).toString() if keep else ""}
-        for name in (*_TABLES, "staged"):
+        for name in (*_TABLES, "staged", "index"):
             at = self._hadoop(f"{self.path}/{name}")
             for found in self._fs.listStatus(at) if self._fs.exists(at) else []:
                 if self._hadoop(f"{self.path}/{name}/{found.getPath().getName()}").toString() not in named:

@@ -16,7 +16,7 @@ import __spark_entry__
 from jobs import queries as jobs
 from shelf import cli, queries, schemas, tools
 from shelf.engine import Engine
-from shelf.operators import fulltext
+from shelf.operators import fulltext, vector
 from shelf.operators.models import Hashing, LexicalReranker
 from shelf.plans.crawl import crawl
 from shelf.staging import staged
@@ -170,6 +170,30 @@ def test_all_queries_of_a_table_find_what_each_finds_alone(spark, engine):
         assert got == {k: v for k, v in alone.items() if v} and len(got) == 4
 
 
+def test_searches_by_an_index_find_what_scans_find_until_vectors_change(spark, engine, monkeypatch, capsys):
+    rows = [(f"u{k}", "T", "odd" if k % 2 else "even", [(f"alpha word{k % 5} number{k}", None)]) for k in range(30)]
+    engine.store.upsert(docs(spark, *rows))
+    engine.embed()
+    shown = lambda **how: [(r.doc_url, round(r.vec_distance, 9)) for r in engine.search("alpha word3", "vector", **how).collect()]
+    by_scan = shown(limit=8)
+    monkeypatch.setattr(cli, "embedding_provider", lambda: Hashing(8))
+    cli.main(["--store", engine.store.path, "embed", "--index"], spark)
+    assert "Indexed 30 vectors" in capsys.readouterr().out
+    engine = Engine(spark, engine.store.path, Hashing(8))
+    scans = []
+    plain = vector.vector_search
+    monkeypatch.setattr(vector, "vector_search", lambda *a, **k: scans.append(1) or plain(*a, **k))
+    assert shown(limit=8) == by_scan and not scans
+    assert [u for u, _ in shown(limit=3, collection="odd")] == [u for u, _ in by_scan if int(u[1:]) % 2][:3] or len(scans) == 1
+    engine.store.upsert(docs(spark, ("u3", "T", "odd", [("another text", None)])))
+    assert engine.store.vector_index() is None and "u3" not in [u for u, _ in shown(limit=30)]
+    engine.embed()
+    engine.store.index_vectors()
+    assert engine.store.vector_index().total == 30
+    engine.store.compact()
+    assert engine.store.vector_index() is None and os.listdir(f"{engine.store.path}/index") == [] and len(shown(limit=40)) == 30
+
+
 def test_modes_need_vectors(spark, engine):
     engine.store.upsert(docs(spark, ("a", "A", None, [("one two three four", None), ("five six seven eight", None)])))
     with pytest.raises(RuntimeError):
