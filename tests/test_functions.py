@@ -237,18 +237,18 @@ def test_tokens_equal_fts5(spark):
     assert [text.fold_py(x) for x in SAMPLES] == [r.f for r in spark.createDataFrame(list(enumerate(SAMPLES)), "k int, x string").orderBy("k").select(text.fold("x").alias("f")).collect()]
 
 
-PARAGRAPH = "This paragraph goes on for a while, as those of articles do, and says one thing after the other until it has said enough of it to be read by someone who has the time to read what is written here, line by line. "
+READING = "This paragraph goes on for a while, as those of articles do, and says one thing after the other until it has said enough of it to be read by someone who has the time to read what is written here, line by line. "
 LINKS_OF = "".join(f'<li><a href="/{k}">A link with a rather long text that leads to page number {k}, and on</a></li>' for k in range(40))
 
 
 @pytest.mark.parametrize(
     ("markup", "mark"),
     [
-        (f'<div id="x"><ul>{LINKS_OF}</ul></div><div id="y"><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>', "y"),
-        (f'<div><div id="x"><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></div><div id="y">' + "".join(f"<div><p>Well said, number {k}, and I agree with it.</p></div>" for k in range(60)) + "</div>", "x"),
-        (f'<div id="w"><p>{PARAGRAPH}</p></div><section id="y">' + "".join(f"<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>" for _ in range(4)) + "</section>", "y"),
-        (f'<table><tr><td id="x">{"<a href=/a>link after link</a> " * 30}</td><td id="y"><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></td></tr></table>', None),
-        (f'<div id="x"><p>{PARAGRAPH[:90]}<a href="/more">{PARAGRAPH[:80]}</a></p></div><div id="y">{PARAGRAPH}<b>{PARAGRAPH}</b>{PARAGRAPH}</div>', "y"),
+        (f'<div id="x"><ul>{LINKS_OF}</ul></div><div id="y"><p>{READING}</p><p>{READING}</p></div>', "y"),
+        (f'<div><div id="x"><p>{READING}</p><p>{READING}</p><p>{READING}</p></div></div><div id="y">' + "".join(f"<div><p>Well said, number {k}, and I agree with it.</p></div>" for k in range(60)) + "</div>", "x"),
+        (f'<div id="w"><p>{READING}</p></div><section id="y">' + "".join(f"<div><p>{READING}</p><p>{READING}</p></div>" for _ in range(4)) + "</section>", "y"),
+        (f'<table><tr><td id="x">{"<a href=/a>link after link</a> " * 30}</td><td id="y"><p>{READING}</p><p>{READING}</p></td></tr></table>', None),
+        (f'<div id="x"><p>{READING[:90]}<a href="/more">{READING[:80]}</a></p></div><div id="y">{READING}<b>{READING}</b>{READING}</div>', "y"),
         ('<div id="x"><p>tiny</p></div><div id="y"></div>', None),
     ],
 )
@@ -264,5 +264,5 @@ def test_the_best_block_of_pages_that_do_not_name_it(markup, mark):
 
 
 def test_a_very_deep_page_has_a_best_block():
-    deep = "<div>" * 3_000 + f"<p>{PARAGRAPH}</p>" + "</div>" * 3_000
-    assert PARAGRAPH.strip() in html.read_article("u", f"<body>{deep}</body>")["text_content"]
+    deep = "<div>" * 3_000 + f"<p>{READING}</p>" + "</div>" * 3_000
+    assert READING.strip() in html.read_article("u", f"<body>{deep}</body>")["text_content"]
