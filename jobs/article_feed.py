@@ -29,6 +29,7 @@ from shelf.functions.chunking import chunk_text
 from shelf.functions.text import tokens, trim
 from shelf.operators import upsert
 from shelf.schemas import DEFAULT_COLLECTION
+from shelf.staging import staged
 
 from .config import log, settings
 
@@ -65,8 +66,10 @@ def take(batch: DataFrame, number: int, output: str) -> None:
     """Stores one batch. Hashes are compared first; only texts of new and changed articles are moved."""
     spark = batch.sparkSession
     rows = articles(batch)
-    seen = rows.groupBy(*_KEY).agg(F.max("content_hash").alias("content_hash"))
-    stored = _latest(_table(spark, f"{output}/docs", _DOCS).where(F.col("batch") < number))
+    seen = staged(rows.groupBy(*_KEY).agg(F.max("content_hash").alias("content_hash")))  # a hash for each article
+    # Where a batch is small, which Spark tells by its size, its keys are sent to what is stored, and little of that is shuffled.
+    known = _table(spark, f"{output}/docs", _DOCS).where(F.col("batch") < number).join(seen.select(*_KEY), _KEY, "left_semi")
+    stored = _latest(known)
     told = upsert.classify(stored, seen).where("status <> 'unchanged'")
     version = F.when(F.col("status") == "replaced", F.col("old_version") + 1).otherwise(F.lit(0).cast("long"))
     changed = told.select(F.coalesce("old_id", F.xxhash64(*_KEY)).alias("id"), *_KEY, "content_hash", version.alias("version"), "status")
