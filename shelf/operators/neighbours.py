@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 #: Bytes of a block of vectors, about: what a task holds of either side at once.
 BLOCK_BYTES = 16 << 20
 #: Vectors that an index' centres are learned from, at most, and rounds; centres, at most. The centres only shape the layout:
@@ -102,9 +104,10 @@ def nearest(queries: DataFrame, embeddings: DataFrame, k: int, most: int = BLOCK
     for each query. What is shuffled after that is k rows for each query and task. Null vectors have and are no neighbours;
     a query_id or chunk_id that is repeated is compared for each of its vectors.
     """
-    left = blocks(queries.select("query_id", "embedding"), most).toDF("width", "qids", "queries")
+    # Written, so that Spark knows their size: sent to all tasks if they are few, else read again by each task's partition.
+    left = staged(blocks(queries.select("query_id", "embedding"), most)).toDF("width", "qids", "queries")
     right = blocks(embeddings.select("chunk_id", "embedding"), most).toDF("_width", "ids", "vectors")
-    pairs = left.crossJoin(right).where(F.col("width") == F.col("_width")).select("width", "qids", "queries", "ids", "vectors")
+    pairs = right.crossJoin(left).where(F.col("width") == F.col("_width")).select("width", "qids", "queries", "ids", "vectors")
     near = pairs.mapInArrow(_compare(k), "query_id long, chunk_id long, vec_distance double")
     order = Window.partitionBy("query_id").orderBy("vec_distance", "chunk_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "vec_distance")
