@@ -41,8 +41,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read by the next."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over documents; what a stage returns is written to the shared folder, read by the next and then deleted, but
+    for what the last reads."""
+    docs, before = common.documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir))
+        at = common.shared_folder(spark)
+        docs = common.written(stage(spark, docs, sf_dir), at)
+        if before:
+            common.discard(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
