@@ -68,8 +68,8 @@ def take(batch: DataFrame, number: int, output: str) -> None:
     rows = articles(batch)
     seen = staged(rows.groupBy(*_KEY).agg(F.max("content_hash").alias("content_hash")))  # a hash for each article
     # Where a batch is small, which Spark tells by its size, its keys are sent to what is stored, and little of that is shuffled.
-    known = _table(spark, f"{output}/docs", _DOCS).where(F.col("batch") < number).join(seen.select(*_KEY), _KEY, "left_semi")
-    stored = _latest(known)
+    before = _table(spark, f"{output}/docs", _DOCS).where(F.col("batch") < number) if number else spark.createDataFrame([], _DOCS)
+    stored = _latest(before.join(seen.select(*_KEY), _KEY, "left_semi"))
     told = upsert.classify(stored, seen).where("status <> 'unchanged'")
     version = F.when(F.col("status") == "replaced", F.col("old_version") + 1).otherwise(F.lit(0).cast("long"))
     changed = told.select(F.coalesce("old_id", F.xxhash64(*_KEY)).alias("id"), *_KEY, "content_hash", version.alias("version"), "status")
