@@ -172,7 +172,7 @@ REMARKS = [
     ("unknown-license", f"dual licen[cs]ed under", "dual"),
 ]
 _VERBS = "licensed|licenced|released|distributed|available|published|covered|provided|governed|redistributed|lizenziert|veröffentlicht|publié|distribué|publicado|licenciado"
-_GRANT = rf"(?:{_VERBS}) (?:in full |freely )?(?:under|by|unter|sous|bajo)(?: (?:a|an|the|der|la|el|los))?(?: (?:terms|conditions)(?: and conditions)? of(?: the)?)?"
+_GRANT = rf"(?:{_VERBS}) (?:in full |freely )?(?:(?:under|unter|sous|bajo)(?: (?:a|an|the|der|la|el|los))?(?: (?:terms|conditions)(?: and conditions)? of(?: the)?)?|by the (?:terms|conditions)(?: and conditions)? of(?: the)?)"
 
 
 @dataclass(frozen=True)

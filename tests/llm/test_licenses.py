@@ -81,6 +81,8 @@ def test_labels_of_real_notices():
     labels = lambda t: {r.label for r, _, _ in scan(licenses.words_of(t.encode()))}
     assert labels(PLANTED[3]) == {"gpl-3"} and labels(PLANTED[4]) == {"mit"} and labels(PLANTED[6]) == {"lgpl-2.1"}
     assert labels(PLANTED[2]) == {"cc-by-nc", "cc-by-nc-nd"} and labels(PLANTED[7]) == set()
+    assert labels("Published by MIT Press, distributed by Apache Inc. and available by ISC") == set()
+    assert labels("Governed by the terms of the MPL 2.0") == {"mpl-2"}
     assert labels("Distributed under the terms of the BSD 3-Clause License") == {"bsd-3"}
 
 
