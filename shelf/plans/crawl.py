@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import origin_of, resolve
-from ..schemas import EVENTS
 from ..staging import staged
 
 MAX_DEPTH, MAX_PAGES = 2, 50
