@@ -34,8 +34,8 @@ def exploded(rows: DataFrame, *keep: str) -> DataFrame:
 
 def sorted_postings(chunks: DataFrame, *keep: str, partitions: int | None = None) -> DataFrame:
     """Postings laid out for the store: ranges of (tok, chunk_id), so that a prefix touches few row groups of few files and a
-    token that very many chunks hold is spread over several."""
-    rows = postings(chunks, *keep)
+    token that very many chunks hold is spread over several. chunks: with their texts or, as tokenized(), with their tokens."""
+    rows = exploded(chunks, *keep) if "toks" in chunks.columns else postings(chunks, *keep)
     by = ["tok", "chunk_id", "pos"]
     dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
     return dealt.sortWithinPartitions(*by)
@@ -165,47 +165,58 @@ def query_parts(queries: DataFrame) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def dictionary_matches(posts: DataFrame, terms: DataFrame) -> DataFrame:
-    """tok, term, k, parts: the tokens of the postings that can stand at place k of each term (term); the last is a prefix.
+def matched(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """chunk_id, pos, dl, term, k, parts: the postings whose token can stand at place k of a term (term); the last is a prefix.
 
-    A prefix is a range of the dictionary; it is found by equality with the prefixes of each distinct token, as long as the
-    longest that is asked for, so that no term is compared with every token.
+    Each token meets the terms by equality with its prefixes of the lengths that are asked for, and a term's other tokens as a
+    whole, so nothing but a small table of terms is joined and postings stay where they are.
     """
     parts = terms.select("term", F.split("term", " ").alias("p")).select("term", F.size("p").alias("parts"), F.posexplode("p").alias("k", "part"))
-    last = parts.where("k = parts - 1")
-    longest = last.agg(F.coalesce(F.max(F.length("part")), F.lit(0)).alias("longest"))  # one row
-    dictionary = posts.select("tok").distinct().crossJoin(F.broadcast(longest)).where("longest > 0")
-    heads = dictionary.select("tok", F.explode(F.sequence(F.lit(1), F.least(F.length("tok"), "longest"))).alias("n")).select("tok", F.expr("substring(tok, 1, n)").alias("part"))
-    prefixes = heads.join(last, "part").select("tok", "term", "k", "parts")
-    return parts.where("k < parts - 1").select(F.col("part").alias("tok"), "term", "k", "parts").unionByName(prefixes)
-
-
-def batch_scores(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    # Tokens hold no blank, so one after it tells that the whole is meant.
+    parts = staged(parts.select("term", "parts", "k", F.when(F.col("k") == F.col("parts") - 1, F.col("part")).otherwise(F.concat("part", F.lit(" "))).alias("part")))
+    lengths = [r.n for r in parts.where("k = parts - 1").select(F.length("part").alias("n")).distinct().orderBy("n").collect()]  # a row for each length
+    forms = [F.when(F.length("tok") >= n, F.substring("tok", 1, n)) for n in lengths]
+    if not parts.where("parts > 1").isEmpty():
+        forms.append(F.concat("tok", F.lit(" ")))
+    rows = posts.select("chunk_id", "pos", "dl", F.explode(F.array(*forms) if forms else F.array().cast("array<string>")).alias("part"))
+    return rows.where(F.col("part").isNotNull()).join(parts, "part").drop("part")
+
+
+def _counts(posts: DataFrame, terms: DataFrame, dealt: bool) -> DataFrame:
+    """term, chunk_id, f, dl: how often each term stands in each chunk. Without phrases, all rows of a chunk are in one partition."""
+    found = matched(posts, terms)
+    found = found if dealt else found.repartition("chunk_id")
+    single = found.where("parts = 1").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
+    if terms.where(F.contains("term", F.lit(" "))).isEmpty():
+        return single
+    places = found.where("parts > 1").groupBy("chunk_id", "term", "parts", (F.col("pos") - F.col("k")).alias("at")).agg(F.count(F.lit(1)).alias("there"), F.max("dl").alias("dl"))
+    phrases = places.where("there = parts").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
+    return single.unionByName(phrases)
+
+
+def batch_scores(posts: DataFrame, stats: DataFrame, queries: DataFrame, dealt: bool = False) -> DataFrame:
     """bm25() of every query (query_id, query) of a table: query_id, chunk_id, fts_score of all chunks that match it.
 
-    Terms are counted once, whichever queries share them: postings meet the dictionary's matches by token, occurrences are
-    merged within their tasks, phrases by their first token's place; then each term's chunks meet the queries that ask for
-    it. What is broadcast is one row, or what Spark's own size check allows. Scores are summed as whole numbers of parts of a
+    All that is known of a chunk is in one partition: there its terms are counted, whichever queries share them, meet the
+    queries that ask for them, and are summed, so what is moved is postings that match, twice, and not the many scores.
+    dealt: posts are dealt by chunk_id already, and stay. Document frequencies are counted first, and join the queries' terms.
+    What is broadcast is one row, or what Spark's own size check allows. Scores are summed as whole numbers of parts of a
     million millionth, so they don't depend on the order of rows.
     """
     asked = staged(query_parts(queries))
-    matches = staged(dictionary_matches(posts, asked.select("term").distinct()))
-    found = posts.select("tok", "chunk_id", "pos", "dl").join(matches, "tok")
-    single = found.where("parts = 1").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
-    places = found.where("parts > 1").groupBy("term", "parts", "chunk_id", (F.col("pos") - F.col("k")).alias("at")).agg(F.count(F.lit(1)).alias("there"), F.max("dl").alias("dl"))
-    phrases = places.where("there = parts").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
-    counts = staged(single.unionByName(phrases))
+    counts = _counts(posts, staged(asked.select("term").distinct()), dealt)
     of = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     of = of.select("term", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"), "avgdl")
+    asked = staged(asked.join(of, "term"))
     one = F.lit(1.0)
     weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * ((one - B) + B * F.col("dl") / F.col("avgdl")))
-    scored = counts.join(of, "term").select("term", "chunk_id", weight.alias("w")).join(asked, "term")
-    return scored.groupBy("query_id", "chunk_id").agg((F.sum(F.round(F.col("w") * F.col("times") * PARTS).cast("long")) / -PARTS).alias("fts_score"))
+    scored = counts.join(asked, "term").select("query_id", "chunk_id", F.round(weight * F.col("times") * PARTS).cast("long").alias("w"))
+    return scored.groupBy("query_id", "chunk_id").agg((F.sum("w") / -PARTS).alias("fts_score"))
 
 
-def batch_search(posts: DataFrame, stats: DataFrame, queries: DataFrame, limit: int, within: DataFrame | None = None) -> DataFrame:
+def batch_search(posts: DataFrame, stats: DataFrame, queries: DataFrame, limit: int, within: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """query_id, rank, chunk_id, fts_score: the best chunks of every query; tasks keep limit rows a query before they meet.
-    within: as in fts_search()."""
+    within: as in fts_search(). dealt: as in batch_scores()."""
     order = Window.partitionBy("query_id").orderBy("fts_score", "chunk_id")
-    return inside(batch_scores(posts, stats, queries), within).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return inside(batch_scores(posts, stats, queries, dealt), within).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
