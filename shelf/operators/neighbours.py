@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..staging import staged
 
 #: Bytes of a block of vectors, about: what a task holds of either side at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Vectors that an index' centres are learned from, at most, and rounds; centres, at most. The centres only shape the layout:
 #: every vector is indexed, and results are exact wherever they lie.
 SAMPLE, ROUNDS, CENTRES = 20_000, 8, 1024
@@ -71,11 +71,18 @@ def nearest_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
     step = max(1, BLOCK_BYTES // (8 * max(1, len(vectors))))
     for lo in range(0, len(queries), step):
         some = queries[lo : lo + step]
-        about = square[None] + own[lo : lo + step, None] - 2 * some @ vectors.T
-        slack = 1e-10 * (square[None] + own[lo : lo + step, None]) + 1e-300
+        slack = square[None] + own[lo : lo + step, None]
+        about = some @ vectors.T
+        about *= -2
+        about += slack
+        slack *= 1e-10
+        slack += 1e-300
         last = min(k, len(vectors)) - 1
-        bound = np.partition(about + slack, last, axis=1)[:, last, None]
-        for i, row in enumerate(about - slack <= bound):
+        about += slack
+        bound = np.partition(about, last, axis=1)[:, last, None]
+        about -= slack
+        about -= slack
+        for i, row in enumerate(about <= bound):
             at = np.flatnonzero(row)
             d = np.sqrt(((vectors[at] - some[i]) ** 2).sum(1))
             best = np.lexsort((ids[at], d))[:k]
@@ -88,9 +95,10 @@ def nearest_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 def _compare(k: int):
     def run(it):
         for b in it:
-            for width, qids, queries, ids, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                rows, found, far = nearest_of(np.frombuffer(queries).reshape(-1, width), ids, np.frombuffer(vectors).reshape(-1, width), k)
+            for i in range(b.num_rows):  # a pair of blocks at a time, read where the batch holds it
+                width = b.column(0)[i].as_py()
+                qids, queries, ids, vectors = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in ((1, np.int64), (2, np.float64), (3, np.int64), (4, np.float64)))
+                rows, found, far = nearest_of(queries.reshape(-1, width), ids, vectors.reshape(-1, width), k)
                 yield pa.record_batch([pa.array(qids[rows]), pa.array(found), pa.array(far)], schema=_NEAR)
 
     return run
