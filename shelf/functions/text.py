@@ -21,13 +21,13 @@ def col(c: Column | str) -> Column:
 
 def trim(c: Column | str) -> Column:
     """Without white space, in the wide sense, at either end."""
-    return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col(c), F.lit(_PY_SPACE))
 
 
 def utf16_length(c: Column | str) -> Column:
     """Length in UTF-16 units: characters beyond U+FFFF count two."""
     c = col(c)
-    return F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise(F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]+", "")))
+    return F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise((F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int"))
 
 
 def normalize_whitespace(c: Column | str) -> Column:
@@ -74,7 +74,9 @@ FOLD_FROM, FOLD_TO = _fold_map()
 
 def fold(c: Column | str) -> Column:
     """Lower case without diacritics, composed or combining (so that the dotted capital I is an i)."""
-    return F.translate(F.lower(col(c)), FOLD_FROM + MARKS, FOLD_TO)
+    low = F.lower(col(c))
+    # Nothing of the map is ASCII, and looking up each character is what takes the time.
+    return F.when(F.octet_length(col(c)) == F.length(col(c)), low).otherwise(F.translate(low, FOLD_FROM + MARKS, FOLD_TO))
 
 
 def fold_py(s: str) -> str:
