@@ -141,10 +141,11 @@ class Store:
         are new or changed.
         """
         key, stage = ["collection", "url"], self._folder("staged")
-        rows = incoming.select("url", "title", "byline", "site_name", "collection", "chunks").withColumn("collection", F.coalesce("collection", F.lit(schemas.DEFAULT_COLLECTION))).where(F.col("url").isNotNull() & (F.size("chunks") > 0))
+        rows = incoming.select("url", "title", "byline", "site_name", "collection", "chunks").withColumn("collection", F.coalesce("collection", F.lit(schemas.DEFAULT_COLLECTION))).where(F.col("url").isNotNull())
         rows = rows.withColumn("content_hash", upsert.content_hash(F.col("chunks"))).withColumn("row", F.monotonically_increasing_id())
         rows = rows.withColumn("chunk_count", F.size("chunks").cast("long")).withColumn("tokens", F.aggregate("chunks", F.lit(0).cast("long"), lambda s, c: s + F.size(tokens(c["text"]))))
-        rows = staged(rows, f"{stage}/in")
+        # Those without chunks are left out where they are read again, or else they would be cut once more to find them.
+        rows = staged(rows, f"{stage}/in").where(F.size("chunks") > 0)
         thin = rows.drop("chunks")
         first = Window.partitionBy(*key).orderBy("content_hash", "title", "row")
         keys = staged(thin.select(*key).distinct(), f"{stage}/keys")
@@ -194,9 +195,11 @@ class Store:
         if n_changed:
             place = _owner_of(F.col("doc_id"), F.col("version")) * schemas.PLACES + F.col("idx")
             pieces = rows.select("row", "chunks").join(changed.select("row", F.col("id").alias("doc_id"), "version"), "row").select("doc_id", "version", F.posexplode("chunks").alias("idx", "c"))
-            pieces = pieces.select(place.cast("long").alias("chunk_id"), "doc_id", "version", "idx", F.col("c.text").alias("text"), F.col("c.section_path").alias("section_path"), F.size(tokens("c.text")).alias("dl"))
-            pieces = append("chunks", pieces.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"))
-            append("postings", fulltext.sorted_postings(pieces, "doc_id", "version", partitions=index_partitions))
+            pieces = pieces.select(place.cast("long").alias("chunk_id"), "doc_id", "version", "idx", F.col("c.text").alias("text"), F.col("c.section_path").alias("section_path"))
+            # Ranges are drawn from a first look at all rows, so what takes long comes after them, or is written before.
+            pieces = append("chunks", pieces.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("dl", F.size(tokens("text"))))
+            toks = staged(fulltext.tokenized(pieces, "doc_id", "version"), f"{stage}/toks")
+            append("postings", fulltext.sorted_postings(toks, "doc_id", "version", partitions=index_partitions))
         if n_replaced:
             append("stale", replaced.select(_owner_of(F.col("id"), F.col("old_version")).alias("owner")))
         # Of an unchanged document only its time moves.
