@@ -41,6 +41,14 @@ def sorted_postings(chunks: DataFrame, *keep: str, partitions: int | None = None
     return dealt.sortWithinPartitions(*by)
 
 
+def segment_postings(chunks: DataFrame, *keep: str) -> DataFrame:
+    """Postings of chunks (with their dl) as the store appends them: those of each partition of chunks sorted by (tok, chunk_id,
+    pos) where they lie, without a shuffle. A prefix touches few pages of every file; a token that very many chunks hold is in as
+    many files as they are."""
+    rows = chunks.select("chunk_id", *keep, "dl", F.posexplode(tokens("text")).alias("pos", "tok"))
+    return rows.select("tok", "chunk_id", "pos", "dl", *keep).sortWithinPartitions("tok", "chunk_id", "pos")
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n chunks and their mean length in tokens (dl, if the table has it; else counted)."""
     rows = chunks if "dl" in chunks.columns else tokenized(chunks)

@@ -138,7 +138,8 @@ class Store:
         keeps its title, byline and site.
 
         incoming is computed once, into the store's staging folder; texts are moved once, and only those of documents that
-        are new or changed.
+        are new or changed. Their postings aren't moved: each file of chunks has its own, sorted; index_partitions: in so many
+        ranges of tokens over all of them instead, as compact() lays them out.
         """
         key, stage = ["collection", "url"], self._folder("staged")
         rows = incoming.select("url", "title", "byline", "site_name", "collection", "chunks").withColumn("collection", F.coalesce("collection", F.lit(schemas.DEFAULT_COLLECTION))).where(F.col("url").isNotNull())
@@ -196,10 +197,11 @@ class Store:
             place = _owner_of(F.col("doc_id"), F.col("version")) * schemas.PLACES + F.col("idx")
             pieces = rows.select("row", "chunks").join(changed.select("row", F.col("id").alias("doc_id"), "version"), "row").select("doc_id", "version", F.posexplode("chunks").alias("idx", "c"))
             pieces = pieces.select(place.cast("long").alias("chunk_id"), "doc_id", "version", "idx", F.col("c.text").alias("text"), F.col("c.section_path").alias("section_path"))
-            # Ranges are drawn from a first look at all rows, so what takes long comes after them, or is written before.
+            # Ranges are drawn from a first look at all rows, so what takes long comes after them.
             pieces = append("chunks", pieces.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("dl", F.size(tokens("text"))))
-            toks = staged(fulltext.tokenized(pieces, "doc_id", "version"), f"{stage}/toks")
-            append("postings", fulltext.sorted_postings(toks, "doc_id", "version", partitions=index_partitions))
+            self._fs.delete(self._hadoop(f"{stage}/in"), True)  # texts are read from the store's own chunks from here on
+            of = "doc_id", "version"
+            append("postings", fulltext.sorted_postings(pieces, *of, partitions=index_partitions) if index_partitions else fulltext.segment_postings(pieces, *of))
         if n_replaced:
             append("stale", replaced.select(_owner_of(F.col("id"), F.col("old_version")).alias("owner")))
         # Of an unchanged document only its time moves.
