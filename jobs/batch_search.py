@@ -2,8 +2,8 @@
 
     python -m jobs.batch_search --documents /data/documents.parquet --queries /data/benchmark.parquet --output /shared/hits
 
-Articles (doc_id, text, lang) are cut into chunks, queries (item_id, text) into the terms that a search has. All queries share
-one pass over the chunks' words, and one word's occurrences serve every query that asks for it. Hits are written by
+Articles (doc_id, text, lang) are cut into chunks, queries (item_id, text) into the terms that a search has. All queries of a block
+share one pass over the chunks' words, which are counted and scored where they lie. Hits are written by
 collection, item_id and rank beside the chunk's place, score and snippet; a run replaces the hits of the run before, and
 the same tables give the same hits.
 
@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelf.functions.chunking import chunk_text
-from shelf.functions.text import snippet
-from shelf.operators import fulltext
+from shelf.functions.text import SNIPPET, snippet
+from shelf.operators import batch, fulltext
 from shelf.schemas import DEFAULT_COLLECTION
-from shelf.staging import staged
 
 from .config import log, settings
 
@@ -43,15 +42,12 @@ def chunks(documents: DataFrame) -> DataFrame:
 
 
 def hits(documents: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """The best chunks of each query by BM25 (rows of HITS), a rank each. Chunks are cut and tokenised once, into a table of the
-    job's own."""
+    """The best chunks of each query by BM25 (rows of HITS), a rank each. Chunks are cut and tokenised once; what is written of them
+    is how often the queries' terms stand there."""
     asked = queries.where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").cast("long").alias("query_id")).agg(F.min(F.col("text").cast("string")).alias("query"))
-    every = staged(chunks(documents))
-    # Dealt as strings, which are a third of what arrays are there.
-    dealt = every.where("dl > 0").select("chunk_id", "dl", F.array_join("toks", " ").alias("words")).repartition("chunk_id")
-    posts = fulltext.exploded(dealt.select("chunk_id", "dl", F.split("words", " ").alias("toks")))
-    best = staged(fulltext.batch_search(posts, fulltext.corpus_stats(every), asked, limit, dealt=True))
-    return best.join(every, "chunk_id").select(F.col("query_id").alias("item_id"), "rank", "doc_id", "idx", "fts_score", snippet("text").alias("snippet"), "collection")
+    every = chunks(documents).withColumn("head", F.substring("text", 1, SNIPPET))
+    best = batch.search_chunks(every, asked, limit, "doc_id", "idx", "collection", "head")
+    return best.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "idx", "fts_score", snippet("head").alias("snippet"), "collection")
 
 
 def run(spark: SparkSession, documents: str, queries: str, output: str, limit: int = 6) -> int:
