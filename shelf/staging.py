@@ -19,8 +19,8 @@ def folder(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, path: str | None = None, compression: str | None = None) -> DataFrame:
     """df written and read again: computed once whoever reads it, its lineage cut, no executor needed to keep it."""
     path = path or folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
